@@ -1,11 +1,12 @@
 """Near-duplicate texts with small edits: rare-first prefix filtering.
 
 Every text becomes its set of word n-gram hashes (64 bit). All sets are ordered by one global
-order, rare n-grams first. Two sets with Jaccard similarity >= t share an n-gram among their
-first n - ceil(t*n) + 1, so only these prefixes are joined. A shared prefix n-gram passes the
-length filter (n_a >= t*n_b) and the positional filter (matches still possible from the two
-positions); candidate pairs are then made distinct, pass the suffix filter (the sets, divided at
-fixed pivots, differ in at least the sum of the parts' size differences) and are verified once.
+order, rare n-grams first. Two sets with Jaccard similarity >= t share their first m common
+n-grams among the first n - ceil(t*n) + m of either, so only these prefixes are joined and only
+pairs that meet m times there are candidates (m = 1 for sets too small to share more). A shared
+prefix n-gram passes the length filter (n_a >= t*n_b) and the positional filter (matches still
+possible from the two positions); pairs then pass the suffix filter (the sets, divided at fixed
+pivots, differ in at least the sum of the parts' size differences) and are verified once.
 
 Frequencies for the order come from a table of fixed size that counts all n-grams of all texts;
 where n-grams share a cell the order is only less sharp, never wrong. Texts with equal sets form
@@ -30,7 +31,9 @@ CELL_BITS = 20  # frequency cells: 4 MB, whatever the corpus size
 SLICES = 64
 SIGNATURE = 64  # pivots of the suffix filter
 HOT = 4096
+SHARED = 3  # prefix n-grams that a candidate pair has in common
 POSTINGS_PER_TASK = 1_000_000
+FLUSH = 1_000_000  # postings or pairs packed into blobs at a time
 BROADCAST_IDS = 1_000_000  # 8 MB of ids; beyond it a shuffle join
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -40,31 +43,59 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-class Shingler:
-    """Sets of word n-gram hashes; keeps hashes of words seen so far (bounded)."""
+class _Known(dict):
+    """Hashes of the words met so far."""
 
-    def __init__(self, words: int, min_words: int):
+    def __init__(self):
         import xxhash
 
-        self.words, self.min_words, self.hash, self.known = words, max(min_words, words), xxhash.xxh3_64_intdigest, {}
-
-    def __call__(self, text: str | None) -> np.ndarray | None:
-        """The sorted distinct hashes, or None for a text with too few words."""
-        found = WORD.findall(text.lower()) if text else []
-        if len(found) < self.min_words:
-            return None
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in found:
-            if w not in known:
-                known[w] = self.hash(w)
-        h = np.array([known[w] for w in found], np.uint64)
+        super().__init__()
+        self.hash = xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: str) -> int:
+        v = self[word] = self.hash(word)
+        return v
+
+
+class Shingler:
+    """Sets of word n-gram hashes; keeps the hashes of words (bounded)."""
+
+    def __init__(self, words: int, min_words: int):
+        self.words, self.min_words, self.known = words, max(min_words, words), _Known()
+
+    def sets(self, texts: list[str | None]):
+        """(index, sorted distinct hashes) of each text with enough words."""
+        lists, at, size = [], [], 0
+        for i, text in enumerate(texts):
+            found = WORD.findall(text.lower()) if text else ()
+            if len(found) >= self.min_words:
+                lists.append(found)
+                at.append(i)
+                size += len(found)
+                if size > 2_000_000:
+                    yield from self._sets(lists, at)
+                    lists, at, size = [], [], 0
+        yield from self._sets(lists, at)
+
+    def _sets(self, lists, at):
+        if not lists:
+            return
+        if len(self.known) > 500_000:
+            self.known.clear()
+        known = self.known.__getitem__
+        h = np.fromiter((v for found in lists for v in map(known, found)), np.uint64)
         n = len(h) - self.words + 1
         x = h[:n]
         for i in range(1, self.words):
             x = _mix(x * _M1 + h[i : i + n])
-        return np.unique(x)
+        start = 0
+        for i, found in zip(at, lists):  # n-grams that reach into the next text are left out
+            g = np.sort(x[start : start + len(found) - self.words + 1])
+            start += len(found)
+            new = np.empty(len(g), bool)
+            new[0] = True
+            np.not_equal(g[1:], g[:-1], out=new[1:])
+            yield i, g[new]
 
 
 def class_key(grams: np.ndarray) -> int:
@@ -80,8 +111,8 @@ def signature(grams: np.ndarray) -> bytes:
     return np.minimum(np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=SIGNATURE), 255).astype(np.uint8).tobytes()
 
 
-def prefix_length(n: int, threshold: float) -> int:
-    return n - int(np.ceil(threshold * n - 1e-9)) + 1
+def prefix_length(n: int, threshold: float, shared: int = 1) -> int:
+    return min(n, n - int(np.ceil(threshold * n - 1e-9)) + shared)
 
 
 def needed_overlap(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -104,14 +135,12 @@ def _statistics(texts: DataFrame, words: int, min_words: int) -> DataFrame:
         for batch in batches:
             take, keys, sizes, sigs, grams = [], [], [], [], []
             doc_type = batch.column(0).type
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                g = shingle(text)
-                if g is not None:
-                    take.append(i)
-                    keys.append(class_key(g))
-                    sizes.append(len(g))
-                    sigs.append(signature(g))
-                    grams.append(g)
+            for i, g in shingle.sets(batch.column(1).to_pylist()):
+                take.append(i)
+                keys.append(class_key(g))
+                sizes.append(len(g))
+                sigs.append(signature(g))
+                grams.append(g)
             if take:
                 any_text = True
                 cells += np.bincount((np.concatenate(grams) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
@@ -144,30 +173,61 @@ def _frequencies(statistics: DataFrame) -> np.ndarray:
     return cells.ravel()
 
 
-def _postings(texts: DataFrame, cells, words: int, min_words: int, threshold: float, hot: int) -> DataFrame:
-    """(part, gram, salt, side, key, n, pos) of each class's prefix, once per task."""
+def pack(parts: np.ndarray, columns: list[np.ndarray]):
+    """(part, blob) of the rows of each part: their columns one after the other, so that a row costs no more than its bytes."""
+    order = np.argsort(parts, kind="stable")
+    columns = [c[order] for c in columns]
+    values, starts = np.unique(parts[order], return_index=True)
+    ends = [*starts[1:], len(order)]
+    return values, [b"".join(c[s:e].tobytes() for c in columns) for s, e in zip(starts, ends)]
+
+
+def unpack(blobs: list[bytes], kinds: list) -> list[np.ndarray]:
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    out = [[] for _ in kinds]
+    for blob in blobs:
+        n, at = len(blob) // width, 0
+        for into, kind in zip(out, kinds):
+            into.append(np.frombuffer(blob, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds)]
+
+
+def _blob_batch(parts: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    values, blobs = pack(parts, columns)
+    return pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "rows"])
+
+
+_POSTING = [np.uint64, np.int32, np.int8, np.int32, np.int64, np.int32]  # gram, salt, side, pos, key, n
+_PAIR = [np.int64, np.int64, np.int32]  # a, b, times
+
+
+def _postings(texts: DataFrame, cells, words: int, min_words: int, threshold: float, hot: int, shared: int, parts: int) -> DataFrame:
+    """Packed postings of each class's prefix, once per task, by the part of their n-gram."""
 
     def run(batches):
-        shingle, table, seen = Shingler(words, min_words), cells.value, set()
+        shingle, table, seen, out, size = Shingler(words, min_words), cells.value, set(), [], 0
+
+        def flush():
+            grams, salt, side, pos, keys, sizes = (np.concatenate(x) for x in zip(*out))
+            where = (_mix(grams + salt.astype(np.int64).view(np.uint64) * _M1) % np.uint64(parts)).astype(np.int32)
+            return _blob_batch(where, [grams, salt, side, pos, keys, sizes])
+
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                g = shingle(text)
-                if g is None:
-                    continue
+            for _, g in shingle.sets(batch.column(0).to_pylist()):
                 key = class_key(g)
                 if key in seen:
                     continue
                 if len(seen) < 2_000_000:
                     seen.add(key)
                 count = table[(g >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                order = np.lexsort((g, count))[: prefix_length(len(g), threshold)]
+                order = np.argsort(count, kind="stable")[: prefix_length(len(g), threshold, shared)]
                 grams, count = g[order], count[order]
                 m = len(grams)
                 pos = np.arange(m, dtype=np.int32)
                 salt, side = np.full(m, -1, np.int32), np.full(m, 2, np.int8)
-                big = np.flatnonzero(count > hot)
-                if len(big):
+                if count[-1] > hot:
+                    big = np.flatnonzero(count > hot)
                     extra = [(np.delete(grams, big), np.delete(salt, big), np.delete(side, big), np.delete(pos, big))]
                     for p in big.tolist():  # blocks of texts against blocks of texts
                         blocks = min(-(-int(count[p]) // hot), 30_000)
@@ -175,21 +235,24 @@ def _postings(texts: DataFrame, cells, words: int, min_words: int, threshold: fl
                         other = np.arange(blocks, dtype=np.int32)
                         lo, hi = np.minimum(own, other), np.maximum(own, other)
                         s = np.where(other == own, 2, np.where(own < other, 0, 1)).astype(np.int8)
-                        extra.append((np.full(blocks, grams[p]), (lo * 32_768 + hi).astype(np.int32), s, np.full(blocks, p, np.int32)))
+                        extra.append((np.full(blocks, grams[p]), (lo * 32_768 + hi).astype(np.int32), s, np.full(blocks, pos[p], np.int32)))
                     grams, salt, side, pos = (np.concatenate(x) for x in zip(*extra))
                 out.append((grams, salt, side, pos, np.full(len(grams), key, np.int64), np.full(len(grams), len(g), np.int32)))
-            if out:
-                grams, salt, side, pos, keys, sizes = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams.view(np.int64)), pa.array(salt), pa.array(side), pa.array(pos), pa.array(keys), pa.array(sizes)],
-                    names=["gram", "salt", "side", "pos", "key", "n"],
-                )
+                size += len(grams)
+                if size >= FLUSH:
+                    yield flush()
+                    out, size = [], 0
+        if out:
+            yield flush()
+
+    return texts.select("text").mapInArrow(run, "part int, rows binary")
 
-    return texts.select("text").mapInArrow(run, "gram bigint, salt int, side tinyint, pos int, key bigint, n int")
 
+def candidate_pairs(gram, salt, side, pos, key, n, threshold: float, shared: int, most: int = 2_000_000):
+    """Yields (keys a, keys b, times), a < b, of rows with equal (gram, salt) that pass the length and positional filters.
 
-def candidate_pairs(gram, salt, side, pos, key, n, threshold: float, most: int = 2_000_000):
-    """Yields (keys a, keys b), a < b, of rows with equal (gram, salt) that pass the length and positional filters."""
+    times counts towards ``shared``; pairs that need not share so many n-grams count at once.
+    """
     order = np.lexsort((key, n, salt, gram))
     gram, salt, side, pos, key, n = (x[order] for x in (gram, salt, side, pos, key, n))
     if not len(gram):
@@ -216,27 +279,51 @@ def candidate_pairs(gram, salt, side, pos, key, n, threshold: float, most: int =
             a = np.repeat(np.arange(lo, hi), c)
             b = a + 1 + np.arange(total) - np.repeat(np.cumsum(c) - c, c)
             rest = np.minimum(n[a] - pos[a], n[b] - pos[b]) + np.minimum(pos[a], pos[b])
-            good = (rest >= needed_overlap(n[a], n[b], threshold)) & (key[a] != key[b]) & ((side[a] != side[b]) | (side[a] == 2))
+            need = needed_overlap(n[a], n[b], threshold)
+            good = (rest >= need) & (key[a] != key[b]) & ((side[a] != side[b]) | (side[a] == 2))
             x, y = key[a[good]], key[b[good]]
-            yield np.minimum(x, y), np.maximum(x, y)
+            yield np.minimum(x, y), np.maximum(x, y), np.where(need[good] < shared, shared, 1).astype(np.int32)
         lo = hi
 
 
-def _candidates(postings: DataFrame, parts: int, threshold: float) -> DataFrame:
-    def run(batches):
-        columns = [[] for _ in range(6)]
-        for batch in batches:
-            for into, name in zip(columns, ("gram", "salt", "side", "pos", "key", "n")):
-                into.append(batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False))
-        if not columns[0]:
-            return
-        for a, b in candidate_pairs(*(np.concatenate(x) for x in columns), threshold):
-            if len(a):
-                pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+def summed(a: np.ndarray, b: np.ndarray, times: np.ndarray):
+    """Distinct pairs with their times added."""
+    order = np.lexsort((b, a))
+    a, b, times = a[order], b[order], times[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    starts = np.flatnonzero(new)
+    return a[starts], b[starts], np.add.reduceat(times, starts).astype(np.int32) if len(starts) else times
+
+
+def _candidates(postings: DataFrame, parts: int, threshold: float, shared: int) -> DataFrame:
+    """(a, b) of the pairs of classes that meet ``shared`` times."""
+
+    def join(batches):
+        blobs = [x for batch in batches for x in batch.column(1).to_pylist()]
+        out, size = [], 0
+
+        def flush():
+            a, b, times = summed(*(np.concatenate(x) for x in zip(*out)))
+            return _blob_batch((_mix(a.view(np.uint64) * _M1 + b.view(np.uint64)) % np.uint64(parts)).astype(np.int32), [a, b, times])
+
+        for found in candidate_pairs(*unpack(blobs, _POSTING), threshold, shared) if blobs else ():
+            if len(found[0]):
+                out.append(found)
+                size += len(found[0])
+                if size >= FLUSH:
+                    yield flush()
+                    out, size = [], 0
+        if out:
+            yield flush()
+
+    def meet(batches):
+        a, b, times = summed(*unpack([x for batch in batches for x in batch.column(1).to_pylist()], _PAIR))
+        good = times >= shared
+        yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
-    spread = postings.repartition(parts, F.xxhash64("gram", "salt"))
-    return spread.mapInArrow(run, "a bigint, b bigint").distinct()
+    pairs = postings.repartitionById(parts, F.col("part")).mapInArrow(join, "part int, rows binary")
+    return pairs.repartitionById(parts, F.col("part")).mapInArrow(meet, "a bigint, b bigint")
 
 
 def _suffix_filter(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -285,6 +372,7 @@ def near_duplicate_classes(
     threshold: float = 0.8,
     min_words: int = 50,
     hot: int = HOT,
+    shared: int = SHARED,
     broadcast_ids: int = BROADCAST_IDS,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): members(doc, key) with the class of each text, links(a, b, similarity) between classes, a < b.
@@ -301,7 +389,7 @@ def near_duplicate_classes(
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cells = spark.sparkContext.broadcast(_frequencies(statistics))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (1.05 - threshold) / POSTINGS_PER_TASK) + 1)
-    candidates = _candidates(_postings(texts, cells, words, min_words, threshold, hot), parts, threshold)
+    candidates = _candidates(_postings(texts, cells, words, min_words, threshold, hot, shared, parts), parts, threshold, shared)
     classes = rows.groupBy("key").agg(F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("doc").alias("doc"))
     kept = materialise(_suffix_filter(candidates, classes, threshold))
 
@@ -313,11 +401,10 @@ def near_duplicate_classes(
     def to_sets(batches):
         shingle = Shingler(words, min_words)
         for batch in batches:
-            keys, sets = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                g = shingle(text)
-                if g is not None and class_key(g) == key:
-                    keys.append(key)
+            given, keys, sets = batch.column(0).to_pylist(), [], []
+            for i, g in shingle.sets(batch.column(1).to_pylist()):
+                if class_key(g) == given[i]:
+                    keys.append(given[i])
                     sets.append(g.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "grams"])
 
