@@ -28,8 +28,12 @@ CHECK = "check"  # verdict of a template whose messages are judged one by one
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`")
 _QUOTED = re.compile(r"“[^”\n]{0,300}”|„[^“”\n]{0,300}[“”]|(?<![\w=])\"[^\"\n]{0,300}\"(?!\w)|= ?\"[^\"\n]{0,300}\"")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
+_STOP = re.compile(r"[.!?](?=\s)|[。！？]")
 _VARIABLE = re.compile(r"\d")
+_MASK = re.compile(r"(?<!\S)(?!<)[^\s\d]*\d\S*")
+_SLOT_CHARS = ("{", "[", "<", "%", "@@", "__", "$(", "«")
+_BULLETS = frozenset("-*#>•|")
+_WIDE = re.compile(r"[\u2e80-\uffef]")
 _EDGE = re.compile(r"^(?:[-*#>•|]+\s+)+")
 
 # The words of the usual Latin filler text.
@@ -133,6 +137,18 @@ def _compiled(joker: str) -> tuple:
 
 _STRICT, _LOOSE = _compiled(""), _compiled(r"|<\*>(?: <\*>)?")
 _LATIN = re.compile(r"[a-z]+")
+# Each rule without CJK text needs one of these words (or dots, or an error's name); others are not tried.
+HINTS = frozenset(
+    "here own real actual final replace placeholder dummy filler stand sample mock example todo tbd tbc fixme tba xxx do yet soon follow "
+    "pending missing be come construction texte text contenu titre texto contenido tulo ximamente inhalt platzhalter blindtext mustertext "
+    "beispieltext request unauthorized unauthorised authorization payment forbidden found allowed acceptable time timeout conflict gone "
+    "many error implemented gateway unavailable denied unknown available exist moved deleted removed reached displayed loaded sorry oops "
+    "oh uh whoops ouch something work snag blocked restricted permission access session sign log checking verify verifying human complete "
+    "robot limit quota down traceback exception caused uncaught unhandled fatal panic segmentation file offline maintenance reachable acc "
+    "introuvable trouv inexistante inexistant erreur indisponible acceso encontrada encontrado disponible existe servicio sesi zugriff zugang "
+    "gefunden verf existiert interner fehler dienst sitzung javascript java js script scripts scripting cookie cookies noscript browser "
+    "browsers skripte navigateur navegador enable activate turn allow switch unblock without needs need require requires relies cannot won will does must at".split()
+)
 # A message that reports about such texts is not one itself.
 _REPORTS = re.compile(r"\b(?:works without|so nobody|no longer used|until the|came from|as the\b.{0,40}\bexplains|documented in|that only said|retries)\b", re.I)
 
@@ -149,6 +165,8 @@ def mask_shown(text: str) -> str:
 
 
 def has_slot(masked: str) -> bool:
+    if not any(c in masked for c in _SLOT_CHARS):
+        return False
     for m in SLOT.finditer(masked):
         if m.group("mark") is None or m.group("mark") not in VOCABULARY_MARKERS:
             return True
@@ -156,15 +174,15 @@ def has_slot(masked: str) -> bool:
 
 
 def messages(masked: str):
-    """The masked words of each message."""
-    for line in masked.splitlines():
-        line = _EDGE.sub("", line.strip())
-        if not line:
-            continue
-        for sentence in _SENTENCE.split(line):
-            words = sentence.split()
-            for at in range(0, len(words), MOST_WORDS):
-                yield [WILD if _VARIABLE.search(w) and not w.startswith("<") else w for w in words[at : at + MOST_WORDS]]
+    """The masked words of each message: words with a digit are variables."""
+    for line in _STOP.sub(r"\g<0>\n", masked).splitlines():
+        if line[:1] in _BULLETS or line[:1].isspace():
+            line = _EDGE.sub("", line.strip())
+        if _VARIABLE.search(line):
+            line = _MASK.sub(WILD, line)
+        words = line.split()
+        for at in range(0, len(words), MOST_WORDS):
+            yield words[at : at + MOST_WORDS]
 
 
 def leaf_of(words: list[str], depth: int) -> str:
@@ -176,11 +194,13 @@ def merge(template: list[str], words: list[str]) -> list[str]:
     return [a if a == b else WILD for a, b in zip(template, words)]
 
 
-def _apply(rules, template: str) -> str | None:
-    plain = template.isascii()
-    for reason, rule, wide in rules:
-        if not (wide and plain) and rule.search(template):
-            return reason
+def _apply(rules, template: str, words: list[str]) -> str | None:
+    wide_text = _WIDE.search(template) is not None
+    latin = not HINTS.isdisjoint(words) or "..." in template or "…" in template or "???" in template or any(w.endswith(("error", "exception")) for w in words)
+    if latin or wide_text:
+        for reason, rule, wide in rules:
+            if (wide_text if wide else latin) and rule.search(template):
+                return reason
     return None
 
 
@@ -191,13 +211,13 @@ def classify(template: str) -> str | None:
         return "filler"
     if len(template) > 240 or _REPORTS.search(template):
         return None
-    return _apply(_STRICT, template)
+    return _apply(_STRICT, template, words)
 
 
 def classify_template(template: str) -> str | None:
     """As classify; CHECK where a template would be condemned if its wildcards were certain words."""
     verdict = classify(template)
-    if verdict is None and WILD in template and len(template) <= 240 and not _REPORTS.search(template) and _apply(_LOOSE, template):
+    if verdict is None and WILD in template and len(template) <= 240 and not _REPORTS.search(template) and _apply(_LOOSE, template, _LATIN.findall(template.lower())):
         return CHECK
     return verdict
 
