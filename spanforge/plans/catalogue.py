@@ -1,9 +1,503 @@
-"""The registered queries of the core."""
+"""The registered queries of the core, over whole tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanforge.functions.stats import wilson
+from spanforge.functions.text import char_ngrams, content_hash, count_tokens, stable_hash, word_tokens
+from spanforge.operators import attribution, chunking, dense, geometry, gold, metrics, ranking, sparse
+from spanforge.operators.embedding import HashEmbedder, hash_buckets
+from spanforge.plans import oracle
+from spanforge.plans import sweep as S
+from spanforge.plans.session import materialise
+from spanforge.sources import corpora, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, Query] = {}
+
+SIZE, OVERLAP = 400, 50
+TOP_K, CANDIDATES, BUDGET = 5, 20, 200
+DIM = 64
+
+
+def register(f: Query) -> Query:
+    REGISTRY[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return tables.unique_documents(table(spark, d, "documents"))
+
+
+def fixed(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_fixed(docs(spark, d), SIZE, OVERLAP)
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return tables.unique_queries(table(spark, d, "queries"))
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    return gold.gold_spans(asked(spark, d))
+
+
+def ranked_chunks(spark: SparkSession, d: str, k: int = CANDIDATES, k1: float = sparse.K1, b: float = sparse.B) -> tuple[DataFrame, DataFrame]:
+    """(chunks, BM25 list with chunk ids); chunks are read twice, so they are materialised."""
+    chunks = materialise(fixed(spark, d))
+    top = sparse.bm25_topk(chunks, asked(spark, d), k, k1, b)
+    return chunks, top.join(chunks.select("chunk_pos", "chunk_id"), "chunk_pos")
+
+
+def items(spark: SparkSession, d: str, k: int = CANDIDATES) -> tuple[DataFrame, DataFrame]:
+    """(items, spans): BM25 lists with their chunks' offsets."""
+    chunks, top = ranked_chunks(spark, d, k)
+    where = chunks.select("chunk_id", "source_id", "start", "end", "n_tokens")
+    return materialise(top.select("query_id", "rank", "chunk_id").join(where, "chunk_id")), materialise(spans(spark, d))
+
+
+def results(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.distinct_results(table(spark, d, "results"))
+
+
+# Text
+
+
+@register
+def word_tokens_stats(spark, d):
+    w = word_tokens(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", F.size(w).cast("bigint").alias("words"), F.size(F.array_distinct(w)).cast("bigint").alias("distinct_words"))
+
+
+@register
+def token_count(spark, d):
+    return table(spark, d, "documents").select("doc_id", count_tokens(F.col("text")).cast("bigint").alias("n_tokens"))
+
+
+@register
+def char_ngram_counts(spark, d):
+    g = char_ngrams(F.coalesce("text", F.lit("")), (3, 4, 5))
+    return table(spark, d, "documents").select("doc_id", F.size(g).cast("bigint").alias("grams"), F.size(F.array_distinct(g)).cast("bigint").alias("distinct_grams"))
+
+
+@register
+def content_hashes(spark, d):
+    row = table(spark, d, "documents")
+    return row.select("doc_id", content_hash(F.col("text")).alias("version"), stable_hash(F.col("id"), F.col("doc_id"), F.lit("x")).alias("key"))
+
+
+@register
+def load_documents(spark, d):
+    return docs(spark, d).select("id", "doc_pos", F.length("text").cast("bigint").alias("n_chars"), content_hash(F.col("text")).alias("version"))
+
+
+# Chunkers
+
+
+def _chunks(df):
+    return df.select("chunk_pos", "chunk_id", "source_id", "start", "end", "n_tokens")
+
+
+@register
+def chunk_fixed(spark, d):
+    return _chunks(chunking.chunk_fixed(docs(spark, d), SIZE, 0))
+
+
+@register
+def chunk_fixed_overlap(spark, d):
+    return _chunks(fixed(spark, d))
+
+
+@register
+def chunk_parent_child(spark, d):
+    return chunking.chunk_parent_child(docs(spark, d)).select("chunk_pos", "chunk_id", "source_id", "start", "end", "parent_id")
+
+
+@register
+def chunk_lossy(spark, d):
+    return _chunks(chunking.chunk_lossy(docs(spark, d), 200, 350, 100)).drop("chunk_pos")
+
+
+@register
+def chunk_recursive(spark, d):
+    return _chunks(chunking.chunk_recursive(docs(spark, d), SIZE))
+
+
+@register
+def chunk_semantic(spark, d):
+    return _chunks(chunking.chunk_semantic(docs(spark, d), HashEmbedder(256), "det-hash"))
+
+
+@register
+def sentence_spans(spark, d):
+    return chunking.sentences(docs(spark, d)).select("id", F.col("no").cast("int").alias("no"), "start", "end")
+
+
+@register
+def chunk_gaps(spark, d):
+    """Documents that a chunker does not tile: always empty."""
+    from spanforge.functions.text import union_length
+
+    source = docs(spark, d)
+    out = None
+    for name, c in (("fixed", chunking.chunk_fixed(source, SIZE, OVERLAP)), ("parent_child", chunking.chunk_parent_child(source)), ("recursive", chunking.chunk_recursive(source, SIZE)), ("semantic", chunking.chunk_semantic(source, HashEmbedder(64), "det-hash"))):
+        iv = c.groupBy("source_id").agg(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e"))).alias("iv"))
+        gap = source.where(F.length("text") > 0).join(iv, source["id"] == iv["source_id"], "left").where(F.coalesce(union_length(F.col("iv")), F.lit(0)) != F.length("text"))
+        part = gap.select(F.lit(name).alias("chunker"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# Embedding and retrieval
+
+
+@register
+def hash_embed(spark, d):
+    return hash_buckets(table(spark, d, "documents"), "doc_id", "text", 256)
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_pos"), F.col("embedding").alias("vector"))
+
+
+def _vector_queries(spark, d):
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@register
+def dense_topk(spark, d):
+    top = dense.dense_topk(_vectors(spark, d), _vector_queries(spark, d), 10, DIM)
+    return top.select("query_id", "rank", F.col("chunk_pos").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@register
+def dense_text_topk(spark, d):
+    return dense.dense_topk_text(materialise(fixed(spark, d)), asked(spark, d), 10, HashEmbedder(2048)).select("query_id", "rank", "chunk_pos")
+
+
+@register
+def index_size(spark, d):
+    return dense.index_bytes(_vectors(spark, d), DIM).select("n", F.col("bytes").cast("bigint").alias("bytes"))
+
+
+@register
+def ann_topk(spark, d):
+    return dense.lsh_topk(_vectors(spark, d), _vector_queries(spark, d), 10, DIM).select("query_id", "rank", F.col("chunk_pos").alias("vec_id"))
+
+
+@register
+def ann_recall(spark, d):
+    v, q = _vectors(spark, d), _vector_queries(spark, d)
+    recall = dense.ann_recall(dense.dense_topk(v, q, 10, DIM), dense.lsh_topk(v, q, 10, DIM), q)
+    return dense.ann_diagnostic(recall, 10)
+
+
+@register
+def ann_diagnostics_summary(spark, d):
+    rows = table(spark, d, "ann_diagnostics").where("mean_recall is not null").dropDuplicates(["config_key", "k", "n", "mean_recall", "min_recall", "queries_below_full_recall"])
+    model = F.split("config_key", r"\|")[0]
+    return rows.groupBy(model.alias("model"), "k").agg(
+        F.count(F.lit(1)).alias("runs"), F.round(F.avg("mean_recall"), 9).alias("mean_recall"), F.min("min_recall").alias("min_recall"), F.sum("queries_below_full_recall").alias("below")
+    )
+
+
+@register
+def bm25_stats(spark, d):
+    return sparse.term_statistics(fixed(spark, d)).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@register
+def bm25_topk(spark, d):
+    chunks, top = ranked_chunks(spark, d, 10)
+    return top.select("query_id", "rank", "chunk_pos", F.round("score", 6).alias("score"))
+
+
+def _two_lists(spark, d):
+    chunks = materialise(fixed(spark, d))
+    ids = chunks.select("chunk_pos", "chunk_id")
+    q = asked(spark, d)
+    lists = [sparse.bm25_topk(chunks, q, CANDIDATES, k1, b).join(ids, "chunk_pos").select("query_id", "rank", "chunk_id") for k1, b in ((1.5, 0.75), (0.9, 0.4))]
+    return chunks, q, lists
+
+
+@register
+def rrf_fusion(spark, d):
+    _, _, lists = _two_lists(spark, d)
+    return ranking.reciprocal_rank_fusion(lists).where(F.col("rank") <= CANDIDATES).select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
+
+
+@register
+def candidate_union(spark, d):
+    _, _, lists = _two_lists(spark, d)
+    return ranking.candidate_union(lists).select("query_id", "rank", "chunk_id")
+
+
+@register
+def lexical_rerank(spark, d):
+    chunks, top = ranked_chunks(spark, d)
+    out = ranking.rerank(top.select("query_id", "rank", "chunk_id"), asked(spark, d), chunks)
+    return out.select("query_id", "rank", "chunk_id", F.col("score").cast("bigint").alias("overlap"))
+
+
+@register
+def parent_expand(spark, d):
+    children = materialise(chunking.chunk_parent_child(docs(spark, d)))
+    top = sparse.bm25_topk(children, asked(spark, d), CANDIDATES).join(children.select("chunk_pos", "chunk_id"), "chunk_pos")
+    return ranking.expand_to_parents(top.select("query_id", "rank", "chunk_id"), children).select("query_id", "rank", "chunk_id")
+
+
+# Gold
+
+
+@register
+def gold_spans(spark, d):
+    return required(spans(spark, d))
+
+
+def required(s: DataFrame) -> DataFrame:
+    return gold.required_spans(s).select("query_id", "span_id", "source_id", "start", "end")
+
+
+@register
+def gold_verify(spark, d):
+    s = gold.verify_spans(spans(spark, d), docs(spark, d))
+    return s.select("query_id", F.col("alt_idx").cast("int").alias("alt_idx"), F.col("span_idx").cast("int").alias("span_idx"), "reason")
+
+
+@register
+def load_queries(spark, d):
+    return gold.load_verified(asked(spark, d), docs(spark, d), strict=False).select("query_id")
+
+
+@register
+def gold_authoring(spark, d):
+    s = spans(spark, d).select("query_id", "alt_idx", "span_idx", "source_id", F.col("quoted_text").alias("quote"), F.lit(0).alias("occurrence"))
+    out = gold.author_spans(s, docs(spark, d))
+    return out.select("query_id", F.col("alt_idx").cast("int").alias("alt_idx"), F.col("span_idx").cast("int").alias("span_idx"), F.col("start").cast("bigint").alias("start"), "source_version", "reason")
+
+
+@register
+def span_coverage(spark, d):
+    i, s = items(spark, d)
+    c = gold.span_coverage(i, s, [])
+    return c.select("query_id", F.col("alt_idx").cast("int").alias("alt_idx"), F.col("span_idx").cast("int").alias("span_idx"), F.round("coverage", 9).alias("coverage"), F.round("best_single", 9).alias("best_single"))
+
+
+def _hits(i, s, q, k):
+    return gold.satisfied(gold.span_coverage(i.where(F.col("rank") <= k), s, []), s, q, [])
+
+
+@register
+def hit_at_k(spark, d):
+    i, s = items(spark, d)
+    return _hits(i, s, asked(spark, d).select("query_id"), TOP_K)
+
+
+@register
+def completion_rank(spark, d):
+    i, s = items(spark, d)
+    return gold.completion_rank(i, s, []).select("query_id", F.col("rank").cast("int").alias("rank"))
+
+
+@register
+def fragmentation(spark, d):
+    i, s = items(spark, d)
+    return gold.fragmented(gold.span_coverage(i, s, []), [])
+
+
+@register
+def budget_pack(spark, d):
+    i, _ = items(spark, d)
+    return ranking.pack_by_budget(i, BUDGET).select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", F.col("running_tokens").cast("bigint").alias("running_tokens"))
+
+
+def _attributed(spark, d):
+    """One sparse configuration with lexical rerank, cut and budget, and the flags of its stages."""
+    chunks, top = ranked_chunks(spark, d)
+    q = materialise(asked(spark, d))
+    s = materialise(spans(spark, d))
+    union = materialise(top.select("query_id", "rank", "chunk_id"))
+    final = materialise(ranking.cut(ranking.rerank(union, q, chunks), TOP_K).select("query_id", "rank", "chunk_id"))
+    where = chunks.select("chunk_id", "source_id", "start", "end", "n_tokens")
+    packed = ranking.pack_by_budget(final.join(chunks.select("chunk_id", "n_tokens"), "chunk_id"), BUDGET).select("query_id", "rank", "chunk_id")
+    lists = union.select(F.lit("union").alias("list"), "*").unionByName(final.select(F.lit("final").alias("list"), "*")).unionByName(packed.select(F.lit("budget").alias("list"), "*"))
+    i = lists.join(where, "chunk_id")
+    groups = spark.createDataFrame([("union",), ("final",), ("budget",)], "list string").join(q.select("query_id"), F.lit(True))
+    sat = gold.satisfied(gold.span_coverage(i, s, ["list"]), s, groups, ["list"]).groupBy("query_id").pivot("list", ["union", "final", "budget"]).agg(F.first("hit"))
+    every = S._representation(chunks, s, q.select("query_id"), gold.MIN_COVERAGE).withColumnRenamed("hit", "all_chunks")
+    flags = sat.join(every, "query_id")
+    row = {x: F.col(x) for x in ("all_chunks", "union", "final", "budget")} | {"exact_union": F.lit(None).cast("boolean"), "fused": F.lit(None).cast("boolean"), "reranker_input": F.col("union"), "is_hybrid": F.lit(False), "has_rerank": F.lit(True)}
+    return flags.select("query_id", F.col("budget").alias("hit"), attribution.attribute(row).alias("stage_attribution"), attribution.branch_diagnostics(F.lit(None).cast("boolean"), F.col("union")).alias("branch_diag"))
+
+
+@register
+def stage_attribution(spark, d):
+    return _attributed(spark, d).select("query_id", "hit", "stage_attribution")
+
+
+@register
+def branch_diag(spark, d):
+    return _attributed(spark, d).select("query_id", F.col("branch_diag")["sparse"].alias("sparse"), F.size("branch_diag").cast("int").alias("branches"))
+
+
+@register
+def attribution_violations(spark, d):
+    """Rows where a hit has a stage or a miss has none: always empty."""
+    r = _attributed(spark, d).withColumn("refused", F.lit(False))
+    return attribution.violations(r).select("query_id")
+
+
+# Results
+
+
+@register
+def config_metrics(spark, d):
+    m = metrics.config_metrics(results(spark, d))
+    ci = F.col("hit_rate_ci")
+    return m.select("config_id", "n", "hits", F.round("hit_rate", 9).alias("hit_rate"), F.round(ci["lo"], 9).alias("lo"), F.round(ci["hi"], 9).alias("hi"), F.round("mrr", 9).alias("mrr"), "verdict_suppressed", "fragmented_queries")
+
+
+@register
+def wilson_intervals(spark, d):
+    per = table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("hits"), F.count(F.lit(1)).alias("n"))
+    w = wilson(F.col("hits"), F.col("n"))
+    return per.select("event_type", F.round(w["lo"], 9).alias("lo"), F.round(w["hi"], 9).alias("hi"))
+
+
+@register
+def stage_breakdown(spark, d):
+    return metrics.stage_breakdown(results(spark, d))
+
+
+@register
+def bootstrap_ci(spark, d):
+    return metrics.bootstrap_mrr(results(spark, d))
+
+
+@register
+def paired_compare(spark, d):
+    p = metrics.paired_means(results(spark, d))
+    return p.select("config_a", "config_b", "n", F.round("mean_diff", 9).alias("mean_diff"))
+
+
+@register
+def paired_bootstrap(spark, d):
+    """The two first configurations by id, compared by reciprocal rank."""
+    r = materialise(results(spark, d))
+    ids = [x["config_id"] for x in r.select("config_id").distinct().orderBy("config_id").limit(2).collect()]
+    return metrics.compare_configs(r, ids[0], ids[-1], "rr")
+
+
+@register
+def validity_gates(spark, d):
+    return metrics.validity(metrics.config_metrics(results(spark, d)))
+
+
+@register
+def ranked_configs(spark, d):
+    m = metrics.config_metrics(results(spark, d)).withColumns({"hit_rate": F.round("hit_rate", 9), "mrr": F.round("mrr", 9)})
+    return metrics.rank_configs(m).select("rank", "config_id", "hit_rate", "mrr")
+
+
+@register
+def best_config(spark, d):
+    m = metrics.config_metrics(results(spark, d)).withColumns({"hit_rate": F.round("hit_rate", 9), "mrr": F.round("mrr", 9)})
+    return metrics.best_config(m).select("config_id", "hit_rate", "mrr")
+
+
+@register
+def pareto_frontier(spark, d):
+    p = metrics.pareto_frontier(results(spark, d))
+    return p.select("config_id", F.round("hit_rate", 9).alias("hit_rate"), F.round("mrr", 9).alias("mrr"), F.round("avg_tokens", 6).alias("avg_tokens"))
+
+
+@register
+def average_tokens(spark, d):
+    return metrics.average_tokens(results(spark, d)).select("config_id", F.round("avg_tokens", 6).alias("avg_tokens"))
+
+
+@register
+def explain_query(spark, d):
+    e = metrics.explain_query(results(spark, d), "q0000004")
+    return e.select("config_id", "hit", "stage_attribution", "gold_completion_rank", "fragmented", F.col("branch_diag")["dense"].alias("dense"), F.col("branch_diag")["sparse"].alias("sparse"))
+
+
+@register
+def latency_stats(spark, d):
+    s = metrics.latency_stats(table(spark, d, "events").select(F.col("event_type").alias("config_id"), F.col("value").alias("ms")))
+    return s.select("config_id", "n", *[F.round(c, 6).alias(c) for c in ("mean_ms", "p50_ms", "p95_ms")])
+
+
+@register
+def config_parts(spark, d):
+    parts = F.split("config_id", r"\|")
+    options = F.str_to_map(F.array_join(F.slice(parts, 4, 99), "|"), F.lit(r"\|"), F.lit("="))
+    ids = table(spark, d, "results").select("config_id").distinct()
+    return ids.select("config_id", parts[0].alias("embed"), parts[1].alias("chunker"), parts[2].alias("retrieval"), options["rerank"].alias("rerank"), options["budget"].alias("budget"), F.coalesce(options["index"], F.lit("exact")).alias("idx"))
+
+
+# Geometry
+
+
+@register
+def hubness_counts(spark, d):
+    return geometry.neighbour_counts(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), DIM)
+
+
+@register
+def hubness(spark, d):
+    h = geometry.hubness(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), DIM)
+    return h.select("k", F.round("skewness", 6).alias("skewness"))
+
+
+@register
+def anisotropy(spark, d):
+    a = geometry.anisotropy(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), DIM)
+    return a.select(F.round("mean_cosine", 9).alias("mean_cosine"), F.round("isotropy", 9).alias("isotropy"))
+
+
+@register
+def query_corpus_mismatch(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    m = geometry.query_corpus_mismatch(e.where("id % 20 = 0"), e.where("id % 20 <> 0"), DIM)
+    return m.select(F.round("centroid_cosine", 6).alias("centroid_cosine"), F.round("mean_nearest", 6).alias("mean_nearest"))
+
+
+# The sweep
+
+
+def _demo_sweep(spark):
+    corpus = corpora.realistic(spark)
+    spec = S.SweepSpec(
+        {"det": HashEmbedder(256, name="det")}, {c: S.make_chunker(c) for c in ("fixed:600", "parentchild:600x140")}, ("dense", "sparse", "hybrid"),
+        {None: None, "lexical": ranking.lexical_overlap}, top_k=3, candidate_n=20, budgets=(None, 60),
+    )
+    return S.run_sweep(materialise(corpus.documents), materialise(corpus.queries), spec)
+
+
+@register
+def sweep_metrics(spark, d):
+    m = _demo_sweep(spark).metrics
+    return m.select("config_id", "n", "hits", "hit_rate", "mrr")
+
+
+@register
+def sweep_violations(spark, d):
+    """The invariant over a grid with parents, budgets and rerankers: always empty."""
+    return attribution.violations(_demo_sweep(spark).results).select("config_id", "query_id")
+
+
+def queries() -> dict[str, Query]:
+    return dict(REGISTRY)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in oracle.sql().items() if k in REGISTRY}
 
-def oracle_sql():
-    return {}
