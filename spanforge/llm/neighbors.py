@@ -170,11 +170,19 @@ def _matrix(column, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _sample(vectors: DataFrame, size: int, dim: int, salt: int) -> tuple[list, list, np.ndarray]:
-    """At most ``size`` vectors in hash order: the same whatever the partitions."""
-    rows = vectors.select("id", "grp", "vec").orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(size).toArrow()
+def _sample(vectors: DataFrame, size: int, total: int, dim: int, salt: int) -> tuple[list, list, np.ndarray]:
+    """About ``size`` of ``total`` vectors, those with the least hashes of their ids: the same whatever the partitions.
+
+    The share is taken where the rows are, so only the sample travels; repeated rows count once
+    and twice the size is never exceeded.
+    """
+    share = F.shiftrightunsigned(F.xxhash64("id", F.lit(salt)), 11) / float(1 << 53)
+    rows = vectors.where(share < min(1.0, size / max(total, 1))).select("id", "grp", "vec", "same").dropDuplicates(["id", "same"])
+    rows = rows.select("id", "grp", "vec").limit(2 * size).toArrow()
     if not rows.num_rows:
         return [], [], np.zeros((0, dim))
+    order = np.lexsort((np.array(rows.column("grp").to_pylist()), np.array(rows.column("id").to_pylist())))
+    rows = rows.take(pa.array(order))
     return rows.column("id").to_pylist(), rows.column("grp").to_pylist(), _matrix(rows.column("vec").combine_chunks(), dim)
 
 
@@ -186,14 +194,27 @@ def compare_with_all(vectors: DataFrame, ids: list, groups: list, x: np.ndarray,
     """
     kind = vectors.schema["id"].dataType.simpleString()
     sc = vectors.sparkSession.sparkContext
-    given = sc.broadcast((np.array(ids, dtype=object), np.array(groups, dtype=object), x.astype(np.float32), tree.home(x) if tree else None, tree))
+    given = sc.broadcast((np.array(ids), np.array(groups, dtype=object), x.astype(np.float32), tree.home(x) if tree else None, tree))
 
     def run(batches):
         q_ids, q_groups, q, q_home, tree = given.value
+        kept, size, id_type = [], 0, None
+
+        def best():
+            a, i, s, bound = (np.concatenate(x) for x in zip(*kept))
+            order = np.lexsort((i, -s, a))
+            a, i, s, bound = a[order], i[order], s[order], bound[order]
+            once = np.ones(len(a), bool)
+            once[1:] = (a[1:] != a[:-1]) | (i[1:] != i[:-1])
+            a, i, s, bound = a[once], i[once], s[once], bound[once]
+            top = np.arange(len(a)) - np.searchsorted(a, a) < 2 * k
+            return a[top], i[top], s[top], bound[top]
+
         for batch in batches:
             if not batch.num_rows or not len(q):
                 continue
-            own, grp = np.array(batch.column(0).to_pylist(), dtype=object), np.array(batch.column(1).to_pylist(), dtype=object)
+            id_type = batch.column(0).type
+            own, grp = np.array(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist(), dtype=object)
             v = _matrix(batch.column(2), dim)
             for lo in range(0, len(v), 4096):
                 part = v[lo : lo + 4096].astype(np.float32)
@@ -203,28 +224,30 @@ def compare_with_all(vectors: DataFrame, ids: list, groups: list, x: np.ndarray,
                 good = (q_groups[a] == grp[b]) & (q_ids[a] != own[b])
                 a, b = a[good], b[good]
                 s = (q[a].astype(np.float64) * v[b]).sum(axis=1)
-                keep = np.lexsort((-s, a))
-                a, b, s = a[keep], b[keep], s[keep]
-                place = np.arange(len(a)) - np.searchsorted(a, a)
-                top = (place < 2 * k) & (s >= least - 1e-7)
-                a, b, s = a[top], b[top], s[top]
+                good = s >= least - 1e-7
+                a, b, s = a[good], b[good], s[good]
                 if not len(a):
                     continue
                 bound = np.zeros(len(a))
                 if tree is not None:
                     bound = np.minimum(tree.leaf_bound(q[a], tree.home(v[b])), tree.leaf_bound(v[b], q_home[a]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int32()), pa.array(own[b].tolist(), batch.column(0).type), pa.array(s), pa.array(bound, pa.float64())], names=["q", "id", "sim", "bound"]
-                )
+                kept.append((a, own[b], s, bound))
+                size += len(a)
+                if size > 200_000:  # a task keeps no more than its best
+                    kept = [best()]
+                    size = len(kept[0][0])
+        if kept:
+            a, i, s, bound = best()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(i.tolist(), id_type), pa.array(s), pa.array(bound, pa.float64())], names=["q", "id", "sim", "bound"])
 
     found = vectors.select("id", "grp", "vec").mapInArrow(run, f"q int, id {kind}, sim double, bound double").distinct()
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def calibrate(vectors: DataFrame, tree: Tree, k: int, least: float, dim: int, queries: int, target: float) -> float:
+def calibrate(vectors: DataFrame, total: int, tree: Tree, k: int, least: float, dim: int, queries: int, target: float) -> float:
     """The smallest radius at which the sampled queries' mean recall reaches target."""
-    ids, groups, x = _sample(vectors, queries, dim, salt=2)
+    ids, groups, x = _sample(vectors, queries, total, dim, salt=2)
     found = compare_with_all(vectors, ids, groups, x, k, least, dim, tree).select("q", "bound").toPandas()
     if not len(found):
         return 0.15
@@ -256,16 +279,16 @@ def similar_pairs(
     Ties rank by id. Vectors that are null, of another length, not finite or all zero are no
     vectors; a null group is a group of its own; null ids are dropped; repeated rows of an id
     count once. The tree is fitted on an eighth of the vectors, at least ``sample[0]`` and at most
-    ``sample[1]``, and the radius on at most ``calibration`` queries, of which it reaches
+    ``sample[1]``, and the radius on ``calibration`` queries, of which it reaches
     ``target_recall`` before it is widened by MARGIN; every vector is indexed and searched.
     """
     vectors = usable_vectors(df, id_col, vector_col, group_col, dim)
     kind = vectors.schema["id"].dataType.simpleString()
     spark = df.sparkSession
     total = vectors.count()
-    _, _, x = _sample(vectors, min(max(total // 8, sample[0]), sample[1]), dim, salt=1)
+    _, _, x = _sample(vectors, min(max(total // 8, sample[0]), sample[1]), total, dim, salt=1)
     tree = fit_tree(x, max(1, min(MAX_LEAVES, total // leaf_target, len(x) // 16)))
-    radius = calibrate(vectors, tree, k, least, dim, calibration, target_recall)
+    radius = calibrate(vectors, total, tree, k, least, dim, calibration, target_recall)
     shared = spark.sparkContext.broadcast(tree)
     most = k + 2
 
