@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from spanforge.llm._common import materialise
 from spanforge.llm.frequency import count_records, distinct_records
 
+BROADCAST_VOCABULARY = 1_000_000  # at most some 100 MB in an executor; beyond it the shuffle join is used
 BROADCAST_TERMS = 200_000  # at most some 20 MB; beyond it the shuffle join is used
 
 
@@ -45,16 +46,20 @@ def record_terms(df: DataFrame, record_col: str, text_col: str) -> DataFrame:
     return texts.select("record", F.flatten(F.transform("texts", terms_of)).alias("terms"))
 
 
-def term_record_weights(df: DataFrame, record_col: str = "chunk_id", text_col: str = "text", alpha: float = 0.75, top: int | None = None) -> DataFrame:
+def term_record_weights(df: DataFrame, record_col: str = "chunk_id", text_col: str = "text", alpha: float = 0.75, top: int | None = None, broadcast_vocabulary: int = BROADCAST_VOCABULARY) -> DataFrame:
     """(record, term, count, weight) with weight = PPMI > 0; with ``top`` the most distinctive terms of each record.
 
     Records without terms (null or empty text) have no row. Ties rank by term. Repeated rows of a
-    record count once. Only (record, term) counts are shuffled besides the texts.
+    record count once. Texts are shuffled once, by record, and counting and ranking reuse that
+    partitioning; term counts are broadcast if there are at most ``broadcast_vocabulary`` terms,
+    otherwise the (record, term) counts are shuffled to join them.
     """
     records = record_terms(df, record_col, text_col).where(F.size("terms") > 0)
     exploded = records.select("record", F.size("terms").alias("c_r"), F.explode("terms").alias("term"))
     joint = exploded.groupBy("record", "c_r", "term").agg(F.count(F.lit(1)).alias("n_tr"))
-    term_counts = exploded.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    term_counts = materialise(exploded.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+    if term_counts.limit(broadcast_vocabulary + 1).count() <= broadcast_vocabulary:
+        term_counts = F.broadcast(term_counts)
     totals = records.agg(F.coalesce(F.sum(F.pow(F.size("terms").cast("double"), F.lit(float(alpha)))), F.lit(0.0)).alias("s"))
     weighted = ppmi(joint, totals, term_counts, alpha).where("weight > 0")
     out = weighted.select("record", "term", F.col("n_tr").alias("count"), "weight")
@@ -79,21 +84,28 @@ def collection_weights(df: DataFrame, record_col: str = "chunk_id", text_col: st
     return out.select("term", F.col("n_t").alias("records"), "weight")
 
 
-def query_weights(chunks: DataFrame, queries: DataFrame, share: float, record_col: str, text_col: str, query_col: str, query_text_col: str) -> DataFrame:
-    """(query, term, weight, total, first): each distinct term of each query.
+def term_sets(queries: DataFrame, query_col: str, text_col: str) -> DataFrame:
+    """(query, terms, asked): the distinct terms of each row of queries and a key that equal sets share."""
+    terms = F.array_sort(F.array_distinct(terms_of(F.col(text_col).cast("string"))))
+    rows = queries.where(F.col(query_col).isNotNull()).select(F.col(query_col).alias("query"), terms.alias("terms"))
+    return rows.where(F.size("terms") > 0).withColumn("asked", F.sha2(F.array_join("terms", " "), 256))
+
+
+def query_weights(chunks: DataFrame, sets: DataFrame, share: float, record_col: str, text_col: str) -> DataFrame:
+    """(asked, term, weight, total, first): each term of each distinct set of query terms.
 
     first marks the rare-first prefix: a record that holds none of these terms cannot reach
     ``share`` of the total, as the weights left are less.
     """
     counts, n = collection_counts(chunks, record_col, text_col)
-    terms = queries.select(F.col(query_col).alias("query"), F.explode(terms_of(F.col(query_text_col).cast("string"))).alias("term"))
-    joint = terms.where(F.col("query").isNotNull()).distinct().withColumns({"n_tr": F.lit(1), "c_r": F.lit(1)})
+    distinct = sets.select("asked", "terms").dropDuplicates(["asked"])  # repeated questions are handled once
+    joint = distinct.select("asked", F.explode("terms").alias("term"), F.lit(1).alias("n_tr"), F.lit(1).alias("c_r"))
     totals = chunks.sparkSession.range(1).select(F.lit(float(n)).alias("s"))
-    weighted = ppmi(joint, totals, counts, alpha=0.0, added=1).select("query", "term", "weight")
-    whole = W.partitionBy("query")
+    weighted = ppmi(joint, totals, counts, alpha=0.0, added=1).select("asked", "term", "weight")
+    whole = W.partitionBy("asked")
     rest = F.sum("weight").over(whole.orderBy(F.desc("weight"), "term").rowsBetween(0, W.unboundedFollowing))
     return weighted.withColumns({"total": F.sum("weight").over(whole), "rest": rest}).select(
-        "query", "term", "weight", "total", (F.col("rest") >= F.col("total") * share - 1e-9).alias("first")
+        "asked", "term", "weight", "total", (F.col("rest") >= F.col("total") * share - 1e-9).alias("first")
     )
 
 
@@ -112,25 +124,26 @@ def match_records(
     Candidates hold a term of the query's rare-first prefix, so common terms' postings are never
     read; each candidate is then verified by the exact sum. A record must hold at least one of the
     query's terms. Queries without terms, null ids and records without text give no row; repeated
-    rows give one. The terms of the prefixes are broadcast if they number at most
+    rows give one, and each text of a repeated id is judged on its own. The terms of the prefixes are broadcast if they number at most
     ``broadcast_terms``; otherwise term postings and candidates are joined by shuffles.
     """
-    weights = materialise(query_weights(chunks, queries, share, record_col, text_col, query_col, query_text_col))
-    first = weights.where("first").groupBy("term").agg(F.collect_list("query").alias("queries"))
-    full = weights.groupBy("query").agg(F.max("total").alias("total"), F.collect_list(F.struct("term", "weight")).alias("weights"))
+    sets = term_sets(queries, query_col, query_text_col)
+    weights = materialise(query_weights(chunks, sets, share, record_col, text_col))
+    first = weights.where("first").groupBy("term").agg(F.collect_list("asked").alias("askers"))
+    full = weights.groupBy("asked").agg(F.max("total").alias("total"), F.collect_list(F.struct("term", "weight")).alias("weights"))
     records = chunks.where(F.col(record_col).isNotNull()).select(
         F.col(record_col).alias("record"), F.array_distinct(terms_of(F.col(text_col).cast("string"))).alias("terms")
     )
     small = weights.where("first").limit(broadcast_terms + 1).count() <= broadcast_terms
     if small:
         hits = records.select("record", "terms", F.explode("terms").alias("term")).join(F.broadcast(first), "term")
-        found = hits.select(F.explode("queries").alias("query"), "record", "terms")
+        found = hits.select(F.explode("askers").alias("asked"), "record", "terms")
     else:
         hits = records.select("record", F.explode("terms").alias("term")).join(first, "term")
-        pairs = hits.select(F.explode("queries").alias("query"), "record").distinct()
+        pairs = hits.select(F.explode("askers").alias("asked"), "record").distinct()
         found = pairs.join(records.dropDuplicates(["record", "terms"]), "record")
     held = lambda r: F.aggregate(
         F.filter("weights", lambda w: F.array_contains(r, w["term"])), F.lit(0.0), lambda a, w: a + w["weight"]
     )
-    exact = found.join(full, "query").where(held(F.col("terms")) >= F.col("total") * share - 1e-9)
-    return exact.select(F.col("query").alias("query_id"), F.col("record").alias("chunk_id")).distinct()
+    exact = found.join(full, "asked").where(held(F.col("terms")) >= F.col("total") * share - 1e-9).select("asked", "record").distinct()
+    return exact.join(sets.select("query", "asked").distinct(), "asked").select(F.col("query").alias("query_id"), F.col("record").alias("chunk_id")).distinct()
