@@ -29,6 +29,7 @@ from spanforge.llm._common import materialise
 WORD = re.compile(r"\w+")  # Unicode letters, numbers and "_"
 CELL_BITS = 20  # frequency cells: 4 MB, whatever the corpus size
 SLICES = 64
+SALTS = 256
 SIGNATURE = 64  # pivots of the suffix filter
 HOT = 4096
 SHARED = 3  # prefix n-grams that a candidate pair has in common
@@ -166,7 +167,9 @@ def _frequencies(statistics: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in pdf["cells"])
         return pdf.head(1).assign(cells=[zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)])[["slice", "cells"]]
 
-    rows = statistics.where("slice is not null").select("slice", "cells").groupBy("slice").applyInPandas(add, "slice int, cells binary").collect()
+    slices = statistics.where("slice is not null").select("slice", "cells", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    partly = slices.groupBy("slice", "salt").applyInPandas(add, "slice int, cells binary")  # so that no group holds all tasks' slices
+    rows = partly.groupBy("slice").applyInPandas(add, "slice int, cells binary").collect()
     cells = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.uint32)
     for r in rows:
         cells[r["slice"]] = np.frombuffer(zlib.decompress(r["cells"]), np.uint32)
