@@ -25,8 +25,9 @@ def session() -> SparkSession:
     return active or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _csv(value: str) -> list[str]:
-    return [v.strip() for v in (value or "").split(",") if v.strip()]
+def listed(option: str | None) -> list[str]:
+    """The non-blank items of a comma-separated option."""
+    return [item for item in map(str.strip, (option or "").split(",")) if item]
 
 
 def _fail(message: str, code: int = INPUT) -> int:
@@ -36,13 +37,13 @@ def _fail(message: str, code: int = INPUT) -> int:
 
 def build_spec(a: argparse.Namespace) -> S.SweepSpec:
     """Models are made only where dense or hybrid retrieval or a semantic chunker needs one; semantic chunking takes the first."""
-    modes, names, chunkers = _csv(a.retrieval), _csv(a.embed_models), _csv(a.chunkers)
+    modes, names, chunkers = listed(a.retrieval), listed(a.embed_models), listed(a.chunkers)
     needed = any(m in S.DENSE_MODES for m in modes) or any(c.partition(":")[0] == "semantic" for c in chunkers)
     embedders = {n: S.make_embedder(n) for n in names} if needed else {names[0]: None}
     first = next(iter(embedders.values()))
     return S.SweepSpec(
-        embedders, {c: S.make_chunker(c, first) for c in chunkers}, tuple(modes), dict(S.make_reranker(r) for r in _csv(a.rerank)), a.top_k, a.candidate_n,
-        (None, *map(int, _csv(a.budget_tokens))), tuple(_csv(a.dense_index)), a.tables, a.bits, a.probes, a.ann_diagnostic_queries,
+        embedders, {c: S.make_chunker(c, first) for c in chunkers}, tuple(modes), dict(S.make_reranker(r) for r in listed(a.rerank)), a.top_k, a.candidate_n,
+        (None, *map(int, listed(a.budget_tokens))), tuple(listed(a.dense_index)), a.tables, a.bits, a.probes, a.ann_diagnostic_queries,
     )
 
 

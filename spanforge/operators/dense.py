@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.sparse import best_rows, ranked
+from spanforge.plans.session import blocks
 
 QUERY_BLOCK = 8_192
 TEXT_BLOCK = 2_048  # queries a task holds embedded: 16 MB at 2,048 dimensions
@@ -45,12 +46,14 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int, exclude
     spark = vectors.sparkSession
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, chunk_pos bigint, score double"
-    rows = usable(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")), "vector", dim).orderBy("query_id").toArrow()
+    asked = usable(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")), "vector", dim)
     found = None
-    for at in range(0, rows.num_rows if k > 0 else 0, QUERY_BLOCK):
-        block = rows.slice(at, QUERY_BLOCK).combine_chunks()
-        q_ids = block.column("query_id").combine_chunks()
-        shared = spark.sparkContext.broadcast((q_ids, _unit(_matrix(block.column("vector").combine_chunks(), dim))))
+    for block in blocks(asked, "query_id", QUERY_BLOCK) if k > 0 else ():
+        rows = block.orderBy("query_id").toArrow().combine_chunks()
+        if not rows.num_rows:
+            continue
+        q_ids = rows.column("query_id").combine_chunks()
+        shared = spark.sparkContext.broadcast((q_ids, _unit(_matrix(rows.column("vector").combine_chunks(), dim))))
         source = usable(vectors.select(F.col("chunk_pos").cast("bigint"), F.col("vector").cast("array<double>")), "vector", dim)
         part = source.mapInArrow(_multiplier(shared, dim, k, exclude_self), schema)
         found = part if found is None else found.unionByName(part)
@@ -86,13 +89,15 @@ def dense_topk_text(chunks: DataFrame, queries: DataFrame, k: int, embed: Callab
     spark = chunks.sparkSession
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, chunk_pos bigint, score double"
-    rows = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("query_id").toArrow()
+    asked = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"))
     q_prefix, p_prefix = getattr(embed, "query_prefix", ""), getattr(embed, "passage_prefix", "")
     found = None
-    for at in range(0, rows.num_rows if k > 0 else 0, TEXT_BLOCK):
-        block = rows.slice(at, TEXT_BLOCK).combine_chunks()
-        ids = block.column("query_id").combine_chunks()
-        shared = spark.sparkContext.broadcast((ids, embed([q_prefix + t for t in block.column("text").to_pylist()]).astype(np.float32)))
+    for block in blocks(asked, "query_id", TEXT_BLOCK) if k > 0 else ():
+        rows = block.orderBy("query_id").toArrow().combine_chunks()
+        if not rows.num_rows:
+            continue
+        ids = rows.column("query_id").combine_chunks()
+        shared = spark.sparkContext.broadcast((ids, embed([q_prefix + t for t in rows.column("text").to_pylist()]).astype(np.float32)))
 
         def run(batches, shared=shared):
             ids, q = shared.value

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.plans.session import spread
+
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -116,7 +118,7 @@ def embed_rows(df: DataFrame, text_col: str, embed: Callable[[list[str]], np.nda
 def hash_buckets(df: DataFrame, id_col: str, text_col: str, dim: int = 256) -> DataFrame:
     """(id, bucket, value): the non-zero integer entries of the feature-hashing vector."""
     embed = HashEmbedder(dim)
-    source = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    source = spread(df).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches):

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import word_tokens
+from spanforge.plans.session import blocks, materialise
 
 K1, B = 1.5, 0.75
 QUERY_BLOCK = 20_000  # queries sent to every task at a time: a few MB
@@ -64,17 +65,16 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b:
     n, avgdl = corpus_statistics(chunks).first()
     terms = query_terms(queries)
     weighted = terms.join(document_frequencies(chunks).join(terms.select("term").distinct(), "term", "left_semi"), "term")
-    rows = weighted.select("query_id", "term", idf(F.col("df"), F.lit(n)).alias("idf")).toArrow()
+    weighted = materialise(weighted.select("query_id", "term", idf(F.col("df"), F.lit(n)).alias("idf")))
     found = None
-    ids = sorted(set(rows.column("query_id").to_pylist()))
-    for at in range(0, len(ids), QUERY_BLOCK):
-        block = ids[at : at + QUERY_BLOCK]
-        number = {q: i for i, q in enumerate(block)}
+    for block in blocks(weighted.select("query_id").distinct(), "query_id", QUERY_BLOCK):
+        rows = weighted.join(block, "query_id", "left_semi").orderBy("query_id", "term").toArrow()
+        ids = list(dict.fromkeys(rows.column("query_id").to_pylist()))
+        number = {q: i for i, q in enumerate(ids)}
         by_term: dict[str, tuple[list, float]] = {}
         for q, t, w in zip(*(rows.column(c).to_pylist() for c in ("query_id", "term", "idf"))):
-            if q in number:
-                by_term.setdefault(t, ([], w))[0].append(number[q])
-        shared = spark.sparkContext.broadcast((pa.array(block, rows.schema.field("query_id").type), {t: (np.array(qs), w) for t, (qs, w) in by_term.items()}))
+            by_term.setdefault(t, ([], w))[0].append(number[q])
+        shared = spark.sparkContext.broadcast((pa.array(ids, rows.schema.field("query_id").type), {t: (np.array(qs), w) for t, (qs, w) in by_term.items()}))
         part = chunks.select("chunk_pos", "text").mapInArrow(_scorer(shared, avgdl, k, k1, b), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:

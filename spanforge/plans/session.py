@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -22,3 +24,19 @@ def materialise(df: DataFrame) -> DataFrame:
     """Compute once into the shared folder and cut the lineage; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def blocks(df: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
+    """df in disjoint parts of about ``size`` rows, by the hash of ``key``; the whole if it is no larger.
+
+    For inputs that are sent to every task: each part is small, whatever the size of df.
+    """
+    parts = -(-df.count() // size)
+    for i in range(parts):
+        yield df if parts == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores when it comes from fewer files than there are cores; for operators that work long on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
