@@ -315,14 +315,15 @@ def similar_pairs(
 
     placed = vectors.mapInArrow(place, f"id {kind}, grp string, same bigint, leaf int, home boolean, vec binary")
     # Leaf sizes are bounded by the number of leaves; only leaves above leaf_rows are cut.
-    cut = {}
+    cut = []
     if total > leaf_rows:
         homes = vectors.select("vec").mapInArrow(_leaf_counts(shared, dim), "leaf int, n bigint").groupBy("leaf").agg(F.sum("n").alias("n"))
-        cut = {r["leaf"]: -(-r["n"] // leaf_rows) for r in homes.where(F.col("n") > leaf_rows).collect()}
+        cut = [(r["leaf"], -(-r["n"] // leaf_rows)) for r in homes.where(F.col("n") > leaf_rows).collect()]
     if cut:
-        blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(z) for kv in cut.items() for z in kv]), F.col("leaf")), F.lit(1))
-        own = F.pmod(F.xxhash64("same", "id"), blocks)
-        placed = placed.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        sizes = F.broadcast(spark.createDataFrame(cut, "leaf int, blocks bigint"))  # at most one row a leaf
+        placed = placed.join(sizes, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        placed = placed.withColumn("own", F.pmod(F.xxhash64("same", "id"), "blocks"))
+        placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         placed = placed.withColumn("home", F.col("home") & (F.col("own") == F.col("block")))
     else:
         placed = placed.withColumn("block", F.lit(0).cast("bigint"))
