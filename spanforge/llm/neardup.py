@@ -201,7 +201,7 @@ def _blob_batch(parts: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "rows"])
 
 
-_POSTING = [np.uint64, np.int32, np.int8, np.int32, np.int64, np.int32]  # gram, salt, side, pos, key, n
+_POSTING = [np.uint32, np.uint16, np.int32, np.int8, np.uint16, np.int64, np.int32]  # gram (upper 48 bits), salt, side, pos, key, n
 _PAIR = [np.int64, np.int64, np.int32]  # a, b, times
 
 
@@ -214,7 +214,9 @@ def _postings(texts: DataFrame, cells, words: int, min_words: int, threshold: fl
         def flush():
             grams, salt, side, pos, keys, sizes = (np.concatenate(x) for x in zip(*out))
             where = (_mix(grams + salt.astype(np.int64).view(np.uint64) * _M1) % np.uint64(parts)).astype(np.int32)
-            return _blob_batch(where, [grams, salt, side, pos, keys, sizes])
+            # Fewer bits and a capped position only let more pairs through to verification, never fewer.
+            high, low = (grams >> np.uint64(32)).astype(np.uint32), (grams >> np.uint64(16)).astype(np.uint16)
+            return _blob_batch(where, [high, low, salt, side, np.minimum(pos, 65_535).astype(np.uint16), keys, sizes])
 
         for batch in batches:
             for _, g in shingle.sets(batch.column(0).to_pylist()):
@@ -310,7 +312,9 @@ def _candidates(postings: DataFrame, parts: int, threshold: float, shared: int)
             a, b, times = summed(*(np.concatenate(x) for x in zip(*out)))
             return _blob_batch((_mix(a.view(np.uint64) * _M1 + b.view(np.uint64)) % np.uint64(parts)).astype(np.int32), [a, b, times])
 
-        for found in candidate_pairs(*unpack(blobs, _POSTING), threshold, shared) if blobs else ():
+        high, low, salt, side, pos, key, n = unpack(blobs, _POSTING)
+        grams = (high.astype(np.uint64) << np.uint64(16)) | low
+        for found in candidate_pairs(grams, salt, side, pos.astype(np.int64), key, n, threshold, shared) if blobs else ():
             if len(found[0]):
                 out.append(found)
                 size += len(found[0])
