@@ -33,16 +33,18 @@ def strip(text: Column) -> Column:
 def char_ngrams(text: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """Code-point n-grams of the normalised text, sizes in order; sizes below 1 or above the length give none."""
 
-    def of(flat: Column, n: int) -> Column:
-        last = F.length(flat) - n + 1
-        grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(flat, i, F.lit(n)))
+    def of(chars: Column, n: int) -> Column:
+        last = F.size(chars) - n + 1
+        grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
         return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
 
     wanted = [n for n in sizes if n > 0]
     if not wanted:
         return F.array().cast("array<string>")
-    # The normalised text is bound to a lambda variable, so it is computed once a row, not once an n-gram.
-    return F.transform(F.array(normal_space(text)), lambda flat: F.concat(*[of(flat, n) for n in wanted]))[0]
+    # One array of code points a row, bound to a lambda variable: it is computed once, and a slice
+    # costs no walk through the text.
+    points = F.regexp_extract_all(normal_space(text), F.lit("(?s)(.)"), F.lit(1))
+    return F.transform(F.array(points), lambda chars: F.concat(*[of(chars, n) for n in wanted]))[0]
 
 
 def stable_hash(*parts: Column) -> Column:

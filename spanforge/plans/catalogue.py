@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.stats import wilson
-from spanforge.functions.text import char_ngrams, content_hash, count_tokens, stable_hash, word_tokens
+from spanforge.functions.text import char_ngrams, content_hash, count_tokens, l2_normalize, stable_hash, union_length, word_tokens
 from spanforge.operators import attribution, chunking, dense, geometry, gold, metrics, ranking, sparse
 from spanforge.operators.embedding import HashEmbedder, hash_buckets
 from spanforge.plans import oracle
@@ -143,8 +143,6 @@ def sentence_spans(spark, d):
 @register
 def chunk_gaps(spark, d):
     """Documents that a chunker does not tile: always empty."""
-    from spanforge.functions.text import union_length
-
     source = docs(spark, d)
     out = None
     for name, c in (("fixed", chunking.chunk_fixed(source, SIZE, OVERLAP)), ("parent_child", chunking.chunk_parent_child(source)), ("recursive", chunking.chunk_recursive(source, SIZE)), ("semantic", chunking.chunk_semantic(source, HashEmbedder(64), "det-hash"))):
@@ -253,6 +251,18 @@ def parent_expand(spark, d):
     return ranking.expand_to_parents(top.select("query_id", "rank", "chunk_id"), children).select("query_id", "rank", "chunk_id")
 
 
+@register
+def normalized_vectors(spark, d):
+    u = l2_normalize(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(u).alias("d", "x")).select("vec_id", "d", F.round("x", 9).alias("x"))
+
+
+@register
+def passage_texts(spark, d):
+    whole = tables.passage_text(F.col("source"), F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.length(whole).cast("bigint").alias("n_chars"), content_hash(whole).alias("version"))
+
+
 # Gold
 
 
@@ -318,6 +328,22 @@ def budget_pack(spark, d):
     return ranking.pack_by_budget(i, BUDGET).select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", F.col("running_tokens").cast("bigint").alias("running_tokens"))
 
 
+@register
+def score_query(spark, d):
+    """Hit, tokens and fragmented spans of the delivered top k, and the completion rank of the whole list."""
+    i, s = items(spark, d)
+    q = materialise(asked(spark, d).select("query_id"))
+    final = materialise(i.where(F.col("rank") <= TOP_K))
+    coverage = materialise(gold.span_coverage(final, s, []))
+    tokens = final.groupBy("query_id").agg(F.sum("n_tokens").alias("tokens"))
+    broken = gold.fragmented(coverage, []).groupBy("query_id").agg(F.count(F.lit(1)).alias("broken"))
+    out = gold.satisfied(coverage, s, q, []).join(tokens, "query_id", "left").join(broken, "query_id", "left").join(gold.completion_rank(i, s, []), "query_id", "left")
+    return out.select(
+        "query_id", "hit", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("retrieved_tokens"), F.coalesce("broken", F.lit(0)).cast("bigint").alias("fragmented"),
+        F.col("rank").cast("int").alias("gold_completion_rank"),
+    )
+
+
 def _attributed(spark, d):
     """One sparse configuration with lexical rerank, cut and budget, and the flags of its stages."""
     chunks, top = ranked_chunks(spark, d)

@@ -155,6 +155,11 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY o))::INT AS
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY ov DESC, rank))::INT AS rank, chunk_id, ov::BIGINT AS overlap FROM o""",
         "parent_expand": f"""WITH {children}, {QUERIES}, {_bm25(20, chunks='pc')}, u AS (SELECT query_id, parent_id, min(rank) AS o FROM bm JOIN pc USING (chunk_pos) GROUP BY query_id, parent_id)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY o))::INT AS rank, parent_id AS chunk_id FROM u""",
+        "normalized_vectors": f"WITH {_EMB}, u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v) SELECT vec_id, unnest(range(64))::INT AS d, round(unnest(e), 9) AS x FROM u",
+        "passage_texts": rf"WITH x AS (SELECT doc_id, regexp_replace(coalesce(source, ''), '^[{_WS}]+|[{_WS}]+$', '', 'g') AS t, regexp_replace(coalesce(text, ''), '^[{_WS}]+|[{_WS}]+$', '', 'g') AS b FROM documents), y AS (SELECT doc_id, CASE WHEN t <> '' THEN t || chr(10) || chr(10) || b ELSE b END AS w FROM x) SELECT doc_id, length(w)::BIGINT AS n_chars, sha256(w) AS version FROM y",
+        "score_query": f"""WITH {ITEMS}, i5 AS (SELECT * FROM it WHERE rank <= 5), {_covered('i5', 'cv')}, {_satisfied('cv', 'hh')}, ks AS (SELECT unnest(range(1, 21)) AS k), pre AS (SELECT k, it.* FROM it JOIN ks ON rank <= k), {_covered('pre', 'pv', 'k')}, {_satisfied('pv', 'ph', 'k')},
+cr AS (SELECT query_id, min(k)::INT AS rank FROM ph GROUP BY query_id), tk AS (SELECT query_id, sum(n_tokens)::BIGINT AS t FROM i5 GROUP BY query_id), br AS (SELECT query_id, count(DISTINCT span_id)::BIGINT AS b FROM cv WHERE coverage >= 0.8::DOUBLE AND best_single < 0.8::DOUBLE GROUP BY query_id)
+SELECT query_id, query_id IN (FROM hh) AS hit, coalesce(t, 0)::BIGINT AS retrieved_tokens, coalesce(b, 0)::BIGINT AS fragmented, rank AS gold_completion_rank FROM uq LEFT JOIN tk USING (query_id) LEFT JOIN br USING (query_id) LEFT JOIN cr USING (query_id)""",
         "gold_spans": f'WITH {SPANS} SELECT DISTINCT query_id, span_id, source_id, s0 AS "start", e0 AS "end" FROM sp',
         "gold_verify": f"""WITH {DOCS}, {SPANS} SELECT query_id, alt_idx, span_idx, CASE WHEN docs.id IS NULL THEN 'unknown_source' WHEN source_version IS NOT NULL AND left(sha256(text), length(source_version)) <> source_version THEN 'version_mismatch'
 WHEN e0 > length(text) THEN 'out_of_range' WHEN substr(text, s0 + 1, e0 - s0) IS DISTINCT FROM quoted_text THEN 'quote_mismatch' END AS reason FROM sp LEFT JOIN docs ON docs.id = sp.source_id""",
