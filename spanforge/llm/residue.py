@@ -28,7 +28,7 @@ CHECK = "check"  # verdict of a template whose messages are judged one by one
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`")
 _QUOTED = re.compile(r"“[^”\n]{0,300}”|„[^“”\n]{0,300}[“”]|(?<![\w=])\"[^\"\n]{0,300}\"(?!\w)|= ?\"[^\"\n]{0,300}\"")
-_STOP = re.compile(r"[.!?](?=\s)|[。！？]")
+_STOP = re.compile(r"[.!?](?=\s|[A-ZÀ-Þ¿¡])|[。！？]")
 _VARIABLE = re.compile(r"\d")
 _MASK = re.compile(r"(?<!\S)(?!<)[^\s\d]*\d\S*")
 _SLOT_CHARS = ("{", "[", "<", "%", "@@", "__", "$(", "«")

@@ -95,7 +95,7 @@ FOUND = [
     "Hello {{ user_name }}, welcome back.", "The {% block body %}{% endblock %} goes on.", "Pay ${price} now", "Dear $(name),", "See [[title]] for more", "By <%= owner %> today", "%%TITLE%%", "@@summary@@ follows",
     "From __OWNER__ with care", "Contact: <COMPANY>", "Owner - [INSERT NAME HERE]", "[price goes here]", "Scope {0}", "About «title» today",
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "asdf qwer foo bar asdf bla", "Your summary goes here.", "TODO: write the section.", "Replace this sample paragraph with your own.",
-    "This is a placeholder section; write something.", "Summary to be supplied.", "Heading 2: coming soon", "Caption 3: n/a yet", "Item 4: ...", "Texte à remplacer.", "Escriba aquí su texto.", "Hier steht später der Text.", "此处填写内容。", "ここに本文を入力してください。",
+    "This is a placeholder section; write something.", "Summary to be supplied.", "Heading 2: coming soon", "Caption 3: n/a yet", "Item 4: ...", "Texte à remplacer.", "Escriba aquí su texto.", "Escriba aquí su texto.Escriba aquí su texto.", "Hier steht später der Text.", "此处填写内容。", "ここに本文を入力してください。",
     "404 Not Found", "Error 503: service unavailable. Reference a1b2", "The page you asked for could not be found. Return to the start page.", "Oops! that did not work while loading this page. (ab12)", "Access denied. Ray: 77", "Your session has expired. Sign in to continue.",
     "Checking your browser. Complete the check to go on.", "Rate limit reached. Try again later.", 'Traceback (most recent call last):\n  File "/srv/x/view.py", line 3, in render\nKeyError: \'a\'', "Page introuvable. Vérifiez l'adresse.", "Página no encontrada.", "Zugriff verweigert.",
     "页面不存在或已被删除 12", "ページが見つかりません", "Good text first.\n\nMenu\nSkip to content\nPlease enable scripts to view this page.", "<noscript>Scripts required.</noscript>", "You need to enable JS to run this app.", "This viewer does not work without client-side scripts.",
