@@ -10,8 +10,8 @@ pivots, differ in at least the sum of the parts' size differences) and are verif
 
 Frequencies for the order come from a table of fixed size that counts all n-grams of all texts;
 where n-grams share a cell the order is only less sharp, never wrong. Texts with equal sets form
-a class and are handled once. An n-gram whose cell exceeds ``hot`` is joined in blocks of its
-texts, so no task sees a whole hot group; nothing is capped.
+a class and are handled once. An n-gram whose cell exceeds ``hot`` (at least four times the mean
+cell) is joined in blocks of its texts, so no task sees a whole hot group; nothing is capped.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from spanforge.llm._common import materialise
 
 WORD = re.compile(r"\w+")  # Unicode letters, numbers and "_"
-CELL_BITS = 20  # frequency cells: 4 MB, whatever the corpus size
+CELL_BITS = (20, 24)  # frequency cells: 4 MB for small corpora, never more than 64 MB
 SLICES = 64
 SALTS = 256
 SIGNATURE = 64  # pivots of the suffix filter
@@ -124,13 +124,21 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
 
 
-def _statistics(texts: DataFrame, words: int, min_words: int) -> DataFrame:
+def cell_bits(texts: DataFrame) -> int:
+    """Bits of the cell table from the plan's size estimate; texts are measured where there is none."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 62:
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return min(max((size >> 6).bit_length(), CELL_BITS[0]), CELL_BITS[1])
+
+
+def _statistics(texts: DataFrame, words: int, min_words: int, bits: int) -> DataFrame:
     """Rows of two kinds: one per text with enough words (doc, key, n, sig), and slices of each task's cell counts."""
     kind = texts.schema["doc"].dataType.simpleString()
 
     def run(batches):
         shingle = Shingler(words, min_words)
-        cells = np.zeros(1 << CELL_BITS, np.int64)
+        cells = np.zeros(1 << bits, np.int64)
         any_text = False
         doc_type = None
         for batch in batches:
@@ -144,7 +152,7 @@ def _statistics(texts: DataFrame, words: int, min_words: int) -> DataFrame:
                 grams.append(g)
             if take:
                 any_text = True
-                cells += np.bincount((np.concatenate(grams) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
+                cells += np.bincount((np.concatenate(grams) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(cells))
                 k = len(take)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(take, pa.int32())), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
@@ -160,8 +168,8 @@ def _statistics(texts: DataFrame, words: int, min_words: int) -> DataFrame:
     return texts.mapInArrow(run, f"doc {kind}, key bigint, n int, sig binary, slice int, cells binary")
 
 
-def _frequencies(statistics: DataFrame) -> np.ndarray:
-    """The summed cell table: fixed size, so it may be sent to every task."""
+def _frequencies(statistics: DataFrame, bits: int) -> np.ndarray:
+    """The summed cell table: of bounded size, so it may be sent to every task."""
 
     def add(pdf):
         total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in pdf["cells"])
@@ -170,7 +178,7 @@ def _frequencies(statistics: DataFrame) -> np.ndarray:
     slices = statistics.where("slice is not null").select("slice", "cells", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
     partly = slices.groupBy("slice", "salt").applyInPandas(add, "slice int, cells binary")  # so that no group holds all tasks' slices
     rows = partly.groupBy("slice").applyInPandas(add, "slice int, cells binary").collect()
-    cells = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.uint32)
+    cells = np.zeros((SLICES, (1 << bits) // SLICES), np.uint32)
     for r in rows:
         cells[r["slice"]] = np.frombuffer(zlib.decompress(r["cells"]), np.uint32)
     return cells.ravel()
@@ -210,6 +218,7 @@ def _postings(texts: DataFrame, cells, words: int, min_words: int, threshold: fl
 
     def run(batches):
         shingle, table, seen, out, size = Shingler(words, min_words), cells.value, set(), [], 0
+        shift = np.uint64(65 - len(table).bit_length())
 
         def flush():
             grams, salt, side, pos, keys, sizes = (np.concatenate(x) for x in zip(*out))
@@ -225,7 +234,7 @@ def _postings(texts: DataFrame, cells, words: int, min_words: int, threshold: fl
                     continue
                 if len(seen) < 2_000_000:
                     seen.add(key)
-                count = table[(g >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                count = table[(g >> shift).astype(np.int64)]
                 order = np.argsort(count, kind="stable")[: prefix_length(len(g), threshold, shared)]
                 grams, count = g[order], count[order]
                 m = len(grams)
@@ -390,11 +399,14 @@ def near_duplicate_classes(
     """
     spark = df.sparkSession
     texts = _texts(df, id_col, text_col)
-    statistics = materialise(_statistics(texts, words, min_words))
+    bits = cell_bits(texts)
+    statistics = materialise(_statistics(texts, words, min_words, bits))
     rows = statistics.where("slice is null")
     members = rows.select("doc", "key").distinct()
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cells = spark.sparkContext.broadcast(_frequencies(statistics))
+    table = _frequencies(statistics, bits)
+    hot = max(hot, int(4 * table.mean()))
+    cells = spark.sparkContext.broadcast(table)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (1.05 - threshold) / POSTINGS_PER_TASK) + 1)
     candidates = _candidates(_postings(texts, cells, words, min_words, threshold, hot, shared, parts), parts, threshold, shared)
     classes = rows.groupBy("key").agg(F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("doc").alias("doc"))
