@@ -9,8 +9,8 @@ vectors, and the smallest radius that reaches the wanted mean recall is taken.
 
 Leaves are joined by one shuffle. Exact copies of a vector leave a batch at most k + 2 times;
 when a vector has more copies than that, their neighbours are its first copies, given by a join.
-Leaves above ``leaf_rows`` are cut into blocks that every query of the leaf visits; the best k of
-all blocks are merged, so nothing is dropped.
+Leaves above ``leaf_rows`` (four times the mean leaf, at least LEAF_ROWS) are cut into blocks that
+every query of the leaf visits; the best k of all blocks are merged, so nothing is dropped.
 """
 
 from __future__ import annotations
@@ -272,7 +272,7 @@ def similar_pairs(
     sample: tuple[int, int] = SAMPLE,
     calibration: int = CALIBRATION,
     leaf_target: int = LEAF_TARGET,
-    leaf_rows: int = LEAF_ROWS,
+    leaf_rows: int | None = None,
 ) -> DataFrame:
     """(vec, other, sim, rank): of every usable vector the k most similar others of its group with cosine >= least.
 
@@ -291,6 +291,8 @@ def similar_pairs(
     radius = calibrate(vectors, total, tree, k, least, dim, calibration, target_recall)
     shared = spark.sparkContext.broadcast(tree)
     most = k + 2
+    if leaf_rows is None:
+        leaf_rows = max(LEAF_ROWS, 4 * total // int((tree.count == 0).sum()))
 
     def place(batches):
         tree = shared.value
