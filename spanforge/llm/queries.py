@@ -120,6 +120,23 @@ n AS (SELECT count(DISTINCT chunk_id) AS n FROM chunks),
 df AS (SELECT term, count(*) AS df FROM terms GROUP BY term)
 """
 
+
+
+def _similar_pairs(words: int, threshold: float) -> str:
+    """j(a, b, j): Jaccard similarity of documents that share a prefix n-gram; c(doc_id, c): set sizes."""
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - {words - 2}), lambda i: {gram})) AS g FROM w WHERE len(w) >= 50),
+c AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+f AS (SELECT g, count(*) AS f FROM s GROUP BY g),
+o AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS r FROM s JOIN f USING (g)),
+p AS (SELECT doc_id, g FROM o JOIN c USING (doc_id) WHERE r <= c - ceil({threshold} * c - 1e-9) + 1),
+k AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id),
+i AS (SELECT a, b, count(*) AS i FROM k JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.g = x.g GROUP BY a, b),
+j AS (SELECT a, b, i::DOUBLE / (ca.c + cb.c - i) AS j FROM i JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b)"""
+
+
 _RECORDS = r"""
 texts AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL),
 words AS (SELECT chunk_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM texts)
@@ -171,16 +188,14 @@ s AS (SELECT sum(pow(c_r, 0.75)) AS s FROM c),
 p AS (SELECT chunk_id, term, n_tr, ln(n_tr * s.s / (n_t * pow(c_r, 0.75))) AS w FROM j JOIN c USING (chunk_id) JOIN m USING (term), s),
 r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY round(w, 9) DESC, term) AS rank FROM p WHERE w > 0)
 SELECT chunk_id, term, n_tr::BIGINT AS count, round(w, 6)::DOUBLE AS weight, rank::INT AS rank FROM r WHERE rank <= 5""",
-        "p4_found": r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 50),
-c AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
-f AS (SELECT g, count(*) AS f FROM s GROUP BY g),
-o AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS r FROM s JOIN f USING (g)),
-p AS (SELECT doc_id, g FROM o JOIN c USING (doc_id) WHERE r <= c - ceil(0.7 * c - 1e-9) + 1),
-k AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id),
-i AS (SELECT a, b, count(*) AS i FROM k JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.g = x.g GROUP BY a, b)
-SELECT a AS doc_id_a, b AS doc_id_b FROM i JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE i::DOUBLE / (ca.c + cb.c - i) >= 0.7""",
+        "p4_found": f"""
+{_similar_pairs(3, 0.7)}
+SELECT a AS doc_id_a, b AS doc_id_b FROM j WHERE j >= 0.7""",
+        "p4_groups": f"""
+{_similar_pairs(5, 0.8)},
+e AS (SELECT a AS doc_id, b AS other, j FROM j WHERE j >= 0.8 UNION ALL SELECT b, a, j FROM j WHERE j >= 0.8)
+SELECT c.doc_id, least(c.doc_id, coalesce(min(other) FILTER (j = 1), c.doc_id)) AS class_id, count(other) FILTER (j = 1) AS copies, count(other) FILTER (j < 1) AS links
+FROM c LEFT JOIN e ON e.doc_id = c.doc_id GROUP BY c.doc_id""",
         "p5_found": f"""
 WITH {_TERMS}
 SELECT term, CASE WHEN df <= 2 THEN 'rare' ELSE 'common' END AS mark FROM df, n WHERE df <= 2 OR df >= 0.2::DOUBLE * n.n""",
