@@ -9,9 +9,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions.text import stable_hash
 from spanforge.plans.session import spread
 
 _WORD = re.compile(r"[a-z0-9]+")
@@ -98,15 +100,21 @@ def embed_distinct(df: DataFrame, text_col: str, embed: Callable[[list[str]], np
     prefix = getattr(embed, f"{role}_prefix", "")
     texts = df.select(F.sha2(text_col, 256).alias("key"), F.col(text_col).alias("text")).where("text is not null").dropDuplicates(["key"])
 
+    return _vectors(texts.withColumn("text", F.concat(F.lit(prefix), "text")), embed)
+
+
+def _vectors(texts: DataFrame, embed: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """(key, vector) of texts(key, text)."""
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                v = embed([prefix + t for t in batch.column(1).to_pylist()])
+                v = embed(batch.column(1).to_pylist())
                 flat = pa.array(np.ascontiguousarray(v, np.float64).ravel())
                 offsets = pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["key", "vector"])
 
-    return texts.mapInArrow(run, "key string, vector array<double>")
+    return texts.select("key", "text").mapInArrow(run, "key string, vector array<double>")
 
 
 def embed_rows(df: DataFrame, text_col: str, embed: Callable[[list[str]], np.ndarray], role: str = "passage") -> DataFrame:
@@ -115,6 +123,32 @@ def embed_rows(df: DataFrame, text_col: str, embed: Callable[[list[str]], np.nda
     return df.withColumn("key", F.sha2(text_col, 256)).join(vectors, "key", "left").drop("key")
 
 
+class EmbeddingStore:
+    """Vectors kept in Parquet by content: only texts not seen before, under this model and role, are embedded.
+
+    The key is the SHA-256 of model name and prefixed text, each ended by NUL. New vectors are
+    appended; a key written twice by two runs at once is read once.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def read(self, spark) -> DataFrame:
+        try:
+            return spark.read.schema("key string, vector array<double>").parquet(self.path).dropDuplicates(["key"])
+        except AnalysisException:
+            return spark.createDataFrame([], "key string, vector array<double>")
+
+    def embed(self, df: DataFrame, text_col: str, embed: Callable[[list[str]], np.ndarray], name: str, role: str = "passage") -> DataFrame:
+        """df with a column vector; null texts get a null one."""
+        spark, prefix = df.sparkSession, getattr(embed, f"{role}_prefix", "")
+        key = stable_hash(F.lit(name), F.concat(F.lit(prefix), F.col(text_col)))
+        texts = df.select(key.alias("key"), F.concat(F.lit(prefix), F.col(text_col)).alias("text")).where("text is not null").dropDuplicates(["key"])
+        missing = texts.join(self.read(spark), "key", "left_anti")
+        _vectors(missing, embed).write.mode("append").parquet(self.path)
+        return df.withColumn("key", key).join(self.read(spark), "key", "left").drop("key")
+
+
 def hash_buckets(df: DataFrame, id_col: str, text_col: str, dim: int = 256) -> DataFrame:
     """(id, bucket, value): the non-zero integer entries of the feature-hashing vector."""
     embed = HashEmbedder(dim)

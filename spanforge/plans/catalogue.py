@@ -11,7 +11,7 @@ from spanforge.functions.stats import wilson
 from spanforge.functions.text import char_ngrams, content_hash, count_tokens, l2_normalize, stable_hash, union_length, word_tokens
 from spanforge.operators import attribution, chunking, dense, geometry, gold, metrics, ranking, sparse
 from spanforge.operators.embedding import HashEmbedder, hash_buckets
-from spanforge.plans import oracle
+from spanforge.plans import oracle, pipeline
 from spanforge.plans import sweep as S
 from spanforge.plans.session import materialise
 from spanforge.sources import corpora, tables
@@ -363,6 +363,14 @@ def _attributed(spark, d):
     return flags.select("query_id", F.col("budget").alias("hit"), attribution.attribute(row).alias("stage_attribution"), attribution.branch_diagnostics(F.lit(None).cast("boolean"), F.col("union")).alias("branch_diag"))
 
 
+@register
+def stage_items(spark, d):
+    """Every stage of one sparse configuration with rerank and budget."""
+    chunks, q = materialise(fixed(spark, d)), materialise(asked(spark, d))
+    config = S.Config("none", "fixed", "sparse", "lexical", TOP_K, CANDIDATES, BUDGET)
+    return pipeline.run_pipeline(chunks, q, config, sparse_retriever=pipeline.Bm25Retriever().index(chunks), score=ranking.lexical_overlap).items
+
+
 @register
 def stage_attribution(spark, d):
     return _attributed(spark, d).select("query_id", "hit", "stage_attribution")

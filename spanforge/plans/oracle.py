@@ -173,6 +173,9 @@ CASE WHEN docs.id IS NULL THEN 'unknown_source' WHEN coalesce(length(quoted_text
 SELECT query_id, min(k)::INT AS rank FROM hh GROUP BY query_id""",
         "fragmentation": f"WITH {ITEMS}, {_covered('it', 'cv')} SELECT DISTINCT query_id, span_id FROM cv WHERE coverage >= 0.8::DOUBLE AND best_single < 0.8::DOUBLE",
         "budget_pack": f"WITH {ITEMS}, r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rank) AS run FROM it) SELECT query_id, rank::INT AS rank, chunk_id, run::BIGINT AS running_tokens FROM r WHERE run <= 200",
+        "stage_items": f"""WITH {_ATTRIBUTED}, st AS (SELECT query_id, rank, chunk_id FROM it)
+SELECT query_id, stage, rank::INT AS rank, chunk_id FROM (SELECT query_id, unnest(['sparse_candidates', 'candidate_union', 'reranker_input']) AS stage, rank, chunk_id FROM st
+UNION ALL SELECT query_id, unnest(['reranked', 'pre_final']), rank, chunk_id FROM rr UNION ALL SELECT query_id, 'final', rank, chunk_id FROM fin UNION ALL SELECT query_id, 'budget_packed', rank, chunk_id FROM bud)""",
         "stage_attribution": f"""WITH {_ATTRIBUTED} SELECT query_id, f_budget AS hit, CASE WHEN f_budget THEN NULL WHEN NOT f_all THEN 'representation' WHEN NOT f_union THEN 'candidate_generation'
 WHEN NOT f_final THEN 'reranker_demotion' ELSE 'budget_cutoff' END AS stage_attribution FROM fl""",
         "branch_diag": f"WITH {_ATTRIBUTED} SELECT query_id, f_union AS sparse, 1::INT AS branches FROM fl",

@@ -50,7 +50,10 @@ def unique_documents(rows: DataFrame, id_col: str = "id", text_col: str = "text"
 
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
-    return unique_documents(read_jsonl(spark, path, "id string, text string", ("id", "text")), order_col="line_no")
+    """(id, text, doc_pos, meta): meta is the record's free-form object as JSON text, or null."""
+    rows = read_jsonl(spark, path, "id string, text string, meta string", ("id", "text"))
+    meta = rows.groupBy("id").agg(F.max_by(F.struct("meta"), "line_no")["meta"].alias("meta"))
+    return unique_documents(rows, order_col="line_no").join(meta, "id")
 
 
 def unique_queries(rows: DataFrame, order: tuple[str, ...] = ("asked_at", "text")) -> DataFrame:
@@ -61,8 +64,8 @@ def unique_queries(rows: DataFrame, order: tuple[str, ...] = ("asked_at", "text"
 
 def load_queries(spark: SparkSession, path: str, documents: DataFrame, strict: bool = True) -> DataFrame:
     """Queries whose gold verifies, with query_pos; strict raises on the first that does not."""
-    rows = read_jsonl(spark, path, f"id string, text string, gold {GOLD}", ("id", "text", "gold"))
-    queries = rows.select(F.col("id").alias("query_id"), "text", "gold", F.col("line_no").alias("query_pos"))
+    rows = read_jsonl(spark, path, f"id string, text string, gold {GOLD}, meta string", ("id", "text", "gold"))
+    queries = rows.select(F.col("id").alias("query_id"), "text", "gold", F.col("line_no").alias("query_pos"), "meta")
     return gold.load_verified(queries, documents, strict)
 
 
@@ -208,7 +211,18 @@ def _write_lines(rows, path: str) -> str:
 
 def write_documents_jsonl(documents: DataFrame, path: str) -> str:
     """One file in corpus order, streamed partition by partition; for large corpora use write_json_folder."""
-    return _write_lines(({"id": r["id"], "text": r["text"]} for r in documents.select("id", "text", "doc_pos").orderBy("doc_pos").toLocalIterator()), path)
+    rows = _with_meta(documents).select("id", "text", "meta", "doc_pos").orderBy("doc_pos").toLocalIterator()
+    return _write_lines(({"id": r["id"], "text": r["text"]} | _meta(r) for r in rows), path)
+
+
+def _with_meta(df: DataFrame) -> DataFrame:
+    return df if "meta" in df.columns else df.withColumn("meta", F.lit(None).cast("string"))
+
+
+def _meta(row) -> dict:
+    """The meta field of a record; left out when empty."""
+    value = json.loads(row["meta"]) if row["meta"] else None
+    return {"meta": value} if value else {}
 
 
 def _no_nulls(x):
@@ -218,8 +232,8 @@ def _no_nulls(x):
 
 
 def write_queries_jsonl(queries: DataFrame, path: str) -> str:
-    rows = queries.select("query_id", "text", "gold", "query_pos").orderBy("query_pos").toLocalIterator()
-    return _write_lines(({"id": r["query_id"], "text": r["text"], "gold": _no_nulls(r["gold"].asDict(recursive=True))} for r in rows), path)
+    rows = _with_meta(queries).select("query_id", "text", "gold", "meta", "query_pos").orderBy("query_pos").toLocalIterator()
+    return _write_lines(({"id": r["query_id"], "text": r["text"], "gold": _no_nulls(r["gold"].asDict(recursive=True))} | _meta(r) for r in rows), path)
 
 
 def write_json_folder(df: DataFrame, path: str) -> None:
