@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,19 @@ _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
+class _Slots(dict):
+    """Feature -> its hash modulo a period; features of one kind share a prefix."""
+
+    def __init__(self, prefix: str, period: int):
+        super().__init__()
+        self.prefix, self.period = prefix, period
+
+    def __missing__(self, feature: str) -> int:
+        digest = hashlib.sha256((self.prefix + feature).encode() + b"\0").digest()
+        v = self[feature] = int.from_bytes(digest, "big") % self.period
+        return v
+
+
 class HashEmbedder:
     """Signed feature hashing of words and character n-grams.
 
@@ -31,27 +45,18 @@ class HashEmbedder:
         if dim <= 0:
             raise ValueError("dim must be positive")
         self.dim, self.sizes, self.words, self.name = dim, sizes, words, name
-        self._known: dict[str, int] = {}
+        self._words, self._grams = _Slots("w:", 2 * dim), _Slots("c:", 2 * dim)
 
-    def features(self, text: str) -> list[str]:
+    def slots(self, text: str) -> np.ndarray:
+        """Hash modulo 2 * dim of every feature, repeats included."""
         low = text.lower()
-        out = ["w:" + w for w in _WORD.findall(low)] if self.words else []
         flat = _SPACE.sub(" ", low).strip()
-        for n in self.sizes:
-            if 0 < n <= len(flat):
-                out.extend("c:" + flat[i : i + n] for i in range(len(flat) - n + 1))
-        return out
-
-    def slots(self, text: str) -> np.ndarray:
-        """Hash modulo 2 * dim of every feature."""
-        known, period = self._known, 2 * self.dim
-        found = self.features(text)
-        if len(known) > 1_000_000:
-            known.clear()
-        for f in found:
-            if f not in known:
-                known[f] = int.from_bytes(hashlib.sha256(f.encode() + b"\0").digest(), "big") % period
-        return np.array([known[f] for f in found], np.int64)
+        for known in (self._words, self._grams):
+            if len(known) > 1_000_000:
+                known.clear()
+        parts = [map(self._words.__getitem__, _WORD.findall(low))] if self.words else []
+        parts += [map(self._grams.__getitem__, [flat[i : i + n] for i in range(len(flat) - n + 1)]) for n in self.sizes if 0 < n <= len(flat)]
+        return np.fromiter(chain(*parts), np.int64)
 
     def counts(self, text: str) -> np.ndarray:
         """The integer vector before normalisation."""
