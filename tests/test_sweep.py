@@ -139,3 +139,20 @@ def test_cli(tmp_path, capsys, spark):
     spec_file.write_text(json.dumps({"id": "a", "text": "t", "source_id": "bees", "answer": "queen"}))
     assert cli.main(["make-gold", "--corpus", docs, "--spec", str(spec_file), "--out", str(tmp_path / "g.jsonl")]) == cli.OK
     assert cli.main(["geometry", "--corpus", docs, "--queries", queries]) == cli.OK and "hubness" in capsys.readouterr().out
+
+
+def test_latency_is_measured_on_request(spark):
+    c = corpora.basic(spark)
+    s = S.run_sweep(c.documents, c.queries, spec(chunkers={"fixed": S.make_chunker("fixed")}, retrieval_modes=("dense", "sparse"), rerankers={None: None}), min_sample=1, measure_latency=True)
+    assert set(s.cost) == set(s.config_ids)
+    dense_cost = s.cost[s.config_ids[0]]
+    assert dense_cost["n"] == 4 and dense_cost["p95_ms"] >= dense_cost["p50_ms"] > 0 and dense_cost["index_bytes"] == 4 * 256 * 4
+    text, page = report.render_report(report.summarise(s)), report.render_html(report.summarise(s))
+    assert "this machine only" in text and "Measured cost" in page
+
+
+@pytest.mark.parametrize("name", ["semantic:60", "recursive:80", "parent-child:200x50", "fixed"])
+def test_every_chunker_keeps_the_invariant(spark, name):
+    c = corpora.basic(spark)
+    s = S.run_sweep(c.documents, c.queries, spec(chunkers={name: S.make_chunker(name, HashEmbedder(64, name="h"))}, retrieval_modes=("sparse",), rerankers={None: None}, budgets=(None, 5)), min_sample=1)
+    assert attribution.violations(s.results).count() == 0 and s.results.count() == 8
