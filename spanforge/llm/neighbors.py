@@ -45,6 +45,9 @@ class Tree:
     first: np.ndarray
     count: np.ndarray
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.centres, self.first, self.count
+
     def bounds(self, x: np.ndarray, node: int) -> np.ndarray:
         """Distance of each row of x to the plane between each child's centre and the best child's; 0 for the best."""
         c = self.centres[self.first[node] : self.first[node] + self.count[node]]
@@ -194,10 +197,11 @@ def compare_with_all(vectors: DataFrame, ids: list, groups: list, x: np.ndarray,
     """
     kind = vectors.schema["id"].dataType.simpleString()
     sc = vectors.sparkSession.sparkContext
-    given = sc.broadcast((np.array(ids), np.array(groups, dtype=object), x.astype(np.float32), tree.home(x) if tree else None, tree))
+    given = sc.broadcast((np.array(ids), np.array(groups, dtype=object), x.astype(np.float32), tree.home(x) if tree else None, tree.arrays() if tree else None))
 
     def run(batches):
-        q_ids, q_groups, q, q_home, tree = given.value
+        q_ids, q_groups, q, q_home, arrays = given.value
+        tree = Tree(*arrays) if arrays else None
         kept, size, id_type = [], 0, None
 
         def best():
@@ -289,13 +293,13 @@ def similar_pairs(
     _, _, x = _sample(vectors, min(max(total // 8, sample[0]), sample[1]), total, dim, salt=1)
     tree = fit_tree(x, max(1, min(MAX_LEAVES, total // leaf_target, len(x) // 16)))
     radius = calibrate(vectors, total, tree, k, least, dim, calibration, target_recall)
-    shared = spark.sparkContext.broadcast(tree)
+    shared = spark.sparkContext.broadcast(tree.arrays())  # arrays only: workers may lack this package
     most = k + 2
     if leaf_rows is None:
         leaf_rows = max(LEAF_ROWS, 4 * total // int((tree.count == 0).sum()))
 
     def place(batches):
-        tree = shared.value
+        tree = Tree(*shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -345,9 +349,10 @@ def similar_pairs(
 
 def _leaf_counts(shared, dim: int):
     def run(batches):
+        tree = Tree(*shared.value)
         for batch in batches:
             if batch.num_rows:
-                leaves, n = np.unique(shared.value.home(_matrix(batch.column(0), dim)), return_counts=True)
+                leaves, n = np.unique(tree.home(_matrix(batch.column(0), dim)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(n, pa.int64())], names=["leaf", "n"])
 
     return run
