@@ -7,7 +7,7 @@ to the plane between the path's centre and the best sibling's. The search widens
 bound exceeds a radius, and the radius is calibrated: a sample of queries is compared with all
 vectors, and the smallest radius that reaches the wanted mean recall is taken.
 
-Leaves are joined by one shuffle. Exact copies of a vector leave a batch at most k + 2 times;
+Leaves are joined by one shuffle. Exact copies of a vector leave a batch under at most k + 2 ids;
 when a vector has more copies than that, their neighbours are its first copies, given by a join.
 Leaves above ``leaf_rows`` (four times the mean leaf, at least LEAF_ROWS) are cut into blocks that
 every query of the leaf visits; the best k of all blocks are merged, so nothing is dropped.
@@ -303,10 +303,13 @@ def similar_pairs(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = np.lexsort((np.array(batch.column(0).to_pylist()), batch.column(3).to_numpy()))
-            same = batch.column(3).to_numpy()[order]
-            batch = batch.take(pa.array(order))
-            batch = batch.take(pa.array(np.flatnonzero(np.arange(len(same)) - np.searchsorted(same, same) < most)))
+            ids, same = np.array(batch.column(0).to_pylist()), batch.column(3).to_numpy()
+            order = np.lexsort((ids, same))
+            ids, same = ids[order], same[order]
+            new = np.ones(len(ids), bool)  # a repeated id takes one place of the quota
+            new[1:] = (ids[1:] != ids[:-1]) | (same[1:] != same[:-1])
+            order, same = order[new], same[new]
+            batch = batch.take(pa.array(order[np.arange(len(same)) - np.searchsorted(same, same) < most]))
             v = _matrix(batch.column(2), dim)
             home = tree.home(v)
             rows, leaves, _ = tree.visits(v, radius)

@@ -65,6 +65,14 @@ def test_neighbours_of_few_vectors(spark):
     assert pairs(neighbors.similar_pairs(two, dim=2)) == {(1, 2)}
 
 
+def test_repeated_rows_take_one_place_among_the_copies(spark):
+    hot, twice = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, "m", hot)] * 10 + [(2, "m", hot), (3, "m", hot)] + [(i, "m", twice) for i in range(11, 16) for _ in range(2)]
+    df = spark.createDataFrame(rows, "vec_id bigint, model string, embedding array<float>").coalesce(1)
+    want = {(1, 2), (1, 3), (2, 3)} | {(a, b) for a in range(11, 16) for b in range(a + 1, 16)}
+    assert pairs(neighbors.similar_pairs(df, dim=2)) == want
+
+
 def test_recall_report(spark):
     rows = rows_for(5, 300, 0)
     df = spark.createDataFrame(rows, "vec_id bigint, model string, embedding array<float>")
