@@ -14,7 +14,7 @@ from spanforge.operators.embedding import HashEmbedder, hash_buckets
 from spanforge.plans import oracle, pipeline
 from spanforge.plans import sweep as S
 from spanforge.plans.session import materialise
-from spanforge.sources import corpora, tables
+from spanforge.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -507,25 +507,25 @@ def query_corpus_mismatch(spark, d):
 # The sweep
 
 
-def _demo_sweep(spark):
-    corpus = corpora.realistic(spark)
+def _sweep(spark, d):
+    """The grid of 24 configurations over all documents and queries of the tables."""
     spec = S.SweepSpec(
         {"det": HashEmbedder(256, name="det")}, {c: S.make_chunker(c) for c in ("fixed:600", "parentchild:600x140")}, ("dense", "sparse", "hybrid"),
         {None: None, "lexical": ranking.lexical_overlap}, top_k=3, candidate_n=20, budgets=(None, 60),
     )
-    return S.run_sweep(materialise(corpus.documents), materialise(corpus.queries), spec)
+    return S.run_sweep(materialise(docs(spark, d)), materialise(asked(spark, d)), spec)
 
 
 @register
 def sweep_metrics(spark, d):
-    m = _demo_sweep(spark).metrics
+    m = _sweep(spark, d).metrics
     return m.select("config_id", "n", "hits", "hit_rate", "mrr")
 
 
 @register
 def sweep_violations(spark, d):
     """The invariant over a grid with parents, budgets and rerankers: always empty."""
-    return attribution.violations(_demo_sweep(spark).results).select("config_id", "query_id")
+    return attribution.violations(_sweep(spark, d).results).select("config_id", "query_id")
 
 
 def queries() -> dict[str, Query]:

@@ -1,13 +1,17 @@
 import json
+import os
 
 import pytest
 
 from spanforge import cli, report
 from spanforge.operators import attribution, chunking, ranking
 from spanforge.operators.embedding import HashEmbedder
+from spanforge.plans import catalogue
 from spanforge.plans import sweep as S
 from spanforge.sources import corpora
 
+SF = "/root/testdata/sf0.001"
+
 
 def spec(**kw):
     base = dict(embedders={"det": HashEmbedder(256, name="det")}, chunkers={c: S.make_chunker(c) for c in ("fixed:600", "fixed:140")}, retrieval_modes=("dense", "sparse", "hybrid"), rerankers={None: None, "lexical": ranking.lexical_overlap}, top_k=3, candidate_n=20)
@@ -25,6 +29,14 @@ def test_grid(swept):
     assert swept.results.count() == 24 * 18
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_registered_sweep_covers_the_tables(spark):
+    m = catalogue.queries()["sweep_metrics"](spark, SF).collect()
+    n = catalogue.asked(spark, SF).count()
+    assert n != 18 and len({r["config_id"] for r in m}) == len(m) == 24 and {r["n"] for r in m} == {n}
+    assert catalogue.queries()["sweep_violations"](spark, SF).count() == 0
+
+
 def test_hit_iff_no_stage(swept):
     assert attribution.violations(swept.results).count() == 0
 
