@@ -2,9 +2,11 @@
 
 Method: every text is cut into messages (lines, then sentences). A fixed-depth prefix tree sorts
 them by length and by their first masked words; the messages of a leaf make one template, in which
-positions that differ become wildcards. Trees are grown per task and merged by leaf, each template
-is classified once, and the verdict of a template holds for all its messages. Unresolved slots
-inside ordinary texts are detected separately, as no template of messages describes them.
+positions that differ become wildcards. Trees are grown per task and merged by leaf. A leaf of one
+message is classified once and its verdict holds for every repetition; a leaf that merged several
+keeps whether any of them was condemned, and if so its messages are judged singly, so a verdict
+never depends on the other messages of a leaf. Unresolved slots inside ordinary texts are detected
+separately, as no template of messages describes them.
 Code, inline code and quotations are masked first: they show or discuss such text.
 """
 
@@ -23,7 +25,7 @@ TREE_LEAVES = 200_000  # a task's tree is emitted and begun anew beyond this
 BROADCAST_LEAVES = 500_000  # verdicts sent to every task; beyond it they are joined
 MOST_WORDS = 60  # longer sentences are several messages
 WILD = "<*>"
-CHECK = "check"  # verdict of a template whose messages are judged one by one
+CHECK = "check"  # verdict of a template that merged messages, one of them condemned: they are judged one by one
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`")
@@ -125,17 +127,29 @@ RULES = (
 )
 
 
-def _compiled(joker: str) -> tuple:
-    """The rules with their word classes filled in; ``joker`` also stands for any of a class's words."""
+def _alternatives(rule: str) -> list[str]:
+    """The rule's alternatives outside all groups."""
+    out, depth, at = [], 0, 0
+    for m in re.finditer(r"\\.|\[(?:\\.|[^\]\\])+\]|[()|]", rule):
+        depth += {"(": 1, ")": -1}.get(m.group(), 0)
+        if m.group() == "|" and not depth:
+            out.append(rule[at : m.start()])
+            at = m.end()
+    return [*out, rule[at:]]
+
+
+def _compiled() -> tuple:
+    """(reason, rule with its word classes filled in, holds CJK text, bound to the message's start) of each rule."""
     out = []
     for reason, rule in RULES:
+        bound = all(x.startswith("^") for x in _alternatives(rule))
         for name, words in (("THING", _THING), ("SCRIPT", _SCRIPT), ("PLACE", _PLACE), ("STATUS", _STATUS)):
-            rule = rule.replace(f"{{{name}}}", rf"(?<!\w)(?:{words}{joker})(?!\w)")
-        out.append((reason, re.compile(rule, re.I), any(ord(c) > 0x2E80 for c in rule)))
+            rule = rule.replace(f"{{{name}}}", rf"(?<!\w)(?:{words})(?!\w)")
+        out.append((reason, re.compile(rule, re.I), any(ord(c) > 0x2E80 for c in rule), bound))
     return tuple(out)
 
 
-_STRICT, _LOOSE = _compiled(""), _compiled(r"|<\*>(?: <\*>)?")
+_RULES = _compiled()
 _LATIN = re.compile(r"[a-z]+")
 # Each rule without CJK text needs one of these words (or dots, or an error's name); others are not tried.
 HINTS = frozenset(
@@ -194,46 +208,53 @@ def merge(template: list[str], words: list[str]) -> list[str]:
     return [a if a == b else WILD for a, b in zip(template, words)]
 
 
-def _apply(rules, template: str, words: list[str]) -> str | None:
-    wide_text = _WIDE.search(template) is not None
-    latin = not HINTS.isdisjoint(words) or "..." in template or "…" in template or "???" in template or any(w.endswith(("error", "exception")) for w in words)
+def _apply(message: str, words: list[str]) -> str | None:
+    wide_text = _WIDE.search(message) is not None
+    latin = not HINTS.isdisjoint(words) or "..." in message or "…" in message or "???" in message or any(w.endswith(("error", "exception")) for w in words)
     if latin or wide_text:
-        for reason, rule, wide in rules:
-            if (wide_text if wide else latin) and rule.search(template):
+        for reason, rule, wide, bound in _RULES:
+            if (wide_text if wide else latin) and (rule.match if bound else rule.search)(message):
                 return reason
     return None
 
 
-def classify(template: str) -> str | None:
-    """The verdict on one message or template: stand-in, filler, failed page, script notice or None."""
-    words = _LATIN.findall(template.lower())
+def classify(message: str) -> str | None:
+    """The verdict on one message: stand-in, filler, failed page, script notice or None."""
+    words = _LATIN.findall(message.lower())
     if len(words) >= 4 and max(sum(w in FILLER_WORDS for w in words), sum(w in KEYBOARD_WORDS for w in words)) >= 0.7 * len(words):
         return "filler"
-    if len(template) > 240 or _REPORTS.search(template):
+    if len(message) > 240 or _REPORTS.search(message):
         return None
-    return _apply(_STRICT, template, words)
+    return _apply(message, words)
 
 
-def classify_template(template: str) -> str | None:
-    """As classify; CHECK where a template would be condemned if its wildcards were certain words."""
-    verdict = classify(template)
-    if verdict is None and WILD in template and len(template) <= 240 and not _REPORTS.search(template) and _apply(_LOOSE, template, _LATIN.findall(template.lower())):
-        return CHECK
-    return verdict
+def _add(tree: dict[str, list], leaf: str, words: list[str], n: int, condemned: bool | None) -> None:
+    """One more message (condemned None) or merged template of a leaf: [template, messages, condemned].
+
+    condemned is None while all messages are the same, which is classified in the end; then
+    whether any of the merged messages was condemned.
+    """
+    node = tree.get(leaf)
+    if node is None:
+        tree[leaf] = [words, n, condemned]
+        return
+    if node[0] != words or node[2] is not None or condemned is not None:
+        bad = classify(" ".join(node[0])) is not None if node[2] is None else node[2]
+        if not bad:
+            bad = classify(" ".join(words)) is not None if condemned is None else condemned
+        node[0], node[2] = merge(node[0], words), bad
+    node[1] += n
+
+
+def _verdict(template: str, condemned: bool | None) -> str | None:
+    return classify(template) if condemned is None else CHECK if condemned else None
 
 
 def _grow(rows, depth: int):
-    """One tree: leaf -> [template, messages]."""
+    """One tree: leaf -> [template, messages, condemned]."""
     tree: dict[str, list] = {}
     for words, n in rows:
-        leaf = leaf_of(words, depth)
-        node = tree.get(leaf)
-        if node is None:
-            tree[leaf] = [words, n]
-        else:
-            if node[0] != words:
-                node[0] = merge(node[0], words)
-            node[1] += n
+        _add(tree, leaf_of(words, depth), words, n, None)
         if len(tree) >= TREE_LEAVES:
             yield tree
             tree = {}
@@ -246,9 +267,9 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def mine_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(leaf, template, messages, verdict): every template of the collection, classified once.
+    """(leaf, template, messages, verdict): every template of the collection.
 
-    Tasks emit one row per leaf of their tree, however often a message repeats. Null and empty
+    The verdict is that of the leaf's only message, or CHECK where any of several is condemned. Tasks emit one row per leaf of their tree, however often a message repeats. Null and empty
     texts have no messages.
     """
 
@@ -265,35 +286,30 @@ def mine_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for at in range(0, len(items), 20_000):
                 part = items[at : at + 20_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in part]), pa.array([" ".join(v[0]) for _, v in part]), pa.array([v[1] for _, v in part], pa.int64())], names=["leaf", "template", "messages"]
+                    [pa.array([k for k, _ in part]), pa.array([" ".join(v[0]) for _, v in part]), pa.array([v[1] for _, v in part], pa.int64()), pa.array([v[2] for _, v in part], pa.bool_())],
+                    names=["leaf", "template", "messages", "condemned"],
                 )
 
     def unite(batches):
         tree: dict[str, list] = {}
         for batch in batches:
-            for leaf, template, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                node, words = tree.get(leaf), template.split(" ")
-                if node is None:
-                    tree[leaf] = [words, n]
-                else:
-                    if node[0] != words:
-                        node[0] = merge(node[0], words)
-                    node[1] += n
+            for leaf, template, n, condemned in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                _add(tree, leaf, template.split(" "), n, condemned)
         items = list(tree.items())
         for at in range(0, len(items), 20_000):
             part = items[at : at + 20_000]
             texts = [" ".join(v[0]) for _, v in part]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in part]), pa.array(texts), pa.array([v[1] for _, v in part], pa.int64()), pa.array([classify_template(t) for t in texts], pa.string())],
+                [pa.array([k for k, _ in part]), pa.array(texts), pa.array([v[1] for _, v in part], pa.int64()), pa.array([_verdict(t, v[2]) for t, (_, v) in zip(texts, part)], pa.string())],
                 names=["leaf", "template", "messages", "verdict"],
             )
 
-    grown = _texts(df, id_col, text_col).select("text").mapInArrow(grow, "leaf string, template string, messages bigint")
+    grown = _texts(df, id_col, text_col).select("text").mapInArrow(grow, "leaf string, template string, messages bigint, condemned boolean")
     return grown.repartition("leaf").mapInArrow(unite, "leaf string, template string, messages bigint, verdict string")
 
 
 def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
-    """(doc, reason): each text with an unresolved slot or a message of a condemned template.
+    """(doc, reason): each text with an unresolved slot or a condemned message.
 
     reason is the first of slot, failed page, filler, script notice, stand-in. Null, empty and
     blank texts are never found; repeated rows give repeated rows. Verdicts are sent to all tasks

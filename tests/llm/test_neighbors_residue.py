@@ -142,6 +142,14 @@ def test_ambiguous_templates_are_judged_by_message(spark):
         assert [r["doc"] for r in residue.find_residue(df, broadcast_leaves=limit).collect()] == [1]
 
 
+def test_verdicts_do_not_depend_on_the_other_messages_of_a_leaf(spark):
+    texts = ["The page you asked for could not be found.", "The page you asked for was moved or deleted.", "The page you asked for has two long columns."]
+    for parts in (1, 3):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(parts)
+        for limit in (0, 10):
+            assert {r["doc"] for r in residue.find_residue(df, broadcast_leaves=limit).collect()} == {0, 1}
+
+
 def test_residue_of_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert residue.find_residue(df).count() == 0 and residue.exclude_residue(df).count() == 0
