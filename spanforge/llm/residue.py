@@ -163,8 +163,6 @@ HINTS = frozenset(
     "gefunden verf existiert interner fehler dienst sitzung javascript java js script scripts scripting cookie cookies noscript browser "
     "browsers skripte navigateur navegador enable activate turn allow switch unblock without needs need require requires relies cannot won will does must at".split()
 )
-# A message that reports about such texts is not one itself.
-_REPORTS = re.compile(r"\b(?:works without|so nobody|no longer used|until the|came from|as the\b.{0,40}\bexplains|documented in|that only said|retries)\b", re.I)
 
 
 def mask_shown(text: str) -> str:
@@ -223,7 +221,7 @@ def classify(message: str) -> str | None:
     words = _LATIN.findall(message.lower())
     if len(words) >= 4 and max(sum(w in FILLER_WORDS for w in words), sum(w in KEYBOARD_WORDS for w in words)) >= 0.7 * len(words):
         return "filler"
-    if len(message) > 240 or _REPORTS.search(message):
+    if len(message) > 240:
         return None
     return _apply(message, words)
 

@@ -150,6 +150,11 @@ def test_verdicts_do_not_depend_on_the_other_messages_of_a_leaf(spark):
             assert {r["doc"] for r in residue.find_residue(df, broadcast_leaves=limit).collect()} == {0, 1}
 
 
+@pytest.mark.parametrize("text", ["This page is unavailable until the maintenance window ends.", "This page is no longer available until the move is over.", "An unexpected error occurred, so nobody could be signed in."])
+def test_wordings_of_reports_do_not_hide_a_failed_page(text):
+    assert residue.classify(text) == "failed page"
+
+
 def test_residue_of_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert residue.find_residue(df).count() == 0 and residue.exclude_residue(df).count() == 0
