@@ -24,6 +24,7 @@ DEPTH = 4
 TREE_LEAVES = 200_000  # a task's tree is emitted and begun anew beyond this
 BROADCAST_LEAVES = 500_000  # verdicts sent to every task; beyond it they are joined
 MOST_WORDS = 60  # longer sentences are several messages
+MOST_CHARS = 240  # rules that need a message's end are not tried on longer ones
 WILD = "<*>"
 CHECK = "check"  # verdict of a template that merged messages, one of them condemned: they are judged one by one
 
@@ -138,18 +139,24 @@ def _alternatives(rule: str) -> list[str]:
     return [*out, rule[at:]]
 
 
-def _compiled() -> tuple:
-    """(reason, rule with its word classes filled in, holds CJK text, bound to the message's start) of each rule."""
+def _compiled(long: bool) -> tuple:
+    """(reason, rule with its word classes filled in, holds CJK text, bound to the message's start) of each rule.
+
+    For long messages, the alternatives that do without the message's end.
+    """
     out = []
     for reason, rule in RULES:
-        bound = all(x.startswith("^") for x in _alternatives(rule))
+        parts = [x for x in _alternatives(rule) if not long or "$" not in x.replace("(?:$|", "(?:")]
+        if not parts:
+            continue
+        rule, bound = "|".join(parts), all(x.startswith("^") for x in parts)
         for name, words in (("THING", _THING), ("SCRIPT", _SCRIPT), ("PLACE", _PLACE), ("STATUS", _STATUS)):
             rule = rule.replace(f"{{{name}}}", rf"(?<!\w)(?:{words})(?!\w)")
         out.append((reason, re.compile(rule, re.I), any(ord(c) > 0x2E80 for c in rule), bound))
     return tuple(out)
 
 
-_RULES = _compiled()
+_RULES, _LONG_RULES = _compiled(False), _compiled(True)
 _LATIN = re.compile(r"[a-z]+")
 # Each rule without CJK text needs one of these words (or dots, or an error's name); others are not tried.
 HINTS = frozenset(
@@ -210,7 +217,7 @@ def _apply(message: str, words: list[str]) -> str | None:
     wide_text = _WIDE.search(message) is not None
     latin = not HINTS.isdisjoint(words) or "..." in message or "…" in message or "???" in message or any(w.endswith(("error", "exception")) for w in words)
     if latin or wide_text:
-        for reason, rule, wide, bound in _RULES:
+        for reason, rule, wide, bound in _RULES if len(message) <= MOST_CHARS else _LONG_RULES:
             if (wide_text if wide else latin) and (rule.match if bound else rule.search)(message):
                 return reason
     return None
@@ -221,8 +228,6 @@ def classify(message: str) -> str | None:
     words = _LATIN.findall(message.lower())
     if len(words) >= 4 and max(sum(w in FILLER_WORDS for w in words), sum(w in KEYBOARD_WORDS for w in words)) >= 0.7 * len(words):
         return "filler"
-    if len(message) > 240:
-        return None
     return _apply(message, words)
 
 

@@ -155,6 +155,14 @@ def test_wordings_of_reports_do_not_hide_a_failed_page(text):
     assert residue.classify(text) == "failed page"
 
 
+@pytest.mark.parametrize("text,want", [
+    ("Traceback (most recent call last): " + "File x.py, line 3, in run, " * 12 + "KeyError", "failed page"), ("com.x.StateException: " + "the store of the kiln is not ready and " * 8, "failed page"),
+    ("抱歉" + "这是很长的一段通知" * 30 + "页面不存在", "failed page"), ("A plain sentence about kilns, " * 12, None), ("Not found " + "in the long list of the kilns, " * 12, None),
+])
+def test_long_messages(text, want):
+    assert len(text) > 240 and residue.classify(text) == want
+
+
 def test_residue_of_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert residue.find_residue(df).count() == 0 and residue.exclude_residue(df).count() == 0
