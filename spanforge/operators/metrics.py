@@ -92,6 +92,23 @@ def compare_configs(results: DataFrame, a: str, b: str, metric: str = "hit", see
     return some.unionByName(none).orderBy(F.desc("n")).limit(1)
 
 
+def compare_all(results: DataFrame, metric: str = "hit", seed: int = 0, resamples: int = RESAMPLES, alpha: float = ALPHA) -> DataFrame:
+    """(config_a, config_b, mean_diff, lo, hi, significant, n) of every two configurations with common queries, a < b: as compare_configs."""
+    if metric not in ("hit", "rr"):
+        raise ValueError("metric must be hit or rr")
+
+    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = pdf.sort_values("query_id")["diff"].to_numpy()
+        lo, hi = bootstrap_interval(d, resamples, seed, alpha)
+        return pd.DataFrame({"config_a": [pdf["config_a"].iloc[0]], "config_b": [pdf["config_b"].iloc[0]], "mean_diff": [float(np.mean(d))], "lo": [lo], "hi": [hi], "significant": [not lo <= 0 <= hi], "n": [len(d)]})
+
+    value = F.coalesce("hit", F.lit(False)).cast("double") if metric == "hit" else reciprocal_rank()
+    left = results.select("query_id", F.col("config_id").alias("config_a"), value.alias("x"))
+    right = results.select("query_id", F.col("config_id").alias("config_b"), value.alias("y"))
+    both = left.join(right, "query_id").where("config_a < config_b").select("config_a", "config_b", "query_id", (F.col("x") - F.col("y")).alias("diff"))
+    return both.groupBy("config_a", "config_b").applyInPandas(interval, "config_a string, config_b string, mean_diff double, lo double, hi double, significant boolean, n bigint")
+
+
 def paired_means(results: DataFrame, metric: str = "hit") -> DataFrame:
     """(config_a, config_b, n, mean_diff) of every two configurations, a < b: one equi-join on the query."""
     value = F.coalesce("hit", F.lit(False)).cast("double") if metric == "hit" else reciprocal_rank()

@@ -1,10 +1,15 @@
+import os
+
 import numpy as np
 import pytest
 
 from spanforge.functions.stats import bootstrap_interval
 from spanforge.operators import metrics
+from spanforge.plans import catalogue
 from spanforge.report import RESULT_SCHEMA
 
+SF = "/root/testdata/sf0.001"
+
 
 def row(config, query, hit, rank=None, stage=None, frag=(), tokens=10, refused=False, diag=None):
     return (config, query, hit, {}, list(frag), rank, stage, diag, tokens, refused, None)
@@ -55,6 +60,15 @@ def test_comparison_is_paired(results):
         metrics.compare_configs(results, "A", "B", "other")
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_every_pair_has_an_interval(spark):
+    rows = {(r["config_a"], r["config_b"]): r.asDict() for r in catalogue.queries()["paired_bootstrap"](spark, SF).collect()}
+    assert set(rows) == {(r["config_a"], r["config_b"]) for r in catalogue.queries()["paired_compare"](spark, SF).collect()} and len(rows) == 15
+    for a, b in (min(rows), max(rows)):
+        one = metrics.compare_configs(catalogue.results(spark, SF), a, b, "rr").first().asDict()
+        assert {k: rows[a, b][k] for k in one} == pytest.approx(one)
+
+
 def test_gates(spark, results):
     assert metrics.validity(metrics.config_metrics(results.where("config_id = 'B'"), 1)).first().asDict() == {"baseline_broken": True, "verdicts_suppressed": False}
     assert metrics.validity(metrics.config_metrics(results.limit(0))).first().asDict() == {"baseline_broken": False, "verdicts_suppressed": False}
