@@ -64,6 +64,11 @@ def p5_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return frequency.ngram_frequencies(table(spark, d, "chunks"), "chunk_id", "text", max_n=2).where("n = 2").select("term", "occurrences", "records")
 
 
+def p5_ngrams_all(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of one to five words."""
+    return frequency.ngram_frequencies(table(spark, d, "chunks"), "chunk_id", "text", max_n=5).where("n > 0").select("n", "term", "occurrences", "records")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_documents(table(spark, d, "documents"))
 
@@ -108,7 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_recall, p2_found, p2_balanced, p3_found, p3_weights, p3_top_terms, p4_found, p4_groups, p5_found, p5_terms, p5_ngrams,
+            p1_found, p1_recall, p2_found, p2_balanced, p3_found, p3_weights, p3_top_terms, p4_found, p4_groups, p5_found, p5_terms, p5_ngrams, p5_ngrams_all,
             p6_ids, p6_round_trip, p7_found, p7_mix, p7_report, p8_found, p8_kept, p8_templates,
         )
     }
