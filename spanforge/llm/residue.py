@@ -105,7 +105,7 @@ WORDS = {
     "zugriff_verweigert zugriff_nicht_erlaubt zugang_verweigert zugang_verboten zugriff_verboten accesso_negato accesso_non_autorizzato accesso_vietato acesso_negado acesso_proibido acesso_não_autorizado toegang_geweigerd toegang_verboden доступ_запрещен доступ_запрещён доступ_закрыт в_доступе_отказано odmowa_dostępu brak_dostępu erişim_engellendi åtkomst_nekad adgang_nægtet",
     "YOUCANT": "you_do_not_have you_don't_have you_don’t_have you_need you_lack",
     "RIGHT": "permission permissions access authorization",
-    "OUT": "unavailable down offline under_maintenance not_available unreachable not_reachable unable_to_service overloaded out_of_service not_responding",
+    "OUT": "unavailable down offline under_maintenance not_available no_longer_available unreachable not_reachable unable_to_service overloaded out_of_service not_responding",
     "ADV": "temporarily currently no_longer permanently now right_now down_for",
     "LINK": "connection connexion conexión verbindung connessione conexão",
     "BROKEN": "timed_out refused reset lost interrupted failed was_interrupted was_reset was_refused has_timed_out is_not_private is_not_secure error échouée rechazada fehlgeschlagen unterbrochen rifiutata recusada",
