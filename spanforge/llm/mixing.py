@@ -1,8 +1,10 @@
 """Mixing sources to target weights by a time-varying curriculum.
 
 Each source has a weight schedule over training time t in [0, 1], linear from 1-g to 1+g times
-its target weight, so its integral over the whole training is the target. Integrating it gives
-the cumulative demand W(t) = t + g(t^2 - t); a document whose tokens lie at fraction u of the
+its share of the mix, so its integral over the whole training is its share. The slopes g are
+centred on their mean weighted by the shares, so the weights of all sources add up to 1 at every
+t and position t has a share t of all tokens before it. Integrating a schedule gives the
+cumulative demand W(t) = t + g(t^2 - t); a document whose tokens lie at fraction u of the
 source's demand gets the position t with W(t) = u (closed form), and the mix is range-sorted by
 position. Fractions come from a two-level prefix sum: documents are hashed into buckets, bucket
 totals are summed in order, and running sums are formed inside a bucket only, so a source with a
@@ -19,7 +21,6 @@ from spanforge.llm._common import materialise
 from spanforge.llm.encoding import DEFAULT_VOCABULARY, count_tokens
 
 ROWS_PER_BUCKET = 20_000
-MAX_BUCKETS = 65_536
 
 
 def normal_source(c: Column) -> Column:
@@ -71,19 +72,22 @@ def mix_documents(sizes: DataFrame, plan: DataFrame, slope: Column | None = None
 
     A source's documents are taken in hash order, pass after pass, as long as a copy's middle
     lies inside the source's limit; none is used more than max_repeats times. Documents without
-    tokens take no place. ``slope`` gives g from the plan's columns (default: half the share's
-    rank from front to back, 0 = constant weight).
-    ``sizes`` should be materialised: it is read twice.
+    tokens take no place. ``slope`` gives g before centring from the plan's columns, at most 1/2
+    either way (default: half the share's rank from front to back; equal slopes = constant
+    weights). ``sizes`` should be materialised: it is read twice. Bucket totals are one row a
+    bucket of ROWS_PER_BUCKET documents and source, summed in order for each source by a window.
     """
     n = sizes.count()
-    buckets = max(1, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
+    buckets = max(1, -(-n // ROWS_PER_BUCKET))
     order = F.percent_rank().over(W.partitionBy(F.lit(0)).orderBy("target_share", "name"))
     # One row per distinct listed source: as small as the list of targets.
     per_source = (
         plan.where((F.col("limit") > 0) & (F.col("available") > 0))
         .groupBy("name").agg(*[F.max(c).alias(c) for c in ("target_share", "max_repeats", "available", "limit")])
-        .withColumn("g", slope if slope is not None else order - 0.5)
+        .withColumn("g", F.greatest(F.lit(-0.5), F.least(F.lit(0.5), slope if slope is not None else order - 0.5)))
     )
+    every = W.partitionBy(F.lit(0))
+    per_source = per_source.withColumn("g", F.col("g") - F.sum(F.col("g") * F.col("limit")).over(every) / F.sum("limit").over(every))
     rows = (
         sizes.where("n_tokens > 0")
         .withColumn("h", F.xxhash64("doc", F.lit(seed)))
@@ -109,17 +113,26 @@ def mix_documents(sizes: DataFrame, plan: DataFrame, slope: Column | None = None
 
 
 def mix_report(mix: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per source of the plan: target and actual share, tokens available and used, most copies of a document, outcome."""
+    """Per source of the plan: target and actual share, tokens available, used and missing, most copies of a document, outcome.
+
+    The outcome is read off the mix: short when every document was used as often as allowed and
+    tokens are missing, repeated when all documents were used and one pass is not enough, else
+    trimmed. Tokens a short source cannot give are not made up by other sources: each of these
+    keeps its own target, and ``deficit`` states what is missing.
+    """
     used = mix.groupBy("name").agg(F.sum("n_tokens").alias("used"), F.max("pass").alias("last"))
     every = used.agg(F.sum("used").alias("everything"))  # one row
-    joined = plan.join(used, "name", "left").join(F.broadcast(every), F.lit(True))
+    joined = plan.join(used, "name", "left").join(F.broadcast(every), F.lit(True)).withColumn("used", F.coalesce("used", F.lit(0)))
+    beyond = F.col("wanted") > F.col("available")
+    outcome = F.when(beyond & (F.col("used") >= F.col("max_repeats") * F.col("available")) & (F.col("wanted") > F.col("used")), "short").when(beyond & (F.col("used") >= F.col("available")), "repeated").otherwise("trimmed")
     return joined.select(
         "source", "target_share",
-        (F.coalesce("used", F.lit(0)) / F.col("everything")).alias("actual_share"),
+        (F.col("used") / F.col("everything")).alias("actual_share"),
         F.col("available").alias("tokens_available"),
-        F.coalesce("used", F.lit(0)).alias("tokens_used"),
+        F.col("used").alias("tokens_used"),
+        F.greatest(F.col("wanted") - F.col("limit"), F.lit(0.0)).alias("deficit"),
         F.coalesce(F.col("last") + 1, F.lit(0)).alias("passes"),
-        "outcome",
+        outcome.alias("outcome"),
     )
 
 
