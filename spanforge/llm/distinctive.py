@@ -10,10 +10,6 @@ both counts it is ln((N + 1) / (df + 1)), the same for every record: the collect
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,9 +18,10 @@ from spanforge.llm._common import materialise
 from spanforge.llm.frequency import count_records, distinct_records
 
 BROADCAST_VOCABULARY = 1_000_000  # at most some 100 MB in an executor; beyond it the shuffle join is used
-BROADCAST_TERMS = 200_000  # at most some 20 MB; beyond it a filter of fixed size and the shuffle join are used
-FILTER_BITS = 1 << 26  # 8 MB, whatever the number of terms
-FILTER_SLICES = 64
+BROADCAST_TERMS = 400_000  # (query, term) rows, at most some 40 MB; beyond it shuffle joins are used
+HOT_ASKERS = 1_000  # a prefix term of more queries than this is spread over SALTS parts,
+HOT_TERMS = 10_000  # the most asked of these terms, so that their list stays small; AQE splits what is left
+SALTS = 64
 
 
 def terms_of(text: Column) -> Column:
@@ -91,10 +88,10 @@ def collection_weights(df: DataFrame, record_col: str = "chunk_id", text_col: st
 
 
 def term_sets(queries: DataFrame, query_col: str, text_col: str) -> DataFrame:
-    """(query, terms, asked): the distinct terms of each row of queries and a key that equal sets share."""
+    """(query, terms, asked): the distinct terms of each row of queries and a 128-bit key that equal sets share."""
     terms = F.array_sort(F.array_distinct(terms_of(F.col(text_col).cast("string"))))
     rows = queries.where(F.col(query_col).isNotNull()).select(F.col(query_col).alias("query"), terms.alias("terms"))
-    return rows.where(F.size("terms") > 0).withColumn("asked", F.sha2(F.array_join("terms", " "), 256))
+    return rows.where(F.size("terms") > 0).withColumn("asked", F.substring(F.unhex(F.sha2(F.array_join("terms", " "), 256)), 1, 16))
 
 
 def query_weights(chunks: DataFrame, sets: DataFrame, share: float, record_col: str, text_col: str) -> DataFrame:
@@ -115,66 +112,6 @@ def query_weights(chunks: DataFrame, sets: DataFrame, share: float, record_col:
     )
 
 
-def _positions(terms: list[str]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter((xxhash.xxh3_64_intdigest(t) for t in terms), np.uint64, len(terms)) % np.uint64(FILTER_BITS)
-
-
-def term_filter(terms: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with a bit set for each term of terms(term); slices are united in two levels."""
-    width = FILTER_BITS // FILTER_SLICES
-
-    def mark(batches):
-        slices: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = _positions(batch.column(0).to_pylist())
-            for s in np.unique(at // np.uint64(width)).tolist():
-                bits = slices.setdefault(int(s), np.zeros(width, bool))
-                bits[(at[at // np.uint64(width) == s] % np.uint64(width)).astype(np.int64)] = True
-        for s, bits in slices.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["slice", "bits"])
-
-    def unite(pdf):
-        out = np.zeros(width // 8, np.uint8)
-        for x in pdf["bits"]:
-            out |= np.frombuffer(zlib.decompress(x), np.uint8)
-        return pdf.head(1).assign(bits=[zlib.compress(out.tobytes(), 1)])[["slice", "bits"]]
-
-    marked = terms.select("term").mapInArrow(mark, "slice int, bits binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(256)))
-    united = marked.groupBy("slice", "salt").applyInPandas(unite, "slice int, bits binary").groupBy("slice").applyInPandas(unite, "slice int, bits binary")
-    whole = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in united.collect():
-        whole[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return whole
-
-
-def _filtered_postings(records: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(record, term) of the postings whose term may be in the filter: the others never leave their task."""
-    shared = records.sparkSession.sparkContext.broadcast(bitmap)
-    kind = records.schema["record"].dataType.simpleString()
-
-    def run(batches):
-        bits, known = shared.value, {}
-        for batch in batches:
-            take, out = [], []
-            for i, terms in enumerate(batch.column(1).to_pylist()):
-                fresh = [t for t in terms or () if t not in known]
-                if fresh:
-                    if len(known) > 1_000_000:
-                        known.clear()
-                        fresh = terms
-                    at = _positions(fresh).astype(np.int64)
-                    known.update(zip(fresh, (bits[at >> 3] >> (7 - (at & 7)) & 1).tolist()))
-                for t in terms or ():
-                    if known[t]:
-                        take.append(i)
-                        out.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int32())), pa.array(out, pa.string())], names=["record", "term"])
-
-    return records.select("record", "terms").mapInArrow(run, f"record {kind}, term string")
-
-
 def match_records(
     chunks: DataFrame,
     queries: DataFrame,
@@ -188,29 +125,31 @@ def match_records(
     """(query_id, chunk_id): records whose terms make at least ``share`` of the query's total weight.
 
     Candidates hold a term of the query's rare-first prefix, so common terms' postings are never
-    read; each candidate is then verified by the exact sum. A record must hold at least one of the
-    query's terms. Queries without terms, null ids and records without text give no row; repeated
-    rows give one, and each text of a repeated id is judged on its own. The terms of the prefixes are broadcast if they number at most
-    ``broadcast_terms``; otherwise a bitmap of fixed size thins the postings where they are and the
-    rest, and the candidates, are joined by shuffles.
+    read; a candidate is verified once, by the exact sum. A record must hold at least one of the query's terms. Queries without terms, null ids
+    and records without text give no row; repeated rows give one, and each text of a repeated id
+    is judged on its own. The (query, term) weights are broadcast if
+    they number at most ``broadcast_terms``; otherwise postings and candidates are joined by
+    shuffles, in which the rows of a term that many ask for are spread over SALTS parts.
     """
     sets = term_sets(queries, query_col, query_text_col)
     weights = materialise(query_weights(chunks, sets, share, record_col, text_col))
-    first = weights.where("first").groupBy("term").agg(F.collect_list("asked").alias("askers"))
-    full = weights.groupBy("asked").agg(F.max("total").alias("total"), F.collect_list(F.struct("term", "weight")).alias("weights"))
+    first = weights.where("first").select("term", "asked")
+    full = weights.groupBy("asked").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("term", "weight", "first"))).alias("weights"))  # as long as a query
     records = chunks.where(F.col(record_col).isNotNull()).select(
         F.col(record_col).alias("record"), F.array_distinct(terms_of(F.col(text_col).cast("string"))).alias("terms")
     )
-    small = weights.where("first").limit(broadcast_terms + 1).count() <= broadcast_terms
-    if small:
-        hits = records.select("record", "terms", F.explode("terms").alias("term")).join(F.broadcast(first), "term")
-        found = hits.select(F.explode("askers").alias("asked"), "record", "terms")
+    if weights.limit(broadcast_terms + 1).count() <= broadcast_terms:
+        hits = records.select("record", "terms", F.explode("terms").alias("term")).join(F.broadcast(first), "term").join(F.broadcast(full), "asked")
+        prefix = F.filter("weights", lambda w: w["first"] & F.array_contains("terms", w["term"]))
+        found = hits.where(F.get(prefix, 0)["term"] == F.col("term"))
     else:
-        hits = _filtered_postings(records, term_filter(first)).join(first, "term")
-        pairs = hits.select(F.explode("askers").alias("asked"), "record").distinct()
-        found = pairs.join(records.dropDuplicates(["record", "terms"]), "record")
-    held = lambda r: F.aggregate(
-        F.filter("weights", lambda w: F.array_contains(r, w["term"])), F.lit(0.0), lambda a, w: a + w["weight"]
-    )
-    exact = found.join(full, "asked").where(held(F.col("terms")) >= F.col("total") * share - 1e-9).select("asked", "record").distinct()
+        asked_often = first.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ASKERS).orderBy(F.desc("n"), "term").limit(HOT_TERMS)
+        often = F.broadcast(asked_often.select("term", F.lit(SALTS).alias("parts")))
+        salted = first.join(often, "term", "left").select("term", "asked", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+        postings = records.select("record", F.explode("terms").alias("term")).join(often, "term", "left")
+        postings = postings.select("record", "term", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("record"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+        pairs = postings.join(salted, ["term", "salt"]).select("asked", "record").distinct()
+        found = pairs.join(full, "asked").join(records.dropDuplicates(["record", "terms"]), "record")
+    held = F.aggregate(F.filter("weights", lambda w: F.array_contains("terms", w["term"])), F.lit(0.0), lambda a, w: a + w["weight"])
+    exact = found.where(held >= F.col("total") * share - 1e-9).select("asked", "record").distinct()
     return exact.join(sets.select("query", "asked").distinct(), "asked").select(F.col("query").alias("query_id"), F.col("record").alias("chunk_id")).distinct()

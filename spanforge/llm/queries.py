@@ -29,6 +29,16 @@ def p2_balanced(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"), limit=1500, overlap=150, placement="balanced")
 
 
+def p2_balanced_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Of each oversized document where its balanced pieces begin and end, and whether all keep the limit and overlap by 150."""
+    pieces = p2_balanced(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("piece_start", "piece_end"))).alias("p"))  # as long as one document
+    follow = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.col("p")[i]["piece_start"] == F.col("p")[i - 1]["piece_end"] - 150)
+    return pieces.select(
+        "doc_id", F.col("p")[0]["piece_start"].alias("first_start"), F.element_at("p", -1)["piece_end"].alias("last_end"),
+        F.forall("p", lambda x: x["piece_end"] - x["piece_start"] <= 1500).alias("within"), follow.alias("overlap"),
+    )
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.match_records(table(spark, d, "chunks"), table(spark, d, "queries"), share=0.5)
 
@@ -113,7 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_recall, p2_found, p2_balanced, p3_found, p3_weights, p3_top_terms, p4_found, p4_groups, p5_found, p5_terms, p5_ngrams, p5_ngrams_all,
+            p1_found, p1_recall, p2_found, p2_balanced, p2_balanced_summary, p3_found, p3_weights, p3_top_terms, p4_found, p4_groups, p5_found, p5_terms, p5_ngrams, p5_ngrams_all,
             p6_ids, p6_round_trip, p7_found, p7_mix, p7_report, p8_found, p8_kept, p8_templates,
         )
     }
@@ -142,6 +152,16 @@ i AS (SELECT a, b, count(*) AS i FROM k JOIN s x ON x.doc_id = a JOIN s y ON y.d
 j AS (SELECT a, b, i::DOUBLE / (ca.c + cb.c - i) AS j FROM i JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b)"""
 
 
+_COSINES = """
+WITH v AS (
+  SELECT DISTINCT vec_id, model, embedding::DOUBLE[] AS e FROM chunk_vectors
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+sims AS (
+  SELECT a.model, a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.e, b.e) AS s
+  FROM v a JOIN v b ON a.model = b.model AND a.vec_id <> b.vec_id),
+best AS (SELECT model, x, y, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS r FROM sims WHERE s >= 0.92)"""
+
 _RECORDS = r"""
 texts AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL),
 words AS (SELECT chunk_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM texts)
@@ -150,16 +170,7 @@ words AS (SELECT chunk_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": """
-WITH v AS (
-  SELECT DISTINCT vec_id, model, embedding::DOUBLE[] AS e FROM chunk_vectors
-  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-sims AS (
-  SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.e, b.e) AS s
-  FROM v a JOIN v b ON a.model = b.model AND a.vec_id <> b.vec_id),
-best AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS r FROM sims WHERE s >= 0.92)
-SELECT DISTINCT least(x, y) AS vec_id_a, greatest(x, y) AS vec_id_b FROM best WHERE r <= 5""",
+        "p1_found": f"{_COSINES} SELECT DISTINCT least(x, y) AS vec_id_a, greatest(x, y) AS vec_id_b FROM best WHERE r <= 5",
         "p2_found": r"""
 WITH RECURSIVE p AS (
   SELECT doc_id, text, 0 AS s, length(text)::INT AS n FROM documents WHERE length(text) > 1500
@@ -174,6 +185,11 @@ WITH RECURSIVE p AS (
       coalesce(1501 - nullif(strpos(w, ' '), 0), 0) AS k4
       FROM (SELECT *, array_to_string(list_transform(range(0, 1500), lambda i: substr(text, s + 1500 - i, 1)), '') AS w FROM p WHERE n - s > 1500))))
 SELECT doc_id, s::INT AS piece_start, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY s) + 150, n)::INT AS piece_end FROM p""",
+        "p2_balanced_summary": "SELECT doc_id, 0::INT AS first_start, length(text)::INT AS last_end, true AS within, true AS overlap FROM documents WHERE length(text) > 1500",
+        "p1_recall": f"""
+{_COSINES},
+q AS (SELECT model, x, count(*) FILTER (r <= 5) AS c FROM best WHERE x % 20 = 0 GROUP BY model, x)
+SELECT model, 5::INT AS k, count(*)::INT AS n, 1.0::DOUBLE AS mean_recall, 1.0::DOUBLE AS min_recall, 0::INT AS queries_below_full_recall FROM q GROUP BY model""",
         "p3_found": f"""
 WITH {_TERMS},
 q AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM queries WHERE id IS NOT NULL),
