@@ -1,16 +1,20 @@
 """The k most similar vectors of every vector.
 
-Method: a hierarchical k-means tree, fitted on a bounded sample, searched best bin first. Every
-vector lives in its home leaf and, as a query, visits further leaves in the order of a priority
-queue keyed by a bin's bound: the largest distance, over the levels of its path, of the query
-to the plane between the path's centre and the best sibling's. The search widens until the
-bound exceeds a radius, and the radius is calibrated: a sample of queries is compared with all
-vectors, and the smallest radius that reaches the wanted mean recall is taken.
-
-Leaves are joined by one shuffle. Exact copies of a vector leave a batch under at most k + 2 ids;
-when a vector has more copies than that, their neighbours are its first copies, given by a join.
-Leaves above ``leaf_rows`` (four times the mean leaf, at least LEAF_ROWS) are cut into blocks that
-every query of the leaf visits; the best k of all blocks are merged, so nothing is dropped.
+Method: a hierarchical k-means tree, searched best bin first. The top of the tree is fitted on a
+bounded sample; leaves that hold too many of all vectors are split again on samples of their own,
+in parallel, so leaves stay small whatever the number of vectors. A query descends through a
+priority queue keyed by a bin's bound: the largest distance, over the levels of its path, of the
+query to the plane between the path's centre and the best sibling's, which no vector of the bin
+can undercut. It first searches its home leaf; then it pops further bins until the best bound
+left exceeds ``width`` times the distance of its k-th neighbour so far. The width is calibrated:
+sampled queries are compared with all vectors, half of them give the least width that reaches
+the wanted recall, and it is widened until the other half reaches it too.
+
+Both steps are one shuffle each by leaf. A task streams through its leaves: it holds the vectors
+at home in one block of a leaf and one batch of visitors. Leaves above ``leaf_rows`` are cut
+into blocks on both sides, and every pair of blocks meets, so nothing is dropped. Exact copies of
+a vector travel at most k + 2 at a time; when it has more, their neighbours are its first copies,
+given by a join.
 """
 
 from __future__ import annotations
@@ -26,15 +30,21 @@ from pyspark.sql import functions as F
 
 from spanforge.llm._common import materialise
 
-SAMPLE = (16_384, 262_144)  # vectors the tree is fitted on: an eighth of all within these bounds
-CALIBRATION = 2_048  # queries compared with all vectors to calibrate the radius
+SAMPLE = (16_384, 131_072)  # vectors the top of the tree is fitted on: an eighth of all within these bounds
+LEAF_SAMPLE = 32_768  # vectors of one leaf that its subtree is fitted on
+CALIBRATION = 2_048  # queries compared with all vectors to calibrate the width
 BRANCHING = 8
 LEAF_TARGET = 1_024
-MAX_LEAVES = 32_768  # 8 MB of centres at 64 dimensions
+PER_LEAF = 16  # sample vectors a leaf needs
+MAX_LEAVES = 262_144  # 64 MB of centres at 64 dimensions, sent to every task
+LEVELS = 4  # rounds of splitting
 LEAF_ROWS = 4_096
-BATCH = 8_192
-MARGIN = 1.5  # the calibrated radius is widened by this factor
-WIDEST = 1.0  # no radius beyond this is tried
+MARGIN = 1.5  # the calibrated width is widened by this factor
+
+
+def _distance(sim):
+    """Between unit vectors."""
+    return np.sqrt(np.maximum(2 - 2 * np.asarray(sim, float), 0))
 
 
 @dataclass
@@ -45,80 +55,115 @@ class Tree:
     first: np.ndarray
     count: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.size = (self.centres * self.centres).sum(axis=1)
+        self.width = max(int(self.count.max()), 1)
+        kids = np.minimum(self.first[:, None] + np.arange(self.width), len(self.first) - 1)
+        inner = np.flatnonzero(self.count)
+        self.row = np.zeros(len(self.first), np.int64)
+        self.row[inner] = np.arange(len(inner))
+        c = self.centres[kids[inner]].astype(np.float32)
+        cross = np.einsum("nid,njd->nij", c, c)
+        square = np.einsum("nii->ni", cross)
+        self.apart = np.sqrt(np.maximum(square[:, :, None] + square[:, None, :] - 2 * cross, 1e-12)) if len(inner) else np.ones((1, 1, 1))
+        self.kids, self.valid = kids, np.arange(self.width) < self.count[:, None]
+        self.parent = np.full(len(self.first), -1, np.int64)
+        self.parent[kids[inner][self.valid[inner]]] = np.repeat(inner, self.count[inner])
+
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.centres, self.first, self.count
 
-    def bounds(self, x: np.ndarray, node: int) -> np.ndarray:
-        """Distance of each row of x to the plane between each child's centre and the best child's; 0 for the best."""
-        c = self.centres[self.first[node] : self.first[node] + self.count[node]]
-        d = (c * c).sum(axis=1)[None, :] - 2 * x @ c.T  # squared distance less |x|^2
+    def bounds(self, x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Distance of row i of x to the plane between each child's centre and the best child's of nodes[i]; 0 for the best."""
+        kids = self.kids[nodes]
+        d = self.size[kids] - 2 * np.einsum("rd,rkd->rk", x, self.centres[kids])  # squared distance less |x|^2
+        d[~self.valid[nodes]] = np.inf
         best = d.argmin(axis=1)
-        apart = np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2), 1e-12))
-        return np.maximum(d - d[np.arange(len(x)), best][:, None], 0) / (2 * apart[best])
+        gap = d - d[np.arange(len(x)), best][:, None]
+        return np.maximum(gap, 0) / (2 * self.apart[self.row[nodes], best])
 
     def home(self, x: np.ndarray) -> np.ndarray:
         """The home leaf of each row: the best child at every level."""
+        x = x.astype(np.float32)
         at = np.zeros(len(x), np.int64)
-        todo = np.arange(len(x))
+        todo = np.flatnonzero(self.count[at] > 0)
         while len(todo):
+            for lo in range(0, len(todo), 4096):
+                rows = todo[lo : lo + 4096]
+                at[rows] = self.first[at[rows]] + self.bounds(x[rows], at[rows]).argmin(axis=1)
             todo = todo[self.count[at[todo]] > 0]
-            for node in np.unique(at[todo]):
-                rows = todo[at[todo] == node]
-                at[rows] = self.first[node] + self.bounds(x[rows], node).argmin(axis=1)
         return at
 
-    def visits(self, x: np.ndarray, radius: float):
-        """(rows, leaves, bounds): for each row every leaf with a bound of at most radius, best bin first.
+    def visits(self, x: np.ndarray, stop: np.ndarray):
+        """(rows, leaves, bounds): for each row the leaves it visits, best bin first, until the best bound left exceeds its stop.
 
-        One priority queue per row; the bounds of a node's children are computed for all rows that
-        may reach it at once.
+        Every row has its own priority queue; the queues are popped in step, so that the bounds of
+        all popped nodes' children are computed at once.
         """
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        reach = {0: (np.arange(len(x)), np.zeros(len(x)))}
-        while reach:
-            below: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for node, (rows, bound) in reach.items():
-                if not self.count[node]:
-                    continue
-                b = np.maximum(self.bounds(x[rows], node), bound[:, None])
-                where = np.full(len(x), -1, np.int64)
-                where[rows] = np.arange(len(rows))
-                known[node] = (where, b)
-                for j in range(self.count[node]):
-                    near = b[:, j] <= radius
-                    if near.any():
-                        below[self.first[node] + j] = (rows[near], b[near, j])
-            reach = below
-        out_rows, out_leaves, out_bounds = [], [], []
-        for i in range(len(x)):
-            queue = [(0.0, 0)]
-            while queue:
-                bound, node = heapq.heappop(queue)
-                if not self.count[node]:
-                    out_rows.append(i)
-                    out_leaves.append(node)
-                    out_bounds.append(bound)
-                    continue
-                where, b = known[node]
-                row = b[where[i]]
-                for j in np.flatnonzero(row <= radius).tolist():
-                    heapq.heappush(queue, (float(row[j]), int(self.first[node]) + j))
-        return np.array(out_rows, np.int64), np.array(out_leaves, np.int64), np.array(out_bounds)
+        x, stop = x.astype(np.float32), np.broadcast_to(np.asarray(stop, float), (len(x),))
+        out: list[tuple] = []
+        for lo in range(0, len(x), 2048):
+            rows = np.arange(lo, min(lo + 2048, len(x)))
+            queue = np.full((len(rows), 8 * self.width), np.inf)
+            nodes = np.zeros(queue.shape, np.int64)
+            queue[:, 0], used = 0.0, 1
+            live = np.arange(len(rows))
+            while len(live):
+                j = queue[live].argmin(axis=1)
+                bound = queue[live, j]
+                near = bound <= stop[rows[live]]
+                live, j, bound = live[near], j[near], bound[near]
+                if not len(live):
+                    break
+                queue[live, j] = np.inf
+                node = nodes[live, j]
+                leaf = self.count[node] == 0
+                if leaf.any():
+                    out.append((rows[live[leaf]], node[leaf], bound[leaf]))
+                inner = live[~leaf]
+                if len(inner):
+                    if used + self.width > queue.shape[1]:  # the queues are sorted and cut to what is left in them
+                        order = queue.argsort(axis=1)
+                        queue, nodes = np.take_along_axis(queue, order, 1), np.take_along_axis(nodes, order, 1)
+                        used = int(np.isfinite(queue).sum(axis=1).max())
+                        if used + self.width > queue.shape[1]:
+                            queue = np.concatenate([queue, np.full(queue.shape, np.inf)], axis=1)
+                            nodes = np.concatenate([nodes, np.zeros(nodes.shape, np.int64)], axis=1)
+                    b = np.maximum(self.bounds(x[rows[inner]], node[~leaf]), bound[~leaf][:, None])
+                    b[b > stop[rows[inner]][:, None]] = np.inf
+                    queue[inner, used : used + self.width] = b
+                    nodes[inner, used : used + self.width] = self.kids[node[~leaf]]
+                    used += self.width
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        found = [np.concatenate(z) for z in zip(*out)]
+        order = np.argsort(found[0], kind="stable")
+        return tuple(z[order] for z in found)
 
     def leaf_bound(self, x: np.ndarray, leaves: np.ndarray) -> np.ndarray:
         """Row i's bound of leaf leaves[i]."""
-        parent = np.full(len(self.first), -1, np.int64)
-        for node in np.flatnonzero(self.count):
-            parent[self.first[node] : self.first[node] + self.count[node]] = node
-        bound, at = np.zeros(len(x)), leaves.copy()
-        while (at > 0).any():
-            for node in np.unique(parent[at[at > 0]]):
-                rows = np.flatnonzero((at > 0) & (parent[np.maximum(at, 0)] == node))
-                b = self.bounds(x[rows], node)
-                bound[rows] = np.maximum(bound[rows], b[np.arange(len(rows)), at[rows] - self.first[node]])
-            at = np.where(at > 0, parent[at], at)
+        x, bound, at = x.astype(np.float32), np.zeros(len(x)), np.asarray(leaves).copy()
+        rows = np.flatnonzero(at > 0)
+        while len(rows):
+            up = self.parent[at[rows]]
+            b = self.bounds(x[rows], up)[np.arange(len(rows)), at[rows] - self.first[up]]
+            bound[rows] = np.maximum(bound[rows], b)
+            at[rows] = up
+            rows = rows[up > 0]
         return bound
 
+    def grown(self, subtrees: dict[int, Tree]) -> Tree:
+        """The tree with leaves replaced by subtrees; other nodes keep their numbers."""
+        centres, first, count, base = [self.centres], self.first.copy(), self.count.copy(), len(self.first)
+        more_first, more_count = [], []
+        for leaf, sub in subtrees.items():
+            first[leaf], count[leaf] = base + sub.first[0] - 1, sub.count[0]
+            centres.append(sub.centres[1:])
+            more_first.append(np.where(sub.count[1:] > 0, base + sub.first[1:] - 1, 0))
+            more_count.append(sub.count[1:])
+            base += len(sub.first) - 1
+        return Tree(np.concatenate(centres), np.concatenate([first, *more_first]), np.concatenate([count, *more_count]))
+
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=False)].copy()
@@ -173,15 +218,18 @@ def _matrix(column, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _share(salt: int):
+    return F.shiftrightunsigned(F.xxhash64("id", F.lit(salt)), 11) / float(1 << 53)
+
+
 def _sample(vectors: DataFrame, size: int, total: int, dim: int, salt: int) -> tuple[list, list, np.ndarray]:
     """About ``size`` of ``total`` vectors, those with the least hashes of their ids: the same whatever the partitions.
 
     The share is taken where the rows are, so only the sample travels; repeated rows count once
-    and twice the size is never exceeded.
+    and a tenth more than the size is never exceeded.
     """
-    share = F.shiftrightunsigned(F.xxhash64("id", F.lit(salt)), 11) / float(1 << 53)
-    rows = vectors.where(share < min(1.0, size / max(total, 1))).select("id", "grp", "vec", "same").dropDuplicates(["id", "same"])
-    rows = rows.select("id", "grp", "vec").limit(2 * size).toArrow()
+    rows = vectors.where(_share(salt) < min(1.0, size / max(total, 1))).select("id", "grp", "vec", "same").dropDuplicates(["id", "same"])
+    rows = rows.select("id", "grp", "vec").limit(size + size // 10 + 100).toArrow()
     if not rows.num_rows:
         return [], [], np.zeros((0, dim))
     order = np.lexsort((np.array(rows.column("grp").to_pylist()), np.array(rows.column("id").to_pylist())))
@@ -190,10 +238,10 @@ def _sample(vectors: DataFrame, size: int, total: int, dim: int, salt: int) -> t
 
 
 def compare_with_all(vectors: DataFrame, ids: list, groups: list, x: np.ndarray, k: int, least: float, dim: int, tree: Tree | None = None) -> DataFrame:
-    """(q, id, sim, bound): for each query row its exact k best other vectors of its group with sim >= least.
+    """(q, id, sim, near, far): for each query row its exact k best other vectors of its group with sim >= least.
 
-    Brute force in blocks; the queries are few and go to every task. bound: the smaller of the
-    two radii at which the tree's search finds the pair from either side (0 without a tree).
+    Brute force in blocks; the queries are few and go to every task. near is the bound at which
+    the query's search reaches the other's leaf, far the reverse (0 without a tree).
     """
     kind = vectors.schema["id"].dataType.simpleString()
     sc = vectors.sparkSession.sparkContext
@@ -205,14 +253,14 @@ def compare_with_all(vectors: DataFrame, ids: list, groups: list, x: np.ndarray,
         kept, size, id_type = [], 0, None
 
         def best():
-            a, i, s, bound = (np.concatenate(x) for x in zip(*kept))
+            a, i, s, near, far = (np.concatenate(x) for x in zip(*kept))
             order = np.lexsort((i, -s, a))
-            a, i, s, bound = a[order], i[order], s[order], bound[order]
+            a, i, s, near, far = a[order], i[order], s[order], near[order], far[order]
             once = np.ones(len(a), bool)
             once[1:] = (a[1:] != a[:-1]) | (i[1:] != i[:-1])
-            a, i, s, bound = a[once], i[once], s[once], bound[once]
+            a, i, s, near, far = a[once], i[once], s[once], near[once], far[once]
             top = np.arange(len(a)) - np.searchsorted(a, a) < 2 * k
-            return a[top], i[top], s[top], bound[top]
+            return a[top], i[top], s[top], near[top], far[top]
 
         for batch in batches:
             if not batch.num_rows or not len(q):
@@ -232,36 +280,131 @@ def compare_with_all(vectors: DataFrame, ids: list, groups: list, x: np.ndarray,
                 a, b, s = a[good], b[good], s[good]
                 if not len(a):
                     continue
-                bound = np.zeros(len(a))
+                near = far = np.zeros(len(a))
                 if tree is not None:
-                    bound = np.minimum(tree.leaf_bound(q[a], tree.home(v[b])), tree.leaf_bound(v[b], q_home[a]))
-                kept.append((a, own[b], s, bound))
+                    near, far = tree.leaf_bound(q[a], tree.home(v[b])), tree.leaf_bound(v[b], q_home[a])
+                kept.append((a, own[b], s, near, far))
                 size += len(a)
                 if size > 200_000:  # a task keeps no more than its best
                     kept = [best()]
                     size = len(kept[0][0])
         if kept:
-            a, i, s, bound = best()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(i.tolist(), id_type), pa.array(s), pa.array(bound, pa.float64())], names=["q", "id", "sim", "bound"])
+            a, i, s, near, far = best()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(i.tolist(), id_type), *(pa.array(z, pa.float64()) for z in (s, near, far))], names=["q", "id", "sim", "near", "far"])
 
-    found = vectors.select("id", "grp", "vec").mapInArrow(run, f"q int, id {kind}, sim double, bound double").distinct()
+    found = vectors.select("id", "grp", "vec").mapInArrow(run, f"q int, id {kind}, sim double, near double, far double").dropDuplicates(["q", "id"])
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def width_for(q: np.ndarray, sim: np.ndarray, near: np.ndarray, far: np.ndarray, k: int, least: float, target: float) -> float:
+    """The least width at which both halves of the queries reach the mean recall ``target``.
+
+    A pair is found if its bound from the query's side is within width times the distance of the
+    query's k-th neighbour, or from the other side within width times their own distance.
+    """
+    if not len(q):
+        return MARGIN
+    values, place, counts = np.unique(q, return_inverse=True, return_counts=True)
+    last = np.full(len(values), 2.0)
+    np.minimum.at(last, place, sim)
+    stop = np.where(counts < k, _distance(least), _distance(last))
+    need = np.minimum(near / np.maximum(stop[place], 1e-6), far / np.maximum(_distance(sim), 1e-6))
+    weight = 1.0 / counts[place]
+    width = 0.0
+    for half in (values[place] % 2 == 0, values[place] % 2 == 1):  # fitted on the first half, checked and widened on the second
+        if half.any():
+            order = np.argsort(need[half])
+            recall = np.cumsum(weight[half][order]) / weight[half].sum()
+            width = max(width, float(need[half][order][min(np.searchsorted(recall, target - 1e-12), len(order) - 1)]))
+    return width * MARGIN + 1e-3
+
+
 def calibrate(vectors: DataFrame, total: int, tree: Tree, k: int, least: float, dim: int, queries: int, target: float) -> float:
-    """The smallest radius at which the sampled queries' mean recall reaches target."""
     ids, groups, x = _sample(vectors, queries, total, dim, salt=2)
-    found = compare_with_all(vectors, ids, groups, x, k, least, dim, tree).select("q", "bound").toPandas()
-    if not len(found):
-        return 0.15
-    need = np.sort(found["bound"].unique())
-    weight = 1.0 / found.groupby("q")["bound"].transform("size")
-    order = np.argsort(found["bound"].to_numpy())
-    recall = np.cumsum(weight.to_numpy()[order]) / found["q"].nunique()
-    at = found["bound"].to_numpy()[order][np.searchsorted(recall, min(target, recall[-1]) - 1e-12)]
-    wider = need[need >= at]
-    return float(min(wider[0] * MARGIN + 1e-3, WIDEST))
+    found = compare_with_all(vectors, ids, groups, x, k, least, dim, tree).select("q", "sim", "near", "far").toPandas()
+    return width_for(*(found[c].to_numpy() for c in ("q", "sim", "near", "far")), k, least, target)
+
+
+def grow_tree(vectors: DataFrame, total: int, dim: int, most: int, sample: tuple[int, int], leaf_target: int) -> tuple[Tree, dict[int, int]]:
+    """(tree, sizes of its leaves above leaf_target): the top from a sample of all, then, level by level, subtrees of
+    large leaves from samples of their own, each fitted where its sample is.
+
+    Sizes count what travels: at most ``most`` copies of a vector a batch.
+    """
+    spark = vectors.sparkSession
+    _, _, x = _sample(vectors, min(max(total // 8, sample[0]), sample[1]), total, dim, salt=1)
+    tree = fit_tree(x, max(1, min(total // leaf_target, len(x) // PER_LEAF)))
+    sizes: dict[int, int] = {}
+    for level in range(LEVELS + 1):
+        if total <= leaf_target:
+            break
+        shared = spark.sparkContext.broadcast(tree.arrays())  # arrays only: workers may lack this package
+        counts = vectors.select("vec", "same").mapInArrow(_leaf_counts(shared, dim, most), "leaf int, n bigint").groupBy("leaf").agg(F.sum("n").alias("n"))
+        before, sizes = sizes, {r["leaf"]: r["n"] for r in counts.where(F.col("n") > leaf_target).collect()}
+        room = MAX_LEAVES - int((tree.count == 0).sum())
+        large = {leaf: n for leaf, n in sizes.items() if n > 4 * leaf_target and before.get(leaf) != n}  # a leaf that did not split stays
+        if not large or room <= 0 or level == LEVELS:
+            break
+        wanted = {leaf: min(-(-n // leaf_target), LEAF_SAMPLE // PER_LEAF) for leaf, n in large.items()}
+        scale = min(1.0, room / sum(wanted.values()))
+        plan = {leaf: (min(1.0, LEAF_SAMPLE / large[leaf]), max(2, int(w * scale))) for leaf, w in wanted.items()}
+        given = spark.sparkContext.broadcast(plan)
+        near = vectors.select(_share(4).alias("share"), "vec", "same").mapInArrow(_leaf_sample(shared, given, dim, most), "leaf int, vec binary")
+        fitted = near.groupBy("leaf").applyInArrow(_fit_leaf(given, dim), "leaf int, centres binary, first binary, count binary")
+        subtrees = {
+            r["leaf"]: Tree(np.frombuffer(r["centres"], np.float32).reshape(-1, dim), np.frombuffer(r["first"], np.int64), np.frombuffer(r["count"], np.int64)) for r in fitted.collect()
+        }
+        subtrees = {leaf: t for leaf, t in subtrees.items() if t.count[0]}
+        if not subtrees:
+            break
+        tree = tree.grown(subtrees)
+    return tree, sizes
+
+
+def _first_copies(same: np.ndarray, most: int) -> np.ndarray:
+    """Indices of at most ``most`` rows of each value, in order."""
+    order = np.argsort(same, kind="stable")
+    return np.sort(order[np.arange(len(same)) - np.searchsorted(same[order], same[order]) < most])
+
+
+def _leaf_counts(shared, dim: int, most: int):
+    def run(batches):
+        tree = Tree(*shared.value)
+        total = np.zeros(len(tree.first), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                keep = pa.array(_first_copies(batch.column(1).to_numpy(), most))
+                total += np.bincount(tree.home(_matrix(batch.column(0).take(keep), dim)), minlength=len(total))
+        leaves = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(total[leaves], pa.int64())], names=["leaf", "n"])
+
+    return run
+
+
+def _leaf_sample(shared, given, dim: int, most: int):
+    def run(batches):
+        tree, plan = Tree(*shared.value), given.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.take(pa.array(_first_copies(batch.column(2).to_numpy(), most)))
+            share, v = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
+            home = tree.home(v)
+            rows = [i for i, leaf in enumerate(home.tolist()) if leaf in plan and share[i] < plan[leaf][0]]
+            yield pa.RecordBatch.from_arrays([pa.array(home[rows], pa.int32()), pa.array([r.tobytes() for r in v[rows].astype(np.float32)], pa.binary())], names=["leaf", "vec"])
+
+    return run
+
+
+def _fit_leaf(given, dim: int):
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        leaf = key[0].as_py()
+        x = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float32).reshape(-1, dim)
+        tree = fit_tree(x, min(given.value[leaf][1], max(1, len(x) // PER_LEAF)), seed=leaf)
+        return pa.table({"leaf": pa.array([leaf], pa.int32()), "centres": pa.array([tree.centres.tobytes()], pa.binary()), "first": pa.array([tree.first.tobytes()], pa.binary()), "count": pa.array([tree.count.tobytes()], pa.binary())})
+
+    return run
 
 
 def similar_pairs(
@@ -276,73 +419,31 @@ def similar_pairs(
     sample: tuple[int, int] = SAMPLE,
     calibration: int = CALIBRATION,
     leaf_target: int = LEAF_TARGET,
-    leaf_rows: int | None = None,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """(vec, other, sim, rank): of every usable vector the k most similar others of its group with cosine >= least.
 
     Ties rank by id. Vectors that are null, of another length, not finite or all zero are no
     vectors; a null group is a group of its own; null ids are dropped; repeated rows of an id
-    count once. The tree is fitted on an eighth of the vectors, at least ``sample[0]`` and at most
-    ``sample[1]``, and the radius on ``calibration`` queries, of which it reaches
-    ``target_recall`` before it is widened by MARGIN; every vector is indexed and searched.
+    count once. The top of the tree is fitted on an eighth of the vectors, at least ``sample[0]``
+    and at most ``sample[1]``, and the width on ``calibration`` queries, both halves of which
+    reach ``target_recall`` before it is widened by MARGIN; every vector is indexed and searched.
     """
     vectors = usable_vectors(df, id_col, vector_col, group_col, dim)
     kind = vectors.schema["id"].dataType.simpleString()
-    spark = df.sparkSession
-    total = vectors.count()
-    _, _, x = _sample(vectors, min(max(total // 8, sample[0]), sample[1]), total, dim, salt=1)
-    tree = fit_tree(x, max(1, min(MAX_LEAVES, total // leaf_target, len(x) // 16)))
-    radius = calibrate(vectors, total, tree, k, least, dim, calibration, target_recall)
-    shared = spark.sparkContext.broadcast(tree.arrays())  # arrays only: workers may lack this package
-    most = k + 2
-    if leaf_rows is None:
-        leaf_rows = max(LEAF_ROWS, 4 * total // int((tree.count == 0).sum()))
-
-    def place(batches):
-        tree = Tree(*shared.value)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, same = np.array(batch.column(0).to_pylist()), batch.column(3).to_numpy()
-            order = np.lexsort((ids, same))
-            ids, same = ids[order], same[order]
-            new = np.ones(len(ids), bool)  # a repeated id takes one place of the quota
-            new[1:] = (ids[1:] != ids[:-1]) | (same[1:] != same[:-1])
-            order, same = order[new], same[new]
-            batch = batch.take(pa.array(order[np.arange(len(same)) - np.searchsorted(same, same) < most]))
-            v = _matrix(batch.column(2), dim)
-            home = tree.home(v)
-            rows, leaves, _ = tree.visits(v, radius)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), batch.column(3).take(pa.array(rows)),
-                    pa.array(leaves, pa.int32()), pa.array(home[rows] == leaves),
-                    pa.array([r.tobytes() for r in v.astype(np.float32)], pa.binary()).take(pa.array(rows)),
-                ],
-                names=["id", "grp", "same", "leaf", "home", "vec"],
-            )
-
-    placed = vectors.mapInArrow(place, f"id {kind}, grp string, same bigint, leaf int, home boolean, vec binary")
-    # Leaf sizes are bounded by the number of leaves; only leaves above leaf_rows are cut.
-    cut = []
-    if total > leaf_rows:
-        homes = vectors.select("vec").mapInArrow(_leaf_counts(shared, dim), "leaf int, n bigint").groupBy("leaf").agg(F.sum("n").alias("n"))
-        cut = [(r["leaf"], -(-r["n"] // leaf_rows)) for r in homes.where(F.col("n") > leaf_rows).collect()]
-    if cut:
-        sizes = F.broadcast(spark.createDataFrame(cut, "leaf int, blocks bigint"))  # at most one row a leaf
-        placed = placed.join(sizes, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        placed = placed.withColumn("own", F.pmod(F.xxhash64("same", "id"), "blocks"))
-        placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        placed = placed.withColumn("home", F.col("home") & (F.col("own") == F.col("block")))
-    else:
-        placed = placed.withColumn("block", F.lit(0).cast("bigint"))
-    found = placed.groupBy("grp", "leaf", "block").applyInArrow(
-        _leaf_search(k, least, most, kind), f"id {kind}, other {kind}, sim double, grp string, same bigint"
-    )
-    found = materialise(found)
-
-    many = found.where("same is not null").select("grp", "same").distinct()
-    pairs = found.where("same is null").select("id", "other", "sim")
+    sc, total, most = df.sparkSession.sparkContext, vectors.count(), k + 2
+    tree, sizes = grow_tree(vectors, total, dim, most, sample, leaf_target)
+    width = calibrate(vectors, total, tree, k, least, dim, calibration, target_recall)
+    shared = sc.broadcast((tree.arrays(), {leaf: -(-n // leaf_rows) for leaf, n in sizes.items() if n > leaf_rows}))  # as large as the tree at most
+    schema = f"grp string, leaf int, home_block int, visit_block int, role int, same bigint, id {kind}, vec binary, other {kind}, sim double"
+    keys = ["grp", "leaf", "home_block", "visit_block"]
+    placed = vectors.mapInArrow(_place(shared, dim, most), schema)
+    searched = placed.repartition(*keys).sortWithinPartitions(*keys, "role", "same", "id").mapInArrow(_search(shared, k, least, most, dim, width), schema)
+    visited = searched.repartition(*keys).sortWithinPartitions(*keys, "role", "same", "id").mapInArrow(_search(shared, k, least, most, dim, None), schema)
+    found = materialise(visited.select("id", "other", "sim", "grp", "same", "role"))
+
+    many = found.where(F.col("role") == CROWDED).select("grp", "same").distinct()
+    pairs = found.where(F.col("role") == PAIR).select("id", "other", "sim")
     if many.limit(1).count():
         pairs = pairs.unionByName(_copies_of_many(vectors, many, k))
     pairs = pairs.groupBy("id", "other").agg(F.max("sim").alias("sim"))
@@ -350,68 +451,189 @@ def similar_pairs(
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias("vec"), "other", "sim", "rank")
 
 
-def _leaf_counts(shared, dim: int):
+HOME, VISITOR, PAIR, CROWDED = 0, 1, 2, 3  # roles of rows; pairs and crowded vectors only pass through the second search
+
+
+def _rows(n: int, grp, leaf, home_block, visit_block, role: int, same, ids, vec, other, sim, id_type) -> pa.RecordBatch:
+    column = lambda x, kind: pa.nulls(n, kind) if x is None else pa.array([x] * n, kind) if np.isscalar(x) else pa.array(x, kind)
+    of_ids = lambda x: pa.nulls(n, id_type) if x is None else pa.array(x.tolist(), id_type)
+    return pa.RecordBatch.from_arrays(
+        [
+            column(grp, pa.string()), column(leaf, pa.int32()), column(home_block, pa.int32()), column(visit_block, pa.int32()), column(role, pa.int32()),
+            column(same, pa.int64()), of_ids(ids), column(vec, pa.binary()), of_ids(other), column(sim, pa.float64()),
+        ],
+        names=["grp", "leaf", "home_block", "visit_block", "role", "same", "id", "vec", "other", "sim"],
+    )
+
+
+def _in_blocks(blocks: dict, leaf: np.ndarray, same: np.ndarray, home: bool):
+    """(row, home_block, visit_block) of every pair of blocks a row belongs to; copies of a vector share a block."""
+    parts = np.array([blocks.get(x, 1) for x in leaf.tolist()], np.int64)
+    own = (same.view(np.uint64) % parts.astype(np.uint64)).astype(np.int64)
+    rows = np.repeat(np.arange(len(leaf)), parts)
+    other = np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return (rows, own[rows], other) if home else (rows, other, own[rows])
+
+
+def _place(shared, dim: int, most: int):
+    """Every vector at home in its leaf; in a leaf of several blocks it also visits the other blocks."""
+
     def run(batches):
-        tree = Tree(*shared.value)
+        arrays, blocks = shared.value
+        tree = Tree(*arrays)
         for batch in batches:
-            if batch.num_rows:
-                leaves, n = np.unique(tree.home(_matrix(batch.column(0), dim)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(n, pa.int64())], names=["leaf", "n"])
+            if not batch.num_rows:
+                continue
+            ids, same = np.array(batch.column(0).to_pylist()), batch.column(3).to_numpy()
+            order = np.lexsort((ids, same))
+            ids, same = ids[order], same[order]
+            new = np.ones(len(ids), bool)  # a repeated id takes one place of the quota
+            new[1:] = (ids[1:] != ids[:-1]) | (same[1:] != same[:-1])
+            order, ids, same = order[new], ids[new], same[new]
+            first = np.arange(len(same)) - np.searchsorted(same, same) < most
+            ids, same, batch = ids[first], same[first], batch.take(pa.array(order[first]))
+            v = _matrix(batch.column(2), dim)
+            leaf, grp, vec = tree.home(v), batch.column(1), pa.array([r.tobytes() for r in v.astype(np.float32)], pa.binary())
+            for role in (HOME, VISITOR):
+                rows, own, other = _in_blocks(blocks, leaf, same, role == HOME)
+                if role == VISITOR:  # the block at home is searched with itself
+                    rows, own, other = (z[own != other] for z in (rows, own, other))
+                if len(rows):
+                    take = pa.array(rows)
+                    yield _rows(len(rows), grp.take(take), leaf[rows], own, other, role, same[rows], ids[rows], vec.take(take), None, None, batch.column(0).type)
 
     return run
 
 
-def _leaf_search(k: int, least: float, most: int, kind: str):
-    """Best k of each query among the vectors at home, and of each vector at home among the queries.
+class _Thin:
+    """Drops repeated ids and copies beyond the first ``most`` from rows sorted by (same, id), batch after batch."""
+
+    def __init__(self, most: int):
+        self.most, self.last, self.crowded = most, None, []
 
-    Rows with ``same`` set name vectors that have more copies than travel with them.
+    def keep(self, same: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (same[1:] != same[:-1])
+        begun = 0
+        if self.last and same[0] == self.last[0]:
+            new[0], begun = ids[0] != self.last[1], self.last[2]
+        seen = np.cumsum(new)
+        start = np.searchsorted(same, same)
+        place = seen - np.where(start > 0, seen[start - 1], 0) + np.where(start == 0, begun, 0)  # the row's number among its vector's ids
+        self.crowded.extend(np.unique(same[new & (place == self.most)]).tolist())
+        self.last = (same[-1], ids[-1], int(place[-1]))
+        return np.flatnonzero(new & (place <= self.most))
+
+
+def _search(shared, k: int, least: float, most: int, dim: int, width: float | None):
+    """Meets the visitors of a block with the vectors at home, and those at home with each other.
+
+    With a width it is the first search: the vectors at home also set out to further leaves, as
+    far as width times the distance of their k-th neighbour so far. Without one it is the second:
+    all at home have met each other before.
     """
 
     def best(q, h, rows, cols, sim):
         order = np.lexsort((h[cols], -sim, rows))
         rows, cols, sim = rows[order], cols[order], sim[order]
         top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-        return q[rows[top]], h[cols[top]], sim[top]
+        return q[rows[top]], h[cols[top]], sim[top], rows[top]
+
+    def meet(ids, v, h_ids, h):
+        """Pairs both ways, and each row's k-th best similarity (least where it has fewer)."""
+        out, kth = [], np.full(len(ids), least)
+        for lo in range(0, len(ids), 2048):
+            sim = v[lo : lo + 2048] @ h.T
+            a, b = np.nonzero(sim >= least - 1e-4)
+            other = ids[lo + a] != h_ids[b]
+            a, b = a[other], b[other]
+            exact = (v[lo + a].astype(np.float64) * h[b]).sum(axis=1)
+            good = exact >= least - 1e-7
+            a, b, exact = a[good], b[good], exact[good]
+            if len(a):
+                one = best(ids[lo : lo + 2048], h_ids, a, b, exact)
+                out += [one[:3], best(h_ids, ids[lo : lo + 2048], b, a, exact)[:3]]
+                rows, n = np.unique(one[3], return_counts=True)
+                ends = np.cumsum(n) - 1
+                kth[lo + rows[n == k]] = np.maximum(one[2][ends[n == k]], least)
+        return out, kth
 
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        ids = np.array(t.column("id").to_pylist())
-        same, home = t.column("same").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
-        raw = t.column("vec").to_pylist()
-        order = np.lexsort((~home, ids, same))
-        ids, same, home = ids[order], same[order], home[order]
-        new = np.ones(len(ids), bool)  # a repeated id counts once
-        new[1:] = (ids[1:] != ids[:-1]) | (same[1:] != same[:-1])
-        order, ids, same, home = order[new], ids[new], same[new], home[new]
-        # `most` copies of one vector (k + 2) show that there may be more than travel with it.
-        values, counts = np.unique(same, return_counts=True)
-        crowded = values[counts >= most]
-        place = np.arange(len(same)) - np.searchsorted(same, same)
-        fits = place < most
-        order, ids, same, home = order[fits], ids[fits], same[fits], home[fits]
-        v = np.frombuffer(b"".join(raw[i] for i in order), np.float32).reshape(len(order), -1)
-        out = []
-        h_rows = np.flatnonzero(home)
-        if len(h_rows):
-            h_ids, h_vec = ids[h_rows], v[h_rows]
-            for lo in range(0, len(ids), 2048):
-                sim = v[lo : lo + 2048] @ h_vec.T
-                a, b = np.nonzero(sim >= least - 1e-4)
-                other = ids[lo + a] != h_ids[b]
-                a, b = a[other], b[other]
-                exact = (v[lo + a].astype(np.float64) * h_vec[b]).sum(axis=1)
-                good = exact >= least - 1e-7
-                a, b, exact = a[good], b[good], exact[good]
-                if len(a):
-                    out.append(best(ids[lo : lo + 2048], h_ids, a, b, exact))
-                    out.append(best(h_ids, ids[lo : lo + 2048], b, a, exact))
-        x, y, s = (np.concatenate(z) for z in zip(*out)) if out else (ids[:0], ids[:0], np.zeros(0))
-        id_type = t.column("id").type
-        found = pa.table({"id": pa.array(x.tolist(), id_type), "other": pa.array(y.tolist(), id_type), "sim": pa.array(s, pa.float64()), "grp": pa.nulls(len(x), pa.string()), "same": pa.nulls(len(x), pa.int64())})
-        if len(crowded):
-            c = len(crowded)
-            extra = pa.table({"id": pa.nulls(c, id_type), "other": pa.nulls(c, id_type), "sim": pa.nulls(c, pa.float64()), "grp": pa.array([t.column("grp")[0].as_py()] * c, pa.string()), "same": pa.array(crowded, pa.int64())})
-            found = pa.concat_tables([found, extra])
-        return found
+    def run(batches):
+        arrays, blocks = shared.value
+        tree = Tree(*arrays) if width is not None else None
+        key, state, id_type = None, None, None
+
+        def settle():
+            """The vectors at home are complete: one matrix, met with itself in the first search."""
+            ids, same, v = (np.concatenate(z) if z else np.zeros(0) for z in (state["ids"], state["same"], state["vec"]))
+            state["home"] = (ids, v)
+            grp, leaf, home_block, visit_block = key
+            if width is None or not len(ids):
+                return
+            if home_block == visit_block:
+                found, kth = meet(ids, v, ids, v)
+                yield from pairs(found)
+                rows, leaves, _ = tree.visits(v, width * _distance(kth))
+                away = leaves != leaf
+                rows, leaves = rows[away], leaves[away].astype(np.int64)
+                raw = [r.tobytes() for r in v]
+                for role, at, to in ((HOME, np.arange(len(ids)), np.full(len(ids), leaf, np.int64)), (VISITOR, rows, leaves)):
+                    for lo in range(0, len(at), 8192):
+                        part, dest = at[lo : lo + 8192], to[lo : lo + 8192]
+                        pick, own, other = _in_blocks(blocks, dest, same[part], role == HOME)
+                        yield _rows(len(pick), grp, dest[pick], own, other, role, same[part][pick], ids[part][pick], pa.array([raw[i] for i in part[pick]], pa.binary()), None, None, id_type)
+
+        def pairs(found):
+            for x, y, s in found:
+                yield _rows(len(x), None, 0, 0, 0, PAIR, None, x, None, y, s, id_type)
+
+        def leave():
+            if state is not None:
+                if state["home"] is None:
+                    yield from settle()
+                crowded = sorted(set(state["thin"].crowded)) if width is not None and key[2] == key[3] else []
+                if crowded:
+                    yield _rows(len(crowded), key[0], 0, 0, 0, CROWDED, crowded, None, None, None, None, id_type)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            id_type = batch.column(6).type
+            role = batch.column(4).to_numpy()
+            passing = role >= PAIR
+            if passing.any():
+                yield batch.filter(pa.array(passing))
+                batch = batch.filter(pa.array(~passing))
+                role = role[~passing]
+                if not batch.num_rows:
+                    continue
+            grp = batch.column(0).to_pylist()
+            leaf, home_block, visit_block = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            same, ids, raw = batch.column(5).to_numpy(), np.array(batch.column(6).to_pylist()), batch.column(7)
+            change = np.ones(len(role), bool)
+            change[1:] = (leaf[1:] != leaf[:-1]) | (home_block[1:] != home_block[:-1]) | (visit_block[1:] != visit_block[:-1]) | (role[1:] != role[:-1]) | np.array([a != b for a, b in zip(grp[1:], grp[:-1])], bool)
+            starts = [*np.flatnonzero(change).tolist(), len(role)]
+            for lo, hi in zip(starts, starts[1:]):
+                now = (grp[lo], int(leaf[lo]), int(home_block[lo]), int(visit_block[lo]))
+                if now != key:
+                    yield from leave()
+                    key, state = now, {"ids": [], "same": [], "vec": [], "home": None, "thin": _Thin(most), "visitors": _Thin(most)}
+                at_home = role[lo] == HOME
+                pick = lo + state["thin" if at_home else "visitors"].keep(same[lo:hi], ids[lo:hi])
+                if not len(pick):
+                    continue
+                v = np.frombuffer(b"".join(raw.take(pa.array(pick)).to_pylist()), np.float32).reshape(-1, dim)
+                if at_home:
+                    state["ids"].append(ids[pick])
+                    state["same"].append(same[pick])
+                    state["vec"].append(v)
+                    continue
+                if state["home"] is None:
+                    yield from settle()
+                h_ids, h = state["home"]
+                if len(h_ids):
+                    yield from pairs(meet(ids[pick], v, h_ids, h)[0])
+        yield from leave()
 
     return run
 

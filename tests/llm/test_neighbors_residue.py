@@ -103,6 +103,50 @@ def test_tree_visits_in_order_and_reaches_all():
         assert np.allclose(tree.leaf_bound(np.repeat(x[i : i + 1], len(b), axis=0), visited[rows == i]), b)
     rows, visited, _ = tree.visits(x[:5], 1e9)
     assert all(set(visited[rows == i].tolist()) == leaves for i in range(5))
+    stop = np.linspace(0, 0.5, 20)
+    rows, _, bounds = tree.visits(x[:20], stop)
+    assert (bounds <= stop[rows]).all()
+
+
+def test_no_vector_of_a_bin_is_nearer_than_its_bound():
+    x = np.random.default_rng(3).standard_normal((400, 5))
+    tree = neighbors.fit_tree(x, 25)
+    home = tree.home(x)
+    for i in range(0, 400, 40):
+        bound = tree.leaf_bound(np.repeat(x[i : i + 1], len(x), axis=0), home)
+        assert (bound <= np.sqrt(((x - x[i]) ** 2).sum(axis=1)) + 1e-4).all()
+
+
+def test_leaves_are_replaced_by_subtrees():
+    x = np.random.default_rng(4).standard_normal((600, 4))
+    tree = neighbors.fit_tree(x, 8)
+    home = tree.home(x)
+    leaf = int(np.bincount(home).argmax())
+    grown = tree.grown({leaf: neighbors.fit_tree(x[home == leaf], 6)})
+    again = grown.home(x)
+    assert (again[home != leaf] == home[home != leaf]).all() and grown.count[leaf] > 0
+    assert len(set(again[home == leaf].tolist())) > 2 and (grown.count[again] == 0).all()
+
+
+def test_width_is_widened_until_both_halves_are_found():
+    q, sim = np.array([0, 0, 1, 2, 3]), np.array([0.99, 0.95, 0.96, 0.97, 0.93])
+    near = np.array([0.0, 0.1, 0.3, 0.0, 0.05])
+    width = neighbors.width_for(q, sim, near, near, 2, 0.92, 1.0)
+    stop = neighbors._distance(0.92)
+    assert width >= neighbors.MARGIN * 0.3 / max(stop, neighbors._distance(0.96)) and neighbors.width_for(q[:0], sim[:0], near[:0], near[:0], 2, 0.92, 1.0) > 0
+
+
+def test_large_leaves_are_split_on_samples_of_their_own(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 8))
+    rows = [(i, "m", [float(z) for z in np.float32(centres[i % 40] + 0.05 * rng.standard_normal(8))]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, model string, embedding array<float>").repartition(3)
+    vectors = neighbors.usable_vectors(df, "vec_id", "embedding", "model", 8)
+    tree, sizes = neighbors.grow_tree(vectors, 1600, 8, 7, (32, 32), 40)
+    assert (tree.count == 0).sum() > 10 and max(sizes.values()) <= 160
+    want = brute(rows, 5, 0.98, 8)
+    found = pairs(neighbors.similar_pairs(df, dim=8, k=5, least=0.98, sample=(32, 32), leaf_target=40, leaf_rows=64))
+    assert len(want & found) >= 0.97 * len(want)
 
 
 FOUND = [
