@@ -19,6 +19,7 @@ from spanforge.functions.text import count_tokens, stable_hash
 
 CHUNK_COLUMNS = ("chunker", "chunk_pos", "chunk_id", "source_id", "start", "end", "text", "parent_id", "n_tokens")
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+SENTENCES = 4_096  # sentences embedded at a time
 SENTENCE_END = re.compile(r"[.!?]+(?:\s+|$)|\n+")
 
 
@@ -133,17 +134,21 @@ def recursive_spans(text: str, size: int, separators: tuple[str, ...] = SEPARATO
 
 
 def semantic_spans(sentences: list[tuple[int, int]], distances: np.ndarray, percentile: float, max_chars: int) -> list[tuple[int, int]]:
-    """Sentences joined until a distance reaches the document's percentile or the size its cap."""
+    """Pieces of whole sentences, cut where a distance reaches the document's percentile and where a piece has max_chars.
+
+    A piece's end is the first sentence end at which it is long enough, or the next far one.
+    """
     if len(sentences) <= 1:
         return sentences
-    threshold = np.percentile(distances, percentile)
-    spans, start = [], sentences[0][0]
-    for i, (_, end) in enumerate(sentences):
-        last = i + 1 == len(sentences)
-        if last or distances[i] >= threshold or end - start >= max_chars:
-            spans.append((start, end))
-            start = end
-    return spans
+    ends = np.array([e for _, e in sentences])
+    far = np.append(np.flatnonzero(distances >= np.percentile(distances, percentile)), len(ends) - 1)
+    pieces, begin = [], sentences[0][0]
+    while begin < ends[-1]:
+        at = int(ends.searchsorted(begin, side="right"))
+        cut = min(int(far[far.searchsorted(at)]), max(at, int(ends.searchsorted(begin + max_chars))))
+        pieces.append((begin, int(ends[min(cut, len(ends) - 1)])))
+        begin = pieces[-1][1]
+    return pieces
 
 
 def _mapped(docs: DataFrame, spans_of: Callable[[list[str]], Iterator[list[tuple[int, int]]]]) -> DataFrame:
@@ -172,10 +177,11 @@ def recursive_spec(size: int = 400) -> str:
     return f"recursive:size={size}"
 
 
-def chunk_recursive(docs: DataFrame, size: int = 400) -> DataFrame:
+def chunk_recursive(docs: DataFrame, size: int = 400, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """``separators`` from strong to weak; the empty one cuts between any two characters."""
     if size <= 0:
         raise ValueError("size must be positive")
-    return emit(_mapped(docs, lambda texts: (recursive_spans(t, size) for t in texts)), recursive_spec(size))
+    return emit(_mapped(docs, lambda texts: (recursive_spans(t, size, separators) for t in texts)), recursive_spec(size))
 
 
 def semantic_spec(name: str, percentile: float = 75.0, max_chars: int = 1000) -> str:
@@ -188,13 +194,19 @@ def chunk_semantic(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], na
         raise ValueError("percentile must be in [0, 100]")
 
     def spans_of(texts):
-        for text in texts:
-            sentences = sentence_spans(text)
-            if len(sentences) <= 1:
-                yield sentences or [(0, len(text))]
-                continue
-            v = embed([text[s:e] for s, e in sentences])
-            yield semantic_spans(sentences, 1.0 - (v[:-1] * v[1:]).sum(axis=1), percentile, max_chars)
+        cut = [sentence_spans(text) for text in texts]
+        waiting, size = [], 0
+        for i, sentences in enumerate(cut):  # the sentences of many documents are embedded at once
+            waiting.append(i)
+            size += len(sentences)
+            if size >= SENTENCES or i + 1 == len(cut):
+                v = embed([texts[j][s:e] for j in waiting for s, e in cut[j]])
+                at = 0
+                for j in waiting:
+                    own = v[at : at + len(cut[j])]
+                    at += len(cut[j])
+                    yield semantic_spans(cut[j], 1.0 - (own[:-1] * own[1:]).sum(axis=1), percentile, max_chars) or [(0, len(texts[j]))]
+                waiting, size = [], 0
 
     return emit(_mapped(docs, spans_of), semantic_spec(name, percentile, max_chars))
 

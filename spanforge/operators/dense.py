@@ -1,12 +1,14 @@
 """Exact and approximate dense retrieval over vector tables.
 
-Exact: queries (few, checked) go to every task as one matrix; each batch multiplies and keeps the
-best k per query, so only partial top-k rows are shuffled. Approximate: signed random projections
-in several tables; rows meet in buckets by an equi-join on codes and are scored exactly.
+Exact: queries (blocks of bounded size) go to every task as one matrix; a task multiplies batch
+after batch and keeps the best k per query, so only its top-k rows are shuffled. Approximate:
+signed random projections in several tables, whose buckets are joined by id and scored exactly;
+or, with an optional library, one small-world graph a partition, searched by all queries.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.operators.sparse import best_rows, ranked
-from spanforge.plans.session import blocks
+from spanforge.functions.text import cosine
+from spanforge.operators.sparse import ranked
+from spanforge.operators.topk import TopK
+from spanforge.plans.session import blocks, materialise
 
-QUERY_BLOCK = 8_192
-TEXT_BLOCK = 2_048  # queries a task holds embedded: 16 MB at 2,048 dimensions
+QUERY_BYTES = 64 << 20  # query vectors a task holds at a time: 8,192 at 2,048 dimensions
 DIGITS = 6
 
 
@@ -47,14 +50,14 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int, exclude
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, chunk_pos bigint, score double"
     asked = usable(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")), "vector", dim)
+    source = usable(vectors.select(F.col("chunk_pos").cast("bigint"), F.col("vector").cast("array<double>")), "vector", dim)
     found = None
-    for block in blocks(asked, "query_id", QUERY_BLOCK) if k > 0 else ():
+    for block in blocks(asked, "query_id", max(1, QUERY_BYTES // (8 * dim))) if k > 0 else ():
         rows = block.orderBy("query_id").toArrow().combine_chunks()
         if not rows.num_rows:
             continue
         q_ids = rows.column("query_id").combine_chunks()
         shared = spark.sparkContext.broadcast((q_ids, _unit(_matrix(rows.column("vector").combine_chunks(), dim))))
-        source = usable(vectors.select(F.col("chunk_pos").cast("bigint"), F.col("vector").cast("array<double>")), "vector", dim)
         part = source.mapInArrow(_multiplier(shared, dim, k, exclude_self), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -62,54 +65,65 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int, exclude
     return ranked(found, k, DIGITS)
 
 
-def _multiplier(shared, dim: int, k: int, exclude_self: bool):
+def _multiplier(shared, dim: int, k: int, exclude_self: bool, vectors_of: Callable | None = None):
+    """Scores of the batches' rows for all queries, and the task's best k of each query."""
+
     def run(batches):
         ids, q = shared.value
         own = np.array(ids.to_pylist(), dtype=object) if exclude_self else None
+        top = TopK(len(ids), k, DIGITS)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            pos, v = batch.column(0).to_numpy(), _unit(_matrix(batch.column(1), dim))
-            for lo in range(0, len(v), 4096):
-                p = pos[lo : lo + 4096]
-                scores = q @ v[lo : lo + 4096].T
-                if exclude_self:
-                    scores[own[:, None] == p[None, :]] = -np.inf
-                r, c = best_rows(scores, p, k, above=-np.inf if exclude_self else None, digits=DIGITS)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(p[c]), pa.array(scores[r, c])], names=["query_id", "chunk_pos", "score"])
+            pos = batch.column(0).to_numpy()
+            for lo in range(0, len(pos), 1024):
+                p = pos[lo : lo + 1024]
+                part = batch.column(1).slice(lo, 1024)
+                v = _unit(_matrix(part, dim)) if vectors_of is None else vectors_of(part.to_pylist())
+                for at in range(0, len(q), 4096):
+                    scores = (q[at : at + 4096] @ v.T).astype(np.float64)
+                    if exclude_self:
+                        scores[own[at : at + 4096, None] == p[None, :]] = -np.inf
+                    top.push(at, scores, p, above=-np.inf)
+        a, p, s = top.best()
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), pa.array(p, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_pos", "score"])
 
     return run
 
 
 def dense_topk_text(chunks: DataFrame, queries: DataFrame, k: int, embed: Callable[[list[str]], np.ndarray]) -> DataFrame:
-    """dense_topk for chunks(chunk_pos, text) and queries(query_id, text), embedded where they are scored.
+    """dense_topk for chunks(chunk_pos, text) and queries(query_id, text).
 
-    Vectors are never stored or shuffled; null texts embed as empty ones.
+    Queries that fit one block meet the chunks where these are embedded, so that vectors are
+    never stored; for more blocks the chunks are embedded once into the shared folder. Null texts
+    embed as empty ones.
     """
     spark = chunks.sparkSession
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, chunk_pos bigint, score double"
     asked = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"))
     q_prefix, p_prefix = getattr(embed, "query_prefix", ""), getattr(embed, "passage_prefix", "")
+    dim = len(embed([q_prefix])[0])
+    texts = chunks.select(F.col("chunk_pos").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
+    of_text = lambda part: embed([p_prefix + t for t in part]).astype(np.float32)
+    of_bytes = lambda part: np.frombuffer(b"".join(part), np.float32).reshape(len(part), dim)
+    parts = list(blocks(asked, "query_id", max(1, QUERY_BYTES // (4 * dim)))) if k > 0 else []
+    if len(parts) > 1:
+
+        def store(batches):
+            for batch in batches:
+                v = [x.tobytes() for lo in range(0, batch.num_rows, 1024) for x in of_text(batch.column(1).slice(lo, 1024).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.binary())], names=["chunk_pos", "vector"])
+
+        texts = materialise(texts.mapInArrow(store, "chunk_pos bigint, vector binary"))
     found = None
-    for block in blocks(asked, "query_id", TEXT_BLOCK) if k > 0 else ():
+    for block in parts:
         rows = block.orderBy("query_id").toArrow().combine_chunks()
         if not rows.num_rows:
             continue
         ids = rows.column("query_id").combine_chunks()
         shared = spark.sparkContext.broadcast((ids, embed([q_prefix + t for t in rows.column("text").to_pylist()]).astype(np.float32)))
-
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            for batch in batches:
-                pos, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-                for lo in range(0, len(texts), 1024):
-                    v = embed([p_prefix + t for t in texts[lo : lo + 1024]]).astype(np.float32)
-                    scores, p = (q @ v.T).astype(np.float64), pos[lo : lo + 1024]
-                    r, c = best_rows(scores, p, k, digits=DIGITS)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(p[c]), pa.array(scores[r, c])], names=["query_id", "chunk_pos", "score"])
-
-        part = chunks.select(F.col("chunk_pos").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+        part = texts.mapInArrow(_multiplier(shared, dim, k, False, of_bytes if len(parts) > 1 else of_text), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)
@@ -121,8 +135,13 @@ def index_bytes(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(dim).alias("dim"), (F.col("n") * dim * 4).alias("bytes"))
 
 
+def lsh_bits(n: int, per_bucket: int = 256) -> int:
+    """Bits that leave some per_bucket of n rows in a bucket."""
+    return min(max(round(math.log2(max(n, 1) / per_bucket)), 4), 24)
+
+
 def _codes(df: DataFrame, id_col: str, dim: int, tables: int, bits: int, seed: int, probes: int) -> DataFrame:
-    """(id, vector, table, code): codes of ``probes`` nearest buckets in each table."""
+    """(id, table, code): codes of the ``probes`` nearest buckets in each table."""
     planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
     source = usable(df.select(F.col(id_col).alias("id"), F.col("vector").cast("array<double>").alias("vector")), "vector", dim)
     kind = source.schema["id"].dataType.simpleString()
@@ -143,22 +162,86 @@ def _codes(df: DataFrame, id_col: str, dim: int, tables: int, bits: int, seed: i
                     tab.append(np.full(len(v), t))
                     codes.append(code ^ flip)
             take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(tab), pa.int32()), pa.array(np.concatenate(codes), pa.int64())],
-                names=["id", "vector", "tab", "code"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(tab), pa.int32()), pa.array(np.concatenate(codes), pa.int64())], names=["id", "tab", "code"])
+
+    return source.mapInArrow(run, f"id {kind}, tab int, code bigint")
+
+
+def lsh_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 16, bits: int | None = 7, probes: int = 8, seed: int = 100) -> DataFrame:
+    """The interface of dense_topk over an approximate index; queries probe neighbouring buckets.
+
+    Only ids travel until every pair is met once; then the vectors of the candidates are joined
+    and scored exactly. ``bits`` None fits the buckets to the number of vectors.
+    """
+    v = vectors.select(F.col("chunk_pos").cast("bigint").alias("chunk_pos"), "vector")
+    if bits is None:
+        bits = lsh_bits(v.count())
+    index = _codes(v, "chunk_pos", dim, tables, bits, seed, 1).select(F.col("id").alias("chunk_pos"), "tab", "code")
+    asked = _codes(queries, "query_id", dim, tables, bits, seed, probes).select(F.col("id").alias("query_id"), "tab", "code")
+    met = asked.join(index, ["tab", "code"]).select("query_id", "chunk_pos").distinct()
+    scored = met.join(v.select("chunk_pos", F.col("vector").alias("v")), "chunk_pos").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
+    return ranked(scored.select("query_id", "chunk_pos", cosine(F.col("q"), F.col("v")).alias("score")), k, DIGITS)
+
+
+def graph_library():
+    """The optional library of the graph index."""
+    try:
+        import hnswlib
+    except ImportError as e:
+        raise ImportError("the index hnsw needs the package hnswlib") from e
+    return hnswlib
 
-    return source.mapInArrow(run, f"id {kind}, vector array<double>, tab int, code bigint")
 
+def hnsw_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int, m: int = 16, ef_construction: int = 200, ef: int = 50, seed: int = 100) -> DataFrame:
+    """The interface of dense_topk over one graph a partition: all queries search every graph, and the best of all are kept.
+
+    A graph is as large as its partition of ``vectors``; more partitions make smaller graphs.
+    """
+    if min(m, ef_construction, ef) <= 0:
+        raise ValueError("m, ef_construction and ef must be positive")
+    graph_library()
+    spark, kind = vectors.sparkSession, queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kind}, chunk_pos bigint, score double"
+    asked = usable(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")), "vector", dim)
+    source = usable(vectors.select(F.col("chunk_pos").cast("bigint"), F.col("vector").cast("array<double>")), "vector", dim)
+    found = None
+    for block in blocks(asked, "query_id", max(1, QUERY_BYTES // (8 * dim))) if k > 0 else ():
+        rows = block.orderBy("query_id").toArrow().combine_chunks()
+        if not rows.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((rows.column("query_id").combine_chunks(), _unit(_matrix(rows.column("vector").combine_chunks(), dim))))
+
+        def run(batches, shared=shared):
+            got = [(b.column(0).to_numpy(), _unit(_matrix(b.column(1), dim)).astype(np.float32)) for b in batches if b.num_rows]
+            if not got:
+                return
+            pos, v = (np.concatenate(x) for x in zip(*got))
+            ids, q = shared.value
+            graph = graph_library().Index(space="cosine", dim=dim)
+            graph.init_index(max_elements=len(v), ef_construction=ef_construction, M=m, random_seed=seed)
+            graph.add_items(v, np.arange(len(v)))
+            graph.set_ef(max(ef, k))
+            labels, far = graph.knn_query(q.astype(np.float32), k=min(k, len(v)))
+            labels = np.asarray(labels, np.int64)
+            rows = np.repeat(np.arange(len(q)), labels.shape[1])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(pos[labels.ravel()], pa.int64()), pa.array(1.0 - np.asarray(far, float).ravel())], names=["query_id", "chunk_pos", "score"])
+
+        part = source.mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    return ranked(found, k, DIGITS)
 
-def lsh_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 16, bits: int = 7, probes: int = 8, seed: int = 100) -> DataFrame:
-    """The interface of dense_topk over an approximate index; queries probe neighbouring buckets."""
-    from spanforge.functions.text import cosine
 
-    index = _codes(vectors, "chunk_pos", dim, tables, bits, seed, 1).select(F.col("id").cast("bigint").alias("chunk_pos"), F.col("vector").alias("v"), "tab", "code")
-    asked = _codes(queries, "query_id", dim, tables, bits, seed, probes).select(F.col("id").alias("query_id"), F.col("vector").alias("q"), "tab", "code")
-    met = asked.join(index, ["tab", "code"]).dropDuplicates(["query_id", "chunk_pos"])
-    return ranked(met.select("query_id", "chunk_pos", cosine(F.col("q"), F.col("v")).alias("score")), k, DIGITS)
+def ann_bytes(index: str, n: int, dim: int, tables: int = 16, m: int = 16) -> int:
+    """Size of an index over n vectors: exact, a float32 matrix; lsh, the matrix and an id and code a table; hnsw, the matrix
+    and the links of a graph (2m at its lowest level, m at the others, 1/ln m levels more on average)."""
+    matrix = 4 * n * dim
+    if index == "lsh":
+        return matrix + 16 * n * tables
+    if index == "hnsw":
+        return matrix + int(4 * n * (2 * m + m / math.log(max(m, 2))) + 8 * n)
+    return matrix if index == "exact" else 0
 
 
 def ann_recall(exact: DataFrame, found: DataFrame, queries: DataFrame) -> DataFrame:

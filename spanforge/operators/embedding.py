@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import stable_hash
+from spanforge.functions.worker import worker_cache
 from spanforge.plans.session import spread
 
 _WORD = re.compile(r"[a-z0-9]+")
@@ -71,7 +72,7 @@ class HashEmbedder:
 
 @dataclass(frozen=True)
 class ModelEmbedder:
-    """A sentence-transformer model with role prefixes; the library is optional and loaded in the workers."""
+    """A sentence-transformer model with role prefixes; the library is optional; a worker loads the model once."""
 
     model: str
     name: str
@@ -80,11 +81,14 @@ class ModelEmbedder:
     batch_size: int = 32
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        try:
-            from sentence_transformers import SentenceTransformer
-        except ImportError as e:
-            raise ImportError("this embedder needs the package sentence-transformers") from e
-        v = np.asarray(SentenceTransformer(self.model).encode(texts, batch_size=self.batch_size), float)
+        def load():
+            try:
+                from sentence_transformers import SentenceTransformer
+            except ImportError as e:
+                raise ImportError("this embedder needs the package sentence-transformers") from e
+            return SentenceTransformer(self.model)
+
+        v = np.asarray(worker_cache(("sentence model", self.model), load).encode(texts, batch_size=self.batch_size), float)
         norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
         return v / np.where(norm == 0, 1, norm)
 

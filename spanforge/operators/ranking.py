@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import count_tokens, word_tokens
+from spanforge.functions.worker import worker_cache
 
 RRF_C = 60
 
@@ -57,11 +58,14 @@ def cross_encoder(model: str = "cross-encoder/ms-marco-MiniLM-L-6-v2") -> Callab
 
     @F.pandas_udf("double")
     def predict(parts):
-        try:
-            from sentence_transformers import CrossEncoder
-        except ImportError as e:
-            raise ImportError("this reranker needs the package sentence-transformers") from e
-        encoder = CrossEncoder(model)
+        def load():
+            try:
+                from sentence_transformers import CrossEncoder
+            except ImportError as e:
+                raise ImportError("this reranker needs the package sentence-transformers") from e
+            return CrossEncoder(model)
+
+        encoder = worker_cache(("cross encoder", model), load)
         for q, c in parts:
             yield pd.Series(encoder.predict(list(zip(q, c))), dtype=float)
 

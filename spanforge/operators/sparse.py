@@ -1,9 +1,10 @@
 """BM25 over chunk tables.
 
 Statistics are one aggregation (document frequencies of the query terms only) and two scalars.
-Scoring streams the chunks once past the queries: each Arrow batch scores its chunks for a block
-of queries with NumPy and keeps the best k per query, so only partial top-k rows are shuffled and
-the postings of common terms are never joined. Queries beyond QUERY_BLOCK are scored in blocks.
+Scoring streams the chunks once past all queries: each Arrow batch is tokenised once and scored
+for the queries in blocks, and a task keeps the best k of each query, so only partial top-k rows
+are shuffled and the postings of common terms are never joined. The queries' terms go to every
+task; beyond QUERY_BLOCK queries they do so in parts, each with a pass of its own.
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import word_tokens
+from spanforge.operators.topk import TopK
 from spanforge.plans.session import blocks, materialise
 
 K1, B = 1.5, 0.75
-QUERY_BLOCK = 20_000  # queries sent to every task at a time: a few MB
+DIGITS = 9  # scores are compared to this many digits
+QUERY_BLOCK = 200_000  # queries sent to every task at a time: some 60 MB
+SCORED = 4_096  # queries scored at a time
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 
@@ -71,10 +75,11 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b:
         rows = weighted.join(block, "query_id", "left_semi").orderBy("query_id", "term").toArrow()
         ids = list(dict.fromkeys(rows.column("query_id").to_pylist()))
         number = {q: i for i, q in enumerate(ids)}
-        by_term: dict[str, tuple[list, float]] = {}
+        by_term: list[dict[str, tuple[list, float]]] = [{} for _ in range(-(-len(ids) // SCORED))]
         for q, t, w in zip(*(rows.column(c).to_pylist() for c in ("query_id", "term", "idf"))):
-            by_term.setdefault(t, ([], w))[0].append(number[q])
-        shared = spark.sparkContext.broadcast((pa.array(ids, rows.schema.field("query_id").type), {t: (np.array(qs), w) for t, (qs, w) in by_term.items()}))
+            by_term[number[q] // SCORED].setdefault(t, ([], w))[0].append(number[q] % SCORED)
+        terms_of = [{t: (np.array(qs), w) for t, (qs, w) in part.items()} for part in by_term]
+        shared = spark.sparkContext.broadcast((pa.array(ids, rows.schema.field("query_id").type), terms_of))
         part = chunks.select("chunk_pos", "text").mapInArrow(_scorer(shared, avgdl, k, k1, b), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -82,33 +87,17 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b:
     return ranked(found, k)
 
 
-def ranked(found: DataFrame, k: int, digits: int = 9) -> DataFrame:
+def ranked(found: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "chunk_pos"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_pos", "score")
 
 
-def best_rows(scores: np.ndarray, positions: np.ndarray, k: int, above: float | None = None, digits: int = 9):
-    """(row, column) of each row's best k entries by rounded score, then position."""
-    out_r, out_c = [], []
-    rounded = np.round(scores, digits)
-    for i in range(len(scores)):
-        row = rounded[i]
-        at = np.arange(len(row)) if above is None else np.flatnonzero(scores[i] > above)
-        if len(at) > k:
-            edge = -np.partition(-row[at], k - 1)[k - 1]
-            at = at[row[at] >= edge]
-        at = at[np.lexsort((positions[at], -row[at]))][:k]
-        out_r.append(np.full(len(at), i))
-        out_c.append(at)
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(out_r), np.concatenate(out_c)) if out_r else (empty, empty)
-
-
 def _scorer(shared, avgdl: float, k: int, k1: float, b: float):
     def run(batches):
-        ids, by_term = shared.value
-        number = {t: i for i, t in enumerate(by_term)}
-        weights = list(by_term.values())
+        ids, parts = shared.value
+        number = {t: i for i, t in enumerate(dict.fromkeys(t for part in parts for t in part))}
+        weights = [{number[t]: x for t, x in part.items()} for part in parts]
+        top = TopK(len(ids), k, DIGITS)
         for batch in batches:
             pos = batch.column(0).to_numpy()
             texts = batch.column(1).to_pylist()
@@ -128,16 +117,22 @@ def _scorer(shared, avgdl: float, k: int, k1: float, b: float):
                         hits.setdefault(j, []).append((i, f))
                 if not hits:
                     continue
-                scores = np.zeros((len(ids), len(part)))
                 norm = k1 * (1 - b + b * lengths / avgdl)
-                for j in sorted(hits):
-                    at, f = (np.array(x) for x in zip(*hits[j]))
-                    queries, idf_j = weights[j]
-                    scores[np.ix_(queries, at)] += idf_j * f * (k1 + 1) / (f + norm[at])
-                live = np.flatnonzero(scores.any(axis=1))
-                r, c = best_rows(scores[live], pos[lo : lo + 1024], k, above=0.0)
-                if len(r):
-                    q = live[r]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(pos[lo : lo + 1024][c]), pa.array(scores[q, c])], names=["query_id", "chunk_pos", "score"])
+                packed = {j: tuple(np.array(x) for x in zip(*hits[j])) for j in sorted(hits)}
+                for no, block in enumerate(weights):
+                    met = [j for j in packed if j in block]
+                    if not met:
+                        continue
+                    live = np.unique(np.concatenate([block[j][0] for j in met]))
+                    place = np.zeros(SCORED, np.int64)
+                    place[live] = np.arange(len(live))
+                    scores = np.zeros((len(live), len(part)))
+                    for j in met:
+                        at, f = packed[j]
+                        queries, idf_j = block[j]
+                        scores[np.ix_(place[queries], at)] += idf_j * f * (k1 + 1) / (f + norm[at])
+                    top.push_some(no * SCORED + live, scores, pos[lo : lo + 1024], above=0.0)
+        q, p, s = top.best()
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(p, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_pos", "score"])
 
     return run
