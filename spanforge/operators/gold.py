@@ -38,24 +38,31 @@ def required_spans(spans: DataFrame) -> DataFrame:
     return spans.withColumn("first", first).where("first = 1").drop("first")
 
 
-def verify_spans(spans: DataFrame, documents: DataFrame) -> DataFrame:
+def verify_spans(spans: DataFrame, documents: DataFrame, version_chars: int | None = None) -> DataFrame:
     """spans with ``reason``: unknown_source, version_mismatch, out_of_range, quote_mismatch or null, the first that holds.
 
-    A recorded version is the text's SHA-256 or its first characters.
+    A recorded version must be the text's SHA-256. With ``version_chars`` sources that record
+    only its first characters are accepted too, if they record at least so many.
     """
     docs = documents.select(F.col("id").alias("source_id"), F.col("text").alias("d_text"), F.lit(True).alias("known"))
+    actual, recorded = content_hash(F.col("d_text")), F.col("source_version")
+    same = actual == recorded
+    if version_chars is not None:
+        if version_chars <= 0:
+            raise ValueError("version_chars must be positive")
+        same = same | ((F.length(recorded) >= version_chars) & (F.substring(actual, F.lit(1), F.length(recorded)) == recorded))
     reason = (
         F.when(F.col("known").isNull(), "unknown_source")
-        .when(F.col("source_version").isNotNull() & (F.substring(content_hash(F.col("d_text")), F.lit(1), F.length("source_version")) != F.col("source_version")), "version_mismatch")
+        .when(recorded.isNotNull() & ~same, "version_mismatch")
         .when(F.col("end") > F.length("d_text"), "out_of_range")
         .when(~F.substring(F.col("d_text"), F.col("start") + 1, F.col("end") - F.col("start")).eqNullSafe(F.col("quoted_text")), "quote_mismatch")
     )
     return spans.join(docs, "source_id", "left").withColumn("reason", reason).drop("d_text", "known")
 
 
-def load_verified(queries: DataFrame, documents: DataFrame, strict: bool = True) -> DataFrame:
-    """The queries whose spans all verify; strict raises on the first that does not."""
-    bad = verify_spans(gold_spans(queries), documents).where("reason is not null")
+def load_verified(queries: DataFrame, documents: DataFrame, strict: bool = True, version_chars: int | None = None) -> DataFrame:
+    """The queries whose spans all verify; strict raises on the first that does not. Versions as in verify_spans."""
+    bad = verify_spans(gold_spans(queries), documents, version_chars).where("reason is not null")
     if strict:
         row = bad.orderBy("query_id", "alt_idx", "span_idx").first()
         if row is not None:

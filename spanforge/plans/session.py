@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -36,6 +37,15 @@ def blocks(df: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
         yield df if parts == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i)
 
 
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """rows with their place (from 1) in ``order``: a sort over all tasks, then each task's rows counted from those before it."""
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ordered = materialise(rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", at))
+    counts = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # one row a task
+    before = counts.select("__part", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return ordered.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores when it comes from fewer files than there are cores; for operators that work long on each row."""
     cores = df.sparkSession.sparkContext.defaultParallelism

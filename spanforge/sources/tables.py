@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.text import content_hash, stable_hash, strip
 from spanforge.operators import gold
+from spanforge.plans.session import materialise, numbered
 
 SPAN = "struct<source_id:string,start:int,end:int,quoted_text:string,source_version:string>"
 GOLD = f"struct<alternatives:array<struct<required_spans:array<{SPAN}>>>>"
@@ -116,15 +117,15 @@ class DatasetImport:
         return docs, queries
 
 
-def _one_answer_span(source: Column, answer: Column) -> Column:
+def _one_answer_span(source: Column, answer: Column, version: Column) -> Column:
     text, start = answer["text"], answer["answer_start"].cast("int")
-    return F.struct(source.alias("source_id"), start.alias("start"), (start + F.length(text)).alias("end"), text.alias("quoted_text"), F.lit(None).cast("string").alias("source_version"))
+    return F.struct(source.alias("source_id"), start.alias("start"), (start + F.length(text)).alias("end"), text.alias("quoted_text"), version.alias("source_version"))
 
 
 def load_squad(spark: SparkSession, path: str, max_queries: int | None = None, max_answers: int | None = None) -> DatasetImport:
-    """SQuAD 1.1 or 2.0 JSON, wrapped or a bare list; each answer is one alternative.
+    """SQuAD 1.1 or 2.0 JSON, wrapped or a bare list; each answer is one alternative, stamped with its context's version.
 
-    Equal contexts are one document. Unanswerable questions, questions without answers and those
+    Equal contexts are one document with the title of the first. Unanswerable questions, questions without answers and those
     none of whose answers matches the context are counted and skipped; 0 means no cap. With
     max_queries, documents first met after the last kept query are left out.
     """
@@ -153,11 +154,10 @@ def load_squad(spark: SparkSession, path: str, max_queries: int | None = None, m
     else:
         seen = paragraphs
     first = F.row_number().over(W.partitionBy("id").orderBy("a_no", "p_no"))
-    docs = seen.withColumn("n", first).where("n = 1").select("id", F.col("p.context").alias("text"), (F.col("a_no").cast("bigint") * 1_000_000 + F.col("p_no")).alias("doc_pos"), "title")
-    alternatives = F.transform("answers", lambda x: F.struct(F.array(_one_answer_span(F.col("id"), x)).alias("required_spans")))
-    kept = rows.where("state = 'kept'").select(
-        F.col("q.id").alias("query_id"), F.col("q.question").alias("text"), F.struct(alternatives.alias("alternatives")).alias("gold"),
-        F.row_number().over(W.orderBy("at")).alias("query_pos"),
+    docs = seen.withColumn("n", first).where("n = 1").select("id", F.col("p.context").alias("text"), (F.col("a_no").cast("bigint") * 1_000_000 + F.col("p_no")).alias("doc_pos"), "title", F.to_json(F.struct("title"), {"ignoreNullFields": "false"}).alias("meta"))
+    alternatives = F.transform("answers", lambda x: F.struct(F.array(_one_answer_span(F.col("id"), x, F.col("version"))).alias("required_spans")))
+    kept = numbered(rows.where("state = 'kept'").withColumn("version", content_hash(F.col("context"))), "query_pos", "at").select(
+        F.col("q.id").alias("query_id"), F.col("q.question").alias("text"), F.struct(alternatives.alias("alternatives")).alias("gold"), "query_pos", F.lit('{"dataset": "squad"}').alias("meta"),
     )
     skipped = {r["state"]: r["count"] for r in rows.where("state <> 'kept'").groupBy("state").count().collect()}
     return DatasetImport(docs, kept, {k: skipped.get(k, 0) for k in ("impossible", "no_answer", "unverified")})
@@ -178,26 +178,30 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_beir(spark: SparkSession, corpus: str, queries: str, qrels: str, min_score: int = 1, max_queries: int | None = None) -> DatasetImport:
-    """BEIR files: the whole corpus stays; each relevant passage is one alternative spanning it whole."""
+    """BEIR files: the whole corpus stays; each relevant passage is one alternative spanning it whole.
+
+    Judgements below min_score or of passages not in the corpus do not exist: queries come in the
+    order of their first one that is left, and only queries with such are counted when skipped.
+    """
     docs = read_jsonl(spark, corpus, "_id string, title string, text string", ("_id",))
     docs = docs.withColumn("whole", passage_text(F.col("title"), F.col("text")))
     docs = unique_documents(docs, "_id", "whole", "line_no")
     asked = read_jsonl(spark, queries, "_id string, text string", ("_id",)).groupBy(F.col("_id").alias("query_id")).agg(F.max_by("text", "line_no").alias("text"))
-    rels = read_qrels(spark, qrels)
-    order = rels.groupBy("query_id").agg(F.min("line_no").alias("first"))
-    good = rels.where(F.col("score") >= min_score).join(docs, rels["corpus_id"] == docs["id"]).where(F.length("text") > 0)
-    good = good.groupBy("query_id", "corpus_id").agg(F.min("line_no").alias("line_no"), F.first("text").alias("text"))
+    rels = read_qrels(spark, qrels).where(F.col("score") >= min_score)
+    good = rels.join(docs, rels["corpus_id"] == docs["id"]).groupBy("query_id", "corpus_id").agg(F.min("line_no").alias("line_no"), F.first("text").alias("text"))
     span = F.struct(F.col("corpus_id").alias("source_id"), F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("quoted_text"), content_hash(F.col("text")).alias("source_version"))
-    alts = good.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.struct(F.array(span).alias("required_spans")).alias("a")))).alias("x"))
-    state = order.join(asked, "query_id", "left").join(alts, "query_id", "left")
+    alternative = F.when(F.length("text") > 0, F.struct("line_no", F.struct(F.array(span).alias("required_spans")).alias("a")))
+    state = good.groupBy("query_id").agg(F.min("line_no").alias("first"), F.array_sort(F.collect_list(alternative)).alias("x")).join(asked, "query_id", "left")
     known = F.col("text").isNotNull()
-    kept = state.where(known & F.col("x").isNotNull()).select(
-        "query_id", "text", F.struct(F.transform("x", lambda p: p["a"]).alias("alternatives")).alias("gold"), F.row_number().over(W.orderBy("first")).alias("query_pos")
+    state = materialise(state.withColumn("state", F.when(~known, "unknown_query").when(F.size("x") == 0, "no_relevant").otherwise("kept")))
+    if max_queries:  # reading stops at the last kept query, and so do the counters
+        last = state.where("state = 'kept'").orderBy("first").limit(max_queries).agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("last")).first()
+        state = state.where(F.col("first") <= last["last"]) if last["n"] == max_queries else state
+    kept = numbered(state.where("state = 'kept'"), "query_pos", "first").select(
+        "query_id", "text", F.struct(F.transform("x", lambda p: p["a"]).alias("alternatives")).alias("gold"), "query_pos", F.lit('{"dataset": "beir"}').alias("meta")
     )
-    if max_queries:
-        kept = kept.where(F.col("query_pos") <= max_queries)
-    counts = state.agg(F.count_if(~known).alias("unknown_query"), F.count_if(known & F.col("x").isNull()).alias("no_relevant")).first()
-    return DatasetImport(docs, kept, counts.asDict())
+    counts = {r["state"]: r["count"] for r in state.groupBy("state").count().collect()}
+    return DatasetImport(docs, kept, {k: counts.get(k, 0) for k in ("no_relevant", "unknown_query")})
 
 
 def _write_lines(rows, path: str) -> str:

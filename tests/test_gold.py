@@ -58,7 +58,10 @@ def test_verification_reasons(spark):
     rows = [("a", "D", 0, 5, "hello", None), ("b", "X", 0, 5, "hello", None), ("c", "D", 0, 5, "hello", "bad"), ("d", "D", 0, 50, "hello", None), ("e", "D", 0, 5, "HELLO", None), ("f", "D", 0, 5, "hello", v), ("g", "D", 6, 11, "world", v[:16])]
     s = spark.createDataFrame([(q, 0, 0, q, x, b, e, t, w) for q, x, b, e, t, w in rows], SPAN)
     got = {r["query_id"]: r["reason"] for r in gold.verify_spans(s, docs).collect()}
-    assert got == {"a": None, "b": "unknown_source", "c": "version_mismatch", "d": "out_of_range", "e": "quote_mismatch", "f": None, "g": None}
+    assert got == {"a": None, "b": "unknown_source", "c": "version_mismatch", "d": "out_of_range", "e": "quote_mismatch", "f": None, "g": "version_mismatch"}
+    assert {r["query_id"]: r["reason"] for r in gold.verify_spans(s, docs, version_chars=16).collect()} == got | {"g": None}
+    short = s.where("query_id = 'f'").withColumn("source_version", F.explode(F.array(F.lit(""), F.lit(v[:15]), F.lit(v[:16]), F.lit(v))))
+    assert sorted(str(r["reason"]) for r in gold.verify_spans(short, docs, version_chars=16).collect()) == ["None", "None", "version_mismatch", "version_mismatch"]
 
 
 def test_strict_loading_fails_closed(spark):

@@ -71,11 +71,16 @@ def test_squad(spark, tmp_path, wrapped):
     assert imp.skipped == {"impossible": 1, "no_answer": 1, "unverified": 1}
     assert {r["title"] for r in imp.documents.collect()} == {"A", "B"} and imp.documents.count() == 2
     q = {r["query_id"]: r["gold"] for r in imp.queries.collect()}
+    import hashlib
+
+    versions = {a.required_spans[0].source_version for g in q.values() for a in g.alternatives}
+    assert versions == {hashlib.sha256(x.encode()).hexdigest() for x in ("Cats sleep. Dogs bark.", "Birds sing.")}
     assert set(q) == {"1", "5"} and [a.required_spans[0].start for a in q["1"].alternatives] == [0, 12]
     one = tables.load_squad(spark, str(p), max_queries=1, max_answers=1)
     assert one.documents.count() == 1 and [len(r["gold"].alternatives) for r in one.queries.collect()] == [1]
     docs, queries = imp.write_jsonl(str(tmp_path / "out"))
     assert tables.load_queries(spark, queries, tables.load_documents(spark, docs)).count() == 2
+    assert [json.loads(x)["meta"] for x in open(docs)] == [{"title": "A"}, {"title": "B"}] and {json.loads(x)["meta"]["dataset"] for x in open(queries)} == {"squad"}
 
 
 def test_beir(spark, tmp_path):
@@ -90,6 +95,22 @@ def test_beir(spark, tmp_path):
     assert "unknown_query=1" in imp.summary()
 
 
+def test_beir_counts_and_orders_by_judgements_that_are_left(spark, tmp_path):
+    corpus = write(tmp_path / "c.jsonl", [{"_id": "d1", "title": "", "text": "one"}, {"_id": "d2", "title": "", "text": "two"}, {"_id": "d3", "title": "", "text": ""}])
+    queries = write(tmp_path / "q.jsonl", [{"_id": q, "text": q} for q in ("q1", "q2", "q3", "q4")])
+    qrels = tmp_path / "r.tsv"
+    judged = lambda *rows: qrels.write_text("query-id\tcorpus-id\tscore\n" + "".join(f"{q}\t{d}\t{n}\n" for q, d, n in rows))
+    judged(("q1", "d1", 0), ("q2", "d2", 1), ("q1", "d1", 1), ("q3", "d1", 0), ("q9", "d1", 0))
+    imp = tables.load_beir(spark, corpus, queries, str(qrels))
+    assert imp.skipped == {"no_relevant": 0, "unknown_query": 0}
+    assert [r["query_id"] for r in imp.queries.orderBy("query_pos").collect()] == ["q2", "q1"]
+    judged(("q9", "d1", 1), ("q1", "d1", 1), ("q4", "d3", 1), ("q8", "d1", 1), ("q2", "d2", 1))
+    for most, kept, skipped in ((1, ["q1"], (0, 1)), (2, ["q1", "q2"], (1, 2)), (3, ["q1", "q2"], (1, 2)), (None, ["q1", "q2"], (1, 2))):
+        imp = tables.load_beir(spark, corpus, queries, str(qrels), max_queries=most)
+        assert [r["query_id"] for r in imp.queries.orderBy("query_pos").collect()] == kept
+        assert (imp.skipped["no_relevant"], imp.skipped["unknown_query"]) == skipped
+
+
 def test_planted_needles(spark):
     c, _ = corpora.planted(spark, "representation")
     r = corpora.span_in(c.documents, "d", "hidden").first()
