@@ -44,6 +44,7 @@ def build_spec(a: argparse.Namespace) -> S.SweepSpec:
     return S.SweepSpec(
         embedders, {c: S.make_chunker(c, first) for c in chunkers}, tuple(modes), dict(S.make_reranker(r) for r in listed(a.rerank)), a.top_k, a.candidate_n,
         (None, *map(int, listed(a.budget_tokens))), tuple(listed(a.dense_index)), a.tables, a.bits, a.probes, a.ann_diagnostic_queries,
+        a.hnsw_m, a.hnsw_ef_construction, a.hnsw_ef, a.latency_queries or None,
     )
 
 
@@ -157,7 +158,7 @@ def parser() -> argparse.ArgumentParser:
         r.add_argument(f"--{name}", required=True)
     for name, default in (("embed-models", "det"), ("chunkers", "fixed"), ("retrieval", "hybrid"), ("rerank", "none"), ("budget-tokens", ""), ("dense-index", "exact")):
         r.add_argument(f"--{name}", default=default)
-    for name, default in (("top-k", 5), ("candidate-n", 50), ("min-sample", 20), ("seed", 0), ("tables", 16), ("bits", 7), ("probes", 8), ("ann-diagnostic-queries", 100)):
+    for name, default in (("top-k", 5), ("candidate-n", 50), ("min-sample", 20), ("seed", 0), ("tables", 16), ("bits", 7), ("probes", 8), ("ann-diagnostic-queries", 100), ("hnsw-m", 16), ("hnsw-ef-construction", 200), ("hnsw-ef", 50), ("latency-queries", 20)):
         r.add_argument(f"--{name}", type=int, default=default)
     r.add_argument("--top", type=int)
     r.add_argument("--fail-under", type=float)

@@ -164,8 +164,14 @@ def explain_query(results: DataFrame, query_id: str) -> DataFrame:
     )
 
 
-def latency_stats(samples: DataFrame) -> DataFrame:
-    """(config_id, n, mean_ms, p50_ms, p95_ms) of samples(config_id, ms); percentiles interpolate."""
+def latency_stats(samples: DataFrame, configs: list[str] | None = None) -> DataFrame:
+    """(config_id, n, mean_ms, p50_ms, p95_ms) of samples(config_id, ms); percentiles interpolate.
+
+    Configurations of ``configs`` without samples get a row of zeros.
+    """
+    if configs is not None:
+        samples = samples.sparkSession.createDataFrame([(c,) for c in configs], "config_id string").join(samples, "config_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
     return samples.groupBy("config_id").agg(
-        F.count("ms").alias("n"), F.avg("ms").alias("mean_ms"), F.percentile("ms", F.lit(0.5)).alias("p50_ms"), F.percentile("ms", F.lit(0.95)).alias("p95_ms")
+        F.count("ms").alias("n"), zero(F.avg("ms")).alias("mean_ms"), zero(F.percentile("ms", F.lit(0.5))).alias("p50_ms"), zero(F.percentile("ms", F.lit(0.95))).alias("p95_ms")
     )

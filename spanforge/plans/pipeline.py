@@ -8,14 +8,14 @@ configuration lacks is not in ``stages``; one that exists but is empty for a que
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators import dense, ranking, sparse
 from spanforge.plans.session import materialise
-from spanforge.plans.sweep import Config
+from spanforge.plans.sweep import DENSE_MODES, PARAMETERS, SPARSE_MODES, Config, approximate_topk
 
 
 class NotIndexed(RuntimeError):
@@ -60,18 +60,28 @@ class DenseRetriever(Retriever):
         return dense.dense_topk_text(self.chunks, queries, k, self.embed)
 
 
-class LshRetriever(DenseRetriever):
-    def __init__(self, embed: Callable, tables: int = 16, bits: int = 7, probes: int = 8):
+class ApproximateRetriever(DenseRetriever):
+    """Dense retrieval over the approximate index that config names."""
+
+    def __init__(self, embed: Callable, config: Config):
         super().__init__(embed)
-        self.tables, self.bits, self.probes = tables, bits, probes
+        self.config = config
 
     def scored(self, queries, k):
-        from spanforge.operators.embedding import embed_rows
-
-        blank = F.coalesce("text", F.lit("")).alias("text")
-        v = embed_rows(self.chunks.select("chunk_pos", blank), "text", self.embed).select("chunk_pos", "vector")
-        q = embed_rows(queries.select("query_id", blank), "text", self.embed, "query").select("query_id", "vector")
-        return dense.lsh_topk(v, q, k, len(self.embed(["x"])[0]), self.tables, self.bits, self.probes)
+        return approximate_topk(self.chunks, queries, replace(self.config, candidate_n=k, top_k=1), self.embed, self.config.dense_index)
+
+
+def retrievers(chunks: DataFrame, config: Config, embed: Callable | None, reference: bool = False) -> dict[str, Retriever]:
+    """The retrievers of a configuration, indexed, as run_pipeline takes them; with ``reference`` exact search beside an approximate index."""
+    out: dict[str, Retriever] = {}
+    if config.retrieval in SPARSE_MODES:
+        out["sparse_retriever"] = Bm25Retriever().index(chunks)
+    if config.retrieval in DENSE_MODES and embed is not None:
+        near = config.dense_index in PARAMETERS
+        out["dense_retriever"] = (ApproximateRetriever(embed, config) if near else DenseRetriever(embed)).index(chunks)
+        if near and reference:
+            out["dense_reference"] = DenseRetriever(embed).index(chunks)
+    return out
 
 
 @dataclass

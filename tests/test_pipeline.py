@@ -18,7 +18,7 @@ def data(spark):
 def test_stages_exist_by_configuration(data):
     chunks, _, queries = data
     e = HashEmbedder(128)
-    exact, near, words = P.DenseRetriever(e).index(chunks), P.LshRetriever(e, bits=2).index(chunks), P.Bm25Retriever().index(chunks)
+    exact, near, words = P.DenseRetriever(e).index(chunks), P.ApproximateRetriever(e, S.Config("e", "c", "dense", dense_index="lsh", bits=2)).index(chunks), P.Bm25Retriever().index(chunks)
     run = lambda **kw: P.run_pipeline(chunks, queries, S.Config("e", "c", top_k=2, candidate_n=6, **kw), exact, None, words, ranking.lexical_overlap)
     base = {"candidate_union", "pre_final", "final"}
     assert set(run(retrieval="dense").stages) == base | {"dense_candidates"}

@@ -93,10 +93,11 @@ def test_config_ids():
     c = S.Config("e", "c", "sparse", None, 5, 50)
     assert c.id == "e|c|sparse|rerank=none|k=5|n=50|budget=none|index=none"
     assert S.parse_config_id("e|c|dense|rerank=x")["index"] == "exact"
+    assert S.Config("e", "c", "dense", dense_index="hnsw", hnsw_m=8).id.endswith("|index=hnsw|hnsw_m=8|hnsw_ef=50|hnsw_efc=200")
 
 
 def test_spec_validation():
-    for bad in (dict(dense_indexes=("what",)), dict(dense_indexes=()), dict(embedders={"x": None}), dict(ann_diagnostic_queries=-1)):
+    for bad in (dict(dense_indexes=("what",)), dict(dense_indexes=()), dict(embedders={"x": None}), dict(ann_diagnostic_queries=-1), dict(dense_indexes=("hnsw",), hnsw_ef=10)):
         with pytest.raises(ValueError):
             spec(**bad).validate()
 
@@ -157,7 +158,8 @@ def test_latency_is_measured_on_request(spark):
     c = corpora.basic(spark)
     s = S.run_sweep(c.documents, c.queries, spec(chunkers={"fixed": S.make_chunker("fixed")}, retrieval_modes=("dense", "sparse"), rerankers={None: None}), min_sample=1, measure_latency=True)
     assert set(s.cost) == set(s.config_ids)
-    dense_cost = s.cost[s.config_ids[0]]
+    dense_cost, sparse_cost = s.cost[s.config_ids[0]], s.cost[s.config_ids[-1]]
+    assert sparse_cost["index_bytes"] == 0 and dense_cost["mean_ms"] != sparse_cost["mean_ms"] and min(dense_cost["build_ms"], sparse_cost["build_ms"]) > 0
     assert dense_cost["n"] == 4 and dense_cost["p95_ms"] >= dense_cost["p50_ms"] > 0 and dense_cost["index_bytes"] == 4 * 256 * 4
     text, page = report.render_report(report.summarise(s)), report.render_html(report.summarise(s))
     assert "this machine only" in text and "Measured cost" in page
