@@ -21,7 +21,7 @@ from spanforge.operators.sparse import ranked
 from spanforge.operators.topk import TopK
 from spanforge.plans.session import blocks, materialise
 
-QUERY_BYTES = 64 << 20  # query vectors a task holds at a time: 8,192 at 2,048 dimensions
+QUERY_BYTES = 64 << 20  # query vectors a task holds at a time: 4,096 at 2,048 dimensions
 DIGITS = 6
 
 
@@ -81,7 +81,7 @@ def _multiplier(shared, dim: int, k: int, exclude_self: bool, vectors_of: Callab
                 part = batch.column(1).slice(lo, 1024)
                 v = _unit(_matrix(part, dim)) if vectors_of is None else vectors_of(part.to_pylist())
                 for at in range(0, len(q), 4096):
-                    scores = (q[at : at + 4096] @ v.T).astype(np.float64)
+                    scores = q[at : at + 4096] @ v.T
                     if exclude_self:
                         scores[own[at : at + 4096, None] == p[None, :]] = -np.inf
                     top.push(at, scores, p, above=-np.inf)
@@ -105,9 +105,9 @@ def dense_topk_text(chunks: DataFrame, queries: DataFrame, k: int, embed: Callab
     q_prefix, p_prefix = getattr(embed, "query_prefix", ""), getattr(embed, "passage_prefix", "")
     dim = len(embed([q_prefix])[0])
     texts = chunks.select(F.col("chunk_pos").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    of_text = lambda part: embed([p_prefix + t for t in part]).astype(np.float32)
-    of_bytes = lambda part: np.frombuffer(b"".join(part), np.float32).reshape(len(part), dim)
-    parts = list(blocks(asked, "query_id", max(1, QUERY_BYTES // (4 * dim)))) if k > 0 else []
+    of_text = lambda part: embed([p_prefix + t for t in part])
+    of_bytes = lambda part: np.frombuffer(b"".join(part), np.float64).reshape(len(part), dim)
+    parts = list(blocks(asked, "query_id", max(1, QUERY_BYTES // (8 * dim)))) if k > 0 else []
     if len(parts) > 1:
 
         def store(batches):
@@ -122,7 +122,7 @@ def dense_topk_text(chunks: DataFrame, queries: DataFrame, k: int, embed: Callab
         if not rows.num_rows:
             continue
         ids = rows.column("query_id").combine_chunks()
-        shared = spark.sparkContext.broadcast((ids, embed([q_prefix + t for t in rows.column("text").to_pylist()]).astype(np.float32)))
+        shared = spark.sparkContext.broadcast((ids, embed([q_prefix + t for t in rows.column("text").to_pylist()])))
         part = texts.mapInArrow(_multiplier(shared, dim, k, False, of_bytes if len(parts) > 1 else of_text), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:

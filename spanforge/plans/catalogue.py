@@ -13,7 +13,7 @@ from spanforge.operators import attribution, chunking, dense, geometry, gold, me
 from spanforge.operators.embedding import HashEmbedder, hash_buckets
 from spanforge.plans import oracle, pipeline
 from spanforge.plans import sweep as S
-from spanforge.plans.session import materialise
+from spanforge.plans.session import materialise, numbered, shared_folder
 from spanforge.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ REGISTRY: dict[str, Query] = {}
 SIZE, OVERLAP = 400, 50
 TOP_K, CANDIDATES, BUDGET = 5, 20, 200
 DIM = 64
+VERSION_CHARS = 16  # the tables record so many characters of a version
 
 
 def register(f: Query) -> Query:
@@ -180,6 +181,13 @@ def dense_text_topk(spark, d):
     return dense.dense_topk_text(materialise(fixed(spark, d)), asked(spark, d), 10, HashEmbedder(2048)).select("query_id", "rank", "chunk_pos")
 
 
+@register
+def dense_text_scores(spark, d):
+    """The scores themselves, to six digits."""
+    top = dense.dense_topk_text(materialise(fixed(spark, d)), asked(spark, d), 10, HashEmbedder(2048))
+    return top.select("query_id", "rank", F.round("score", 6).alias("score"))
+
+
 @register
 def index_size(spark, d):
     return dense.index_bytes(_vectors(spark, d), DIM).select("n", F.col("bytes").cast("bigint").alias("bytes"))
@@ -275,14 +283,30 @@ def required(s: DataFrame) -> DataFrame:
     return gold.required_spans(s).select("query_id", "span_id", "source_id", "start", "end")
 
 
+def _verified(spark, d, chars):
+    s = gold.verify_spans(spans(spark, d), docs(spark, d), chars)
+    return s.select("query_id", F.col("alt_idx").cast("int").alias("alt_idx"), F.col("span_idx").cast("int").alias("span_idx"), "reason")
+
+
 @register
 def gold_verify(spark, d):
-    s = gold.verify_spans(spans(spark, d), docs(spark, d))
-    return s.select("query_id", F.col("alt_idx").cast("int").alias("alt_idx"), F.col("span_idx").cast("int").alias("span_idx"), "reason")
+    """Versions must be whole hashes."""
+    return _verified(spark, d, None)
+
+
+@register
+def gold_verify_short(spark, d):
+    """The tables record the first 16 characters of versions."""
+    return _verified(spark, d, VERSION_CHARS)
 
 
 @register
 def load_queries(spark, d):
+    return gold.load_verified(asked(spark, d), docs(spark, d), strict=False, version_chars=VERSION_CHARS).select("query_id")
+
+
+@register
+def load_queries_exact(spark, d):
     return gold.load_verified(asked(spark, d), docs(spark, d), strict=False).select("query_id")
 
 
@@ -344,6 +368,52 @@ def score_query(spark, d):
     )
 
 
+def _hybrid(spark, d):
+    """(chunks, dense list, BM25 list) with chunk ids."""
+    chunks = materialise(fixed(spark, d))
+    ids, q = chunks.select("chunk_pos", "chunk_id"), materialise(asked(spark, d))
+    near = dense.dense_topk_text(chunks, q, CANDIDATES, HashEmbedder(2048))
+    words = sparse.bm25_topk(chunks, q, CANDIDATES)
+    return [materialise(x.join(ids, "chunk_pos").select("query_id", "rank", "chunk_id")) for x in (near, words)]
+
+
+@register
+def hybrid_fusion(spark, d):
+    """Dense and BM25 lists fused by reciprocal ranks."""
+    return ranking.reciprocal_rank_fusion(_hybrid(spark, d)).where(F.col("rank") <= CANDIDATES).select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
+
+
+@register
+def hybrid_union(spark, d):
+    return ranking.candidate_union(_hybrid(spark, d)).select("query_id", "rank", "chunk_id")
+
+
+def _table_sweep(spark, d, modes, indexes=("exact",), embed=None, **kw):
+    """One chunker over all documents and queries, scored and attributed."""
+    spec = S.SweepSpec({"det": embed or HashEmbedder(2048, name="det")}, {"fixed": S.Chunker(lambda x: chunking.chunk_fixed(x, SIZE, OVERLAP))}, modes, top_k=TOP_K, candidate_n=CANDIDATES, dense_indexes=indexes, **kw)
+    return S.evaluate(spark, materialise(docs(spark, d)), numbered(asked(spark, d), "query_pos", "query_id"), spec)[0]
+
+
+@register
+def hybrid_attribution(spark, d):
+    """Hits and stages of hybrid retrieval with a budget."""
+    r = _table_sweep(spark, d, ("hybrid",), budgets=(BUDGET,))
+    return r.select("query_id", "hit", "stage_attribution", F.col("branch_diag")["dense"].alias("dense"), F.col("branch_diag")["sparse"].alias("sparse"), "gold_completion_rank", F.col("retrieved_tokens").cast("bigint").alias("retrieved_tokens"))
+
+
+@register
+def dense_attribution(spark, d):
+    r = _table_sweep(spark, d, ("dense",))
+    return r.select("query_id", "hit", "stage_attribution", F.col("branch_diag")["dense"].alias("dense"), "gold_completion_rank")
+
+
+@register
+def ann_attribution(spark, d):
+    """Misses by stage of dense and hybrid retrieval over exact search and over a coarse approximate index."""
+    r = _table_sweep(spark, d, ("dense", "hybrid"), ("exact", "lsh"), HashEmbedder(256, name="det"), tables=2, bits=10, probes=2)
+    return r.groupBy("config_id", "stage_attribution").agg(F.count(F.lit(1)).alias("queries"))
+
+
 def _attributed(spark, d):
     """One sparse configuration with lexical rerank, cut and budget, and the flags of its stages."""
     chunks, top = ranked_chunks(spark, d)
@@ -502,6 +572,29 @@ def query_corpus_mismatch(spark, d):
     return m.select(F.round("centroid_cosine", 6).alias("centroid_cosine"), F.round("mean_nearest", 6).alias("mean_nearest"))
 
 
+# Files
+
+
+@register
+def jsonl_documents(spark, d):
+    """The documents written as JSON lines and loaded again."""
+    path = shared_folder(spark, "documents")
+    tables.write_json_folder(docs(spark, d).orderBy("doc_pos").select("id", "text"), path)
+    return tables.load_documents(spark, path).select("id", F.length("text").cast("bigint").alias("n_chars"), content_hash(F.col("text")).alias("version"))
+
+
+@register
+def beir_import(spark, d):
+    """The tables written as a BEIR dataset, whose judgements are the gold spans' sources, and imported."""
+    corpus, queries, qrels = (shared_folder(spark, x) for x in ("corpus", "queries", "qrels"))
+    tables.write_json_folder(docs(spark, d).select(F.col("id").alias("_id"), F.lit("").alias("title"), "text"), corpus)
+    tables.write_json_folder(asked(spark, d).where("text is not null").select(F.col("query_id").alias("_id"), "text"), queries)
+    judged = spans(spark, d).select(F.concat_ws("\t", "query_id", "source_id", F.lit("1")).alias("value"), "query_id", "alt_idx", "span_idx").orderBy("query_id", "alt_idx", "span_idx").select("value")
+    judged.coalesce(1).write.text(qrels)
+    found = tables.load_beir(spark, corpus, queries, qrels).queries
+    return found.select("query_id", F.col("query_pos").cast("bigint").alias("query_pos"), F.size("gold.alternatives").cast("int").alias("alternatives"), F.col("gold.alternatives")[0]["required_spans"][0]["source_version"].alias("version"))
+
+
 # The sweep
 
 

@@ -54,6 +54,31 @@ def _bm25(k: int, k1: float = 1.5, b: float = 0.75, name: str = "bm", chunks: st
 {name} AS (SELECT query_id, rank::INT AS rank, chunk_pos, score FROM {name}_r WHERE rank <= {k})"""
 
 
+_GRAMS = " || ".join(f"(CASE WHEN length(t) >= {n} THEN list_transform(range(1, length(t) - {n} + 2), lambda i: substr(t, i, {n})) ELSE [] END)" for n in (3, 4, 5))
+
+
+def _hashed(name: str, source: str, dim: int) -> str:
+    """name(k, b, v): unit feature-hashing vectors of source(k, text) as their non-zero entries; 2 * dim is a power of two up to 4,096."""
+    return rf"""
+{name}_x AS (SELECT k, lower(coalesce(text, '')) AS l, trim(regexp_replace(lower(coalesce(text, '')), '[{_WS}]+', ' ', 'g'), ' ') AS t FROM {source}),
+{name}_f AS (SELECT k, unnest(list_transform(regexp_extract_all(l, '[a-z0-9]+'), lambda w: 'w:' || w) || list_transform({_GRAMS}, lambda g: 'c:' || g)) AS f FROM {name}_x),
+{name}_u AS (SELECT f, ('0x' || right(sha256(f || chr(0)), 3))::INT % {2 * dim} AS h FROM (SELECT DISTINCT f FROM {name}_f)),
+{name}_b AS (SELECT k, h % {dim} AS b, sum(CASE WHEN h < {dim} THEN 1 ELSE -1 END)::DOUBLE AS v FROM {name}_f JOIN {name}_u USING (f) GROUP BY k, h % {dim}),
+{name}_n AS (SELECT k, sqrt(sum(v * v)) AS n FROM {name}_b GROUP BY k),
+{name} AS (SELECT k, b, v / n AS v FROM {name}_b JOIN {name}_n USING (k) WHERE v <> 0)"""
+
+
+def _dense(k: int, dim: int = 2048, name: str = "dn") -> str:
+    """name(query_id, rank, chunk_pos, score): exact dense lists of uq over fx."""
+    return f"""
+{name}_ct AS (SELECT chunk_pos AS k, text FROM fx), {name}_qt AS (SELECT query_id AS k, text FROM uq),
+{_hashed(f"{name}_c", f"{name}_ct", dim)},
+{_hashed(f"{name}_q", f"{name}_qt", dim)},
+{name}_d AS (SELECT q.k AS query_id, c.k AS chunk_pos, sum(q.v * c.v) AS score FROM {name}_q q JOIN {name}_c c USING (b) GROUP BY q.k, c.k),
+{name}_a AS (SELECT uq.query_id, fx.chunk_pos, coalesce(score, 0)::DOUBLE AS score FROM uq CROSS JOIN fx LEFT JOIN {name}_d d ON d.query_id = uq.query_id AND d.chunk_pos = fx.chunk_pos),
+{name} AS (SELECT * FROM (SELECT query_id, chunk_pos, score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_pos))::INT AS rank FROM {name}_a) WHERE rank <= {k})"""
+
+
 ITEMS = f"{CHUNKS}, {SPANS}, {_bm25(20)}, it AS (SELECT query_id, rank, chunk_id, source_id, s, e, {_tokens('text')} AS n_tokens FROM bm JOIN fx USING (chunk_pos))"
 
 
@@ -104,13 +129,23 @@ def _wilson(x: str, n: str) -> tuple[str, str]:
     return f"greatest(0::DOUBLE, {c} - {w})", f"least(1::DOUBLE, {c} + {w})"
 
 
+# A recorded version differs from the text's: whole hashes only, or their first 16 characters at least.
+_WHOLE = "sha256(text) <> source_version"
+_SHORT = "(length(source_version) < 16 OR left(sha256(text), length(source_version)) <> source_version)"
 _EMB = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
 _NEAR = f"{_EMB}, nn AS (SELECT a.vec_id AS x, b.vec_id AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id)"
 
 
 def sql() -> dict[str, str]:
     lo, hi = _wilson("hits", "n")
-    grams = " || ".join(f"(CASE WHEN length(t) >= {n} THEN list_transform(range(1, length(t) - {n} + 2), lambda i: substr(t, i, {n})) ELSE [] END)" for n in (3, 4, 5))
+    grams = _GRAMS
+    hybrid = f"""{CHUNKS}, {SPANS}, {_bm25(20)}, {_dense(20)},
+hl AS (SELECT query_id, chunk_pos, rank, 0 AS o FROM dn UNION ALL SELECT query_id, chunk_pos, rank, 1000 FROM bm),
+hu AS (SELECT query_id, chunk_pos, sum(1.0::DOUBLE / (60 + rank)) AS score, min(o + rank) AS seen FROM hl GROUP BY query_id, chunk_pos),
+hf AS (SELECT query_id, chunk_id, source_id, s, e, text, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank, (row_number() OVER (PARTITION BY query_id ORDER BY seen))::INT AS place FROM hu JOIN fx USING (chunk_pos))"""
+    needed = lambda i, n: f"{_covered(i, 'c_' + n)}, {_satisfied('c_' + n, 'h_' + n)}"
+    done = lambda i: f"ks AS (SELECT unnest(range(1, 21)) AS k), pre AS (SELECT k, i.* FROM {i} i JOIN ks ON rank <= k), {_covered('pre', 'pv', 'k')}, {_satisfied('pv', 'ph', 'k')}, cr AS (SELECT query_id, min(k)::INT AS rank FROM ph GROUP BY query_id)"
+    every = "al AS (SELECT query_id, 1 AS rank, source_id, s, e FROM fx, (SELECT DISTINCT query_id FROM sp))"
     both = f"{CHUNKS}, {QUERIES}, {_bm25(20, name='a1')}, {_bm25(20, 0.9, 0.4, 'a2')}, l1 AS (SELECT query_id, rank, chunk_id FROM a1 JOIN fx USING (chunk_pos)), l2 AS (SELECT query_id, rank, chunk_id FROM a2 JOIN fx USING (chunk_pos))"
     children = f"""{DOCS},
 pc1 AS (SELECT id, doc_pos, text, unnest(range(0, ((length(text) - 1) // 1200)::INT + 1)) AS p FROM docs WHERE length(text) > 0),
@@ -161,10 +196,12 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY o))::INT AS
 cr AS (SELECT query_id, min(k)::INT AS rank FROM ph GROUP BY query_id), tk AS (SELECT query_id, sum(n_tokens)::BIGINT AS t FROM i5 GROUP BY query_id), br AS (SELECT query_id, count(DISTINCT span_id)::BIGINT AS b FROM cv WHERE coverage >= 0.8::DOUBLE AND best_single < 0.8::DOUBLE GROUP BY query_id)
 SELECT query_id, query_id IN (FROM hh) AS hit, coalesce(t, 0)::BIGINT AS retrieved_tokens, coalesce(b, 0)::BIGINT AS fragmented, rank AS gold_completion_rank FROM uq LEFT JOIN tk USING (query_id) LEFT JOIN br USING (query_id) LEFT JOIN cr USING (query_id)""",
         "gold_spans": f'WITH {SPANS} SELECT DISTINCT query_id, span_id, source_id, s0 AS "start", e0 AS "end" FROM sp',
-        "gold_verify": f"""WITH {DOCS}, {SPANS} SELECT query_id, alt_idx, span_idx, CASE WHEN docs.id IS NULL THEN 'unknown_source' WHEN source_version IS NOT NULL AND left(sha256(text), length(source_version)) <> source_version THEN 'version_mismatch'
-WHEN e0 > length(text) THEN 'out_of_range' WHEN substr(text, s0 + 1, e0 - s0) IS DISTINCT FROM quoted_text THEN 'quote_mismatch' END AS reason FROM sp LEFT JOIN docs ON docs.id = sp.source_id""",
-        "load_queries": f"""WITH {DOCS}, {SPANS}, bad AS (SELECT query_id FROM sp LEFT JOIN docs ON docs.id = sp.source_id WHERE docs.id IS NULL OR (source_version IS NOT NULL AND left(sha256(text), length(source_version)) <> source_version)
-OR e0 > length(text) OR substr(text, s0 + 1, e0 - s0) IS DISTINCT FROM quoted_text) SELECT query_id FROM uq WHERE query_id NOT IN (FROM bad)""",
+        **{name: f"""WITH {DOCS}, {SPANS} SELECT query_id, alt_idx, span_idx, CASE WHEN docs.id IS NULL THEN 'unknown_source' WHEN source_version IS NOT NULL AND {differ} THEN 'version_mismatch'
+WHEN e0 > length(text) THEN 'out_of_range' WHEN substr(text, s0 + 1, e0 - s0) IS DISTINCT FROM quoted_text THEN 'quote_mismatch' END AS reason FROM sp LEFT JOIN docs ON docs.id = sp.source_id"""
+           for name, differ in (("gold_verify", _WHOLE), ("gold_verify_short", _SHORT))},
+        **{name: f"""WITH {DOCS}, {SPANS}, bad AS (SELECT query_id FROM sp LEFT JOIN docs ON docs.id = sp.source_id WHERE docs.id IS NULL OR (source_version IS NOT NULL AND {differ})
+OR e0 > length(text) OR substr(text, s0 + 1, e0 - s0) IS DISTINCT FROM quoted_text) SELECT query_id FROM uq WHERE query_id NOT IN (FROM bad)"""
+           for name, differ in (("load_queries_exact", _WHOLE), ("load_queries", _SHORT))},
         "gold_authoring": f"""WITH {DOCS}, {SPANS} SELECT query_id, alt_idx, span_idx, CASE WHEN length(quoted_text) > 0 AND strpos(text, quoted_text) > 0 THEN strpos(text, quoted_text) - 1 END::BIGINT AS "start", sha256(text) AS source_version,
 CASE WHEN docs.id IS NULL THEN 'unknown_source' WHEN coalesce(length(quoted_text), 0) = 0 THEN 'empty_quote' WHEN strpos(text, quoted_text) = 0 THEN 'quote_not_found' END AS reason FROM sp LEFT JOIN docs ON docs.id = sp.source_id""",
         "span_coverage": f"WITH {ITEMS}, {_covered('it', 'cv')} SELECT query_id, alt_idx, span_idx, round(coverage, 9) AS coverage, round(best_single, 9) AS best_single FROM cv",
@@ -200,5 +237,25 @@ SELECT 10::INT AS k, round(avg(pow((t - mu) / sd, 3)), 6) AS skewness FROM c, m"
         "query_corpus_mismatch": f"""WITH {_EMB}, u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v), d AS (SELECT vec_id % 20 = 0 AS q, vec_id, unnest(range(64)) AS d, unnest(e) AS x FROM u),
 c AS (SELECT d, avg(x) FILTER (q) AS a, avg(x) FILTER (NOT q) AS b FROM d GROUP BY d), n AS (SELECT a.vec_id, max(round(list_cosine_similarity(a.e, b.e), 9)) AS s FROM v a JOIN v b ON a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 GROUP BY a.vec_id)
 SELECT round((SELECT sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) FROM c), 6) AS centroid_cosine, round((SELECT avg(s) FROM n), 6) AS mean_nearest""",
+        "dense_text_topk": f"WITH {CHUNKS}, {QUERIES}, {_dense(10)} SELECT query_id, rank, chunk_pos FROM dn",
+        "dense_text_scores": f"WITH {CHUNKS}, {QUERIES}, {_dense(10)} SELECT query_id, rank, round(score, 6) AS score FROM dn",
+        "hybrid_fusion": f"WITH {hybrid} SELECT query_id, rank, chunk_id, round(score, 9) AS score FROM hf WHERE rank <= 20",
+        "hybrid_union": f"WITH {hybrid} SELECT query_id, place AS rank, chunk_id FROM hf",
+        "hybrid_attribution": f"""WITH {hybrid}, i20 AS (SELECT * FROM hf WHERE rank <= 20), i5 AS (SELECT *, {_tokens('text')} AS n_tokens FROM hf WHERE rank <= 5), i5r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rank) AS run FROM i5),
+ib AS (SELECT * FROM i5r WHERE run <= 200), idn AS (SELECT query_id, rank, source_id, s, e FROM dn JOIN fx USING (chunk_pos)), isp AS (SELECT query_id, rank, source_id, s, e FROM bm JOIN fx USING (chunk_pos)), {every},
+{needed('al', 'all')}, {needed('hf', 'union')}, {needed('i20', 'fused')}, {needed('i5', 'final')}, {needed('ib', 'budget')}, {needed('idn', 'dense')}, {needed('isp', 'sparse')}, {done('i20')},
+tk AS (SELECT query_id, sum(n_tokens)::BIGINT AS t FROM ib GROUP BY query_id)
+SELECT query_id, query_id IN (FROM h_budget) AS hit, CASE WHEN query_id IN (FROM h_budget) THEN NULL WHEN query_id NOT IN (FROM h_all) THEN 'representation' WHEN query_id NOT IN (FROM h_union) THEN 'candidate_generation'
+WHEN query_id NOT IN (FROM h_fused) THEN 'fusion' WHEN query_id NOT IN (FROM h_final) THEN 'final_cutoff' ELSE 'budget_cutoff' END AS stage_attribution,
+query_id IN (FROM h_dense) AS dense, query_id IN (FROM h_sparse) AS sparse, cr.rank AS gold_completion_rank, coalesce(t, 0)::BIGINT AS retrieved_tokens FROM uq LEFT JOIN cr USING (query_id) LEFT JOIN tk USING (query_id)""",
+        "dense_attribution": f"""WITH {CHUNKS}, {SPANS}, {_dense(20)}, i20 AS (SELECT query_id, rank, source_id, s, e FROM dn JOIN fx USING (chunk_pos)), i5 AS (SELECT * FROM i20 WHERE rank <= 5), {every},
+{needed('al', 'all')}, {needed('i20', 'union')}, {needed('i5', 'final')}, {done('i20')}
+SELECT query_id, query_id IN (FROM h_final) AS hit, CASE WHEN query_id IN (FROM h_final) THEN NULL WHEN query_id NOT IN (FROM h_all) THEN 'representation' WHEN query_id NOT IN (FROM h_union) THEN 'candidate_generation' ELSE 'final_cutoff' END AS stage_attribution,
+query_id IN (FROM h_union) AS dense, cr.rank AS gold_completion_rank FROM uq LEFT JOIN cr USING (query_id)""",
+        "jsonl_documents": f"WITH {DOCS} SELECT id, length(text)::BIGINT AS n_chars, sha256(text) AS version FROM docs",
+        "beir_import": f"""WITH {DOCS}, {SPANS}, w AS (SELECT id, regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS text FROM docs),
+r AS (SELECT query_id, source_id, text, min((alt_idx, span_idx)) AS first FROM sp JOIN w ON w.id = sp.source_id GROUP BY query_id, source_id, text),
+k AS (SELECT query_id, count(*) AS alternatives, arg_min(sha256(text), first) AS version FROM r WHERE text <> '' GROUP BY query_id)
+SELECT query_id, row_number() OVER (ORDER BY query_id) AS query_pos, alternatives::INT AS alternatives, version FROM k JOIN uq USING (query_id) WHERE uq.text IS NOT NULL""",
         "sweep_violations": "SELECT '' AS config_id, '' AS query_id WHERE false",
     }
