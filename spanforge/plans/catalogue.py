@@ -390,14 +390,24 @@ def hybrid_union(spark, d):
 
 def _table_sweep(spark, d, modes, indexes=("exact",), embed=None, **kw):
     """One chunker over all documents and queries, scored and attributed."""
-    spec = S.SweepSpec({"det": embed or HashEmbedder(2048, name="det")}, {"fixed": S.Chunker(lambda x: chunking.chunk_fixed(x, SIZE, OVERLAP))}, modes, top_k=TOP_K, candidate_n=CANDIDATES, dense_indexes=indexes, **kw)
+    spec = S.SweepSpec({"det": embed or HashEmbedder(2048, name="det")}, {"fixed": S.Chunker(lambda x: chunking.chunk_fixed(x, SIZE, OVERLAP))}, modes, dense_indexes=indexes, **({"top_k": TOP_K, "candidate_n": CANDIDATES} | kw))
     return S.evaluate(spark, materialise(docs(spark, d)), numbered(asked(spark, d), "query_pos", "query_id"), spec)[0]
 
 
 @register
 def hybrid_attribution(spark, d):
     """Hits and stages of hybrid retrieval with a budget."""
-    r = _table_sweep(spark, d, ("hybrid",), budgets=(BUDGET,))
+    return _hybrid_stages(spark, d, CANDIDATES)
+
+
+@register
+def fusion_attribution(spark, d):
+    """The same with as few candidates as results, so that fusion loses evidence."""
+    return _hybrid_stages(spark, d, TOP_K)
+
+
+def _hybrid_stages(spark, d, n):
+    r = _table_sweep(spark, d, ("hybrid",), budgets=(BUDGET,), candidate_n=n)
     return r.select("query_id", "hit", "stage_attribution", F.col("branch_diag")["dense"].alias("dense"), F.col("branch_diag")["sparse"].alias("sparse"), "gold_completion_rank", F.col("retrieved_tokens").cast("bigint").alias("retrieved_tokens"))
 
 

@@ -136,13 +136,55 @@ _EMB = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
 _NEAR = f"{_EMB}, nn AS (SELECT a.vec_id AS x, b.vec_id AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id)"
 
 
+def _recursive(size: int) -> str:
+    """Chunks (chunk_pos, chunk_id, source_id, s, e, text) by ever weaker separators: pieces, then greedy packing, then tiling."""
+    seps = "(CASE lv WHEN 0 THEN chr(10) || chr(10) WHEN 1 THEN chr(10) WHEN 2 THEN '. ' WHEN 3 THEN ' ' END)"
+    cut = f"(lv < 4 AND e - s > {size})"
+    return f"""{DOCS},
+r_t AS (SELECT id, text, length(text) AS n FROM docs WHERE length(text) > 0),
+r_p AS (SELECT id, 0 AS s, n::INT AS e, 0 AS lv FROM r_t
+  UNION ALL
+  SELECT id, (s + o)::INT AS s, (s + o + length(w))::INT AS e, lv + 1 AS lv FROM (
+    SELECT id, s, lv, unnest(ws) AS w, unnest(list_transform(range(len(ws)), lambda i: coalesce(list_sum(list_transform(ws[1:i], lambda x: length(x) + l)), 0))) AS o FROM (
+      SELECT r_p.id, s, lv, length({seps}) AS l, string_split(substr(text, s + 1, e - s), {seps}) AS ws FROM r_p JOIN r_t USING (id) WHERE {cut})) WHERE w <> ''),
+r_l AS (SELECT id, s, e FROM r_p WHERE NOT {cut} AND e - s <= {size} UNION ALL SELECT id, x::INT, least(x + {size}, e)::INT FROM (SELECT id, e, unnest(range(s, e, {size})) AS x FROM r_p WHERE NOT {cut} AND e - s > {size})),
+r_o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s) AS i FROM r_l),
+r_k AS (SELECT id, i, s AS p FROM r_o WHERE i = 1 UNION ALL SELECT o.id, o.i, CASE WHEN o.e - p <= {size} THEN p ELSE o.s END FROM r_k k JOIN r_o o ON o.id = k.id AND o.i = k.i + 1),
+r_s AS (SELECT id, p, row_number() OVER (PARTITION BY id ORDER BY p) AS no FROM (SELECT DISTINCT id, p FROM r_k)),
+r_e AS (SELECT id, no - 1 AS no, CASE WHEN no = 1 THEN 0 ELSE p END::INT AS s, coalesce(lead(p) OVER (PARTITION BY id ORDER BY no), n)::INT AS e FROM r_s JOIN r_t USING (id)),
+rc AS (SELECT doc_pos * 16777216 + no AS chunk_pos, {_hash("id", "s", "e", f"'recursive:size={size}'")} AS chunk_id, id AS source_id, s, e, substr(text, s + 1, e - s) AS text FROM r_e JOIN docs USING (id))"""
+
+
+_SENTENCES = rf"""{DOCS}, s_p AS (SELECT id, list_filter(string_split(regexp_replace(text, '([.!?]+(?:[{_WS}]+|\z)|\n+)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM docs WHERE length(text) > 0),
+s_q AS (SELECT id, parts, unnest(range(len(parts))) AS no FROM s_p),
+se AS (SELECT id, no::INT AS no, coalesce(list_sum(list_transform(parts[1:no], lambda x: length(x))), 0)::INT AS s, list_sum(list_transform(parts[1:no + 1], lambda x: length(x)))::INT AS e, parts[no + 1] AS text FROM s_q)"""
+
+
+def _semantic(dim: int, percentile: float, most: int, spec: str) -> str:
+    """Chunks sc of whole sentences, cut at far neighbours and at ``most`` characters."""
+    return f"""{_SENTENCES},
+m_t AS (SELECT id || chr(0) || no AS k, text FROM se),
+{_hashed("m_v", "m_t", dim)},
+m_w AS (SELECT x.id, x.no, v.b, v.v FROM se x JOIN m_v v ON v.k = x.id || chr(0) || x.no),
+m_c AS (SELECT a.id, a.no, sum(a.v * b.v) AS c FROM m_w a JOIN m_w b ON b.id = a.id AND b.no = a.no + 1 AND b.b = a.b GROUP BY a.id, a.no),
+m_d AS (SELECT x.id, x.no, coalesce(c, 0) AS c FROM se x JOIN se y ON y.id = x.id AND y.no = x.no + 1 LEFT JOIN m_c ON m_c.id = x.id AND m_c.no = x.no),
+m_q AS (SELECT id, quantile_cont(1 - c, {percentile / 100}) AS q FROM m_d GROUP BY id),
+m_f AS (SELECT se.id, se.no, s, e, coalesce(1 - c >= q, false) AS far FROM se LEFT JOIN m_d ON m_d.id = se.id AND m_d.no = se.no LEFT JOIN m_q ON m_q.id = se.id),
+m_k AS (SELECT id, no, s AS p, e, (far OR e - s >= {most}) AS stop FROM m_f WHERE no = 0
+  UNION ALL SELECT f.id, f.no, CASE WHEN k.stop THEN f.s ELSE k.p END, f.e, f.far OR f.e - CASE WHEN k.stop THEN f.s ELSE k.p END >= {most} FROM m_k k JOIN m_f f ON f.id = k.id AND f.no = k.no + 1),
+m_s AS (SELECT id, p::INT AS s, max(e)::INT AS e FROM m_k GROUP BY id, p),
+m_n AS (SELECT id, s, e, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS no FROM m_s),
+sc AS (SELECT doc_pos * 16777216 + no AS chunk_pos, {_hash("id", "s", "e", f"'{spec}'")} AS chunk_id, id AS source_id, s, e, substr(text, s + 1, e - s) AS text FROM m_n JOIN docs USING (id))"""
+
+
 def sql() -> dict[str, str]:
     lo, hi = _wilson("hits", "n")
     grams = _GRAMS
-    hybrid = f"""{CHUNKS}, {SPANS}, {_bm25(20)}, {_dense(20)},
+    mixed = lambda n: f"""{CHUNKS}, {SPANS}, {_bm25(n)}, {_dense(n)},
 hl AS (SELECT query_id, chunk_pos, rank, 0 AS o FROM dn UNION ALL SELECT query_id, chunk_pos, rank, 1000 FROM bm),
 hu AS (SELECT query_id, chunk_pos, sum(1.0::DOUBLE / (60 + rank)) AS score, min(o + rank) AS seen FROM hl GROUP BY query_id, chunk_pos),
-hf AS (SELECT query_id, chunk_id, source_id, s, e, text, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank, (row_number() OVER (PARTITION BY query_id ORDER BY seen))::INT AS place FROM hu JOIN fx USING (chunk_pos))"""
+hf AS (SELECT query_id, chunk_id, source_id, s, e, text, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank, (row_number() OVER (PARTITION BY query_id ORDER BY seen))::INT AS place FROM hu JOIN fx USING (chunk_pos))"""
+    hybrid = mixed(20)
     needed = lambda i, n: f"{_covered(i, 'c_' + n)}, {_satisfied('c_' + n, 'h_' + n)}"
     done = lambda i: f"ks AS (SELECT unnest(range(1, 21)) AS k), pre AS (SELECT k, i.* FROM {i} i JOIN ks ON rank <= k), {_covered('pre', 'pv', 'k')}, {_satisfied('pv', 'ph', 'k')}, cr AS (SELECT query_id, min(k)::INT AS rank FROM ph GROUP BY query_id)"
     every = "al AS (SELECT query_id, 1 AS rank, source_id, s, e FROM fx, (SELECT DISTINCT query_id FROM sp))"
@@ -163,6 +205,8 @@ pc AS (SELECT doc_pos * 16777216 + p * 4 + c AS chunk_pos, {_hash("id", "s", "e"
         "load_documents": f"WITH {DOCS} SELECT id, doc_pos, length(text)::BIGINT AS n_chars, sha256(text) AS version FROM docs",
         "chunk_fixed": f"WITH {DOCS}, {_fixed(400, 0)} SELECT {chunk_rows} FROM fx",
         "chunk_fixed_overlap": f"WITH {CHUNKS} SELECT {chunk_rows} FROM fx",
+        "chunk_recursive": f"WITH RECURSIVE {_recursive(400)} SELECT {chunk_rows} FROM rc",
+        "chunk_semantic": f"WITH RECURSIVE {_semantic(256, 75.0, 1000, 'semantic:pct=75.0:max=1000:emb=det-hash')} SELECT {chunk_rows} FROM sc",
         "chunk_parent_child": f'WITH {children} SELECT chunk_pos, chunk_id, source_id, s AS "start", e AS "end", parent_id FROM pc',
         "chunk_lossy": f"""WITH {DOCS}, r AS (SELECT id, text, 0 AS a, least(200, length(text)) AS b FROM docs UNION ALL SELECT id, text, least(350, length(text)), length(text) FROM docs),
 r2 AS (SELECT *, unnest(range(0, ((b - a - 1) // 100)::INT + 1)) AS c FROM r WHERE b > a), r3 AS (SELECT id, text, (a + c * 100)::INT AS s, least(a + c * 100 + 100, b)::INT AS e FROM r2)
@@ -241,13 +285,13 @@ SELECT round((SELECT sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) FROM c),
         "dense_text_scores": f"WITH {CHUNKS}, {QUERIES}, {_dense(10)} SELECT query_id, rank, round(score, 6) AS score FROM dn",
         "hybrid_fusion": f"WITH {hybrid} SELECT query_id, rank, chunk_id, round(score, 9) AS score FROM hf WHERE rank <= 20",
         "hybrid_union": f"WITH {hybrid} SELECT query_id, place AS rank, chunk_id FROM hf",
-        "hybrid_attribution": f"""WITH {hybrid}, i20 AS (SELECT * FROM hf WHERE rank <= 20), i5 AS (SELECT *, {_tokens('text')} AS n_tokens FROM hf WHERE rank <= 5), i5r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rank) AS run FROM i5),
+        **{name: f"""WITH {mixed(n)}, i20 AS (SELECT * FROM hf WHERE rank <= {n}), i5 AS (SELECT *, {_tokens('text')} AS n_tokens FROM hf WHERE rank <= 5), i5r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rank) AS run FROM i5),
 ib AS (SELECT * FROM i5r WHERE run <= 200), idn AS (SELECT query_id, rank, source_id, s, e FROM dn JOIN fx USING (chunk_pos)), isp AS (SELECT query_id, rank, source_id, s, e FROM bm JOIN fx USING (chunk_pos)), {every},
 {needed('al', 'all')}, {needed('hf', 'union')}, {needed('i20', 'fused')}, {needed('i5', 'final')}, {needed('ib', 'budget')}, {needed('idn', 'dense')}, {needed('isp', 'sparse')}, {done('i20')},
 tk AS (SELECT query_id, sum(n_tokens)::BIGINT AS t FROM ib GROUP BY query_id)
 SELECT query_id, query_id IN (FROM h_budget) AS hit, CASE WHEN query_id IN (FROM h_budget) THEN NULL WHEN query_id NOT IN (FROM h_all) THEN 'representation' WHEN query_id NOT IN (FROM h_union) THEN 'candidate_generation'
 WHEN query_id NOT IN (FROM h_fused) THEN 'fusion' WHEN query_id NOT IN (FROM h_final) THEN 'final_cutoff' ELSE 'budget_cutoff' END AS stage_attribution,
-query_id IN (FROM h_dense) AS dense, query_id IN (FROM h_sparse) AS sparse, cr.rank AS gold_completion_rank, coalesce(t, 0)::BIGINT AS retrieved_tokens FROM uq LEFT JOIN cr USING (query_id) LEFT JOIN tk USING (query_id)""",
+query_id IN (FROM h_dense) AS dense, query_id IN (FROM h_sparse) AS sparse, cr.rank AS gold_completion_rank, coalesce(t, 0)::BIGINT AS retrieved_tokens FROM uq LEFT JOIN cr USING (query_id) LEFT JOIN tk USING (query_id)""" for name, n in (("hybrid_attribution", 20), ("fusion_attribution", 5))},
         "dense_attribution": f"""WITH {CHUNKS}, {SPANS}, {_dense(20)}, i20 AS (SELECT query_id, rank, source_id, s, e FROM dn JOIN fx USING (chunk_pos)), i5 AS (SELECT * FROM i20 WHERE rank <= 5), {every},
 {needed('al', 'all')}, {needed('i20', 'union')}, {needed('i5', 'final')}, {done('i20')}
 SELECT query_id, query_id IN (FROM h_final) AS hit, CASE WHEN query_id IN (FROM h_final) THEN NULL WHEN query_id NOT IN (FROM h_all) THEN 'representation' WHEN query_id NOT IN (FROM h_union) THEN 'candidate_generation' ELSE 'final_cutoff' END AS stage_attribution,
