@@ -397,17 +397,17 @@ def _table_sweep(spark, d, modes, indexes=("exact",), embed=None, **kw):
 @register
 def hybrid_attribution(spark, d):
     """Hits and stages of hybrid retrieval with a budget."""
-    return _hybrid_stages(spark, d, CANDIDATES)
+    return _hybrid_stages(spark, d, CANDIDATES, TOP_K)
 
 
 @register
 def fusion_attribution(spark, d):
-    """The same with as few candidates as results, so that fusion loses evidence."""
-    return _hybrid_stages(spark, d, TOP_K)
+    """The same with one candidate a branch and one result, so that fusion loses evidence."""
+    return _hybrid_stages(spark, d, 1, 1)
 
 
-def _hybrid_stages(spark, d, n):
-    r = _table_sweep(spark, d, ("hybrid",), budgets=(BUDGET,), candidate_n=n)
+def _hybrid_stages(spark, d, n, k):
+    r = _table_sweep(spark, d, ("hybrid",), budgets=(BUDGET,), candidate_n=n, top_k=k)
     return r.select("query_id", "hit", "stage_attribution", F.col("branch_diag")["dense"].alias("dense"), F.col("branch_diag")["sparse"].alias("sparse"), "gold_completion_rank", F.col("retrieved_tokens").cast("bigint").alias("retrieved_tokens"))
 
 

@@ -285,13 +285,13 @@ SELECT round((SELECT sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) FROM c),
         "dense_text_scores": f"WITH {CHUNKS}, {QUERIES}, {_dense(10)} SELECT query_id, rank, round(score, 6) AS score FROM dn",
         "hybrid_fusion": f"WITH {hybrid} SELECT query_id, rank, chunk_id, round(score, 9) AS score FROM hf WHERE rank <= 20",
         "hybrid_union": f"WITH {hybrid} SELECT query_id, place AS rank, chunk_id FROM hf",
-        **{name: f"""WITH {mixed(n)}, i20 AS (SELECT * FROM hf WHERE rank <= {n}), i5 AS (SELECT *, {_tokens('text')} AS n_tokens FROM hf WHERE rank <= 5), i5r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rank) AS run FROM i5),
+        **{name: f"""WITH {mixed(n)}, i20 AS (SELECT * FROM hf WHERE rank <= {n}), i5 AS (SELECT *, {_tokens('text')} AS n_tokens FROM hf WHERE rank <= {k}), i5r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rank) AS run FROM i5),
 ib AS (SELECT * FROM i5r WHERE run <= 200), idn AS (SELECT query_id, rank, source_id, s, e FROM dn JOIN fx USING (chunk_pos)), isp AS (SELECT query_id, rank, source_id, s, e FROM bm JOIN fx USING (chunk_pos)), {every},
 {needed('al', 'all')}, {needed('hf', 'union')}, {needed('i20', 'fused')}, {needed('i5', 'final')}, {needed('ib', 'budget')}, {needed('idn', 'dense')}, {needed('isp', 'sparse')}, {done('i20')},
 tk AS (SELECT query_id, sum(n_tokens)::BIGINT AS t FROM ib GROUP BY query_id)
 SELECT query_id, query_id IN (FROM h_budget) AS hit, CASE WHEN query_id IN (FROM h_budget) THEN NULL WHEN query_id NOT IN (FROM h_all) THEN 'representation' WHEN query_id NOT IN (FROM h_union) THEN 'candidate_generation'
 WHEN query_id NOT IN (FROM h_fused) THEN 'fusion' WHEN query_id NOT IN (FROM h_final) THEN 'final_cutoff' ELSE 'budget_cutoff' END AS stage_attribution,
-query_id IN (FROM h_dense) AS dense, query_id IN (FROM h_sparse) AS sparse, cr.rank AS gold_completion_rank, coalesce(t, 0)::BIGINT AS retrieved_tokens FROM uq LEFT JOIN cr USING (query_id) LEFT JOIN tk USING (query_id)""" for name, n in (("hybrid_attribution", 20), ("fusion_attribution", 5))},
+query_id IN (FROM h_dense) AS dense, query_id IN (FROM h_sparse) AS sparse, cr.rank AS gold_completion_rank, coalesce(t, 0)::BIGINT AS retrieved_tokens FROM uq LEFT JOIN cr USING (query_id) LEFT JOIN tk USING (query_id)""" for name, n, k in (("hybrid_attribution", 20, 5), ("fusion_attribution", 1, 1))},
         "dense_attribution": f"""WITH {CHUNKS}, {SPANS}, {_dense(20)}, i20 AS (SELECT query_id, rank, source_id, s, e FROM dn JOIN fx USING (chunk_pos)), i5 AS (SELECT * FROM i20 WHERE rank <= 5), {every},
 {needed('al', 'all')}, {needed('i20', 'union')}, {needed('i5', 'final')}, {done('i20')}
 SELECT query_id, query_id IN (FROM h_final) AS hit, CASE WHEN query_id IN (FROM h_final) THEN NULL WHEN query_id NOT IN (FROM h_all) THEN 'representation' WHEN query_id NOT IN (FROM h_union) THEN 'candidate_generation' ELSE 'final_cutoff' END AS stage_attribution,
