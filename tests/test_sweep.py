@@ -118,7 +118,7 @@ def test_makers():
 def test_reports(spark, swept, tmp_path):
     s = report.summarise(swept)
     text = report.render_report(s, top=5)
-    assert "hit@k" in text and text.count("rerank=") == 5
+    assert "hit rate" in text and text.count("rerank=") == 5
     assert "Pareto" in report.render_pareto(s)
     path = tmp_path / "r.json"
     report.write_json(swept, str(path), s)
@@ -162,7 +162,7 @@ def test_latency_is_measured_on_request(spark):
     assert sparse_cost["index_bytes"] == 0 and dense_cost["mean_ms"] != sparse_cost["mean_ms"] and min(dense_cost["build_ms"], sparse_cost["build_ms"]) > 0
     assert dense_cost["n"] == 4 and dense_cost["p95_ms"] >= dense_cost["p50_ms"] > 0 and dense_cost["index_bytes"] == 4 * 256 * 4
     text, page = report.render_report(report.summarise(s)), report.render_html(report.summarise(s))
-    assert "this machine only" in text and "Measured cost" in page
+    assert "this machine only" in text and "Measured cost" in page and "p95 ms" in text and "p95 ms" in page
 
 
 @pytest.mark.parametrize("name", ["semantic:60", "recursive:80", "parent-child:200x50", "fixed"])
