@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import sys
-import types
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from spanforge.functions.worker import worker_cache  # noqa: F401  (re-exported)
 from spanforge.plans.session import materialise  # noqa: F401  (re-exported)
 
 
-def worker_cache(key, make: Callable):
-    """One object per Python worker process, kept across tasks (functions arrive by value)."""
-    store = sys.modules.get("_spanforge_worker_cache")
-    if store is None:
-        store = sys.modules["_spanforge_worker_cache"] = types.ModuleType("_spanforge_worker_cache")
-        store.items = {}
-    if key not in store.items:
-        store.items[key] = make()
-    return store.items[key]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

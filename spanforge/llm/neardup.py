@@ -210,7 +210,6 @@ def _blob_batch(parts: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
 
 
 _POSTING = [np.uint32, np.uint16, np.int32, np.int8, np.uint16, np.int64, np.int32]  # gram (upper 48 bits), salt, side, pos, key, n
-_PAIR = [np.int64, np.int64, np.int32]  # a, b, times
 
 
 def _postings(texts: DataFrame, cells, words: int, min_words: int, threshold: float, hot: int, shared: int, parts: int) -> DataFrame:
@@ -311,7 +310,10 @@ def summed(a: np.ndarray, b: np.ndarray, times: np.ndarray):
 
 
 def _candidates(postings: DataFrame, parts: int, threshold: float, shared: int) -> DataFrame:
-    """(a, b) of the pairs of classes that meet ``shared`` times."""
+    """(a, b) of the pairs of classes that meet ``shared`` times.
+
+    Pairs, whose number no one knows before, are added by an aggregation that spills.
+    """
 
     def join(batches):
         blobs = [x for batch in batches for x in batch.column(1).to_pylist()]
@@ -319,7 +321,7 @@ def _candidates(postings: DataFrame, parts: int, threshold: float, shared: int)
 
         def flush():
             a, b, times = summed(*(np.concatenate(x) for x in zip(*out)))
-            return _blob_batch((_mix(a.view(np.uint64) * _M1 + b.view(np.uint64)) % np.uint64(parts)).astype(np.int32), [a, b, times])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(times)], names=["a", "b", "times"])
 
         high, low, salt, side, pos, key, n = unpack(blobs, _POSTING)
         grams = (high.astype(np.uint64) << np.uint64(16)) | low
@@ -333,13 +335,8 @@ def _candidates(postings: DataFrame, parts: int, threshold: float, shared: int)
         if out:
             yield flush()
 
-    def meet(batches):
-        a, b, times = summed(*unpack([x for batch in batches for x in batch.column(1).to_pylist()], _PAIR))
-        good = times >= shared
-        yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
-
-    pairs = postings.repartitionById(parts, F.col("part")).mapInArrow(join, "part int, rows binary")
-    return pairs.repartitionById(parts, F.col("part")).mapInArrow(meet, "a bigint, b bigint")
+    pairs = postings.repartitionById(parts, F.col("part")).mapInArrow(join, "a bigint, b bigint, times int")
+    return pairs.groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= shared).select("a", "b")
 
 
 def _suffix_filter(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:

@@ -84,10 +84,18 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose decoded ids differ from their text: always empty."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = encoding.decode_documents(encoding.encode_documents(docs)).select("doc_id", F.col("text").alias("decoded"))
-    return docs.join(back, "doc_id", "full").where("not (text <=> decoded)").select("doc_id")
+    """The hash of each document's text after encoding and decoding; null texts come back empty."""
+    back = encoding.decode_documents(encoding.encode_documents(table(spark, d, "documents")))
+    return back.select("doc_id", F.sha2("text", 256).alias("version"))
+
+
+def p6_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Texts whose token ids differ between leaves of 64 characters and of the usual size, by number of tokens: counts."""
+    docs = table(spark, d, "documents")
+    small = encoding.encode_documents(docs, leaf_chars=64).select("doc_id", F.sha2(F.array_join("ids", " "), 256).alias("small"))
+    usual = encoding.encode_documents(docs).select("doc_id", F.sha2(F.array_join("ids", " "), 256).alias("usual"))
+    both = small.join(usual, "doc_id")
+    return both.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("small") == F.col("usual")).alias("equal"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_recall, p2_found, p2_balanced, p2_balanced_summary, p3_found, p3_weights, p3_top_terms, p4_found, p4_groups, p5_found, p5_terms, p5_ngrams, p5_ngrams_all,
-            p6_ids, p6_round_trip, p7_found, p7_mix, p7_report, p8_found, p8_kept, p8_templates,
+            p6_ids, p6_round_trip, p6_tree, p7_found, p7_mix, p7_report, p8_found, p8_kept, p8_templates,
         )
     }
 
@@ -229,5 +237,6 @@ SELECT term, occurrences, records, CASE WHEN records <= 2 THEN 'rare' WHEN recor
 WITH {_RECORDS},
 t AS (SELECT chunk_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM words)
 SELECT term, count(*)::BIGINT AS occurrences, count(DISTINCT chunk_id)::BIGINT AS records FROM t GROUP BY term""",
-        "p6_round_trip": "SELECT doc_id FROM documents WHERE false",
+        "p6_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS version FROM documents",
+        "p6_tree": "SELECT count(*) AS documents, count(*) AS equal FROM documents",
     }
