@@ -136,6 +136,16 @@ def test_width_is_widened_until_both_halves_are_found():
     assert width >= neighbors.MARGIN * 0.3 / max(stop, neighbors._distance(0.96)) and neighbors.width_for(q[:0], sim[:0], near[:0], near[:0], 2, 0.92, 1.0) > 0
 
 
+def test_cells_of_crowded_blocks():
+    rng = np.random.default_rng(7)
+    sim = rng.uniform(0.9, 1.0, (90, 70)).astype(np.float32)
+    a, b = neighbors.best_cells(sim, 3, 0.9)
+    want = {(i, j) for i in range(90) for j in np.argsort(-sim[i])[:3].tolist()} | {(i, j) for j in range(70) for i in np.argsort(-sim[:, j])[:3].tolist()}
+    assert want <= set(zip(a.tolist(), b.tolist())) and len(a) < 90 * 70 / 4
+    a, b = neighbors.best_cells(sim, 3, 0.9999)
+    assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i, j in zip(*np.nonzero(sim >= np.float32(0.9999)))}
+
+
 def test_large_leaves_are_split_on_samples_of_their_own(spark, monkeypatch):
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((40, 8))
