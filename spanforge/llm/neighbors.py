@@ -251,6 +251,8 @@ def compare_with_all(vectors: DataFrame, ids: list, groups: list, x: np.ndarray,
         q_ids, q_groups, q, q_home, arrays = given.value
         tree = Tree(*arrays) if arrays else None
         kept, size, id_type = [], 0, None
+        codes = {g: n for n, g in enumerate(dict.fromkeys(q_groups.tolist()))}
+        q_codes = np.array([codes[g] for g in q_groups.tolist()], np.int8 if len(codes) < 120 else np.int32)
 
         def best():
             a, i, s, near, far = (np.concatenate(x) for x in zip(*kept))
@@ -267,11 +269,13 @@ def compare_with_all(vectors: DataFrame, ids: list, groups: list, x: np.ndarray,
                 continue
             id_type = batch.column(0).type
             own, grp = np.array(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist(), dtype=object)
+            own_codes = np.array([codes.get(g, -1) for g in grp.tolist()], q_codes.dtype)
             v = _matrix(batch.column(2), dim)
             for lo in range(0, len(v), 4096):
                 part = v[lo : lo + 4096].astype(np.float32)
                 sim = q @ part.T
-                sim[q_groups[:, None] != grp[None, lo : lo + 4096]] = -2.0
+                if len(codes) > 1:
+                    sim[q_codes[:, None] != own_codes[None, lo : lo + 4096]] = -2.0
                 a, b = best_cells(sim, 2 * k + 1, least - 1e-4, columns=False)
                 b += lo
                 good = (q_groups[a] == grp[b]) & (q_ids[a] != own[b])
@@ -435,7 +439,7 @@ def similar_pairs(
     dim: int = 64,
     k: int = 5,
     least: float = 0.92,
-    target_recall: float = 0.99,
+    target_recall: float = 0.999,
     sample: tuple[int, int] = SAMPLE,
     calibration: int = CALIBRATION,
     leaf_target: int = LEAF_TARGET,
