@@ -274,7 +274,7 @@ def compare_with_all(vectors: DataFrame, ids: list, groups: list, x: np.ndarray,
             for lo in range(0, len(v), 4096):
                 part = v[lo : lo + 4096].astype(np.float32)
                 sim = q @ part.T
-                if len(codes) > 1:
+                if len(codes) > 1 or (own_codes < 0).any():
                     sim[q_codes[:, None] != own_codes[None, lo : lo + 4096]] = -2.0
                 a, b = best_cells(sim, 2 * k + 1, least - 1e-4, columns=False)
                 b += lo
