@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from spanforge.llm._common import worker_cache
 
 DEPTH = 4
-TREE_LEAVES = 200_000  # a task's tree is begun anew beyond this; verdicts do not depend on it
+TREE_TEMPLATES = 200_000  # a worker's tree is begun anew beyond this; verdicts do not depend on it
 WILD, NUMBER, STATUS_CODE = "*", "#", "<status>"
 SHOWN = " \x02 "  # stands for masked code and quotations: a word of no vocabulary
 
@@ -286,22 +286,18 @@ def classify_template(template: tuple[str, ...]) -> str | None:
 class Tree:
     """Fixed-depth prefix tree: length, then the first words, then the leaf's templates, each with its verdict and count."""
 
-    def __init__(self, depth: int = DEPTH):
-        self.depth, self.leaves, self.size = depth, {}, 0
+    def __init__(self, depth: int = DEPTH, most: int | None = TREE_TEMPLATES):
+        self.depth, self.most, self.leaves, self.size = depth, most, {}, 0
 
     def add(self, template: tuple[str, ...]) -> str | None:
         """Counts a message and returns its template's verdict."""
-        path = (len(template), *template[: self.depth])
-        leaf = self.leaves.get(path)
-        if leaf is None:
-            if self.size >= TREE_LEAVES:
-                self.leaves, self.size = {}, 0
-            leaf = self.leaves[path] = {}
-            self.size += 1
-        rest = template[self.depth :]
-        known = leaf.get(rest)
+        if self.most and self.size >= self.most:
+            self.leaves, self.size = {}, 0
+        leaf = self.leaves.setdefault((len(template), *template[: self.depth]), {})
+        known = leaf.get(template[self.depth :])
         if known is None:
-            known = leaf[rest] = [0, classify_template(template)]
+            known = leaf[template[self.depth :]] = [0, classify_template(template)]
+            self.size += 1
         known[0] += 1
         return known[1]
 
@@ -354,7 +350,7 @@ def mine_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def grow(batches):
-        tree = Tree(depth)
+        tree = Tree(depth, None)  # its counts are emitted before it begins anew
 
         def rows(tree):
             items = [(f"{path[0]} {' '.join(path[1:])}", " ".join(path[1:] + rest), n, verdict) for path, leaf in tree.leaves.items() for rest, (n, verdict) in leaf.items()]
@@ -366,9 +362,9 @@ def mine_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text in batch.column(0).to_pylist():
                 for _ in reasons_of(mask_shown(text), tree):
                     pass
-                if tree.size >= TREE_LEAVES - 1:  # emitted before it would begin anew
+                if tree.size >= TREE_TEMPLATES:
                     yield from rows(tree)
-                    tree = Tree(depth)
+                    tree = Tree(depth, None)
         yield from rows(tree)
 
     grown = _texts(df, id_col, text_col).select("text").mapInArrow(grow, "leaf string, template string, messages bigint, verdict string")

@@ -202,6 +202,13 @@ def test_one_template_for_messages_that_differ_in_other_words(spark):
     assert [v for t, v in got.items() if t.startswith("turn on javascript")] == [(1, "script notice"), (1, "script notice")]
 
 
+def test_a_tree_begun_anew_gives_the_same_verdicts():
+    texts = FOUND + [t for t in CLEAN if t]
+    small, large = residue.Tree(most=2), residue.Tree()
+    assert [residue.reason_of(t, small) for t in texts] == [residue.reason_of(t, large) for t in texts]
+    assert small.size <= 2 < large.size
+
+
 def test_every_rule_needs_an_anchor():
     for reason, rule, needed in residue._RULES:
         phrases = min(needed, key=lambda e: sum(residue.ANCHORS.isdisjoint(p.replace("’", "'").split("_")) for p in e))
