@@ -136,3 +136,51 @@ def test_geometry(spark):
     one = spark.createDataFrame([(0, [0.0, 0.0])], "id bigint, vector array<double>")
     assert geometry.hubness(one, 2).first().asDict() == {"k": 0, "skewness": 0.0} and geometry.anisotropy(one, 2).first()["isotropy"] == 1
     assert tuple(geometry.query_corpus_mismatch(v.limit(0), v, 8).first()) == (0, 0)
+
+
+GRAPH = '''
+import numpy as np
+
+class Index:
+    """Stands in for the optional library: exact search behind its interface."""
+
+    def __init__(self, space, dim):
+        self.rows = {}
+
+    def init_index(self, max_elements, ef_construction, M, random_seed):
+        pass
+
+    def add_items(self, vectors, labels):
+        self.labels, self.vectors = np.asarray(labels), np.asarray(vectors, float)
+
+    def set_ef(self, ef):
+        self.ef = ef
+
+    def knn_query(self, queries, k):
+        far = 1 - np.asarray(queries, float) @ self.vectors.T
+        order = np.argsort(far, axis=1, kind="stable")[:, :k]
+        return self.labels[order].astype(np.uint64), np.take_along_axis(far, order, 1).astype(np.float32)
+'''
+
+
+def test_graph_index_merges_the_partitions(spark, tmp_path, monkeypatch):
+    import sys
+
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((60, 6))
+    vectors = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "chunk_pos bigint, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", [float(x) for x in r]) for i, r in enumerate(v[:5])], "query_id string, vector array<double>")
+    with pytest.raises(ValueError):
+        dense.hnsw_topk(vectors, queries, 3, 6, m=0)
+    (tmp_path / "hnswlib.py").write_text(GRAPH)
+    spark.sparkContext.addPyFile(str(tmp_path / "hnswlib.py"))
+    monkeypatch.syspath_prepend(str(tmp_path))
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["chunk_pos"]) for r in df.collect())
+    assert rows(dense.hnsw_topk(vectors, queries, 4, 6)) == rows(dense.dense_topk(vectors, queries, 4, 6))
+    assert dense.hnsw_topk(vectors.limit(0), queries, 4, 6).count() == 0
+    sys.modules.pop("hnswlib", None)
+
+
+def test_index_sizes_grow_with_the_index():
+    assert dense.ann_bytes("exact", 10, 4) == 160 and dense.ann_bytes("none", 10, 4) == 0
+    assert dense.ann_bytes("lsh", 10, 4, tables=2) == 160 + 320 and dense.ann_bytes("hnsw", 10, 4, m=8) < dense.ann_bytes("hnsw", 10, 4, m=16)
