@@ -17,11 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import cosine
+from spanforge.operators import counts
+from spanforge.operators.embedding import HashEmbedder
 from spanforge.operators.sparse import ranked
 from spanforge.operators.topk import TopK
 from spanforge.plans.session import blocks, materialise
 
 QUERY_BYTES = 64 << 20  # query vectors a task holds at a time: 4,096 at 2,048 dimensions
+COUNT_BYTES = 192 << 20  # eight-bit counts of queries a task holds at a time: 98,304 at 2,048 dimensions
+COUNT_QUERIES = 131_072  # and their number at most
 DIGITS = 6
 
 
@@ -96,8 +100,10 @@ def dense_topk_text(chunks: DataFrame, queries: DataFrame, k: int, embed: Callab
 
     Queries that fit one block meet the chunks where these are embedded, so that vectors are
     never stored; for more blocks the chunks are embedded once into the shared folder. Null texts
-    embed as empty ones.
+    embed as empty ones. Feature counts are multiplied as integers.
     """
+    if isinstance(embed, HashEmbedder):
+        return _counts_topk(chunks, queries, k, embed, embed.dim, lambda shared, stored: counts.searcher(shared, embed, k, DIGITS, stored))
     spark = chunks.sparkSession
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, chunk_pos bigint, score double"
@@ -130,6 +136,46 @@ def dense_topk_text(chunks: DataFrame, queries: DataFrame, k: int, embed: Callab
     return ranked(found, k, DIGITS)
 
 
+def lsh_topk_text(chunks: DataFrame, queries: DataFrame, k: int, embed: HashEmbedder, tables: int = 16, bits: int = 7, probes: int = 8, seed: int = 100) -> DataFrame:
+    """lsh_topk for chunks(chunk_pos, text) and queries(query_id, text): a task meets bucket after bucket of its chunks with all queries, and no pair travels."""
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, embed.dim))
+    held = 8 * embed.dim + 16 * tables * min(probes, bits + 1)
+    return _counts_topk(chunks, queries, k, embed, held, lambda shared, stored: counts.lsh_searcher(shared, embed, k, DIGITS, planes, probes, stored))
+
+
+def _counts_topk(chunks: DataFrame, queries: DataFrame, k: int, embed: HashEmbedder, held: int, search: Callable) -> DataFrame:
+    """Search over feature counts: blocks of queries of bounded size (``held`` bytes each in a task), chunks in one task a core as each holds a best k of all queries."""
+    spark = chunks.sparkSession
+    kind = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kind}, chunk_pos bigint, score double"
+    texts = chunks.select(F.col("chunk_pos").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).coalesce(spark.sparkContext.defaultParallelism)
+    found = None
+    if k > 0:
+        asked = materialise(queries.select("query_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_encoder(embed), f"query_id {kind}, slots binary"))
+        mean = asked.agg(F.coalesce(F.avg(F.length("slots")), F.lit(0.0)).alias("mean")).first()["mean"]
+        parts = list(blocks(asked, "query_id", max(1, int(min(COUNT_QUERIES, COUNT_BYTES / held, QUERY_BYTES / (mean + 1))))))
+        if len(parts) > 1:
+            texts = materialise(texts.mapInArrow(_encoder(embed), "chunk_pos bigint, slots binary"))
+        for block in parts:
+            rows = block.orderBy("query_id").toArrow().combine_chunks()
+            if not rows.num_rows:
+                continue
+            shared = spark.sparkContext.broadcast((rows.column("query_id").combine_chunks(), rows.column("slots").to_pylist()))
+            part = texts.mapInArrow(search(shared, len(parts) > 1), schema)
+            found = part if found is None else found.unionByName(part)
+    return ranked(spark.createDataFrame([], schema) if found is None else found, k, DIGITS)
+
+
+def _encoder(embed: HashEmbedder):
+    """(id, text) -> (id, feature slots)."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.encode(embed, batch.column(1).to_pylist()), pa.binary())], names=[batch.schema.names[0], "slots"])
+
+    return run
+
+
 def index_bytes(vectors: DataFrame, dim: int) -> DataFrame:
     """(n, dim, bytes) of a float32 matrix."""
     return vectors.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(dim).alias("dim"), (F.col("n") * dim * 4).alias("bytes"))

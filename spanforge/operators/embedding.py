@@ -20,6 +20,9 @@ from spanforge.plans.session import spread
 
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
+_CHAR_BITS = 12  # characters are numbered as they come, so that n-grams of up to five are one integer
+_CHARS_AT_A_TIME = 1 << 20
+_KNOWN = 4_000_000  # n-grams remembered: 48 MB
 
 
 class _Slots(dict):
@@ -35,6 +38,72 @@ class _Slots(dict):
         return v
 
 
+class _Grams:
+    """Slots of the character n-grams of many texts at once; distinct n-grams are hashed once while they are remembered."""
+
+    def __init__(self, period: int):
+        self.period = period
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.used = np.zeros(0x110000, np.int64), 0
+        self.keys, self.slots = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def numbered(self, points: np.ndarray) -> np.ndarray | None:
+        """Numbers from 1 of the characters; None if there are too many."""
+        new = np.unique(points[self.number[points] == 0])
+        if self.used + len(new) >= 1 << _CHAR_BITS:
+            self.forget()
+            new = np.unique(points)
+            if len(new) >= 1 << _CHAR_BITS:
+                return None
+        self.number[new] = np.arange(self.used + 1, self.used + len(new) + 1)
+        self.used += len(new)
+        return self.number[points]
+
+    def __call__(self, texts: list[str], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(row, slot) of every n-gram, repeats included; None if these texts have too many different characters."""
+        whole = "".join(texts)
+        at = self.numbered(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4"))
+        if at is None:
+            return None
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        row = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(at))  # characters to the end of the text
+        keys, places, spans = [], [], []
+        for n in sizes:
+            k = np.zeros(max(len(at) - n + 1, 0), np.int64)
+            for i in range(n):
+                k = k << _CHAR_BITS | at[i : i + len(k)]
+            place = np.flatnonzero(left[: len(k)] >= n)
+            keys.append(k[place])
+            places.append(place)
+            spans.append(np.full(len(place), n, np.int8))
+        keys, places, spans = np.concatenate(keys), np.concatenate(places), np.concatenate(spans)
+        order = np.argsort(keys)
+        ordered = keys[order]
+        first = np.ones(len(keys), bool)
+        first[1:] = ordered[1:] != ordered[:-1]
+        distinct = ordered[first]
+        found = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        known[found < len(self.keys)] = self.keys[found[found < len(self.keys)]] == distinct[found < len(self.keys)]
+        slots = np.zeros(len(distinct), np.int32)
+        slots[known] = self.slots[found[known]]
+        sample = order[np.flatnonzero(first)[~known]]
+        sha, period = hashlib.sha256, self.period
+        slots[~known] = [
+            int.from_bytes(sha(b"c:" + whole[p : p + n].encode() + b"\0").digest(), "big") % period for p, n in zip(places[sample].tolist(), spans[sample].tolist())
+        ]
+        if len(self.keys) + len(sample) > _KNOWN:
+            self.keys, self.slots = distinct, slots
+        else:
+            self.keys, self.slots = np.insert(self.keys, found[~known], distinct[~known]), np.insert(self.slots, found[~known], slots[~known])
+        out = np.empty(len(keys), np.int32)
+        out[order] = slots[np.cumsum(first) - 1]
+        return row[places], out
+
+
 class HashEmbedder:
     """Signed feature hashing of words and character n-grams.
 
@@ -46,7 +115,7 @@ class HashEmbedder:
         if dim <= 0:
             raise ValueError("dim must be positive")
         self.dim, self.sizes, self.words, self.name = dim, sizes, words, name
-        self._words, self._grams = _Slots("w:", 2 * dim), _Slots("c:", 2 * dim)
+        self._words, self._grams, self._many = _Slots("w:", 2 * dim), _Slots("c:", 2 * dim), None
 
     def slots(self, text: str) -> np.ndarray:
         """Hash modulo 2 * dim of every feature, repeats included."""
@@ -59,6 +128,35 @@ class HashEmbedder:
         parts += [map(self._grams.__getitem__, [flat[i : i + n] for i in range(len(flat) - n + 1)]) for n in self.sizes if 0 < n <= len(flat)]
         return np.fromiter(chain(*parts), np.int64)
 
+    def slots_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(slots of all texts one after the other, their first places and the end); the slots of a text in any order."""
+        parts, sizes, lo = [], np.zeros(len(texts), np.int64), 0
+        while lo < len(texts):
+            hi, n = lo + 1, len(texts[lo])
+            while hi < len(texts) and hi - lo < 1 << 14 and n + len(texts[hi]) <= _CHARS_AT_A_TIME:
+                n += len(texts[hi])
+                hi += 1
+            slots, rows = self._slots_of(texts[lo:hi])
+            parts.append(slots[np.argsort(rows, kind="stable")])
+            sizes[lo:hi] = np.bincount(rows, minlength=hi - lo)
+            lo = hi
+        return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _slots_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        low = [t.lower() for t in texts]
+        wanted = tuple(n for n in self.sizes if n > 0)
+        if self._many is None:
+            self._many = _Grams(2 * self.dim)
+        grams = None if max(wanted, default=0) * _CHAR_BITS > 60 else self._many([_SPACE.sub(" ", t).strip() for t in low], wanted) if wanted else (np.zeros(0, np.int32),) * 2
+        if grams is None:
+            each = [self.slots(t) for t in texts]
+            return np.concatenate(each).astype(np.int32), np.repeat(np.arange(len(each)), [len(x) for x in each]).astype(np.uint16)
+        if len(self._words) > 1_000_000:
+            self._words.clear()
+        words = [_WORD.findall(t) for t in low] if self.words else [[] for _ in low]
+        of = np.fromiter(map(self._words.__getitem__, chain(*words)), np.int32)
+        return np.concatenate([of, grams[1]]), np.concatenate([np.repeat(np.arange(len(words)), [len(x) for x in words]), grams[0]]).astype(np.uint16)
+
     def counts(self, text: str) -> np.ndarray:
         """The integer vector before normalisation."""
         c = np.bincount(self.slots(text), minlength=2 * self.dim)

@@ -14,9 +14,10 @@ class TopK:
     buffer that is cut to k a query whenever it is full, so a task holds n * k entries and a buffer.
     """
 
-    def __init__(self, n: int, k: int, digits: int):
-        self.k, self.digits = k, digits
-        self.floor = np.full(n, -np.inf)  # rounded score of the k-th best so far
+    def __init__(self, n: int, k: int, digits: int, buffer: int = BUFFER):
+        self.k, self.digits, self.buffer = k, digits, max(buffer, 2 * n * k)
+        self.floor = np.full(n, -np.inf)  # rounded score of the k-th best so far, or less
+        self.last = np.full(n, np.iinfo(np.int64).max)  # its position: later rows of that score are not among the best
         self.parts: list[tuple] = []
         self.size = 0
 
@@ -32,10 +33,27 @@ class TopK:
             floor = np.maximum(floor, np.partition(rounded, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k])
         r, c = np.nonzero((rounded >= floor[:, None]) & (scores > above))
         if len(r):
-            self.parts.append((queries[r], positions[c], scores[r, c], rounded[r, c]))
-            self.size += len(r)
-            if self.size > BUFFER:
-                self._cut()
+            self._keep(queries[r], positions[c], scores[r, c], rounded[r, c])
+
+    def push_found(self, queries: np.ndarray, positions: np.ndarray, scores: np.ndarray) -> None:
+        """Single entries; those left out are known not to be among the best."""
+        self._keep(queries, positions, scores, np.round(scores, self.digits))
+
+    def raise_floor(self, floor: np.ndarray) -> None:
+        """At least k rows of each query, pushed or to be pushed, are no worse than floor."""
+        up = floor > self.floor
+        self.floor[up], self.last[up] = floor[up], np.iinfo(np.int64).max
+
+    def _keep(self, q: np.ndarray, p: np.ndarray, s: np.ndarray, w: np.ndarray) -> None:
+        floor = self.floor[q]
+        good = (w > floor) | ((w == floor) & (p <= self.last[q]))
+        if good.all():
+            self.parts.append((q, p, s, w))
+        else:
+            self.parts.append((q[good], p[good], s[good], w[good]))
+        self.size += len(self.parts[-1][0])
+        if self.size > self.buffer:
+            self._cut()
 
     def _cut(self) -> None:
         q, p, s, w = (np.concatenate(x) for x in zip(*self.parts))
@@ -44,7 +62,7 @@ class TopK:
         place = np.arange(len(q)) - np.searchsorted(q, q)
         top = place < self.k
         last = place == self.k - 1
-        self.floor[q[last]] = w[last]
+        self.floor[q[last]], self.last[q[last]] = w[last], p[last]
         self.parts, self.size = [(q[top], p[top], s[top], w[top])], int(top.sum())
 
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
