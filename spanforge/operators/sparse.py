@@ -1,9 +1,9 @@
 """BM25 over chunk tables.
 
 Statistics are one aggregation (document frequencies of the query terms only) and two scalars.
-Scoring streams the chunks once past all queries: each Arrow batch is tokenised once and scored
-for the queries in blocks, and a task keeps the best k of each query, so only partial top-k rows
-are shuffled and the postings of common terms are never joined. The queries' terms go to every
+Scoring streams the chunks once past all queries, one task a core: a task keeps the best k of each
+query, so only partial top-k rows are shuffled, and postings of terms that are too common to bring
+a chunk among the best are not met. The queries' terms go to every
 task; beyond QUERY_BLOCK queries they do so in parts, each with a pass of its own.
 """
 
@@ -24,7 +24,9 @@ from spanforge.plans.session import blocks, materialise
 K1, B = 1.5, 0.75
 DIGITS = 9  # scores are compared to this many digits
 QUERY_BLOCK = 200_000  # queries sent to every task at a time: some 60 MB
-SCORED = 4_096  # queries scored at a time
+FIRST, LARGEST = 256, 16_384  # chunks scored at a time, at first and at most
+PAIRS = 2_000_000  # pairs of query and chunk met at a time
+BELOW = 2e-9  # by which an unrounded score may miss the rounded one
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 
@@ -73,14 +75,14 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b:
     found = None
     for block in blocks(weighted.select("query_id").distinct(), "query_id", QUERY_BLOCK):
         rows = weighted.join(block, "query_id", "left_semi").orderBy("query_id", "term").toArrow()
-        ids = list(dict.fromkeys(rows.column("query_id").to_pylist()))
-        number = {q: i for i, q in enumerate(ids)}
-        by_term: list[dict[str, tuple[list, float]]] = [{} for _ in range(-(-len(ids) // SCORED))]
-        for q, t, w in zip(*(rows.column(c).to_pylist() for c in ("query_id", "term", "idf"))):
-            by_term[number[q] // SCORED].setdefault(t, ([], w))[0].append(number[q] % SCORED)
-        terms_of = [{t: (np.array(qs), w) for t, (qs, w) in part.items()} for part in by_term]
-        shared = spark.sparkContext.broadcast((pa.array(ids, rows.schema.field("query_id").type), terms_of))
-        part = chunks.select("chunk_pos", "text").mapInArrow(_scorer(shared, avgdl, k, k1, b), schema)
+        of_query, of_term = (rows.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+        at, number = of_query.indices.to_numpy().astype(np.int64), of_term.indices.to_numpy().astype(np.int64)
+        order = np.argsort(number, kind="stable")
+        weight = np.zeros(len(of_term.dictionary))
+        weight[number] = rows.column("idf").to_numpy()
+        ends = np.searchsorted(number[order], np.arange(len(weight) + 1))
+        shared = spark.sparkContext.broadcast((of_query.dictionary, of_term.dictionary.to_pylist(), ends, at[order], weight))
+        part = chunks.select("chunk_pos", "text").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(_scorer(shared, avgdl, k, k1, b), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)
@@ -93,46 +95,117 @@ def ranked(found: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
 
 
 def _scorer(shared, avgdl: float, k: int, k1: float, b: float):
+    """The task's best k of each query.
+
+    A query's terms are sorted by the most that each adds to a chunk of the batch. Terms that
+    together stay below the query's k-th score so far cannot make a chunk one of the best, so
+    only chunks holding one of the others are met, and of those only the ones that could still
+    reach that score with the rest are scored in full.
+    """
+
     def run(batches):
-        ids, parts = shared.value
-        number = {t: i for i, t in enumerate(dict.fromkeys(t for part in parts for t in part))}
-        weights = [{number[t]: x for t, x in part.items()} for part in parts]
+        ids, terms, ends, of, weight = shared.value
         top = TopK(len(ids), k, DIGITS)
+        number = {t: i for i, t in enumerate(terms)}
+        asked = _Postings(ends, of, weight, len(ids))
+        done, size = 0, FIRST
         for batch in batches:
             pos = batch.column(0).to_numpy()
-            texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 1024):
-                hits: dict[int, list[tuple[int, int]]] = {}
-                part = texts[lo : lo + 1024]
-                lengths = np.zeros(len(part))
-                for i, text in enumerate(part):
-                    tokens = _TOKEN.findall(text.lower()) if text else []
-                    lengths[i] = len(tokens)
-                    counts: dict[int, int] = {}
-                    for t in tokens:
-                        j = number.get(t)
-                        if j is not None:
-                            counts[j] = counts.get(j, 0) + 1
-                    for j, f in counts.items():
-                        hits.setdefault(j, []).append((i, f))
-                if not hits:
-                    continue
-                norm = k1 * (1 - b + b * lengths / avgdl)
-                packed = {j: tuple(np.array(x) for x in zip(*hits[j])) for j in sorted(hits)}
-                for no, block in enumerate(weights):
-                    met = [j for j in packed if j in block]
-                    if not met:
-                        continue
-                    live = np.unique(np.concatenate([block[j][0] for j in met]))
-                    place = np.zeros(SCORED, np.int64)
-                    place[live] = np.arange(len(live))
-                    scores = np.zeros((len(live), len(part)))
-                    for j in met:
-                        at, f = packed[j]
-                        queries, idf_j = block[j]
-                        scores[np.ix_(place[queries], at)] += idf_j * f * (k1 + 1) / (f + norm[at])
-                    top.push_some(no * SCORED + live, scores, pos[lo : lo + 1024], above=0.0)
+            lo = 0
+            while lo < len(pos):
+                texts = batch.column(1).slice(lo, size).to_pylist()
+                chunk, term, count, lengths = _counted(texts, number)
+                impact = weight[term] * count * (k1 + 1) / (count + (k1 * (1 - b + b * lengths / avgdl))[chunk])
+                _score(top, asked, chunk, term, impact, pos[lo : lo + size])
+                lo += size
+                done += 1
+                if done & (done - 1) == 0:  # scores to beat are known early, and then from time to time
+                    top.settle()
+                size = min(4 * size, LARGEST)
         q, p, s = top.best()
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(p, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_pos", "score"])
 
     return run
+
+
+class _Postings:
+    """Queries of each term and terms of each query."""
+
+    def __init__(self, ends: np.ndarray, of: np.ndarray, weight: np.ndarray, n: int):
+        self.n, self.weight = n, weight
+        term = np.repeat(np.arange(len(weight)), np.diff(ends))
+        order = np.lexsort((term, of))
+        self.query, self.term = of[order], term[order]  # by query, then term
+        self.first = np.searchsorted(self.query, np.arange(n + 1))
+
+
+def _counted(texts: list, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, term, count) of the queries' terms in texts, by term and chunk, and the texts' lengths in words."""
+    found = [_TOKEN.findall(t.lower()) if t else [] for t in texts]
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    term = np.fromiter((number.get(t, -1) for part in found for t in part), np.int64, int(lengths.sum()))
+    key = (term * len(texts) + np.repeat(np.arange(len(texts)), lengths))[term >= 0]
+    key, count = np.unique(key, return_counts=True)
+    term, chunk = np.divmod(key, max(len(texts), 1))
+    return chunk, term, count, lengths
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... of size[0] places, then those of the next."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _score(top: TopK, asked: _Postings, chunk: np.ndarray, term: np.ndarray, impact: np.ndarray, positions: np.ndarray) -> None:
+    """Push the chunks of a batch, given as postings (by term, then chunk) with what each adds to a score."""
+    if not len(term):
+        return
+    start = np.flatnonzero(np.diff(term, prepend=-1))
+    df, most = np.zeros(len(asked.weight), np.int64), np.zeros(len(asked.weight))
+    begin = np.zeros(len(asked.weight), np.int64)
+    met = term[start]
+    df[met], most[met], begin[met] = np.diff(start, append=len(term)), np.maximum.reduceat(impact, start), start
+    e = np.flatnonzero(df[asked.term])
+    q, t = asked.query[e], asked.term[e]
+    # terms by what they add at most; the first of a query, as far as they stay below its k-th score, bring no chunk
+    order = np.lexsort((most[t], q))
+    q, t = q[order], t[order]
+    total = np.cumsum(most[t])
+    new = np.flatnonzero(np.diff(q, prepend=-1))
+    before = np.repeat(total[new] - most[t[new]], np.diff(new, append=len(q)))
+    upto = (total - before) * (1 + 1e-12) + BELOW
+    idle = upto < top.floor[q]
+    rest = np.zeros(asked.n)
+    np.maximum.at(rest, q[idle], upto[idle])
+    q, t = q[~idle], t[~idle]
+    cuts = np.searchsorted(np.cumsum(df[t]), np.arange(PAIRS, int(df[t].sum()) + PAIRS, PAIRS), "right") if len(q) else []
+    lo = 0
+    for hi in cuts:
+        hi = int(np.searchsorted(q, q[min(hi, len(q) - 1)], "right"))  # whole queries
+        if hi > lo:
+            _score_pairs(top, asked, q[lo:hi], t[lo:hi], df, begin, chunk, term, impact, rest, positions)
+            lo = hi
+
+
+def _score_pairs(top: TopK, asked: _Postings, q: np.ndarray, t: np.ndarray, df: np.ndarray, begin: np.ndarray, chunk: np.ndarray, term: np.ndarray, impact: np.ndarray, rest: np.ndarray, positions: np.ndarray) -> None:
+    n = len(positions)
+    at = _ranges(begin[t], df[t])
+    key = np.repeat(q, df[t]) * n + chunk[at]
+    order = np.argsort(key, kind="stable")
+    key, gain = key[order], impact[at][order]
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    if not len(start):
+        return
+    pair, score = key[start], np.add.reduceat(gain, start)
+    able = score + rest[pair // n] + BELOW >= top.floor[pair // n]
+    pair = pair[able]
+    # in full: the query's terms in order, each looked up among the batch's postings
+    a, c = np.divmod(pair, n)
+    size = asked.first[a + 1] - asked.first[a]
+    terms = asked.term[_ranges(asked.first[a], size)]
+    wanted = terms * n + np.repeat(c, size)
+    postings = term * n + chunk
+    place = np.minimum(np.searchsorted(postings, wanted), len(postings) - 1)
+    add = np.where(postings[place] == wanted, impact[place], 0.0)
+    if len(a):
+        top.push_found(a, positions[c], np.add.reduceat(add, np.cumsum(size) - size))

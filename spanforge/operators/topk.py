@@ -55,6 +55,11 @@ class TopK:
         if self.size > self.buffer:
             self._cut()
 
+    def settle(self) -> None:
+        """Cut what is held to k a query, so that floors are up to date."""
+        if self.parts:
+            self._cut()
+
     def _cut(self) -> None:
         q, p, s, w = (np.concatenate(x) for x in zip(*self.parts))
         order = np.lexsort((p, -w, q))
