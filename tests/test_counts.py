@@ -60,3 +60,12 @@ def test_rows_tied_with_the_last_place_do_not_pile_up():
     for lo in range(8, 800, 8):
         top.push(0, np.zeros((1, 8)), np.arange(lo, lo + 8))
     assert top.size == 2 and top.best()[1].tolist() == [0, 1]
+
+
+def test_buckets_of_texts_are_those_of_their_vectors(spark):
+    embed = HashEmbedder(64)
+    queries, chunks = [*texts(25, 6), ""], [*texts(150, 7), "", "a" * 500]
+    c, q = frames(spark, queries, chunks)
+    vectors = lambda df, key: spark.createDataFrame([(r[key], [float(x) for x in embed([r["text"]])[0]]) for r in df.collect()], f"{key} bigint, vector array<double>")
+    by_join = dense.lsh_topk(vectors(c, "chunk_pos"), vectors(q, "query_id"), 5, 64, tables=2, bits=4, probes=2)
+    assert rows(dense.lsh_topk_text(c, q, 5, embed, tables=2, bits=4, probes=2)) == rows(by_join)
