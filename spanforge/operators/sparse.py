@@ -1,9 +1,11 @@
 """BM25 over chunk tables.
 
 Statistics are one aggregation (document frequencies of the query terms only) and two scalars.
-Scoring streams the chunks once past all queries, one task a core: a task keeps the best k of each
-query, so only partial top-k rows are shuffled, and postings of terms that are too common to bring
-a chunk among the best are not met. The queries' terms go to every
+Scoring streams the chunks once past all queries, one task a core, so only partial top-k rows are
+shuffled. A query's best chunks either hold one of its rare terms, or are among the best for its
+common terms alone. The latter are searched once for all queries that share them: a task keeps the
+best k of each such set of terms, and does not meet postings of terms that are too common to bring
+a chunk among the best. The queries' terms go to every
 task; beyond QUERY_BLOCK queries they do so in parts, each with a pass of its own.
 """
 
@@ -27,6 +29,7 @@ QUERY_BLOCK = 200_000  # queries sent to every task at a time: some 60 MB
 FIRST, LARGEST = 256, 16_384  # chunks scored at a time, at first and at most
 PAIRS = 2_000_000  # pairs of query and chunk met at a time
 BELOW = 2e-9  # by which an unrounded score may miss the rounded one
+RARE_COST = 8  # a posting of a rare term, met by each query and scored in full, against one of a common term
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 
@@ -71,63 +74,108 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b:
     n, avgdl = corpus_statistics(chunks).first()
     terms = query_terms(queries)
     weighted = terms.join(document_frequencies(chunks).join(terms.select("term").distinct(), "term", "left_semi"), "term")
-    weighted = materialise(weighted.select("query_id", "term", idf(F.col("df"), F.lit(n)).alias("idf")))
+    weighted = materialise(weighted.select("query_id", "term", "df", idf(F.col("df"), F.lit(n)).alias("idf")))
     found = None
     for block in blocks(weighted.select("query_id").distinct(), "query_id", QUERY_BLOCK):
         rows = weighted.join(block, "query_id", "left_semi").orderBy("query_id", "term").toArrow()
         of_query, of_term = (rows.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "term"))
-        at, number = of_query.indices.to_numpy().astype(np.int64), of_term.indices.to_numpy().astype(np.int64)
-        order = np.argsort(number, kind="stable")
-        weight = np.zeros(len(of_term.dictionary))
-        weight[number] = rows.column("idf").to_numpy()
-        ends = np.searchsorted(number[order], np.arange(len(weight) + 1))
-        shared = spark.sparkContext.broadcast((of_query.dictionary, of_term.dictionary.to_pylist(), ends, at[order], weight))
-        part = chunks.select("chunk_pos", "text").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(_scorer(shared, avgdl, k, k1, b), schema)
-        found = part if found is None else found.unionByName(part)
+        query, term = of_query.indices.to_numpy().astype(np.int64), of_term.indices.to_numpy().astype(np.int64)
+        weight, df = np.zeros(len(of_term.dictionary)), np.zeros(len(of_term.dictionary), np.int64)
+        weight[term], df[term] = rows.column("idf").to_numpy(), rows.column("df").to_numpy()
+        rare = df <= _rare_below(query, term, df)
+        pattern, patterns = _patterns(query[~rare[term]], term[~rare[term]], len(of_query.dictionary))
+        shared = spark.sparkContext.broadcast((of_term.dictionary.to_pylist(), weight, rare, query, term, patterns, len(pattern)))
+        part = chunks.select("chunk_pos", "text").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(_scorer(shared, avgdl, k, k1, b), "of_pattern boolean, place bigint, chunk_pos bigint, score double")
+        part = materialise(part)
+        asked = spark.createDataFrame(pa.table({"query_id": of_query.dictionary, "place": pa.array(np.arange(len(pattern))), "pattern": pa.array(pattern)}))
+        of_patterns = ranked(part.where("of_pattern").select(F.col("place").alias("query_id"), "chunk_pos", "score"), k)
+        alike = of_patterns.withColumnRenamed("query_id", "pattern").join(asked, "pattern")
+        own = part.where("not of_pattern").join(asked, "place")
+        # a chunk found both ways has its whole score from the rare terms
+        both = own.unionByName(alike, allowMissingColumns=True).groupBy(F.col("query_id").cast(kind).alias("query_id"), "chunk_pos").agg(F.max("score").alias("score"))
+        found = both if found is None else found.unionByName(both)
     if found is None:
         found = spark.createDataFrame([], schema)
     return ranked(found, k)
 
 
+def _rare_below(query: np.ndarray, term: np.ndarray, df: np.ndarray) -> int:
+    """The document frequency up to which a term counts as rare: that with the fewest postings to meet."""
+    of = df[term]
+    code = np.random.default_rng(0).integers(1, 1 << 63, len(df), np.uint64)[term]
+    best, least = 0, np.inf
+    for bound in [0, *(4**i for i in range(1 + int(of.max(initial=1)).bit_length() // 2 + 1))]:
+        common = of > bound
+        keys, postings = np.zeros(int(query.max(initial=-1)) + 1, np.uint64), np.zeros(int(query.max(initial=-1)) + 1)
+        np.add.at(keys, query[common], code[common])
+        np.add.at(postings, query[common], of[common])
+        cost = postings[np.unique(keys, return_index=True)[1]].sum() + RARE_COST * of[~common].sum()
+        if cost < least:
+            best, least = bound, cost
+    return best
+
+
+def _patterns(query: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, int]]:
+    """(pattern of each of n queries, -1 without terms; (pattern, term) rows and number of the patterns), a pattern being a set of terms; rows are sorted."""
+    first = np.searchsorted(query, np.arange(n + 1))
+    seen: dict[bytes, int] = {}
+    of = np.full(n, -1, np.int64)
+    for i in np.flatnonzero(np.diff(first)):
+        of[i] = seen.setdefault(term[first[i] : first[i + 1]].tobytes(), len(seen))
+    sets = [np.frombuffer(x, np.int64) for x in seen]
+    return of, (np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate([np.zeros(0, np.int64), *sets]), len(sets))
+
+
 def ranked(found: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "chunk_pos"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_pos", "score")
 
 
 def _scorer(shared, avgdl: float, k: int, k1: float, b: float):
-    """The task's best k of each query.
+    """The task's best k of each pattern, and of each query among the chunks that hold one of its rare terms.
 
-    A query's terms are sorted by the most that each adds to a chunk of the batch. Terms that
-    together stay below the query's k-th score so far cannot make a chunk one of the best, so
+    A pattern's terms are sorted by the most that each adds to a chunk of the batch. Terms that
+    together stay below the pattern's k-th score so far cannot make a chunk one of the best, so
     only chunks holding one of the others are met, and of those only the ones that could still
     reach that score with the rest are scored in full.
     """
 
     def run(batches):
-        ids, terms, ends, of, weight = shared.value
-        top = TopK(len(ids), k, DIGITS)
+        terms, weight, rare, query, term, (p_query, p_term, patterns), n = shared.value
         number = {t: i for i, t in enumerate(terms)}
-        asked = _Postings(ends, of, weight, len(ids))
+        asked, own = (_Postings(*_by_term(*rows, len(weight)), weight, size) for *rows, size in ((p_query, p_term, patterns), (query, term, n)))
+        wanted = _by_term(query[rare[term]], term[rare[term]], len(weight))
+        top, single = TopK(patterns, k, DIGITS), TopK(n, k, DIGITS)
         done, size = 0, FIRST
         for batch in batches:
             pos = batch.column(0).to_numpy()
             lo = 0
             while lo < len(pos):
                 texts = batch.column(1).slice(lo, size).to_pylist()
-                chunk, term, count, lengths = _counted(texts, number)
-                impact = weight[term] * count * (k1 + 1) / (count + (k1 * (1 - b + b * lengths / avgdl))[chunk])
-                _score(top, asked, chunk, term, impact, pos[lo : lo + size])
+                at = pos[lo : lo + size]
+                chunk, word, count, lengths = _counted(texts, number)
+                impact = weight[word] * count * (k1 + 1) / (count + (k1 * (1 - b + b * lengths / avgdl))[chunk])
+                _score_holders(single, own, wanted, chunk, word, impact, at)
+                common = ~rare[word]
+                _score(top, asked, chunk[common], word[common], impact[common], at)
                 lo += size
                 done += 1
                 if done & (done - 1) == 0:  # scores to beat are known early, and then from time to time
                     top.settle()
                 size = min(4 * size, LARGEST)
-        q, p, s = top.best()
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(p, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_pos", "score"])
+        for of_pattern, best in ((True, top), (False, single)):
+            q, p, s = best.best()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), of_pattern)), pa.array(q, pa.int64()), pa.array(p, pa.int64()), pa.array(s, pa.float64())], names=["of_pattern", "place", "chunk_pos", "score"])
 
     return run
 
 
+def _by_term(query: np.ndarray, term: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where the queries of each term begin and the last end, queries by term)."""
+    order = np.argsort(term, kind="stable")
+    return np.searchsorted(term[order], np.arange(terms + 1)), query[order]
+
+
 class _Postings:
     """Queries of each term and terms of each query."""
 
@@ -199,7 +247,28 @@ def _score_pairs(top: TopK, asked: _Postings, q: np.ndarray, t: np.ndarray, df:
     pair, score = key[start], np.add.reduceat(gain, start)
     able = score + rest[pair // n] + BELOW >= top.floor[pair // n]
     pair = pair[able]
-    # in full: the query's terms in order, each looked up among the batch's postings
+    _push_whole(top, asked, pair, chunk, term, impact, positions)
+
+
+def _score_holders(top: TopK, own: _Postings, wanted: tuple[np.ndarray, np.ndarray], chunk: np.ndarray, term: np.ndarray, impact: np.ndarray, positions: np.ndarray) -> None:
+    """Push the chunks that hold a rare term of a query, for each such query; some whole chunks at a time."""
+    ends, of = wanted
+    times = np.diff(ends)[term]
+    held = np.flatnonzero(times)
+    held = held[np.argsort(chunk[held], kind="stable")]
+    last = np.append(np.flatnonzero(np.diff(chunk[held])), len(held) - 1) + 1 if len(held) else np.zeros(0, np.int64)
+    met = np.append(0, np.cumsum(times[held]))[last]
+    cuts = last[np.unique(np.append(np.searchsorted(met, np.arange(PAIRS, met[-1], PAIRS)), len(last) - 1))] if len(last) else []
+    for lo, hi in zip([0, *cuts], cuts):
+        part = held[lo:hi]
+        q = of[_ranges(ends[term[part]], times[part])]
+        pair = q * len(positions) + np.repeat(chunk[part], times[part])
+        _push_whole(top, own, np.unique(pair), chunk, term, impact, positions)
+
+
+def _push_whole(top: TopK, asked: _Postings, pair: np.ndarray, chunk: np.ndarray, term: np.ndarray, impact: np.ndarray, positions: np.ndarray) -> None:
+    """Pairs (query * chunks + chunk) scored in full: the query's terms in order, each looked up among the batch's postings."""
+    n = len(positions)
     a, c = np.divmod(pair, n)
     size = asked.first[a + 1] - asked.first[a]
     terms = asked.term[_ranges(asked.first[a], size)]

@@ -37,3 +37,27 @@ def test_common_terms_bring_no_chunk_once_better_ones_are_known():
     top.push_found = lambda q, p, s: met.extend(p.tolist())
     sparse._score(top, asked, np.array([0, 1, 2, 1]), np.array([0, 0, 0, 1]), np.array([1.0, 1.0, 1.0, 6.0]), np.array([10, 11, 12]))
     assert met == [11]
+
+
+def test_queries_that_differ_in_rare_terms_share_one_search(spark, monkeypatch):
+    """One set of common terms for all queries; chunks are found by it, by a rare term, and by both; the lists are those of all scores."""
+    rng = np.random.default_rng(8)
+    chunks = [" ".join(rng.choice(["which", "span", "of", "x", "y"], 6)) + (f" r{i % 60}" if i % 5 == 0 else "") for i in range(600)]
+    queries = [f"which span of r{i} r{i + 1}" for i in range(40)] + ["which", "r3"]
+    made, patterns = [], sparse._patterns
+    monkeypatch.setattr(sparse, "_patterns", lambda *a: made.append(patterns(*a)) or made[-1])
+    c = spark.createDataFrame(list(enumerate(chunks)), "chunk_pos bigint, text string").repartition(2)
+    q = spark.createDataFrame(list(enumerate(queries)), "query_id bigint, text string")
+    got = {(r["query_id"], r["rank"], r["chunk_pos"]) for r in sparse.bm25_topk(c, q, 9).collect()}
+    assert [x[1][2] for x in made] == [2]
+    n, avg, held = len(chunks), np.mean([len(t.split()) for t in chunks]), [t.split() for t in chunks]
+    want = set()
+    for i, text in enumerate(queries):
+        scores = np.zeros(n)
+        for t in sorted(set(text.split())):
+            f = np.array([h.count(t) for h in held])
+            df = (f > 0).sum()
+            scores += np.log(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * np.array([len(h) for h in held]) / avg))
+        order = np.lexsort((np.arange(n), -np.round(scores, 9)))[:9]
+        want |= {(i, rank + 1, int(p)) for rank, p in enumerate(x for x in order if scores[x] > 0)}
+    assert got == want
