@@ -16,7 +16,8 @@ import pyarrow as pa
 from spanforge.functions.worker import worker_cache
 from spanforge.operators.topk import TopK
 
-QUERIES, ROWS, COLUMNS = 4_096, 4_096, 1_024  # queries and chunks multiplied at a time; chunks embedded at a time
+QUERIES, ROWS = 4_096, 4_096  # queries that share a running best k and large ones multiplied at a time; chunks embedded at a time
+TILE, COLUMNS = 512, 512  # queries and chunks multiplied at a time, so that products stay in a core's cache
 SLACK = 4e-6  # by which scores in single precision may miss the rounded ones
 NEAR = 127
 
@@ -71,50 +72,76 @@ def _message(number: int, content: bytes | str | int) -> bytes:
     return digits(number << 3 | 2) + digits(len(content)) + content
 
 
-def _product_model() -> bytes:
-    """c = (a - z) b for a (uint8), b (int8), c (int32)."""
+def _product_model(b: np.ndarray) -> bytes:
+    """c = (a - 128) b for a (uint8) and this b (int8), which the library packs once; c is int32."""
 
     def value(name, kind, dims):
         shape = b"".join(_message(1, _message(2, d)) for d in dims)
         return _message(1, name) + _message(2, _message(1, _message(1, kind) + _message(2, shape)))
 
+    held = b"".join(_message(1, d) for d in b.shape) + _message(2, 3) + _message(8, "b") + _message(9, b.tobytes())
+    zero = _message(2, 2) + _message(8, "z") + _message(9, bytes([128]))
     node = b"".join(_message(1, x) for x in "abz") + _message(2, "c") + _message(4, "MatMulInteger")
-    given = b"".join(_message(11, x) for x in (value("a", 2, "mk"), value("b", 3, "kn"), value("z", 2, "")))
-    graph = _message(1, node) + _message(2, "product") + given + _message(12, value("c", 6, "mn"))
+    graph = _message(1, node) + _message(2, "product") + _message(5, held) + _message(5, zero) + _message(11, value("a", 2, "mk")) + _message(12, value("c", 6, "mn"))
     return _message(1, 8) + _message(8, _message(2, 13)) + _message(7, graph)
 
 
 def eight_bit_product() -> Callable | None:
-    """(a, b) -> a - 128 times b, for a (uint8) and b (int8); None without the library or where its kernels saturate."""
+    """b (int8) -> (a (uint8) -> a - 128 times b, until the next call); None without the library or where its kernels saturate."""
     try:
         import onnxruntime as ort
     except ImportError:
         return None
     options = ort.SessionOptions()
     options.intra_op_num_threads = options.inter_op_num_threads = 1
-    session = ort.InferenceSession(_product_model(), options, providers=["CPUExecutionProvider"])
-    zero = np.array(128, np.uint8)
-    run = lambda a, b: session.run(None, {"a": a, "b": b, "z": zero})[0]
+    options.graph_optimization_level = ort.GraphOptimizationLevel.ORT_DISABLE_ALL
+
+    def by(b):
+        session = ort.InferenceSession(_product_model(b), options, providers=["CPUExecutionProvider"])
+        binding, held = session.io_binding(), {}
+
+        def run(a):
+            if len(a) not in held:
+                held[len(a)] = np.empty((len(a), b.shape[1]), np.int32)
+            out = held[len(a)]
+            binding.bind_input("a", "cpu", 0, np.uint8, a.shape, a.ctypes.data)
+            binding.bind_output("c", "cpu", 0, np.int32, out.shape, out.ctypes.data)
+            session.run_with_iobinding(binding)
+            return out
+
+        return run
+
     a = np.full((64, 256), 255, np.uint8)
     a[::2] = 1
     b = np.full((256, 64), NEAR, np.int8)
     b[:, ::2] = -NEAR
-    return run if (run(a, b) == (a.astype(np.int64) - 128) @ b.astype(np.int64)).all() else None
+    return by if (by(b)(a) == (a.astype(np.int64) - 128) @ b.astype(np.int64)).all() else None
 
 
-def product() -> Callable:
-    """(a, b) -> a - 128 times b as int32 or as floats that hold integers; made once a worker."""
+def multiplier() -> Callable:
+    """b -> (a -> a - 128 times b, as int32 or as floats that hold integers, valid until the next call); made once a worker."""
 
-    def by_floats(a, b):
-        # no partial sum exceeds the product of the norms, and integers below 2^24 are exact in single precision
-        a, b = a.astype(np.float32) - 128, b.astype(np.float32)
-        if np.sqrt(np.einsum("ij,ij->i", a, a).max() * np.einsum("ij,ij->j", b, b).max()) > 1 << 23:
-            a, b = a.astype(np.float64), b.astype(np.float64)
-        return a @ b
+    def by_floats(b):
+        b = b.astype(np.float32)
+        most = np.einsum("ij,ij->j", b, b).max(initial=0)
+
+        def run(a):
+            # no partial sum exceeds the product of the norms, and integers below 2^24 are exact in single precision
+            a = a.astype(np.float32) - 128
+            if np.sqrt(np.einsum("ij,ij->i", a, a).max() * most) > 1 << 23:
+                return a.astype(np.float64) @ b.astype(np.float64)
+            return a @ b
+
+        return run
 
     return worker_cache("product of counts", lambda: eight_bit_product() or by_floats)
 
 
+def product() -> Callable:
+    """(a, b) -> a - 128 times b."""
+    return lambda a, b: multiplier()(b)(a)
+
+
 class Asked:
     """The distinct queries of a block: blocks of up to QUERIES with their best k; queries with large counts apart."""
 
@@ -134,6 +161,7 @@ class Asked:
                 if rows.any():
                     part = (m[rows] + 128).astype(np.uint8) if group is self.small else m[rows].astype(np.float64)
                     group.append((lo + np.flatnonzero(rows), part, TopK(int(rows.sum()), k, digits, buffer=50 * QUERIES)))
+        self.inverse = 1 / np.where(self.norm == 0, 1, self.norm)
 
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of the block, position, score), for every query that shares a distinct one."""
@@ -152,37 +180,43 @@ class Asked:
 
 def push_all(asked: Asked, counts: np.ndarray, positions: np.ndarray) -> None:
     """Every query meets every chunk of counts (rows, dim)."""
-    times, size = product(), norms(counts)
+    by, size = multiplier(), norms(counts)
     inverse = 1 / np.where(size == 0, 1, size)
     near = np.abs(counts).max(axis=1, initial=0) <= NEAR
     rows = np.flatnonzero(near)
-    parts = [(r, np.ascontiguousarray(counts[r].astype(np.int8).T)) for r in (rows[lo : lo + COLUMNS] for lo in range(0, len(rows), COLUMNS))]
+    rows = rows[np.argsort(inverse[rows], kind="stable")]  # chunks multiplied together are of like norms
+    reached = np.empty(TILE * COLUMNS, bool)
+    for r in (rows[lo : lo + COLUMNS] for lo in range(0, len(rows), COLUMNS)):
+        times = by(np.ascontiguousarray(counts[r].astype(np.int8).T))
+        for places, matrix, top in asked.small:
+            for lo in range(0, len(matrix), TILE):
+                _push(top, lo, times(matrix[lo : lo + TILE]), asked.inverse[places[lo : lo + TILE]], inverse[r], positions[r], reached)
     far = np.flatnonzero(~near)
-    for places, matrix, top in asked.small:
-        q_inverse = 1 / np.where(asked.norm[places] == 0, 1, asked.norm[places])
-        for r, columns in parts:
-            _push(top, times(matrix, columns), q_inverse, inverse[r], positions[r])
-        if len(far):
-            _push(top, (matrix.astype(np.float64) - 128) @ counts[far].T.astype(np.float64), q_inverse, inverse[far], positions[far])
+    if len(far):
+        for places, matrix, top in asked.small:
+            _push(top, 0, (matrix.astype(np.float64) - 128) @ counts[far].T.astype(np.float64), asked.inverse[places], inverse[far], positions[far])
     for places, matrix, top in asked.large:
-        q_inverse = 1 / asked.norm[places]
         for lo in range(0, len(counts), COLUMNS):
-            _push(top, matrix @ counts[lo : lo + COLUMNS].T.astype(np.float64), q_inverse, inverse[lo : lo + COLUMNS], positions[lo : lo + COLUMNS])
+            _push(top, 0, matrix @ counts[lo : lo + COLUMNS].T.astype(np.float64), asked.inverse[places], inverse[lo : lo + COLUMNS], positions[lo : lo + COLUMNS])
 
 
-def _push(top: TopK, dots: np.ndarray, q_inverse: np.ndarray, inverse: np.ndarray, positions: np.ndarray) -> None:
-    """dots: integer products (queries, chunks). Candidates are chosen in single precision, with slack, and scored in double."""
-    rough = dots * inverse.astype(np.float32) if dots.dtype == np.float32 else np.multiply(dots, inverse.astype(np.float32), dtype=np.float32, casting="unsafe")
+def _push(top: TopK, first: int, dots: np.ndarray, q_inverse: np.ndarray, inverse: np.ndarray, positions: np.ndarray, reached: np.ndarray | None = None) -> None:
+    """dots: integer products (queries from ``first``, chunks). Candidates reach the least product that could be among the best, and are scored in double precision."""
     k, n = top.k, len(positions)
-    if n > k and np.isneginf(top.floor).any():
-        kth = np.partition(rough, n - k, axis=1)[:, n - k].astype(np.float64) * q_inverse
-        top.raise_floor(kth - SLACK)
-    with np.errstate(invalid="ignore"):
-        least = ((top.floor - SLACK) / q_inverse).astype(np.float32)
-    at = np.flatnonzero(rough >= least[:, None])
+    floor = top.floor[first : first + len(dots)]
+    if n > k and np.isneginf(floor).any():
+        kth = np.full(len(top.floor), -np.inf)
+        kth[first : first + len(dots)] = np.partition(dots * inverse, n - k, axis=1)[:, n - k] * q_inverse - SLACK
+        top.raise_floor(kth)
+    bound = (floor - SLACK) / q_inverse
+    least = np.where(bound > 0, bound / inverse.max(), bound / inverse.min())
+    kind = np.iinfo(np.int32)
+    least = np.clip(np.ceil(least - 1e-6), kind.min, kind.max)
+    out = None if reached is None else reached[: dots.size].reshape(dots.shape)
+    at = np.flatnonzero(np.greater_equal(dots, least.astype(dots.dtype)[:, None], out=out))
     if len(at):
         r, c = np.divmod(at, n)
-        top.push_found(r, positions[c], dots.ravel()[at].astype(np.float64) * (q_inverse[r] * inverse[c]))
+        top.push_found(first + r, positions[c], dots.ravel()[at].astype(np.float64) * (q_inverse[r] * inverse[c]))
 
 
 def searcher(shared, embed, k: int, digits: int, stored: bool):

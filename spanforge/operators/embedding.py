@@ -23,6 +23,7 @@ _SPACE = re.compile(r"\s+")
 _CHAR_BITS = 12  # characters are numbered as they come, so that n-grams of up to five are one integer
 _CHARS_AT_A_TIME = 1 << 20
 _KNOWN = 4_000_000  # n-grams remembered: 48 MB
+_PLACE_BITS = 22  # places of n-grams that are found without a search: 48 MB
 
 
 class _Slots(dict):
@@ -48,6 +49,7 @@ class _Grams:
     def forget(self) -> None:
         self.number, self.used = np.zeros(0x110000, np.int64), 0
         self.keys, self.slots = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.placed, self.of_place = np.zeros(1 << _PLACE_BITS, np.int64), np.zeros(1 << _PLACE_BITS, np.int32)  # no key is 0
 
     def numbered(self, points: np.ndarray) -> np.ndarray | None:
         """Numbers from 1 of the characters; None if there are too many."""
@@ -70,38 +72,45 @@ class _Grams:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         row = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(at))  # characters to the end of the text
-        keys, places, spans = [], [], []
+        rows, out = [], []
         for n in sizes:
             k = np.zeros(max(len(at) - n + 1, 0), np.int64)
             for i in range(n):
                 k = k << _CHAR_BITS | at[i : i + len(k)]
-            place = np.flatnonzero(left[: len(k)] >= n)
-            keys.append(k[place])
-            places.append(place)
-            spans.append(np.full(len(place), n, np.int8))
-        keys, places, spans = np.concatenate(keys), np.concatenate(places), np.concatenate(spans)
-        order = np.argsort(keys)
-        ordered = keys[order]
-        first = np.ones(len(keys), bool)
-        first[1:] = ordered[1:] != ordered[:-1]
-        distinct = ordered[first]
+            places = np.flatnonzero(left[: len(k)] >= n)
+            k = k[places]
+            where = _place(k)
+            slots = self.of_place[where]
+            missed = np.flatnonzero(self.placed[where] != k)
+            slots[missed] = self.searched(k[missed], whole, places[missed], n)
+            rows.append(row[places])
+            out.append(slots)
+        return np.concatenate(rows), np.concatenate(out)
+
+    def searched(self, keys: np.ndarray, whole: str, places: np.ndarray, n: int) -> np.ndarray:
+        """Slots of n-grams without a place of their own, at these places of the text; those new get one if it is free."""
+        distinct, sample, back = np.unique(keys, return_index=True, return_inverse=True)
         found = np.searchsorted(self.keys, distinct)
+        inside = found < len(self.keys)
         known = np.zeros(len(distinct), bool)
-        known[found < len(self.keys)] = self.keys[found[found < len(self.keys)]] == distinct[found < len(self.keys)]
+        known[inside] = self.keys[found[inside]] == distinct[inside]
         slots = np.zeros(len(distinct), np.int32)
         slots[known] = self.slots[found[known]]
-        sample = order[np.flatnonzero(first)[~known]]
-        sha, period = hashlib.sha256, self.period
-        slots[~known] = [
-            int.from_bytes(sha(b"c:" + whole[p : p + n].encode() + b"\0").digest(), "big") % period for p, n in zip(places[sample].tolist(), spans[sample].tolist())
-        ]
-        if len(self.keys) + len(sample) > _KNOWN:
-            self.keys, self.slots = distinct, slots
+        sha, period, new = hashlib.sha256, self.period, ~known
+        slots[new] = [int.from_bytes(sha(b"c:" + whole[p : p + n].encode() + b"\0").digest(), "big") % period for p in places[sample[new]].tolist()]
+        where = _place(distinct)
+        free = self.placed[where] == 0
+        self.placed[where[free]], self.of_place[where[free]] = distinct[free], slots[free]
+        rest = np.flatnonzero(new & (self.placed[where] != distinct))
+        if len(self.keys) + len(rest) > _KNOWN:
+            self.keys, self.slots = distinct[rest], slots[rest]
         else:
-            self.keys, self.slots = np.insert(self.keys, found[~known], distinct[~known]), np.insert(self.slots, found[~known], slots[~known])
-        out = np.empty(len(keys), np.int32)
-        out[order] = slots[np.cumsum(first) - 1]
-        return row[places], out
+            self.keys, self.slots = np.insert(self.keys, found[rest], distinct[rest]), np.insert(self.slots, found[rest], slots[rest])
+        return slots[back]
+
+
+def _place(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _PLACE_BITS)).view(np.int64)
 
 
 class HashEmbedder:

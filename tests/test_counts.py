@@ -69,3 +69,44 @@ def test_buckets_of_texts_are_those_of_their_vectors(spark):
     vectors = lambda df, key: spark.createDataFrame([(r[key], [float(x) for x in embed([r["text"]])[0]]) for r in df.collect()], f"{key} bigint, vector array<double>")
     by_join = dense.lsh_topk(vectors(c, "chunk_pos"), vectors(q, "query_id"), 5, 64, tables=2, bits=4, probes=2)
     assert rows(dense.lsh_topk_text(c, q, 5, embed, tables=2, bits=4, probes=2)) == rows(by_join)
+
+
+def test_ngrams_that_share_a_place_keep_their_own_slots(monkeypatch):
+    from spanforge.operators import embedding
+
+    monkeypatch.setattr(embedding, "_PLACE_BITS", 4)
+    monkeypatch.setattr(embedding, "_KNOWN", 300)
+    embed = HashEmbedder(64)
+    for seed in range(4):  # most n-grams find their place taken, and what is remembered is dropped
+        some = texts(30, seed)
+        assert (counts.count_matrix(*embed.slots_many(some), 64) == np.array([embed.counts(t) for t in some])).all()
+
+
+@pytest.mark.parametrize("by_library", [True, False])
+def test_tiles_of_chunks_of_like_norms_keep_the_best(monkeypatch, by_library):
+    """Tiles smaller than the inputs, negative cosines, zero rows, ties; with the library's product, packed once for many queries, and with floats."""
+    monkeypatch.setattr(counts, "TILE", 8)
+    monkeypatch.setattr(counts, "COLUMNS", 16)
+    if not by_library:
+        monkeypatch.setattr(counts, "eight_bit_product", lambda: None)
+    monkeypatch.setattr(counts, "worker_cache", lambda key, make: make())
+    dim, rng = 16, np.random.default_rng(9)
+    queries, chunks = rng.integers(-3, 4, (30, dim)), rng.integers(-3, 4, (200, dim)) * rng.integers(0, 30, (200, 1))
+    slots = [np.concatenate([np.repeat(np.flatnonzero(q > 0), q[q > 0]), dim + np.repeat(np.flatnonzero(q < 0), -q[q < 0])]).astype(counts.slot_bytes(dim)).tobytes() for q in queries]
+    asked, at = counts.Asked(slots, dim, 150, 6), rng.permutation(200)
+    for lo in (0, 100):
+        counts.push_all(asked, chunks[lo : lo + 100].astype(np.int32), at[lo : lo + 100])
+    q, p, _ = asked.best()
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    scores = np.round(unit(queries) @ unit(chunks).T, 6) + 0.0
+    want = {(i, int(at[j])) for i in range(30) for j in np.lexsort((at, -scores[i]))[:150]}
+    assert set(zip(q.tolist(), p.tolist())) == want
+
+
+def test_one_set_of_chunks_meets_many_queries():
+    rng = np.random.default_rng(3)
+    b = rng.integers(-127, 128, (300, 50)).astype(np.int8)
+    times = counts.multiplier()(b)
+    for n in (70, 5, 70):
+        a = rng.integers(1, 256, (n, 300)).astype(np.uint8)
+        assert (times(a) == (a.astype(np.int64) - 128) @ b.astype(np.int64)).all()
