@@ -20,6 +20,7 @@ QUERIES, ROWS = 4_096, 4_096  # queries that share a running best k and large on
 TILE, COLUMNS = 512, 512  # queries and chunks multiplied at a time, so that products stay in a core's cache
 SLACK = 4e-6  # by which scores in single precision may miss the rounded ones
 NEAR = 127
+WIDE = 1.1  # ratio of norms beyond which chunks multiplied together have no common bound
 
 
 def slot_bytes(dim: int) -> str:
@@ -209,11 +210,15 @@ def _push(top: TopK, first: int, dots: np.ndarray, q_inverse: np.ndarray, invers
         kth[first : first + len(dots)] = np.partition(dots * inverse, n - k, axis=1)[:, n - k] * q_inverse - SLACK
         top.raise_floor(kth)
     bound = (floor - SLACK) / q_inverse
-    least = np.where(bound > 0, bound / inverse.max(), bound / inverse.min())
-    kind = np.iinfo(np.int32)
-    least = np.clip(np.ceil(least - 1e-6), kind.min, kind.max)
-    out = None if reached is None else reached[: dots.size].reshape(dots.shape)
-    at = np.flatnonzero(np.greater_equal(dots, least.astype(dots.dtype)[:, None], out=out))
+    if inverse.max() > WIDE * inverse.min():  # short chunks: one integer bound would let most pairs through
+        with np.errstate(invalid="ignore"):
+            at = np.flatnonzero(dots * inverse.astype(np.float32) >= bound.astype(np.float32)[:, None])
+    else:
+        least = np.where(bound > 0, bound / inverse.max(), bound / inverse.min())
+        kind = np.iinfo(np.int32)
+        least = np.clip(np.ceil(least - 1e-6), kind.min, kind.max)
+        out = None if reached is None else reached[: dots.size].reshape(dots.shape)
+        at = np.flatnonzero(np.greater_equal(dots, least.astype(dots.dtype)[:, None], out=out))
     if len(at):
         r, c = np.divmod(at, n)
         top.push_found(first + r, positions[c], dots.ravel()[at].astype(np.float64) * (q_inverse[r] * inverse[c]))
