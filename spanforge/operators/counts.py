@@ -179,6 +179,26 @@ class Asked:
         return a, p, s
 
 
+def features(slots: list[bytes], dim: int) -> tuple[np.ndarray, ...]:
+    """Queries as jvm.search takes them: (distinct query of each, features, first places, middle places, inverse norms)."""
+    seen: dict[bytes, int] = {}
+    of = np.array([seen.setdefault(np.sort(np.frombuffer(x, slot_bytes(dim))).tobytes(), len(seen)) for x in slots], np.int64)
+    distinct, parts, added, size, inverse = list(seen), [], [], [], []
+    for lo in range(0, len(distinct), QUERIES):
+        m = count_matrix(*decode(distinct[lo : lo + QUERIES], dim), dim)
+        row, at = np.nonzero(m)
+        order = np.lexsort((m[row, at] < 0, row))
+        row, at = row[order], at[order]
+        times = np.abs(m[row, at])
+        parts.append(np.repeat(at, times).astype(np.uint16))
+        size.append(np.bincount(row, times, len(m)))
+        added.append(np.bincount(row, times * (m[row, at] > 0), len(m)))
+        norm = norms(m)
+        inverse.append(1 / np.where(norm == 0, 1, norm))
+    first = np.append(0, np.cumsum(np.concatenate([np.zeros(0), *size]))).astype(np.int64)
+    return of, np.concatenate([np.zeros(0, np.uint16), *parts]), first, first[:-1] + np.concatenate([np.zeros(0), *added]).astype(np.int64), np.concatenate([np.zeros(0), *inverse])
+
+
 def push_all(asked: Asked, counts: np.ndarray, positions: np.ndarray) -> None:
     """Every query meets every chunk of counts (rows, dim)."""
     by, size = multiplier(), norms(counts)

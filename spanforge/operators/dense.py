@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions import jvm
 from spanforge.functions.text import cosine
 from spanforge.operators import counts
 from spanforge.operators.embedding import HashEmbedder
@@ -103,7 +104,8 @@ def dense_topk_text(chunks: DataFrame, queries: DataFrame, k: int, embed: Callab
     embed as empty ones. Feature counts are multiplied as integers.
     """
     if isinstance(embed, HashEmbedder):
-        return _counts_topk(chunks, queries, k, embed, embed.dim, lambda shared, stored: counts.searcher(shared, embed, k, DIGITS, stored))
+        by_jvm = embed.dim <= jvm.WIDEST and jvm.count_search(chunks.sparkSession) is not None
+        return _counts_topk(chunks, queries, k, embed, embed.dim, None if by_jvm else lambda shared, stored: counts.searcher(shared, embed, k, DIGITS, stored))
     spark = chunks.sparkSession
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, chunk_pos bigint, score double"
@@ -143,8 +145,11 @@ def lsh_topk_text(chunks: DataFrame, queries: DataFrame, k: int, embed: HashEmbe
     return _counts_topk(chunks, queries, k, embed, held, lambda shared, stored: counts.lsh_searcher(shared, embed, k, DIGITS, planes, probes, stored))
 
 
-def _counts_topk(chunks: DataFrame, queries: DataFrame, k: int, embed: HashEmbedder, held: int, search: Callable) -> DataFrame:
-    """Search over feature counts: blocks of queries of bounded size (``held`` bytes each in a task), chunks in one task a core as each holds a best k of all queries."""
+def _counts_topk(chunks: DataFrame, queries: DataFrame, k: int, embed: HashEmbedder, held: int, search: Callable | None) -> DataFrame:
+    """Search over feature counts: blocks of queries of bounded size (``held`` bytes each in a task), chunks in one task a core as each holds a best k of all queries.
+
+    Without ``search``, exact search in the JVM.
+    """
     spark = chunks.sparkSession
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, chunk_pos bigint, score double"
@@ -154,12 +159,20 @@ def _counts_topk(chunks: DataFrame, queries: DataFrame, k: int, embed: HashEmbed
         asked = materialise(queries.select("query_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_encoder(embed), f"query_id {kind}, slots binary"))
         mean = asked.agg(F.coalesce(F.avg(F.length("slots")), F.lit(0.0)).alias("mean")).first()["mean"]
         parts = list(blocks(asked, "query_id", max(1, int(min(COUNT_QUERIES, COUNT_BYTES / held, QUERY_BYTES / (mean + 1))))))
-        if len(parts) > 1:
-            texts = materialise(texts.mapInArrow(_encoder(embed), "chunk_pos bigint, slots binary"))
+        if search is None or len(parts) > 1:
+            texts = texts.mapInArrow(_encoder(embed), "chunk_pos bigint, slots binary")
+            texts = materialise(texts) if len(parts) > 1 else texts
         for block in parts:
             rows = block.orderBy("query_id").toArrow().combine_chunks()
             if not rows.num_rows:
                 continue
+            if search is None:
+                of, *asked_for = counts.features(rows.column("slots").to_pylist(), embed.dim)
+                best = ranked(jvm.search(texts, *asked_for, embed.dim, k, counts.SLACK, DIGITS).withColumnRenamed("place", "query_id"), k, DIGITS)
+                places = spark.createDataFrame(pa.table({"id": rows.column("query_id"), "query_id": pa.array(of)}))
+                part = best.join(places, "query_id").select(F.col("id").cast(kind).alias("query_id"), "chunk_pos", "score")
+                found = part if found is None else found.unionByName(part)
+                continue
             shared = spark.sparkContext.broadcast((rows.column("query_id").combine_chunks(), rows.column("slots").to_pylist()))
             part = texts.mapInArrow(search(shared, len(parts) > 1), schema)
             found = part if found is None else found.unionByName(part)
