@@ -1,4 +1,4 @@
-"""Search over feature counts in the JVM, in vectors of bytes: the source is compiled by Spark's own compiler and sent to executors as a jar."""
+"""Feature hashing and search over feature counts in the JVM, in vectors of bytes: the source is compiled by Spark's own compiler and sent to executors as a jar."""
 
 from __future__ import annotations
 
@@ -12,14 +12,19 @@ from pyspark.sql.types import StructType
 
 # Chunks are met 128 at a time, as one row of bytes a feature. A query adds the rows of its features and
 # subtracts those of its negative ones; bytes are widened before a sum can leave them. Pairs whose bound
-# leaves 16 bits, and chunks with counts beyond a byte, are added up in 64 bits.
+# leaves 16 bits, and chunks with counts beyond a byte, are added up in 64 bits. Texts are hashed as
+# HashEmbedder does; a task remembers hashes of n-grams in a table of fixed size.
 SOURCE = """
 package spanforge;
 
 import java.nio.ByteBuffer;
 import java.nio.ByteOrder;
+import java.nio.charset.StandardCharsets;
+import java.security.MessageDigest;
+import java.security.NoSuchAlgorithmException;
 import java.util.ArrayList;
 import java.util.Arrays;
+import java.util.HashMap;
 import java.util.Iterator;
 import jdk.incubator.vector.ByteVector;
 import jdk.incubator.vector.ShortVector;
@@ -37,6 +42,8 @@ public final class CountSearch implements MapPartitionsFunction {
     static final int W = 128, F = 32, BATCH = 4096;
     Broadcast shared; // first, middle (places of a query's features and of those that subtract), features, inverse norms
     int dim, k;
+    int[] sizes; // of n-grams
+    boolean words;
     double slack, scale;
 
     static int[] ints(byte[] b) {
@@ -57,9 +64,11 @@ public final class CountSearch implements MapPartitionsFunction {
         return out;
     }
 
-    public Dataset run(JavaSparkContext context, Dataset chunks, byte[] first, byte[] middle, byte[] features, byte[] inverse, int dim, int k, double slack, double scale, StructType schema) {
+    public Dataset run(JavaSparkContext context, Dataset chunks, byte[] first, byte[] middle, byte[] features, byte[] inverse, int dim, byte[] sizes, boolean words, int k, double slack, double scale, StructType schema) {
         this.shared = context.broadcast(new Object[] {ints(first), ints(middle), chars(features), doubles(inverse)});
         this.dim = dim;
+        this.sizes = ints(sizes);
+        this.words = words;
         this.k = k;
         this.slack = slack;
         this.scale = scale;
@@ -70,7 +79,131 @@ public final class CountSearch implements MapPartitionsFunction {
         return new Task(this, (Object[]) shared.value()).run(rows);
     }
 
+    /** The hash modulo a period of every feature of a text in lower case with single spaces. */
+    static final class Slots {
+        static final int BITS = 21, PROBES = 8, CHARS = 4095, WORDS = 1000000;
+        final int period;
+        final int[] sizes;
+        final boolean words;
+        final MessageDigest sha;
+        final HashMap known = new HashMap();
+        final char[] number = new char[0x110000]; // characters are numbered from 1 as they come, so that an n-gram of up to five is one long
+        final long[] key = new long[1 << BITS];
+        final char[] held = new char[1 << BITS];
+        int used = 0, n = 0;
+        int[] point = new int[512], at = new int[513], of = new int[512]; // characters, their places in the text and numbers
+        char[] out = new char[2048];
+
+        Slots(int period, int[] sizes, boolean words) {
+            this.period = period;
+            this.sizes = sizes;
+            this.words = words;
+            try {
+                sha = MessageDigest.getInstance("SHA-256");
+            } catch (NoSuchAlgorithmException e) {
+                throw new IllegalStateException(e);
+            }
+        }
+
+        char hash(String feature) {
+            int rest = 0;
+            byte[] digest = sha.digest(feature.getBytes(StandardCharsets.UTF_8));
+            for (int i = 0; i < digest.length; i++) rest = (rest << 8 | (digest[i] & 255)) % period;
+            return (char) rest;
+        }
+
+        void add(char slot) {
+            if (n == out.length) out = Arrays.copyOf(out, 2 * n);
+            out[n++] = slot;
+        }
+
+        char[] of(String text) {
+            n = 0;
+            if (words) words(text);
+            int length = text.length(), chars = 0;
+            if (length > point.length) {
+                point = new int[2 * length];
+                at = new int[2 * length + 1];
+                of = new int[2 * length];
+            }
+            for (int i = 0; i < length; i += Character.charCount(point[chars++])) {
+                point[chars] = text.codePointAt(i);
+                at[chars] = i;
+            }
+            at[chars] = length;
+            boolean numbered = numbered(chars);
+            for (int s = 0; s < sizes.length; s++) {
+                int size = sizes[s];
+                if (size <= 0) continue;
+                if (!numbered || size > 5) {
+                    for (int i = 0; i + size <= chars; i++) add(hash("c:" + text.substring(at[i], at[i + size]) + '\\0'));
+                    continue;
+                }
+                long mask = (1L << 12 * size) - 1, k = 0;
+                for (int i = 0; i < chars; i++) {
+                    k = (k << 12 | of[i]) & mask;
+                    if (i + 1 >= size) add(gram(k, text, i + 1 - size, size));
+                }
+            }
+            return Arrays.copyOf(out, n);
+        }
+
+        /** Whether the text's characters have numbers; otherwise there are too many. */
+        boolean numbered(int chars) {
+            for (int again = 0; again < 2; again++) {
+                int i = 0;
+                for (; i < chars; i++) {
+                    if (number[point[i]] == 0) {
+                        if (used == CHARS) break;
+                        number[point[i]] = (char) ++used;
+                    }
+                    of[i] = number[point[i]];
+                }
+                if (i == chars) return true;
+                Arrays.fill(number, (char) 0);
+                Arrays.fill(key, 0L);
+                used = 0;
+            }
+            return false;
+        }
+
+        char gram(long k, String text, int from, int size) {
+            int home = (int) (k * 0x9E3779B97F4A7C15L >>> 64 - BITS), place = home;
+            for (int p = 0; p < PROBES; p++) {
+                place = home + p & (1 << BITS) - 1;
+                if (key[place] == k) return held[place];
+                if (key[place] == 0) break;
+                if (p == PROBES - 1) place = home;
+            }
+            char slot = hash("c:" + text.substring(at[from], at[from + size]) + '\\0');
+            key[place] = k;
+            held[place] = slot;
+            return slot;
+        }
+
+        void words(String text) {
+            int length = text.length(), from = -1;
+            for (int i = 0; i <= length; i++) {
+                char c = i == length ? ' ' : text.charAt(i);
+                if ((c >= 'a' && c <= 'z') || (c >= '0' && c <= '9')) {
+                    if (from < 0) from = i;
+                } else if (from >= 0) {
+                    String word = text.substring(from, i);
+                    Character slot = (Character) known.get(word);
+                    if (slot == null) {
+                        if (known.size() >= WORDS) known.clear();
+                        slot = Character.valueOf(hash("w:" + word + '\\0'));
+                        known.put(word, slot);
+                    }
+                    add(slot.charValue());
+                    from = -1;
+                }
+            }
+        }
+    }
+
     static final class Task {
+        final Slots slots;
         final int[] first, middle, held;
         final char[] feature;
         final double[] inverse, bound, score, rounded;
@@ -84,6 +217,7 @@ public final class CountSearch implements MapPartitionsFunction {
             feature = (char[]) queries[2];
             inverse = (double[]) queries[3];
             dim = of.dim;
+            slots = new Slots(2 * dim, of.sizes, of.words);
             k = of.k;
             n = inverse.length;
             slack = of.slack;
@@ -101,7 +235,7 @@ public final class CountSearch implements MapPartitionsFunction {
             while (rows.hasNext()) {
                 Row row = (Row) rows.next();
                 places.add(Long.valueOf(row.getLong(0)));
-                texts.add(row.get(1));
+                texts.add(slots.of(row.getString(1)));
                 if (texts.size() == BATCH || !rows.hasNext()) {
                     push(texts, places);
                     texts.clear();
@@ -131,10 +265,10 @@ public final class CountSearch implements MapPartitionsFunction {
             if (held[i] == k) bound[i] = (rounded[lo + k - 1] - slack) / inverse[i];
         }
 
-        void count(byte[] slots, int[] into) {
+        void count(char[] slots, int[] into) {
             Arrays.fill(into, 0);
-            for (int e = 0; e < slots.length; e += 2) {
-                int s = (slots[e] & 255) | (slots[e + 1] & 255) << 8;
+            for (int e = 0; e < slots.length; e++) {
+                int s = slots[e];
                 if (s < dim) into[s]++; else into[s - dim]--;
             }
         }
@@ -146,7 +280,7 @@ public final class CountSearch implements MapPartitionsFunction {
             boolean[] far = new boolean[rows];
             long[] order = new long[rows]; // chunks met together are of like norms
             for (int r = 0; r < rows; r++) {
-                count((byte[]) texts.get(r), count);
+                count((char[]) texts.get(r), count);
                 double square = 0;
                 int top = 0;
                 for (int d = 0; d < dim; d++) {
@@ -166,7 +300,7 @@ public final class CountSearch implements MapPartitionsFunction {
             for (int o = 0; o < rows; o++) {
                 int r = (int) order[o];
                 if (far[r]) continue;
-                count((byte[]) texts.get(r), count);
+                count((char[]) texts.get(r), count);
                 for (int d = 0; d < dim; d++) {
                     int c = count[d];
                     if (c != 0) {
@@ -190,7 +324,7 @@ public final class CountSearch implements MapPartitionsFunction {
                 int r = (int) order[o];
                 if (!far[r]) continue;
                 if (wide == null) wide = new int[dim * F];
-                count((byte[]) texts.get(r), count);
+                count((char[]) texts.get(r), count);
                 for (int d = 0; d < dim; d++) wide[d * F + m] = count[d];
                 inv[m] = 1 / norm[r];
                 pos[m++] = ((Long) places.get(r)).longValue();
@@ -375,13 +509,13 @@ def _compiled(spark: SparkSession):
     return compiler.getClassLoader().loadClass("spanforge.CountSearch")
 
 
-def search(chunks: DataFrame, features: np.ndarray, first: np.ndarray, middle: np.ndarray, inverse: np.ndarray, dim: int, k: int, slack: float, digits: int) -> DataFrame:
-    """(place, chunk_pos, score): each task's best k of every query among chunks(chunk_pos, slots).
+def search(chunks: DataFrame, features: np.ndarray, first: np.ndarray, middle: np.ndarray, inverse: np.ndarray, embed, k: int, slack: float, digits: int) -> DataFrame:
+    """(place, chunk_pos, score): each task's best k of every query among chunks(chunk_pos, text), the texts as HashEmbedder.flat gives them.
 
     A query's features are those from its first place; from its middle place on they subtract.
     """
     spark = chunks.sparkSession
     held = [np.ascontiguousarray(x, kind).tobytes() for x, kind in ((first, "<i4"), (middle, "<i4"), (features, "<u2"), (inverse, "<f8"))]
     schema = spark._jsparkSession.parseDataType(StructType.fromDDL("place int, chunk_pos bigint, score double").json())
-    found = count_search(spark).getDeclaredConstructor(None).newInstance(None).run(spark.sparkContext._jsc, chunks._jdf, *held, dim, k, float(slack), 10.0**digits, schema)
+    found = count_search(spark).getDeclaredConstructor(None).newInstance(None).run(spark.sparkContext._jsc, chunks._jdf, *held, embed.dim, np.array(embed.sizes, "<i4").tobytes(), embed.words, k, float(slack), 10.0**digits, schema)
     return DataFrame(found, spark)

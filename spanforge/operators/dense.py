@@ -159,16 +159,18 @@ def _counts_topk(chunks: DataFrame, queries: DataFrame, k: int, embed: HashEmbed
         asked = materialise(queries.select("query_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_encoder(embed), f"query_id {kind}, slots binary"))
         mean = asked.agg(F.coalesce(F.avg(F.length("slots")), F.lit(0.0)).alias("mean")).first()["mean"]
         parts = list(blocks(asked, "query_id", max(1, int(min(COUNT_QUERIES, COUNT_BYTES / held, QUERY_BYTES / (mean + 1))))))
-        if search is None or len(parts) > 1:
+        if search is None:
+            texts = texts.mapInArrow(_flattener(embed), "chunk_pos bigint, text string")
+        elif len(parts) > 1:
             texts = texts.mapInArrow(_encoder(embed), "chunk_pos bigint, slots binary")
-            texts = materialise(texts) if len(parts) > 1 else texts
+        texts = materialise(texts) if len(parts) > 1 else texts
         for block in parts:
             rows = block.orderBy("query_id").toArrow().combine_chunks()
             if not rows.num_rows:
                 continue
             if search is None:
                 of, *asked_for = counts.features(rows.column("slots").to_pylist(), embed.dim)
-                best = ranked(jvm.search(texts, *asked_for, embed.dim, k, counts.SLACK, DIGITS).withColumnRenamed("place", "query_id"), k, DIGITS)
+                best = ranked(jvm.search(texts, *asked_for, embed, k, counts.SLACK, DIGITS).withColumnRenamed("place", "query_id"), k, DIGITS)
                 places = spark.createDataFrame(pa.table({"id": rows.column("query_id"), "query_id": pa.array(of)}))
                 part = best.join(places, "query_id").select(F.col("id").cast(kind).alias("query_id"), "chunk_pos", "score")
                 found = part if found is None else found.unionByName(part)
@@ -189,6 +191,16 @@ def _encoder(embed: HashEmbedder):
     return run
 
 
+def _flattener(embed: HashEmbedder):
+    """(id, text) -> (id, text as n-grams are cut from it)."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(embed.flat, batch.column(1).to_pylist()), pa.string())], names=batch.schema.names)
+
+    return run
+
+
 def index_bytes(vectors: DataFrame, dim: int) -> DataFrame:
     """(n, dim, bytes) of a float32 matrix."""
     return vectors.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(dim).alias("dim"), (F.col("n") * dim * 4).alias("bytes"))

@@ -126,6 +126,11 @@ class HashEmbedder:
         self.dim, self.sizes, self.words, self.name = dim, sizes, words, name
         self._words, self._grams, self._many = _Slots("w:", 2 * dim), _Slots("c:", 2 * dim), None
 
+    @staticmethod
+    def flat(text: str) -> str:
+        """The text in lower case, each run of whitespace as one space: what n-grams are cut from, and words can be."""
+        return " ".join(text.lower().split())
+
     def slots(self, text: str) -> np.ndarray:
         """Hash modulo 2 * dim of every feature, repeats included."""
         low = text.lower()

@@ -24,3 +24,21 @@ def test_dense_text_search_in_the_jvm_equals_brute_force(spark, monkeypatch, dim
     c = spark.createDataFrame(list(enumerate(chunks)), "chunk_pos bigint, text string").repartition(2)
     q = spark.createDataFrame(list(enumerate(queries)), "query_id bigint, text string")
     assert {(r["query_id"], r["rank"], r["chunk_pos"]) for r in dense.dense_topk_text(c, q, 7, embed).collect()} == want
+
+
+@pytest.mark.parametrize("sizes,words", [((3, 4, 5), True), ((0, 1, 2, 7), False)])
+@pytest.mark.parametrize("block", [1 << 17, 3])
+def test_texts_are_hashed_in_the_jvm_as_the_embedder_does(spark, monkeypatch, sizes, words, block):
+    """Other scripts, characters beyond 16 bits, case that changes lengths, kinds of space, more characters than have numbers over texts and in one; null texts."""
+    monkeypatch.setattr(dense, "COUNT_QUERIES", block)
+    given, search = [], jvm.search
+    monkeypatch.setattr(jvm, "search", lambda chunks, *a: given.append(chunks.columns) or search(chunks, *a))
+    embed = HashEmbedder(1 << 15, sizes, words)
+    of = lambda first, n: "".join(map(chr, range(first, first + n)))
+    texts = ["İstanbul ΣΑΣ ẞ x1\x1fy z 　w\x85v", "  a\t\r\n b\x0b ", "a b", "😀 naïve 😀😀 ﬁne é", of(0x4E00, 2500), of(0x4E00 + 2500, 2500), of(0xAC00, 3000), of(0x3400, 6000), of(0x4E00 + 900, 40), "", None, "gauge42 gauge 42"]
+    plain = [t or "" for t in texts]
+    scores = np.round(embed(plain) @ embed(plain).T, 6)
+    want = {(q, r + 1, int(p)) for q in range(len(plain)) for r, p in enumerate(np.lexsort((np.arange(len(plain)), -scores[q]))[:6])}
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_pos bigint, text string").coalesce(1)
+    assert {(r["query_id"], r["rank"], r["chunk_pos"]) for r in dense.dense_topk_text(rows, rows.withColumnRenamed("chunk_pos", "query_id"), 6, embed).collect()} == want
+    assert given and all(x == ["chunk_pos", "text"] for x in given)
