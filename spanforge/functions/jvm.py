@@ -10,10 +10,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-# Chunks are met 128 at a time, as one row of bytes a feature. A query adds the rows of its features and
+# Chunks are met four vectors of bytes at a time, as one row of bytes a feature. A query adds the rows of its features and
 # subtracts those of its negative ones; bytes are widened before a sum can leave them. Pairs whose bound
 # leaves 16 bits, and chunks with counts beyond a byte, are added up in 64 bits. Texts are hashed as
-# HashEmbedder does; a task remembers hashes of n-grams in a table of fixed size.
+# HashEmbedder does; a task remembers hashes of n-grams in a table of fixed size. Tasks of one JVM share the
+# bounds that they have reached; what is below one is no best of all tasks, so neither met again nor returned.
 SOURCE = """
 package spanforge;
 
@@ -39,8 +40,8 @@ import org.apache.spark.sql.RowFactory;
 import org.apache.spark.sql.types.StructType;
 
 public final class CountSearch implements MapPartitionsFunction {
-    static final int W = 128, F = 32, BATCH = 4096;
-    Broadcast shared; // first, middle (places of a query's features and of those that subtract), features, inverse norms
+    static final int L = 32, W = 4 * L, F = 32, BATCH = 4096;
+    Broadcast shared; // first, middle (places of a query's features and of those that subtract), features, inverse norms, bounds
     int dim, k;
     int[] sizes; // of n-grams
     boolean words;
@@ -65,7 +66,9 @@ public final class CountSearch implements MapPartitionsFunction {
     }
 
     public Dataset run(JavaSparkContext context, Dataset chunks, byte[] first, byte[] middle, byte[] features, byte[] inverse, int dim, byte[] sizes, boolean words, int k, double slack, double scale, StructType schema) {
-        this.shared = context.broadcast(new Object[] {ints(first), ints(middle), chars(features), doubles(inverse)});
+        double[] bound = new double[inverse.length / 8];
+        Arrays.fill(bound, Double.NEGATIVE_INFINITY);
+        this.shared = context.broadcast(new Object[] {ints(first), ints(middle), chars(features), doubles(inverse), bound});
         this.dim = dim;
         this.sizes = ints(sizes);
         this.words = words;
@@ -223,8 +226,7 @@ public final class CountSearch implements MapPartitionsFunction {
             slack = of.slack;
             scale = of.scale;
             held = new int[n];
-            bound = new double[n];
-            Arrays.fill(bound, Double.NEGATIVE_INFINITY);
+            bound = (double[]) queries[4];
             score = new double[n * k];
             rounded = new double[n * k];
             position = new long[n * k];
@@ -262,7 +264,7 @@ public final class CountSearch implements MapPartitionsFunction {
             rounded[c] = w;
             score[c] = s;
             position[c] = p;
-            if (held[i] == k) bound[i] = (rounded[lo + k - 1] - slack) / inverse[i];
+            if (held[i] == k) bound[i] = Math.max(bound[i], (rounded[lo + k - 1] - slack) / inverse[i]); // a bound that a task overwrites with a lower one still holds
         }
 
         void count(char[] slots, int[] into) {
@@ -353,57 +355,45 @@ public final class CountSearch implements MapPartitionsFunction {
                         continue;
                     }
                 }
-                double least = bound[i] > 0 ? bound[i] / longest : bound[i] / shortest;
+                double reached = bound[i], least = reached > 0 ? reached / longest : reached / shortest;
                 int low = (int) Math.max(-32768.0, Math.min(32767.0, Math.ceil(least - 1e-6)));
                 if (sums(i, tile, most, (short) low, dots)) {
                     for (int e = 0; e < W; e++) {
                         int dot = dots[e];
                         if (dot < low) continue;
-                        int j = (e & ~31) + ((e & 15) << 1) + ((e & 31) >> 4);
+                        int j = (e & -L) + ((e & L / 2 - 1) << 1) + (e & L - 1) / (L / 2);
                         if (j < m && dot * inv[j] >= bound[i]) put(i, dot * (inverse[i] * inv[j]), pos[j]);
                     }
                 }
             }
         }
 
-        /** Products of a query with a tile, those of even chunks before those of odd ones in each 32; false if all are below low. */
+        /** Products of a query with a tile, those of even chunks before those of odd ones in each L; false if all are below low. */
         boolean sums(int i, byte[] tile, byte[] most, short low, short[] dots) {
             int x = first[i], mid = middle[i], end = first[i + 1];
             ShortVector s0 = ShortVector.zero(ShortVector.SPECIES_256), s1 = s0, s2 = s0, s3 = s0, s4 = s0, s5 = s0, s6 = s0, s7 = s0;
-            while (x < mid) {
-                int stop = x;
-                for (int room = 127 - most[feature[x]]; room >= 0 && ++stop < mid; room -= most[feature[stop]]) ;
+            while (x < end) {
                 ByteVector a = ByteVector.zero(ByteVector.SPECIES_256), b = a, c = a, d = a;
-                for (; x < stop; x++) {
-                    int o = feature[x] * W;
+                int room = 127;
+                for (; x < mid; x++) {
+                    int f = feature[x], o = f * W;
+                    room -= most[f];
+                    if (room < 0) break;
                     a = a.add(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o));
-                    b = b.add(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o + 32));
-                    c = c.add(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o + 64));
-                    d = d.add(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o + 96));
+                    b = b.add(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o + L));
+                    c = c.add(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o + 2 * L));
+                    d = d.add(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o + 3 * L));
                 }
-                ShortVector v = a.reinterpretAsShorts();
-                s0 = s0.add(v.lanewise(VectorOperators.LSHL, (short) 8).lanewise(VectorOperators.ASHR, (short) 8));
-                s1 = s1.add(v.lanewise(VectorOperators.ASHR, (short) 8));
-                v = b.reinterpretAsShorts();
-                s2 = s2.add(v.lanewise(VectorOperators.LSHL, (short) 8).lanewise(VectorOperators.ASHR, (short) 8));
-                s3 = s3.add(v.lanewise(VectorOperators.ASHR, (short) 8));
-                v = c.reinterpretAsShorts();
-                s4 = s4.add(v.lanewise(VectorOperators.LSHL, (short) 8).lanewise(VectorOperators.ASHR, (short) 8));
-                s5 = s5.add(v.lanewise(VectorOperators.ASHR, (short) 8));
-                v = d.reinterpretAsShorts();
-                s6 = s6.add(v.lanewise(VectorOperators.LSHL, (short) 8).lanewise(VectorOperators.ASHR, (short) 8));
-                s7 = s7.add(v.lanewise(VectorOperators.ASHR, (short) 8));
-            }
-            while (x < end) {
-                int stop = x;
-                for (int room = 127 - most[feature[x]]; room >= 0 && ++stop < end; room -= most[feature[stop]]) ;
-                ByteVector a = ByteVector.zero(ByteVector.SPECIES_256), b = a, c = a, d = a;
-                for (; x < stop; x++) {
-                    int o = feature[x] * W;
-                    a = a.sub(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o));
-                    b = b.sub(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o + 32));
-                    c = c.sub(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o + 64));
-                    d = d.sub(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o + 96));
+                if (room >= 0) {
+                    for (; x < end; x++) {
+                        int f = feature[x], o = f * W;
+                        room -= most[f];
+                        if (room < 0) break;
+                        a = a.sub(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o));
+                        b = b.sub(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o + L));
+                        c = c.sub(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o + 2 * L));
+                        d = d.sub(ByteVector.fromArray(ByteVector.SPECIES_256, tile, o + 3 * L));
+                    }
                 }
                 ShortVector v = a.reinterpretAsShorts();
                 s0 = s0.add(v.lanewise(VectorOperators.LSHL, (short) 8).lanewise(VectorOperators.ASHR, (short) 8));
@@ -421,13 +411,13 @@ public final class CountSearch implements MapPartitionsFunction {
             ShortVector top = s0.max(s1).max(s2.max(s3)).max(s4.max(s5).max(s6.max(s7)));
             if (!top.compare(VectorOperators.GE, low).anyTrue()) return false;
             s0.intoArray(dots, 0);
-            s1.intoArray(dots, 16);
-            s2.intoArray(dots, 32);
-            s3.intoArray(dots, 48);
-            s4.intoArray(dots, 64);
-            s5.intoArray(dots, 80);
-            s6.intoArray(dots, 96);
-            s7.intoArray(dots, 112);
+            s1.intoArray(dots, L / 2);
+            s2.intoArray(dots, 2 * L / 2);
+            s3.intoArray(dots, 3 * L / 2);
+            s4.intoArray(dots, 4 * L / 2);
+            s5.intoArray(dots, 5 * L / 2);
+            s6.intoArray(dots, 6 * L / 2);
+            s7.intoArray(dots, 7 * L / 2);
             return true;
         }
 
@@ -460,7 +450,7 @@ public final class CountSearch implements MapPartitionsFunction {
         }
 
         public boolean hasNext() {
-            while (i < of.n && at == of.held[i]) {
+            while (i < of.n && (at == of.held[i] || of.rounded[i * of.k + at] < of.bound[i] * of.inverse[i])) {
                 i++;
                 at = 0;
             }
@@ -494,13 +484,14 @@ def count_search(spark: SparkSession):
 def _compiled(spark: SparkSession):
     jvm = spark.sparkContext._jvm
     try:
-        if jvm.jdk.incubator.vector.VectorShape.preferredShape().vectorBitSize() < 256:
+        bits = min(jvm.jdk.incubator.vector.VectorShape.preferredShape().vectorBitSize(), 512)
+        if bits < 256:
             return None
     except TypeError:  # started without that module
         return None
     compiler = jvm.org.codehaus.janino.SimpleCompiler()
     compiler.setParentClassLoader(jvm.org.apache.spark.util.Utils.getContextOrSparkClassLoader())
-    compiler.cook(SOURCE)
+    compiler.cook(SOURCE.replace("SPECIES_256", f"SPECIES_{bits}").replace("L = 32", f"L = {bits // 8}"))
     path = Path(tempfile.mkdtemp(prefix="spanforge-")) / "count-search.jar"
     with zipfile.ZipFile(path, "w") as jar:
         for name, code in dict(compiler.getBytecodes()).items():

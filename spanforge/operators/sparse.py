@@ -1,6 +1,6 @@
 """BM25 over chunk tables.
 
-Statistics are one aggregation (document frequencies of the query terms only) and two scalars.
+Statistics are one pass over the chunks (document frequencies of the query terms only, and two scalars).
 Scoring streams the chunks once past all queries, one task a core, so only partial top-k rows are
 shuffled. A query's best chunks either hold one of its rare terms, or are among the best for its
 common terms alone. The latter are searched once for all queries that share them: a task keeps the
@@ -12,6 +12,7 @@ task; beyond QUERY_BLOCK queries they do so in parts, each with a pass of its ow
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ DIGITS = 9  # scores are compared to this many digits
 QUERY_BLOCK = 200_000  # queries sent to every task at a time: some 60 MB
 FIRST, LARGEST = 256, 16_384  # chunks scored at a time, at first and at most
 PAIRS = 2_000_000  # pairs of query and chunk met at a time
+TALLIED = 500_000  # terms whose chunks a task counts at a time
 BELOW = 2e-9  # by which an unrounded score may miss the rounded one
 RARE_COST = 8  # a posting of a rare term, met by each query and scored in full, against one of a common term
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -45,6 +47,22 @@ def document_frequencies(chunks: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _tally(batches):
+    """Chunks' texts -> (term, chunks that hold it) in parts of bounded size, and the term '' with the number of chunks and of words."""
+    held, n, words = Counter(), 0, 0
+    rows = lambda *x: pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(x, (pa.string(), pa.int64(), pa.int64()))], names=["term", "df", "words"])
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            found = _TOKEN.findall(text.lower()) if text else ()
+            held.update(set(found))
+            words += len(found)
+        n += batch.num_rows
+        if len(held) > TALLIED:
+            yield rows(list(held), list(held.values()), [0] * len(held))
+            held.clear()
+    yield rows([*held, ""], [*held.values(), n], [0] * len(held) + [words])
+
+
 def idf(df, n):
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
@@ -71,9 +89,12 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b:
     schema = f"query_id {kind}, chunk_pos bigint, score double"
     if k <= 0:
         return spark.createDataFrame([], f"query_id {kind}, rank int, chunk_pos bigint, score double")
-    n, avgdl = corpus_statistics(chunks).first()
-    terms = query_terms(queries)
-    weighted = terms.join(document_frequencies(chunks).join(terms.select("term").distinct(), "term", "left_semi"), "term")
+    terms = materialise(query_terms(queries))
+    wanted = terms.select("term").unionByName(spark.createDataFrame([("",)], "term string")).distinct()
+    tally = materialise(chunks.select("text").mapInArrow(_tally, "term string, df bigint, words bigint").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")))
+    n, words = tally.where("term = ''").select("df", "words").first() or (0, 0)
+    avgdl = words / n if n else 0.0
+    weighted = terms.join(tally.where("term <> ''"), "term")
     weighted = materialise(weighted.select("query_id", "term", "df", idf(F.col("df"), F.lit(n)).alias("idf")))
     found = None
     for block in blocks(weighted.select("query_id").distinct(), "query_id", QUERY_BLOCK):

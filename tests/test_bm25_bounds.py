@@ -61,3 +61,21 @@ def test_queries_that_differ_in_rare_terms_share_one_search(spark, monkeypatch):
         order = np.lexsort((np.arange(n), -np.round(scores, 9)))[:9]
         want |= {(i, rank + 1, int(p)) for rank, p in enumerate(x for x in order if scores[x] > 0)}
     assert got == want
+
+
+def test_one_pass_gives_the_frequencies_and_sizes_that_columns_give(spark, monkeypatch):
+    """Null, empty and wordless texts, repeats in a text, parts that are handed over before the end."""
+    monkeypatch.setattr(sparse, "TALLIED", 3)
+    texts = ["A b a", None, "", "?! é", "c d e f g", "b-c 7 İ x", "b"]
+    chunks = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    n, words, df = 0, 0, {}
+    for batches in ([b] for b in chunks.toArrow().to_batches(max_chunksize=2)):
+        for part in sparse._tally(batches):
+            for r in part.to_pylist():
+                if r["term"]:
+                    df[r["term"]] = df.get(r["term"], 0) + r["df"]
+                else:
+                    n, words = n + r["df"], words + r["words"]
+    want = sparse.corpus_statistics(chunks).first()
+    assert (n, words / n) == (want["n"], want["avgdl"])
+    assert df == {r["term"]: r["df"] for r in sparse.document_frequencies(chunks).collect()}

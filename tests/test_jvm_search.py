@@ -42,3 +42,14 @@ def test_texts_are_hashed_in_the_jvm_as_the_embedder_does(spark, monkeypatch, si
     rows = spark.createDataFrame(list(enumerate(texts)), "chunk_pos bigint, text string").coalesce(1)
     assert {(r["query_id"], r["rank"], r["chunk_pos"]) for r in dense.dense_topk_text(rows, rows.withColumnRenamed("chunk_pos", "query_id"), 6, embed).collect()} == want
     assert given and all(x == ["chunk_pos", "text"] for x in given)
+
+
+def test_tasks_share_the_bounds_they_have_reached(spark):
+    """Chunks of one task that are worse than k of another are not returned once those are known, which they are for sure when the search runs again."""
+    embed = HashEmbedder(512)
+    texts = [f"harbor index {i}" for i in range(5)] + [f"queue of vague rows {i}" for i in range(5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_pos bigint, text string").repartitionByRange(2, "chunk_pos").localCheckpoint()
+    _, *asked = dense.counts.features(dense.counts.encode(embed, ["harbor index"]), embed.dim)
+    found = jvm.search(rows, *asked, embed, 5, dense.counts.SLACK, dense.DIGITS)
+    first, again = ({r["chunk_pos"] for r in found.collect()} for _ in range(2))
+    assert again == set(range(5)) <= first
